@@ -7,6 +7,7 @@ import importlib
 
 FAMILIES = (
     "delta_family",
+    "resolve_family",
 )
 
 

@@ -167,7 +167,40 @@ LEFT JOIN book_dim b ON coalesce(f.book_key, -1) = b.book_key
 LEFT JOIN instrument_dim i ON coalesce(f.instrument_key, -1) = i.instrument_key
 LEFT JOIN trade_dim t ON coalesce(f.trade_key, -1) = t.trade_key"""
 
+# Uploaded/staged rows (all text), one per lineitem, with injected case variants,
+# unknown codes, missing books, blanks and non-numeric / zero values.
+VIEWS["stage_direct"] = f"""
+SELECT 'B' || CAST(year(l.l_shipdate) AS STRING) AS batch_id,
+       l.l_orderkey AS order_key, l.l_linenumber AS line_no, l.l_partkey AS part_key, l.l_suppkey AS supp_key,
+       {COB_EXPR.format(c='l.l_shipdate')} AS cobid,
+       CASE WHEN l.l_returnflag = 'A' THEN lower(n.n_name)
+            WHEN l.l_returnflag = 'N' AND l.l_linestatus = 'O' THEN n.n_name || '_X'
+            ELSE n.n_name END AS entity_code,
+       r.r_name AS department_code,
+       CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN NULL ELSE s.s_name END AS book_code,
+       CASE WHEN l.l_returnflag = 'A' AND l.l_linestatus = 'O' THEN NULL ELSE p.p_brand END AS instrument_code,
+       p.p_type AS product_type, p.p_size AS instrument_size,
+       CAST(l.l_orderkey AS STRING) AS trade_code,
+       CASE WHEN l.l_discount = 0 THEN 'abc' WHEN l.l_tax = 0 THEN '0'
+            ELSE CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) AS STRING) END AS value_usd,
+       l.l_linestatus AS currency_code,
+       CASE WHEN l.l_quantity > 45 THEN '  ' WHEN l.l_quantity < 3 THEN 'None'
+            ELSE 'reason ' || l.l_returnflag END AS reason
+FROM lineitem l
+LEFT JOIN supplier s ON l.l_suppkey = s.s_suppkey
+LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+LEFT JOIN part p ON l.l_partkey = p.p_partkey"""
+
+# SCD2 customer versions: one version per order, [order date, next order date).
+VIEWS["cust_versions"] = """
+SELECT o_custkey AS customer_key, o_orderkey AS version_key, o_orderdate AS effective_start,
+       lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS effective_end
+FROM orders"""
+
 DEPENDS = {
+    "stage_direct": ("lineitem", "supplier", "nation", "region", "part"),
+    "cust_versions": ("orders",),
     "fact": ("lineitem",),
     "book_dim": ("supplier", "nation", "region"),
     "entity_dim": ("nation", "region"),
@@ -187,7 +220,7 @@ def _order(names):
         for d in DEPENDS.get(n, ()):
             if d in VIEWS:
                 visit(d)
-        if n not in seen:
+        if n not in seen and n in VIEWS:
             seen.append(n)
 
     for n in names:
