@@ -8,6 +8,7 @@ import importlib
 FAMILIES = (
     "delta_family",
     "resolve_family",
+    "upload_family",
 )
 
 

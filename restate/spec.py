@@ -80,12 +80,22 @@ LIFECYCLE_STAGES = [
     ("Pending Approval", "Pending Approval"),
     ("Pending", "Submitted"),
 ]
-# Ten-day VaR component labels (exceptions to the underscore rule).
+# Ten-day VaR component labels (exceptions to the upper-case underscore rule).
 TENDAY_LABEL_EXCEPTIONS = {
+    "INFLATION_RATE_CURVE_VAR": "Inflation VaR",
     "EQUITY_PRICE_VAR": "Equity Price",
-    "ALL_VAR": "ALL VAR",
+    "PAR_CREDIT_SPREAD_VAR": "Par Credit Spread VAR",
 }
 TENDAY_SUFFIX = " (10 Day)"
+# VaR sub-component measures of a wide VaR upload, in file order.
+VAR_COMPONENTS = (
+    "ALL_VAR", "ALL_VAR_SKEW", "BASIS_VAR", "BOND_ASSET_SPREAD_VAR",
+    "CROSS_EFFECTS", "EQUITY_PRICE_VAR", "EQUITY_VEGA_VAR", "FX_RATE_VAR",
+    "FX_VOLATILITY_VAR", "INFLATION_RATE_CURVE_VAR", "INFLATION_VOL_VAR",
+    "INTEREST_RATE_CURVE_VAR", "INTEREST_RATE_VEGA_VAR", "IR_CAP_VOL_VAR",
+    "IR_CAP_VOL_VAR_SKEW", "IR_SKEW_VOL_VAR", "IR_SWAPTION_VOL_VAR",
+    "IR_SWAPTION_VOL_VAR_SKEW", "MTG_SPRD_VAR", "OAS_VAR", "PAR_CREDIT_SPREAD_VAR",
+)
 
 
 @dataclass(frozen=True)
