@@ -9,6 +9,7 @@ FAMILIES = (
     "delta_family",
     "resolve_family",
     "upload_family",
+    "validate_family",
 )
 
 

@@ -175,6 +175,8 @@ SELECT 'B' || CAST(year(l.l_shipdate) AS STRING) AS batch_id,
        {COB_EXPR.format(c='l.l_shipdate')} AS cobid,
        CASE WHEN l.l_returnflag = 'A' THEN lower(n.n_name)
             WHEN l.l_returnflag = 'N' AND l.l_linestatus = 'O' THEN n.n_name || '_X'
+            WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'O' AND l.l_quantity < 10
+                 THEN 'NATION_' || CAST((s.s_nationkey + 1) % 25 AS STRING)
             ELSE n.n_name END AS entity_code,
        r.r_name AS department_code,
        CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN NULL ELSE s.s_name END AS book_code,
