@@ -10,6 +10,7 @@ FAMILIES = (
     "resolve_family",
     "upload_family",
     "validate_family",
+    "overlap_family",
 )
 
 

@@ -200,7 +200,24 @@ SELECT o_custkey AS customer_key, o_orderkey AS version_key, o_orderdate AS effe
        lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS effective_end
 FROM orders"""
 
+# Request queue: the order-derived requests with lifecycle state.
+VIEWS["hdr_queue"] = """
+SELECT h.*,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Running' WHEN '2-HIGH' THEN 'Pending'
+            WHEN '3-MEDIUM' THEN 'Approved' WHEN '4-NOT SPECIFIED' THEN 'Processed'
+            ELSE CASE WHEN o.o_orderstatus = 'P' THEN 'Failed' ELSE 'Pending Approval' END END AS run_status,
+       h.created_date + (CAST(o.o_custkey % 500 AS INT) * INTERVAL '1' MINUTE) AS start_date,
+       CASE WHEN o.o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')
+            THEN h.created_date + (CAST(o.o_custkey % 500 AS INT) * INTERVAL '1' MINUTE)
+                 + (CAST(CAST(o.o_totalprice AS BIGINT) % 7200 AS INT) * INTERVAL '1' SECOND) END AS process_date,
+       (o.o_orderstatus = 'P' AND o.o_orderpriority = '3-MEDIUM') AS is_deleted,
+       CASE WHEN o.o_orderpriority = '2-HIGH' AND o.o_orderstatus = 'F'
+            THEN 'ORD-' || CAST(o.o_orderkey - 1 AS STRING) END AS blocked_by_adj_id,
+       CAST(o.o_totalprice AS DECIMAL(20,6)) AS adjustment_value_in_usd
+FROM hdr_orders h JOIN orders o ON h.adjustment_id - 1000 = o.o_orderkey"""
+
 DEPENDS = {
+    "hdr_queue": ("hdr_orders", "orders"),
     "stage_direct": ("lineitem", "supplier", "nation", "region", "part"),
     "cust_versions": ("orders",),
     "fact": ("lineitem",),
