@@ -11,6 +11,7 @@ FAMILIES = (
     "upload_family",
     "validate_family",
     "overlap_family",
+    "workflow_family",
 )
 
 

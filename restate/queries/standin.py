@@ -209,14 +209,69 @@ SELECT h.*,
        h.created_date + (CAST(o.o_custkey % 500 AS INT) * INTERVAL '1' MINUTE) AS start_date,
        CASE WHEN o.o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW')
             THEN h.created_date + (CAST(o.o_custkey % 500 AS INT) * INTERVAL '1' MINUTE)
-                 + (CAST(CAST(o.o_totalprice AS BIGINT) % 7200 AS INT) * INTERVAL '1' SECOND) END AS process_date,
+                 + (CAST(CAST(floor(o.o_totalprice) AS BIGINT) % 7200 AS INT) * INTERVAL '1' SECOND) END AS process_date,
        (o.o_orderstatus = 'P' AND o.o_orderpriority = '3-MEDIUM') AS is_deleted,
        CASE WHEN o.o_orderpriority = '2-HIGH' AND o.o_orderstatus = 'F'
             THEN 'ORD-' || CAST(o.o_orderkey - 1 AS STRING) END AS blocked_by_adj_id,
        CAST(o.o_totalprice AS DECIMAL(20,6)) AS adjustment_value_in_usd
 FROM hdr_orders h JOIN orders o ON h.adjustment_id - 1000 = o.o_orderkey"""
 
+# Sign-off state per (COB, scope, entity, sub-type) plus whole-scope '*' rows.
+VIEWS["signoff_status"] = f"""
+SELECT DISTINCT {COB_EXPR.format(c='o.o_orderdate')} AS cobid, c.c_mktsegment AS process_type,
+       n.n_name AS entity_code, CASE WHEN o.o_orderstatus = 'F' THEN 'NonCVA' ELSE 'CVA' END AS sub_type,
+       CASE (month(o.o_orderdate) + n.n_nationkey + CASE WHEN o.o_orderstatus = 'F' THEN 0 ELSE 1 END) % 5
+            WHEN 0 THEN 'SIGNED_OFF' WHEN 1 THEN 'REOPENED' WHEN 3 THEN 'SIGNOFF_REQUESTED' ELSE 'OPEN' END
+         AS sign_off_status
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+UNION ALL
+SELECT DISTINCT {COB_EXPR.format(c='o.o_orderdate')}, c.c_mktsegment, '*', 'ALL',
+       CASE WHEN month(o.o_orderdate) IN (3, 6, 9, 12) THEN 'SIGNED_OFF'
+            WHEN month(o.o_orderdate) = 1 THEN 'REOPENED' ELSE 'OPEN' END
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""
+
+# Upstream publish feed: one row per (COB, scope, entity).
+VIEWS["signoff_feed"] = f"""
+SELECT {COB_EXPR.format(c='o.o_orderdate')} AS cobid, c.c_mktsegment AS process_type, n.n_name AS entity_code,
+       CASE WHEN (month(min(o.o_orderdate)) + min(n.n_nationkey)) % 3 = 0 THEN 'SIGNEDOFF' ELSE 'OPEN' END AS publish_status,
+       max(o.o_orderdate) + INTERVAL '20' DAY AS signoff_update_time
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+GROUP BY 1, 2, 3"""
+
+# Approvers: the three best-funded customers of each market segment approve its requests.
+VIEWS["approvers"] = """
+SELECT approver, process_type, is_active FROM (
+  SELECT c_name AS approver, c_mktsegment AS process_type, (c_acctbal > 0) AS is_active,
+         row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk
+  FROM customer) t WHERE rk <= 3"""
+
+# Decisions: each order's request is decided by the best-funded customer of the
+# next order's market segment (the submitter's own segment when they coincide).
+VIEWS["decisions"] = """
+SELECT 'ORD-' || CAST(o.o_orderkey AS STRING) AS adj_key, a.approver,
+       CASE WHEN o.o_totalprice > 250000 THEN 'Reject' ELSE 'Approve' END AS decision
+FROM orders o JOIN orders o2 ON o2.o_orderkey = o.o_orderkey + 1 JOIN customer c2 ON c2.c_custkey = o2.o_custkey
+JOIN (SELECT c_name AS approver, c_mktsegment,
+             row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS rk
+      FROM customer) a ON a.c_mktsegment = c2.c_mktsegment AND a.rk = 1"""
+
+# Status history: each user's events are the transitions of one request.
+VIEWS["status_history"] = """
+SELECT 'USR-' || CAST(user_id AS STRING) AS adj_key, event_id,
+       lag(CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Pending Approval'
+                WHEN 'click' THEN 'Approved' WHEN 'purchase' THEN 'Processed' ELSE 'Failed' END)
+         OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old_status,
+       CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Pending Approval'
+            WHEN 'click' THEN 'Approved' WHEN 'purchase' THEN 'Processed' ELSE 'Failed' END AS new_status,
+       'u' || CAST(CAST(floor(value) AS BIGINT) % 9 AS STRING) AS changed_by, ts AS changed_at, value
+FROM events"""
+
 DEPENDS = {
+    "signoff_status": ("orders", "customer", "nation"),
+    "signoff_feed": ("orders", "customer", "nation"),
+    "approvers": ("customer",),
+    "decisions": ("orders", "customer"),
+    "status_history": ("events",),
     "hdr_queue": ("hdr_orders", "orders"),
     "stage_direct": ("lineitem", "supplier", "nation", "region", "part"),
     "cust_versions": ("orders",),
