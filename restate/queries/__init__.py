@@ -12,6 +12,7 @@ FAMILIES = (
     "validate_family",
     "overlap_family",
     "workflow_family",
+    "lifecycle_family",
 )
 
 

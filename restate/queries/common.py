@@ -141,3 +141,15 @@ def dbl_select(alias: str = "") -> str:
     a = f"{alias}." if alias else ""
     return ", ".join([f"{a}{c}" for c in OUT_COLS] +
                      [f"CAST({a}value_local AS DOUBLE) AS value_local", f"CAST({a}value_usd AS DOUBLE) AS value_usd"])
+
+
+def current_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delta table after the inline batch: prior rows not superseded + the batch."""
+    from restate.operators.delta import supersede
+    new = run_scale(spark, sf_dir, "hdr_inline")
+    return supersede(prior_deltas(spark, sf_dir), new, list(S.POSITION_COLS)).unionByName(new)
+
+
+CUR_CTE = (", cur AS (SELECT " + ", ".join(OUT_COLS + ["value_local", "value_usd"]) + " FROM p_out p WHERE NOT EXISTS ("
+           "SELECT 1 FROM b_out b WHERE " + " AND ".join(f"b.{c} IS NOT DISTINCT FROM p.{c}" for c in S.POSITION_COLS)
+           + ") UNION ALL SELECT " + ", ".join(OUT_COLS + ["value_local", "value_usd"]) + " FROM b_out)")

@@ -104,7 +104,8 @@ FROM (VALUES
  ('ADJ-09', 9, 19970301, 19970301, 'Flatten', 1.0, '2026-01-04 08:00:00', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'A', NULL, 'VaR', 'eve'),
  ('ADJ-10', 10, 20010101, 20010101, 'Scale', 1.25, '2026-01-07 08:00:00', NULL, 'ASIA', NULL, NULL, 'PROMO', NULL, NULL, NULL, NULL, 'Sensitivity', 'bob'),
  ('ADJ-11', 11, 19980601, 19980501, 'Roll', 0.5, '2026-01-06 09:30:00', 'NATION_12', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Stress', 'cy'),
- ('ADJ-12', 12, 19990101, 19990101, 'Scale', 1.0, '2026-01-08 08:00:00', 'NATION_99', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'VaR', 'dee')
+ ('ADJ-12', 12, 19990101, 19990101, 'Scale', 1.0, '2026-01-08 08:00:00', 'NATION_99', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'VaR', 'dee'),
+ ('ADJ-13', 13, 19970301, 19970301, 'Scale', 1.2, '2026-01-05 11:30:00', 'NATION_5', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'VaR', 'amy')
 ) AS t(adj_key, adjustment_id, cobid, source_cobid, adjustment_type, scale_factor, created_date,
        entity_code, department_code, book_code, instrument_code, product_type, strategy,
        trade_typology, source_system_code, currency_code, process_type, username)"""
@@ -266,6 +267,17 @@ SELECT 'USR-' || CAST(user_id AS STRING) AS adj_key, event_id,
        'u' || CAST(CAST(floor(value) AS BIGINT) % 9 AS STRING) AS changed_by, ts AS changed_at, value
 FROM events"""
 
+# Entity-roll requests (distinct target slices).
+VIEWS["rolls_inline"] = """
+SELECT CAST(adj_key AS STRING) AS adj_key, CAST(adjustment_id AS BIGINT) AS adjustment_id,
+       CAST(cobid AS INT) AS cobid, CAST(source_cobid AS INT) AS source_cobid,
+       CAST(entity_code AS STRING) AS entity_code, CAST(created_date AS TIMESTAMP) AS created_date
+FROM (VALUES
+ ('EROL-1', 501, 19970301, 19970201, 'NATION_3', '2026-01-09 08:00:00'),
+ ('EROL-2', 502, 19980601, 19980501, 'NATION_12', '2026-01-09 09:00:00'),
+ ('EROL-3', 503, 19970401, 19970301, 'nation_5', '2026-01-09 10:00:00')
+) AS t(adj_key, adjustment_id, cobid, source_cobid, entity_code, created_date)"""
+
 DEPENDS = {
     "signoff_status": ("orders", "customer", "nation"),
     "signoff_feed": ("orders", "customer", "nation"),
