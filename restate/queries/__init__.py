@@ -13,6 +13,7 @@ FAMILIES = (
     "overlap_family",
     "workflow_family",
     "lifecycle_family",
+    "report_family",
 )
 
 
