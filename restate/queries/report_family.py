@@ -378,7 +378,7 @@ def agg_daily_activity(spark, d):
 @q("agg_daily_metrics", scale_sql("hdr_orders", False, """
 , dd AS (SELECT adjustment_id, count(*) AS n, sum(abs(value_usd)) AS a FROM b_out GROUP BY adjustment_id)
 SELECT date_trunc('day', h.created_date) AS day, count(DISTINCT h.adj_key) AS adjustments,
-       CAST(sum(dd.a) AS DOUBLE) AS sum_abs_delta, round(CAST(avg(dd.a) AS DOUBLE), 2) AS avg_abs_delta,
+       CAST(sum(dd.a) AS DOUBLE) AS sum_abs_delta, count(dd.a) AS adjustments_with_deltas,
        CAST(max(dd.a) AS DOUBLE) AS max_abs_delta, coalesce(sum(dd.n), 0) AS affected_rows
 FROM hdr_orders h LEFT JOIN dd ON h.adjustment_id = dd.adjustment_id GROUP BY 1"""))
 def agg_daily_metrics(spark, d):
@@ -388,7 +388,7 @@ def agg_daily_metrics(spark, d):
     j = h.join(dd, "adjustment_id", "left")
     return j.groupBy(F.date_trunc("day", "created_date").alias("day")).agg(
         F.countDistinct("adj_key").alias("adjustments"), F.sum("a").cast("double").alias("sum_abs_delta"),
-        F.round(F.avg("a").cast("double"), 2).alias("avg_abs_delta"), F.max("a").cast("double").alias("max_abs_delta"),
+        F.count("a").alias("adjustments_with_deltas"), F.max("a").cast("double").alias("max_abs_delta"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("affected_rows"))
 
 
