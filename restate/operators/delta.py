@@ -43,7 +43,7 @@ def net_positions(legs: DataFrame, key_cols, adj_col: str, metrics, usd_metric:
 
 
 def rank_latest(netted: DataFrame, key_cols, created_col: str, adj_col: str,
-                method: str = "aggregate") -> DataFrame:
+                method: str = "aggregate", order_col: str | None = None) -> DataFrame:
     """Keep, per position, only the newest adjustment (created desc, id desc).
 
     Equivalent to ``DENSE_RANK() ... = 1``: after netting there is exactly one row
@@ -56,10 +56,24 @@ def rank_latest(netted: DataFrame, key_cols, created_col: str, adj_col: str,
     if method == "window":
         w = Window.partitionBy(*key_cols).orderBy(F.col(created_col).desc_nulls_last(), F.col(adj_col).desc_nulls_last())
         return netted.withColumn("_rk", F.dense_rank().over(w)).where("_rk = 1").drop("_rk")
-    order = F.struct(F.coalesce(F.col(created_col), F.lit("0001-01-01").cast("timestamp")).alias("c"),
-                     F.col(adj_col).alias("a"))
-    best = netted.groupBy(*key_cols).agg(F.max_by(F.struct(*[F.col(c) for c in others]), order).alias("_w"))
-    return best.select(*key_cols, *[F.col(f"_w.{c}").alias(c) for c in others]).select(*netted.columns)
+    # (created, id) packed losslessly into one decimal(38,0) ordinal so every
+    # aggregate buffer is fixed-width: a partial HashAggregate, no sort.
+    order = F.col(order_col) if order_col else ordinal(created_col, adj_col)
+    best = netted.groupBy(*key_cols).agg(*[F.max_by(F.col(c), order).alias(c) for c in others])
+    return best.select(*netted.columns)
+
+
+def ordinal(created_col: str, adj_col: str) -> Column:
+    """Exact total order of (created, id) as one decimal(38,0): NULL created sorts first.
+
+    micros + 1e17 (any year up to ~5000) times 1e20, plus id + 2^63: < 1e38.
+    """
+    def big(v: int) -> Column:
+        return F.lit(str(v)).cast("decimal(38,0)")
+    micros = F.coalesce(F.unix_micros(F.col(created_col).cast("timestamp")), F.lit(-10**17 + 1)).cast("decimal(38,0)")
+    hi = (micros + big(10**17)) * big(10**20)
+    lo = F.col(adj_col).cast("decimal(38,0)") + big(2**63)
+    return (hi + lo).cast("decimal(38,0)")
 
 
 def supersede(existing: DataFrame, batch_positions: DataFrame, key_cols, adj_col: str | None = None,

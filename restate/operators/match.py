@@ -42,6 +42,32 @@ def active_filters(headers: DataFrame, filter_cols) -> list[str]:
     return [c for c in filter_cols if row is not None and row[c] == 1]
 
 
+def profile_requests(headers: DataFrame, filter_cols, flags: dict[str, Column] | None = None,
+                     distinct_key: Column | None = None) -> dict:
+    """ONE small aggregate over the request table giving everything the planner
+    needs: active filters, distinct signatures (over the active filters), the row
+    count, boolean flags (e.g. "has a cross-COB roll") and, per flag combination,
+    the exact number of distinct ``distinct_key`` values (for proven size bounds)."""
+    filter_cols = list(filter_cols)
+    flags = flags or {}
+    cols = [_signature(filter_cols).alias("_s")] + [c.alias(n) for n, c in flags.items()]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if distinct_key is not None:
+        aggs.append(F.countDistinct(distinct_key).alias("_nd"))
+    rows = headers.groupBy(*cols).agg(*aggs).collect()
+    mask = 0
+    for r in rows:
+        mask |= r["_s"]
+    active = [c for i, c in enumerate(filter_cols) if mask & (1 << i)]
+    pos = {c: i for i, c in enumerate(filter_cols)}
+    sigs = sorted({sum(1 << j for j, c in enumerate(active) if r["_s"] & (1 << pos[c])) for r in rows})
+    out = {"active": active, "sigs": sigs, "rows": sum(r["_n"] for r in rows),
+           "groups": [r.asDict() for r in rows]}
+    for n in flags:
+        out[n] = any(bool(r[n]) for r in rows)
+    return out
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
 
@@ -85,28 +111,36 @@ def wildcard_match(
     salt: int = 8,
     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
     active: list[str] | None = None,
+    sigs: list[int] | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Return fact rows x matching requests (all fact columns + all header columns).
 
     ``filter_map`` maps header filter column -> fact attribute column.  Header
-    columns must not collide with fact columns.
+    columns must not collide with fact columns.  ``sigs``/``small`` may be passed
+    when the caller already profiled the requests (saves planning jobs).
     """
     if active is None:
         active = active_filters(headers, filter_map.keys())
     hdr_cols = headers.columns
+    if sigs is not None and strategy == "auto":
+        strategy = "signature" if len(sigs) <= MAX_SIGNATURES else "residual"
     if strategy == "auto":
         sigs = [r[0] for r in headers.select(_signature(active).alias("s")).distinct().limit(MAX_SIGNATURES + 1).collect()]
         strategy = "signature" if len(sigs) <= MAX_SIGNATURES else "residual"
     else:
         sigs = None
     if strategy == "residual":
-        return _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, broadcast_max_rows)
+        return _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, broadcast_max_rows, small)
     if sigs is None:
         sigs = [r[0] for r in headers.select(_signature(active).alias("s")).distinct().collect()]
     sigs = sorted(sigs)
 
     hk = headers.select("*", _signature(active).alias("_sig"), _header_key(active).alias("_key"))
-    hk, small = sized_broadcast(hk, broadcast_max_rows)
+    if small is None:
+        hk, small = sized_broadcast(hk, broadcast_max_rows)
+    elif small:
+        hk = F.broadcast(hk)
 
     keys = [F.struct(F.lit(s).alias("sig"), _fact_key(s, active, filter_map).alias("key")) for s in sigs]
     fk = facts.select("*", F.explode(F.array(*keys)).alias("_mk"))
@@ -125,8 +159,11 @@ def wildcard_match(
     return joined.select(*facts.columns, *hdr_cols)
 
 
-def _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, broadcast_max_rows):
-    h, _ = sized_broadcast(headers, broadcast_max_rows)
+def _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, broadcast_max_rows, small=None):
+    if small is None:
+        h, _ = sized_broadcast(headers, broadcast_max_rows)
+    else:
+        h = F.broadcast(headers) if small else headers
     cond = F.col(fact_cob) == F.col(header_cob)
     for c in active:
         cond = cond & (F.col(c).isNull() | (_norm(F.col(c)) == _norm(F.col(filter_map[c]))))

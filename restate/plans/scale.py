@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE, effective_factor
-from restate.operators.delta import net_positions, rank_latest
-from restate.operators.match import wildcard_match
+from restate.operators.delta import net_positions, ordinal, rank_latest
+from restate.operators.match import BROADCAST_MAX_ROWS, _header_key, _signature, profile_requests, wildcard_match
 
 HEADER_COLS = ("adjustment_id", "cobid", "source_cobid", "adjustment_type", "scale_factor", "created_date")
 
@@ -36,6 +36,7 @@ def request_legs(headers: DataFrame, filter_cols) -> DataFrame:
         F.col("cobid").cast("int").alias("_h_cob"),
         src.cast("int").alias("_h_src"),
         F.col("created_date").alias("_h_created"),
+        ordinal("created_date", "adjustment_id").alias("_h_ord"),
         effective_factor("adjustment_type", "scale_factor", "cobid", src).alias("_h_eff"),
         *[F.col(c).alias(f"_f_{c}") for c in filter_cols],
     )
@@ -55,18 +56,69 @@ def has_cross_cob(headers: DataFrame) -> bool:
     return headers.where(cross).limit(1).count() > 0
 
 
+def drop_dominated(legs_h: DataFrame, filter_cols) -> DataFrame:
+    """Keep, per group of interchangeable request legs, only the newest request.
+
+    Requests with the same leg type, COB(s), factor, signature and filter key
+    match exactly the same positions and net to identical values there, so only
+    the newest of them can ever win the per-position ranking; same-COB requests
+    whose effective factor is 0 (or NULL) always net to zero and never win.
+    Exact, and it turns "every fact row x every overlapping request" into at most
+    one leg per fact row per group.
+    """
+    cols = [f"_f_{c}" for c in filter_cols]
+    dead = (F.col("_h_leg") == 1) & (F.col("_h_eff").isNull() | (F.col("_h_eff") == 0))
+    live = legs_h.where(~dead)
+    order = F.col("_h_ord")
+    # same-COB legs: any non-zero factor nets to zero exactly when the position sums to
+    # zero, so the factor does not split the group; roll legs group by factor.
+    eff_g = F.when(F.col("_h_leg") == 1, F.lit(None)).otherwise(F.col("_h_eff"))
+    g = live.groupBy("_h_leg", "_h_match", "_h_cob", "_h_src", eff_g.alias("_g_eff"),
+                     _signature(cols).alias("_g_sig"), _header_key(cols).alias("_g_key")) \
+        .agg(*[F.max_by(F.col(c), order).alias(c) for c in legs_h.columns
+               if c not in ("_h_leg", "_h_match", "_h_cob", "_h_src")])
+    return g.select(*legs_h.columns)
+
+
+def request_profile(headers: DataFrame, filter_cols) -> dict:
+    """One planning job: active filters, signatures, row count, cross-COB presence."""
+    cross = F.col("source_cobid").isNotNull() & (F.col("source_cobid") != F.col("cobid"))
+    key = F.to_json(F.struct(F.col("cobid"), F.coalesce("source_cobid", "cobid").alias("s"),
+                             F.lower("adjustment_type").alias("t"), F.col("scale_factor").alias("f"),
+                             *[F.upper(F.trim(F.col(c).cast("string"))).alias(c) for c in filter_cols]))
+    prof = profile_requests(headers, filter_cols, {"has_cross": cross}, distinct_key=key)
+    # request legs after dominance reduction: at most one per distinct request key
+    # and leg, i.e. a proven bound from the same planning job
+    prof["legs_bound"] = sum(g["_nd"] * (2 if g["has_cross"] else 1) for g in prof["groups"])
+    return prof
+
+
 def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str], position_cols,
                metrics, deltas: DataFrame | None = None, strategy: str = "auto",
-               cob_col: str = "cobid", keep_leg: bool = False) -> DataFrame:
-    """Matched, factor-applied leg rows (before netting)."""
+               cob_col: str = "cobid", keep_leg: bool = False, dominated: bool = False,
+               profile: dict | None = None, keep_order: bool = False) -> DataFrame:
+    """Matched, factor-applied leg rows (before netting).
+
+    ``dominated=True`` first drops request legs that can never win the ranking
+    (see ``drop_dominated``); the final deltas are unchanged, the leg count is not.
+    """
+    if profile is None:
+        profile = request_profile(headers, list(filter_map))
+    filter_map = {c: filter_map[c] for c in profile["active"]}
     legs_h = request_legs(headers, list(filter_map))
+    if dominated:
+        legs_h = drop_dominated(legs_h, list(filter_map))
     fmap = {f"_f_{k}": v for k, v in filter_map.items()}
     attrs = sorted(set(filter_map.values()) - set(position_cols))
     rel_cols = [*position_cols, *attrs, *metrics]
     rel = fact.select(*rel_cols).withColumn("_is_delta", F.lit(False))
-    if deltas is not None and has_cross_cob(headers):
+    if deltas is not None and profile["has_cross"]:
         rel = rel.unionByName(deltas.select(*rel_cols).withColumn("_is_delta", F.lit(True)))
-    m = wildcard_match(rel, legs_h, fmap, fact_cob=cob_col, header_cob="_h_match", strategy=strategy)
+    # proven bound on the request side: legs per request, or distinct keys when reduced
+    bound = profile.get("legs_bound") if dominated and "legs_bound" in profile else 3 * profile["rows"]
+    small = True if bound <= BROADCAST_MAX_ROWS else None
+    m = wildcard_match(rel, legs_h, fmap, fact_cob=cob_col, header_cob="_h_match", strategy=strategy,
+                       active=list(fmap), sigs=profile["sigs"], small=small)
     m = m.where((F.col("_h_leg") == 2) | ~F.col("_is_delta"))
     pos_wo_cob = [c for c in position_cols if c != cob_col]
     return m.select(
@@ -76,21 +128,24 @@ def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str],
         *pos_wo_cob,
         *[(F.col(mc).cast(VALUE_TYPE) * F.col("_h_factor")).cast(VALUE_TYPE).alias(mc) for mc in metrics],
         *([F.col("_h_leg").alias("leg")] if keep_leg else []),
+        *([F.col("_h_ord").alias("_ord")] if keep_order else []),
     )
 
 
 def apply_scale(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str], position_cols,
                 metrics, usd_metric: str, deltas: DataFrame | None = None, strategy: str = "auto",
-                rank_method: str = "aggregate", cob_col: str = "cobid") -> DataFrame:
+                rank_method: str = "aggregate", cob_col: str = "cobid", profile: dict | None = None) -> DataFrame:
     """Full Scale path -> one delta row per (position, winning adjustment).
 
     Output columns: cob, adjustment_id, adjustment_created_timestamp, position
     columns, metrics (decimal(28,8)).
     """
-    legs = scale_legs(fact, headers, filter_map, position_cols, metrics, deltas, strategy, cob_col)
+    legs = scale_legs(fact, headers, filter_map, position_cols, metrics, deltas, strategy, cob_col, dominated=True,
+                      profile=profile, keep_order=True)
     netted = net_positions(legs, list(position_cols), "adjustment_id", metrics, usd_metric,
-                           carry_max=("adjustment_created_timestamp",))
-    ranked = rank_latest(netted, list(position_cols), "adjustment_created_timestamp", "adjustment_id", rank_method)
+                           carry_max=("adjustment_created_timestamp", "_ord"))
+    ranked = rank_latest(netted, list(position_cols), "adjustment_created_timestamp", "adjustment_id", rank_method,
+                         order_col="_ord")
     pos_wo_cob = [c for c in position_cols if c != cob_col]
     return ranked.select(cob_col, "adjustment_id", "adjustment_created_timestamp", *pos_wo_cob, *metrics)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restate.operators.match import active_filters, enrich
-from restate.plans.scale import apply_scale
+from restate.plans.scale import apply_scale, request_profile
 from restate.queries import standin as S
 
 DIM_ATTRS = {
@@ -40,23 +40,23 @@ def run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool = Tru
               rank_method: str = "aggregate", strategy: str = "auto") -> DataFrame:
     v = S.register(spark, sf_dir, ["fact", "book_dim", "instrument_dim", "trade_dim", hdr, "hdr_prior"])
     headers = v[hdr]
-    deltas = prior_deltas(spark, sf_dir, v) if with_prior else None
-    act = active_filters(headers, S.FILTER_COLS)
-    fmap = {c: S.FILTER_MAP[c] for c in act}
+    prof = request_profile(headers, S.FILTER_COLS)
+    deltas = prior_deltas(spark, sf_dir, v) if with_prior and prof["has_cross"] else None
+    fmap = {c: S.FILTER_MAP[c] for c in prof["active"]}
     fact = attach_attrs(v["fact"], v, fmap.values())
     d_attr = attach_attrs(deltas, v, fmap.values()) if deltas is not None else None
     return apply_scale(fact, headers, fmap, S.POSITION_COLS, S.METRICS, S.USD, deltas=d_attr,
-                       strategy=strategy, rank_method=rank_method)
+                       strategy=strategy, rank_method=rank_method, profile=prof)
 
 
 def prior_deltas(spark: SparkSession, sf_dir: str, v=None) -> DataFrame:
     """The existing delta table: the prior request batch applied to the fact."""
     v = v or S.register(spark, sf_dir, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_prior"])
     headers = v["hdr_prior"]
-    act = active_filters(headers, S.FILTER_COLS)
-    fmap = {c: S.FILTER_MAP[c] for c in act}
+    prof = request_profile(headers, S.FILTER_COLS)
+    fmap = {c: S.FILTER_MAP[c] for c in prof["active"]}
     fact = attach_attrs(v["fact"], v, fmap.values())
-    return apply_scale(fact, headers, fmap, S.POSITION_COLS, S.METRICS, S.USD)
+    return apply_scale(fact, headers, fmap, S.POSITION_COLS, S.METRICS, S.USD, profile=prof)
 
 
 def doubles(df: DataFrame, cols) -> DataFrame:
