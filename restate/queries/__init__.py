@@ -14,6 +14,7 @@ FAMILIES = (
     "workflow_family",
     "lifecycle_family",
     "report_family",
+    "cdc_family",
 )
 
 

@@ -278,7 +278,37 @@ FROM (VALUES
  ('EROL-3', 503, 19970401, 19970301, 'nation_5', '2026-01-09 10:00:00')
 ) AS t(adj_key, adjustment_id, cobid, source_cobid, entity_code, created_date)"""
 
+# Two images of a keyed feed (events): the old image and a re-sent new image in
+# which 'view' rows vanished and 'click' values changed; plus the change batch
+# (old overlapping rows as DELETE, new rows as INSERT).
+VIEWS["cdc_old"] = """
+SELECT event_id, user_id, event_type, value, 'F' || CAST(CAST(ts AS DATE) AS STRING) AS file_name, ts
+FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00'"""
+
+VIEWS["cdc_new"] = """
+SELECT event_id, user_id, event_type,
+       CASE WHEN event_type = 'click' THEN value + 1 ELSE value END AS value,
+       'F' || CAST(CAST(ts AS DATE) AS STRING) AS file_name, ts
+FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND event_type <> 'view'"""
+
+VIEWS["cdc_batch"] = """
+SELECT event_id, user_id, event_type, value, 'DELETE' AS action FROM cdc_old WHERE ts >= TIMESTAMP '2024-01-10 00:00:00'
+UNION ALL
+SELECT event_id, user_id, event_type, value, 'INSERT' AS action FROM cdc_new"""
+
+# The request table one lifecycle step later (for status-change logs).
+VIEWS["hdr_queue_next"] = """
+SELECT adj_key, CASE run_status WHEN 'Approved' THEN 'Running' WHEN 'Running' THEN 'Processed'
+                  WHEN 'Pending Approval' THEN CASE WHEN adjustment_type = 'Flatten' THEN 'Approved' ELSE run_status END
+                  ELSE run_status END AS run_status,
+       created_date + INTERVAL '1' HOUR AS changed_at, username
+FROM hdr_queue"""
+
 DEPENDS = {
+    "cdc_old": ("events",),
+    "cdc_new": ("events",),
+    "cdc_batch": ("cdc_old", "cdc_new"),
+    "hdr_queue_next": ("hdr_queue",),
     "signoff_status": ("orders", "customer", "nation"),
     "signoff_feed": ("orders", "customer", "nation"),
     "approvers": ("customer",),
