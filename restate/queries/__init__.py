@@ -15,6 +15,7 @@ FAMILIES = (
     "lifecycle_family",
     "report_family",
     "cdc_family",
+    "misc_family",
 )
 
 
