@@ -16,6 +16,7 @@ FAMILIES = (
     "report_family",
     "cdc_family",
     "misc_family",
+    "extra_family",
 )
 
 
