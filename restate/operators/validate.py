@@ -30,6 +30,17 @@ def error_array(checks: list[tuple[Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, msg) for cond, msg in checks]))
 
 
+def value_errors(col: str = "value_usd", label: str = "VALUE_USD") -> list[tuple[Column, Column]]:
+    """Required / numeric / non-zero rules for an uploaded text amount."""
+    num = numeric(col)
+    c = F.col(col)
+    return [
+        (c.isNull(), F.lit(f"{label} is required")),
+        (c.isNotNull() & num.isNull(), F.concat(F.lit(f"{label} is not numeric: "), c)),
+        (num == 0, F.lit(f"{label} must not be zero")),
+    ]
+
+
 def code_hit(df: DataFrame, codes: DataFrame, code_col: str, codes_col: str, flag: str) -> DataFrame:
     """Flag whether the row's code exists in a DISTINCT upper-cased code set."""
     s = codes.select(_u(codes_col).alias("_code")).where(F.col("_code").isNotNull()).distinct() \
