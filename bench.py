@@ -35,6 +35,7 @@ HEADLINE = [
 
 def main() -> None:
     from restate.queries import all_queries
+    from restate.queries.common import clear_cache
     from restate.session import local_session
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -53,6 +54,7 @@ def main() -> None:
     for name in names:
         best = None
         for _ in range(runs):
+            clear_cache()  # every timed run plans from scratch
             t0 = time.perf_counter()
             df = qs[name].build(spark, sf_dir)
             df.write.format("noop").mode("overwrite").save()

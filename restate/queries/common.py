@@ -36,8 +36,30 @@ def attach_attrs(df: DataFrame, views: dict[str, DataFrame], needed) -> DataFram
     return df
 
 
+_PLANS: dict = {}
+
+
+def clear_cache() -> None:
+    """Forget memoised (lazy) plans — the bench calls this before every timed run."""
+    _PLANS.clear()
+
+
+def _memo(key, build):
+    """Memoise a lazy DataFrame plan per session and table folder, so one query build
+    never profiles or plans the same request batch twice (no data is cached)."""
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool = True,
               rank_method: str = "aggregate", strategy: str = "auto") -> DataFrame:
+    key = ("scale", id(spark), sf_dir, hdr, with_prior, rank_method, strategy)
+    return _memo(key, lambda: _run_scale(spark, sf_dir, hdr, with_prior, rank_method, strategy))
+
+
+def _run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool,
+               rank_method: str, strategy: str) -> DataFrame:
     v = S.register(spark, sf_dir, ["fact", "book_dim", "instrument_dim", "trade_dim", hdr, "hdr_prior"])
     headers = v[hdr]
     prof = request_profile(headers, S.FILTER_COLS)
@@ -51,6 +73,10 @@ def run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool = Tru
 
 def prior_deltas(spark: SparkSession, sf_dir: str, v=None) -> DataFrame:
     """The existing delta table: the prior request batch applied to the fact."""
+    return _memo(("prior", id(spark), sf_dir), lambda: _prior_deltas(spark, sf_dir, v))
+
+
+def _prior_deltas(spark: SparkSession, sf_dir: str, v=None) -> DataFrame:
     v = v or S.register(spark, sf_dir, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_prior"])
     headers = v["hdr_prior"]
     prof = request_profile(headers, S.FILTER_COLS)
@@ -146,8 +172,11 @@ def dbl_select(alias: str = "") -> str:
 def current_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delta table after the inline batch: prior rows not superseded + the batch."""
     from restate.operators.delta import supersede
-    new = run_scale(spark, sf_dir, "hdr_inline")
-    return supersede(prior_deltas(spark, sf_dir), new, list(S.POSITION_COLS)).unionByName(new)
+
+    def build():
+        new = run_scale(spark, sf_dir, "hdr_inline")
+        return supersede(prior_deltas(spark, sf_dir), new, list(S.POSITION_COLS)).unionByName(new)
+    return _memo(("current", id(spark), sf_dir), build)
 
 
 CUR_CTE = (", cur AS (SELECT " + ", ".join(OUT_COLS + ["value_local", "value_usd"]) + " FROM p_out p WHERE NOT EXISTS ("
