@@ -172,7 +172,7 @@ def _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, br
 
 
 def enrich(facts: DataFrame, dim: DataFrame, key: str, attrs, dim_key: str | None = None,
-           broadcast_max_rows: int = 5_000_000) -> DataFrame:
+           broadcast_max_rows: int = 5_000_000, small: bool | None = None) -> DataFrame:
     """Attach dimension attributes through a surrogate key (left join, no fan-out).
 
     ``dim`` must be unique on its key (current SCD rows).  A NULL fact key is
@@ -180,12 +180,35 @@ def enrich(facts: DataFrame, dim: DataFrame, key: str, attrs, dim_key: str | Non
     """
     dim_key = dim_key or key
     d = dim.select(F.col(dim_key).alias("_dk"), *[F.col(a).alias(f"_d_{a}") for a in attrs])
-    d, _ = sized_broadcast(d, broadcast_max_rows)
+    if small is None:
+        d, _ = sized_broadcast(d, broadcast_max_rows)
+    elif small:
+        d = F.broadcast(d)
     f = facts.withColumn("_fk", F.coalesce(F.col(key), F.lit(-1)))
     j = f.join(d, F.col("_fk") == F.col("_dk"), "left")
     return j.select(*facts.columns, *[F.col(f"_d_{a}").alias(a) for a in attrs])
 
 
+def reduce_dim_for_requests(dim: DataFrame, requests: DataFrame, attr_to_filter: dict[str, str]) -> DataFrame:
+    """Keep only dimension rows whose value for at least one used attribute occurs in
+    some request's filter.
+
+    Exact for wildcard matching: a fact row whose dimension row is dropped has, for
+    every attribute of this dimension, a value no request asks for, so it cannot
+    match any request that filters on this dimension (and requests that do not are
+    unaffected).  Turns a huge dimension into the few rows the batch can touch, which
+    then usually broadcasts.
+    """
+    parts = []
+    for attr, fcol in attr_to_filter.items():
+        vals = requests.select(_norm(F.col(fcol)).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+        parts.append(dim.join(vals, _norm(F.col(attr)) == F.col("_v"), "left_semi"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.union(p_)
+    return out.distinct() if len(parts) > 1 else out
+
+
 def dim_semi_filter(facts: DataFrame, dim: DataFrame, key: str, conditions: dict[str, str],
                     dim_key: str | None = None) -> DataFrame:
     """EXISTS on a dimension through a key with literal OR-NULL attribute filters."""

@@ -8,10 +8,11 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.operators.match import active_filters, enrich
+from restate.operators.match import active_filters, enrich, reduce_dim_for_requests, sized_broadcast
 from restate.plans.scale import apply_scale, request_profile
 from restate.queries import standin as S
 
+DIM_BROADCAST_ROWS = 5_000_000
 DIM_ATTRS = {
     "book_dim": ("book_key", ("entity_code", "department_code", "book_code")),
     "instrument_dim": ("instrument_key", ("instrument_code", "product_type")),
@@ -26,13 +27,23 @@ class Query:
     sql: str | None
 
 
-def attach_attrs(df: DataFrame, views: dict[str, DataFrame], needed) -> DataFrame:
-    """Enrich with only the dimensions whose attributes are needed."""
+def attach_attrs(df: DataFrame, views: dict[str, DataFrame], needed, requests: DataFrame | None = None) -> DataFrame:
+    """Enrich with only the dimensions whose attributes are needed.
+
+    With ``requests``, each dimension is first reduced to the rows whose attribute
+    values some request filters on (exact for matching; see ``reduce_dim_for_requests``)."""
     needed = set(needed)
     for dim, (key, attrs) in DIM_ATTRS.items():
         use = [a for a in attrs if a in needed]
         if use:
-            df = enrich(df, views[dim], key, use)
+            d = views[dim].select(key, *use)
+            _, small = sized_broadcast(d, DIM_BROADCAST_ROWS)
+            if not small and requests is not None:
+                # a dimension too large to broadcast: keep only rows some request can hit
+                inv = {a: f for f, a in S.FILTER_MAP.items()}
+                df = enrich(df, reduce_dim_for_requests(d, requests, {a: inv[a] for a in use}), key, use)
+            else:
+                df = enrich(df, d, key, use, small=small)
     return df
 
 
@@ -65,8 +76,8 @@ def _run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool,
     prof = request_profile(headers, S.FILTER_COLS)
     deltas = prior_deltas(spark, sf_dir, v) if with_prior and prof["has_cross"] else None
     fmap = {c: S.FILTER_MAP[c] for c in prof["active"]}
-    fact = attach_attrs(v["fact"], v, fmap.values())
-    d_attr = attach_attrs(deltas, v, fmap.values()) if deltas is not None else None
+    fact = attach_attrs(v["fact"], v, fmap.values(), requests=headers)
+    d_attr = attach_attrs(deltas, v, fmap.values(), requests=headers) if deltas is not None else None
     return apply_scale(fact, headers, fmap, S.POSITION_COLS, S.METRICS, S.USD, deltas=d_attr,
                        strategy=strategy, rank_method=rank_method, profile=prof)
 
@@ -81,7 +92,7 @@ def _prior_deltas(spark: SparkSession, sf_dir: str, v=None) -> DataFrame:
     headers = v["hdr_prior"]
     prof = request_profile(headers, S.FILTER_COLS)
     fmap = {c: S.FILTER_MAP[c] for c in prof["active"]}
-    fact = attach_attrs(v["fact"], v, fmap.values())
+    fact = attach_attrs(v["fact"], v, fmap.values(), requests=headers)
     return apply_scale(fact, headers, fmap, S.POSITION_COLS, S.METRICS, S.USD, profile=prof)
 
 

@@ -86,3 +86,15 @@ def test_roll_guard():
     roll_guard(False, False)
     with pytest.raises(ValueError):
         roll_guard(True, False)
+
+
+def test_dimension_reduction_is_exact(spark, monkeypatch):
+    """Force the large-dimension path (request-driven dimension reduction + shuffle join)."""
+    from restate.queries import common
+    common.clear_cache()
+    base = _rows(run_scale(spark, SF, "hdr_inline"))
+    monkeypatch.setattr(common, "DIM_BROADCAST_ROWS", 0)
+    common.clear_cache()
+    reduced = _rows(run_scale(spark, SF, "hdr_inline"))
+    common.clear_cache()
+    assert base == reduced
