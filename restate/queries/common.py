@@ -37,7 +37,8 @@ def attach_attrs(df: DataFrame, views: dict[str, DataFrame], needed, requests: D
         use = [a for a in attrs if a in needed]
         if use:
             d = views[dim].select(key, *use)
-            _, small = sized_broadcast(d, DIM_BROADCAST_ROWS)
+            small = _memo(("dimsmall", id(d.sparkSession), d.semanticHash(), DIM_BROADCAST_ROWS),
+                          lambda: sized_broadcast(d, DIM_BROADCAST_ROWS)[1])
             if not small and requests is not None:
                 # a dimension too large to broadcast: keep only rows some request can hit
                 inv = {a: f for f, a in S.FILTER_MAP.items()}
