@@ -49,6 +49,22 @@ def kpi_per_cob(headers: DataFrame, overlaps: DataFrame | None = None, id_col="a
     return k
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to every row of ``df``.
+
+    An equi-join on a constant key against a broadcast single row (no cartesian
+    operator); ``one_row`` must be a global aggregate, so its size is proven."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
+def side_by_side(*one_rows: DataFrame) -> DataFrame:
+    """Several one-row aggregates as one row."""
+    out = one_rows[0]
+    for r in one_rows[1:]:
+        out = with_scalars(out, r)
+    return out
+
+
 def conditional_counts(df: DataFrame, conds: dict[str, Column], group=()) -> DataFrame:
     """One pass of COUNT_IF columns (optionally grouped)."""
     aggs = [F.count_if(c).alias(n) for n, c in conds.items()]
@@ -90,7 +106,7 @@ def anomalies(headers: DataFrame, id_col: str, rows_col: str, factor_col: str, t
     """Rule-based anomaly flags against global statistics (one aggregate, broadcast back)."""
     stats = headers.agg(F.avg(rows_col).alias("_avg_rows"), F.avg(factor_col).alias("_avg_f"),
                         F.stddev_pop(factor_col).alias("_sd_f"))
-    j = headers.crossJoin(F.broadcast(stats))  # one-row statistics side
+    j = with_scalars(headers, stats)
     rules = [
         (F.col(rows_col) > F.col("_avg_rows") * 2.5, "ROWS_ABOVE_2.5X_MEAN"),
         (F.abs(F.col(factor_col) - 1) > 0.10, "FACTOR_CHANGE_OVER_10PCT"),
@@ -111,7 +127,7 @@ def three_way(a: DataFrame, b: DataFrame, c: DataFrame, names=("header_count", "
     x = a.agg(F.count(F.lit(1)).alias(names[0]))
     y = b.agg(F.count(F.lit(1)).alias(names[1]))
     z = c.agg(F.count(F.lit(1)).alias(names[2]))
-    return x.crossJoin(y).crossJoin(z)  # three one-row sides
+    return side_by_side(x, y, z)
 
 
 def fanout(ids: DataFrame, id_col: str, tables: dict[str, DataFrame]) -> DataFrame:

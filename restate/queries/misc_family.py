@@ -150,7 +150,7 @@ def adj_business_checks(spark, d):
     b = orig.agg(F.sum("value_usd").cast("double").alias("original_total"))
     c = D.summarise(dl, ["cobid", "source_system_code"], ["value_usd"]).agg(
         F.sum("value_usd").cast("double").alias("summary_total"))
-    return a.crossJoin(b).crossJoin(c)
+    return RP.side_by_side(a, b, c)
 
 
 @q("agg_fanout_report", scale_sql("hdr_inline", True, """
@@ -180,7 +180,7 @@ def agg_verified_questions(spark, d):
               F.count_if(F.col("run_status").isin("Pending", "Pending Approval")).alias("pending"))
     top = RP.top_n(h.groupBy("username").agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), F.col("username")], 1) \
         .select(F.col("username").alias("top_creator"))
-    return a.crossJoin(top)
+    return RP.side_by_side(a, top)
 
 
 # -- calendar and publish ----------------------------------------------------------
@@ -460,7 +460,7 @@ def shp_pca_split(spark, d):
                                                  F.col("p_name").alias("pname")).agg(F.min("p_partkey").alias("pca_key"))
     new = parts.join(dim, ["brand", "ptype", "pname"], "left_anti")
     mx = dim.agg(F.max("pca_key").alias("_mx"))
-    numbered = SH.row_numbers(new, [], ["brand", "ptype", "pname"], "_rn").crossJoin(mx)  # one-row side
+    numbered = RP.with_scalars(SH.row_numbers(new, [], ["brand", "ptype", "pname"], "_rn"), mx)
     added = numbered.select("brand", "ptype", "pname", (F.col("_mx") + F.col("_rn")).alias("pca_key"),
                             F.lit(True).alias("is_new"))
     return dim.select("brand", "ptype", "pname", "pca_key", F.lit(False).alias("is_new")).unionByName(added)

@@ -246,7 +246,7 @@ def agg_approval_kpi(spark, d):
         F.countDistinct("username").alias("pending_submitters"))
     s = v["signoff_status"].agg(F.count_if(F.col("sign_off_status").isin("SIGNOFF_REQUESTED", "REOPEN_REQUESTED"))
                                 .alias("pending_signoff_requests"))
-    return p.crossJoin(s)
+    return RP.side_by_side(p, s)
 
 
 @q("agg_notification_kpi", S.with_views(["events"], """
@@ -282,7 +282,7 @@ def agg_admin_totals(spark, d):
     v = S.register(spark, d, ["hdr_queue", "status_history", "signoff_status", "lineitem"])
     a = RP.three_way(v["hdr_queue"], v["status_history"], v["signoff_status"],
                      ("header_count", "history_count", "signoff_count"))
-    return a.crossJoin(v["lineitem"].agg(F.count(F.lit(1)).alias("fact_count")))
+    return RP.side_by_side(a, v["lineitem"].agg(F.count(F.lit(1)).alias("fact_count")))
 
 
 @q("agg_recent_stats", scale_sql("hdr_orders", False, """
@@ -300,7 +300,7 @@ def agg_recent_stats(spark, d):
     a = rh.agg(F.count(F.lit(1)).alias("adjustments"))
     b = dd.agg(F.count(F.lit(1)).alias("delta_rows"),
                F.coalesce(F.sum(F.abs("value_usd")), F.lit(0)).cast("double").alias("abs_delta"))
-    return a.crossJoin(b)
+    return RP.side_by_side(a, b)
 
 
 @q("agg_reference_options", S.with_views(["book_dim"], """
