@@ -568,3 +568,31 @@ def adj_stress_upload_legacy(spark, d):
     return s.select(*RIDS, F.concat_ws("|", "instrument_code", "product_type").alias("pca"),
                     F.coalesce("_k", "part_key", F.lit(-1)).alias("instrument_key"),
                     val.cast("double").alias("simulation_pl"))
+
+
+@q("adj_signoff_decide", S.with_views(["signoff_status", "approvers"], """
+WITH pend AS (SELECT * FROM signoff_status WHERE sign_off_status IN ('SIGNOFF_REQUESTED', 'REOPEN_REQUESTED')),
+ dec AS (SELECT p.*, a.approver, CASE WHEN p.cobid % 200 < 100 THEN 'approve' ELSE 'reject' END AS decision
+         FROM pend p LEFT JOIN (SELECT process_type, min(approver) AS approver FROM approvers WHERE is_active GROUP BY 1) a
+           ON a.process_type = p.process_type)
+SELECT cobid, process_type, entity_code, sub_type, approver,
+  CASE WHEN approver IS NULL THEN sign_off_status
+       WHEN decision = 'approve' AND sign_off_status = 'SIGNOFF_REQUESTED' THEN 'SIGNED_OFF'
+       WHEN decision = 'approve' AND sign_off_status = 'REOPEN_REQUESTED' THEN 'REOPENED'
+       WHEN sign_off_status = 'SIGNOFF_REQUESTED' THEN 'OPEN' ELSE 'SIGNED_OFF' END AS new_status
+FROM dec"""))
+def adj_signoff_decide(spark, d):
+    """Decide pending sign-off / re-open requests: approve moves forward, reject reverts;
+    only an active approver of the scope may decide (otherwise the request stays pending)."""
+    v = S.register(spark, d, ["signoff_status", "approvers"])
+    pend = v["signoff_status"].where(F.col("sign_off_status").isin("SIGNOFF_REQUESTED", "REOPEN_REQUESTED"))
+    appr = v["approvers"].where("is_active").groupBy(F.col("process_type").alias("_pt")).agg(
+        F.min("approver").alias("approver"))
+    j = pend.join(F.broadcast(appr), F.col("process_type") == F.col("_pt"), "left")
+    approve = F.col("cobid") % 200 < 100
+    st = F.col("sign_off_status")
+    new = (F.when(F.col("approver").isNull(), st)
+           .when(approve & (st == "SIGNOFF_REQUESTED"), "SIGNED_OFF")
+           .when(approve & (st == "REOPEN_REQUESTED"), "REOPENED")
+           .when(st == "SIGNOFF_REQUESTED", "OPEN").otherwise("SIGNED_OFF"))
+    return j.select("cobid", "process_type", "entity_code", "sub_type", "approver", new.alias("new_status"))
