@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, language_id, url_filter
+from restate.llm import chat_format, language_id, ngram_join, url_filter
 from restate.llm.common import held_out, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -66,3 +66,26 @@ select conv_id, count(*) as n_turns,
   sum(length(regexp_replace(text, '([\\#<])', '\\\1', 'g')) + length(role) + 4 + 2 + 9)::bigint as formatted_chars
 from rows group by conv_id
 """
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+    return groups.withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = r"""
+with recursive words as materialized (select doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as w
+  from documents),
+sets as materialized (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s from words),
+grams as materialized (select doc_id, len(s) as n, unnest(s) as g from sets),
+same as (select a.doc_id as x, b.doc_id as y, any_value(a.n) as nx, any_value(b.n) as ny, count(*) as k
+  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as materialized (select x, y from same where 100 * k >= 85 * (nx + ny - k)),
+edges as materialized (select x, y from links union select y, x from links),
+reach(x, y) as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+select doc_id, len(s)::bigint as n_shingles, coalesce(least(doc_id, (select min(y) from reach where reach.x = sets.doc_id)), doc_id) as component_id
+from sets
+"""

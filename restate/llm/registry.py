@@ -10,11 +10,13 @@ _QUERIES = {
     "op3_language_id": q.op3_language_id,
     "op4_url_filter": q.op4_url_filter,
     "op9_chat_format": q.op9_chat_format,
+    "op10_ngram_jaccard": q.op10_ngram_jaccard,
 }
 
 SQL = {
     "op4_url_filter": q.OP4_SQL,
     "op9_chat_format": q.OP9_SQL,
+    "op10_ngram_jaccard": q.OP10_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
