@@ -3,16 +3,26 @@ digest columns that its result is compared by; SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, language_id, ngram_join, url_filter
-from restate.llm.common import held_out, store, table
+from restate.llm import chat_format, language_id, ngram_join, token_files, url_filter
+from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.read_token_files(spark, path)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = language_id.fit(docs.where(~held_out("doc_id")))

@@ -7,6 +7,7 @@ from restate.llm import queries as q
 from restate.llm.common import ship
 
 _QUERIES = {
+    "op1_token_files": q.op1_token_files,
     "op3_language_id": q.op3_language_id,
     "op4_url_filter": q.op4_url_filter,
     "op9_chat_format": q.op9_chat_format,

@@ -67,6 +67,15 @@ def byte_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         at = to
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each ``data[start:end]``, the same wherever it stands."""
+    _grow(len(data) + 1)
+    with np.errstate(over="ignore"):
+        prefix = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[:len(data)], out=prefix[1:])
+        return mix((prefix[ends] - prefix[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def words(data: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and for each row the index of its first word (rows + 1 entries)."""
     data = LOWER[data]
@@ -80,12 +89,7 @@ def words(data: np.ndarray, off: np.ndarray, letters: np.ndarray) -> tuple[np.nd
     after[:-1] = inside[1:]
     after[off[1:] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    _grow(len(data) + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[:len(data)], out=prefix[1:])
-        h = mix((prefix[ends] - prefix[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))
-    return h, np.searchsorted(starts, off)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, off)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
