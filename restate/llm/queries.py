@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, language_id, ngram_join, token_files, url_filter
+from restate.llm import chat_format, decontaminate, language_id, ngram_join, token_files, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -48,6 +48,30 @@ select page_id, host, path, b.r as rule, coalesce(b.a, 'allow') as verdict
 from parts left join best on parts.url = best.url
 """
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+OP5_SQL = r"""
+with texts as (select 'd' as k, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+split as materialized (select k, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
+items as (select id, w, least(len(w), 13) as n from split where k = 'b' and len(w) > 0),
+windows as materialized (select id, n, array_to_string(w[i:i + n - 1], ' ') as t from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from items)),
+places as (select id, n, i, array_to_string(w[i:i + n - 1], ' ') as t
+  from (select id, w, n, unnest(range(1, len(w) - n + 2)) as i from split, (select distinct n from windows) where k = 'd' and len(w) >= n)),
+found as materialized (select p.id, p.i, p.n, w.id as item from places p join windows w on p.t = w.t and p.n = w.n),
+hit as (select id, count(distinct x) as n_hit from (select id, unnest(range(i, i + n)) as x from found) group by id),
+named as (select id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct id, item::varchar as item from found) group by id)
+select s.id as doc_id, len(s.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(s.w) as contaminated
+from split s left join hit on s.id = hit.id left join named on s.id = named.id where k = 'd'
+"""
+
 OP9_EXTRA_ID, OP9_EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
 
 

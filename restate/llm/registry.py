@@ -10,12 +10,14 @@ _QUERIES = {
     "op1_token_files": q.op1_token_files,
     "op3_language_id": q.op3_language_id,
     "op4_url_filter": q.op4_url_filter,
+    "op5_decontaminate": q.op5_decontaminate,
     "op9_chat_format": q.op9_chat_format,
     "op10_ngram_jaccard": q.op10_ngram_jaccard,
 }
 
 SQL = {
     "op4_url_filter": q.OP4_SQL,
+    "op5_decontaminate": q.OP5_SQL,
     "op9_chat_format": q.OP9_SQL,
     "op10_ngram_jaccard": q.OP10_SQL,
 }
