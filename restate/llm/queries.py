@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, decontaminate, language_id, ngram_join, token_files, url_filter
+from restate.llm import chat_format, decontaminate, language_id, ngram_join, quality, token_files, toxicity, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -23,6 +23,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = language_id.fit(docs.where(~held_out("doc_id")))
@@ -72,6 +80,14 @@ select s.id as doc_id, len(s.w)::bigint as n_words, coalesce(n_hit, 0)::bigint a
 from split s left join hit on s.id = hit.id left join named on s.id = named.id where k = 'd'
 """
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out("doc_id"))
+    model = quality.fit(docs.where(~held_out("doc_id")), labels)
+    return quality.judge(docs, model, labels).select(
+        F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "host", "path", "host_rate", "path_rate", "quality", "rejected")
+
+
 OP9_EXTRA_ID, OP9_EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
 
 

@@ -8,9 +8,11 @@ from restate.llm.common import ship
 
 _QUERIES = {
     "op1_token_files": q.op1_token_files,
+    "op2_toxicity": q.op2_toxicity,
     "op3_language_id": q.op3_language_id,
     "op4_url_filter": q.op4_url_filter,
     "op5_decontaminate": q.op5_decontaminate,
+    "op6_quality": q.op6_quality,
     "op9_chat_format": q.op9_chat_format,
     "op10_ngram_jaccard": q.op10_ngram_jaccard,
 }
