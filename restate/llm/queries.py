@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, decontaminate, language_id, ngram_join, quality, token_files, toxicity, url_filter
+from restate.llm import chat_format, decontaminate, knn, language_id, ngram_join, packing, quality, token_files, toxicity, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -88,6 +88,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "host", "path", "host_rate", "path_rate", "quality", "rejected")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = packing.token_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(lengths).withColumnRenamed("id", "doc_id")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 OP9_EXTRA_ID, OP9_EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
 
 

@@ -13,6 +13,8 @@ _QUERIES = {
     "op4_url_filter": q.op4_url_filter,
     "op5_decontaminate": q.op5_decontaminate,
     "op6_quality": q.op6_quality,
+    "op7_packing": q.op7_packing,
+    "op8_nearest": q.op8_nearest,
     "op9_chat_format": q.op9_chat_format,
     "op10_ngram_jaccard": q.op10_ngram_jaccard,
 }
