@@ -72,7 +72,7 @@ def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
         up = t.where(F.col("up").isNotNull()).select(F.col("tree").alias("u_tree"), F.col("node").alias("u_node"), "up")
         found = on_path.join(up, (F.col("tree") == F.col("u_tree")) & (F.col("node") == F.col("u_node"))).select(
             "tree", "path", F.col("up").alias("node"), "path_score", "path_rank")
-        on_path = on_path.unionByName(found)
+        on_path = store(on_path.unionByName(found), "reply-path")
     depth = done.select(F.col("tree").alias("d_tree"), F.col("node").alias("d_node"), F.col("steps").alias("depth"))
     return on_path.join(depth, (F.col("tree") == F.col("d_tree")) & (F.col("node") == F.col("d_node"))).select(
         "tree", "path", "node", "depth", "path_score", "path_rank")
