@@ -40,6 +40,25 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % LEARN_MODULUS == HELD_OUT, F.lit(False))
 
 
+#: Rows of (id, text hash) up to which they are broadcast: some 50 MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def text_key(text: str | Column) -> Column:
+    """With the id, names a row; rows that share both are alike in all that operators look at."""
+    return F.xxhash64(text)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` less the rows named by ``gone`` (id, text_key), a stored table.
+
+    Few of those are broadcast, so that no text is shuffled; with more the join is Spark's choice."""
+    gone = gone.select(F.col("id").alias("g_id"), F.col("text_key").alias("g_key")).distinct()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("g_id")) & (text_key(text_col) == F.col("g_key")), "left_anti")
+
+
 def bounded_sample(df: DataFrame, group: str, order: Column, rows: int) -> DataFrame:
     """At most ``rows`` rows of each ``group`` value, the first in ``order``.
 

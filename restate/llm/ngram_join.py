@@ -19,9 +19,10 @@ distance also bounds the symmetric difference from below, discards most other
 candidates; the rest are decided on the whole sets.
 
 *Groups of copies.*  Equal sets are one node from the start.  Among the nodes
-that share a key only the pairs with one centre are tested; nodes that are in one
+that share a key only the pairs with one centre are tested, for two choices of the centre; nodes that are in one
 component by then need no more, and the pairs across components that are left
-in a key are tested all.  So no group emits all of its pairs, and none of the
+in a key are compared all, the join itself dropping those that the bit sketches
+tell apart.  So no group emits all of its pairs, and none of the
 links that could join two components is skipped.
 """
 
@@ -33,17 +34,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from restate.llm import textarrays as T
-from restate.llm.common import store
+from restate.llm.common import store, text_key
 from restate.llm.components import connected_components
 
 #: Ratio of a band's sizes; bits of the verifying sketch; rounds of one centre a key.
 BAND_RATIO = 1.5
 SKETCH_BITS = 1024
-STAR_ROUNDS = 4
+STAR_ROUNDS = 1
 
 
 @lru_cache(maxsize=4096)
@@ -147,16 +148,19 @@ def _set_rows(n: int):
     return run
 
 
+def _may_link(n_a: str, k_a: str, n_b: str, k_b: str, percent: int) -> Column:
+    """Sizes and bit sketches of two nodes allow a link."""
+    apart = sum((F.bit_count(F.get(k_a, i).bitwiseXOR(F.get(k_b, i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+            & (apart * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of node signatures that link."""
     attrs = nodes.select("sig", "n_shingles", "sketch")
     for side in "ab":
         pairs = pairs.join(attrs.select(F.col("sig").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"k_{side}")), side)
-    total = F.col("n_a") + F.col("n_b")
-    apart = F.aggregate(F.zip_with("k_a", "k_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                        & (apart * (100 + percent) <= total * (100 - percent))).select("a", "b", "n_a", "n_b")
-    pairs = store(pairs, "ngram-pairs")
+    pairs = store(pairs.where(_may_link("n_a", "k_a", "n_b", "k_b", percent)).select("a", "b", "n_a", "n_b"), "ngram-pairs")
     need = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     rep = nodes.join(need, "sig").select(F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key"))
     sets = texts.join(rep, (F.col("text_key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id")), "left_semi").select(
@@ -168,7 +172,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id (the least id in reach by links) for every row of ``docs``.
+    """id, text_key, n_shingles, component, component_id for every row of ``docs``.
+
+    ``component_id`` is the least id in reach by links; ``component`` names the
+    component itself and is null for texts without shingles.
 
     Words are what lies between ASCII white space, A-Z lower-cased.  A text of
     fewer than ``n`` words is one shingle; a null text, or one without words, has
@@ -178,7 +185,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; other columns are left out, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = base.select("id", "text", F.xxhash64("text").alias("text_key"))
+    keyed = base.select("id", "text", text_key("text").alias("text_key"))
     id_type = base.schema["id"].dataType.simpleString()
     rows = store(keyed.mapInArrow(_sketch_rows(n, percent), f"id {id_type}, text_key long, n_shingles long, sig long, "
                                   "sketch array<long>, keys array<long>"), "ngram-rows")
@@ -191,37 +198,45 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = shared.where(F.col("centre") < F.col("last")).select("s_key", "centre")
     members = store(kv.join(shared, F.col("key") == F.col("s_key")).select("key", "sig", "centre").distinct(), "ngram-members")
 
-    tested = store(_pairs(members.select(F.col("sig").alias("a"), F.col("centre").alias("b"))), "ngram-tested")
-    links = store(_verified(tested, nodes, keyed, n, percent), "ngram-links")
+    links = store(_verified(_pairs(members.select(F.col("sig").alias("a"), F.col("centre").alias("b"))), nodes, keyed, n, percent), "ngram-links")
     stars = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    attrs = nodes.select(F.col("sig").alias("n_sig"), "n_shingles", "sketch")
     for turn in range(STAR_ROUNDS + 1):
         # what is left of a key: members of different components
         active = members.join(stars, F.col("sig") == F.col("node"), "left").select(
             "key", "sig", F.coalesce("root", "sig").alias("root"))
         split = active.groupBy(F.col("key").alias("s_key")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
         split = split.where(F.col("r0") < F.col("r1")).select("s_key")
-        active = store(active.join(split, F.col("key") == F.col("s_key"), "left_semi"), "ngram-active")
+        active = active.join(split, F.col("key") == F.col("s_key"), "left_semi")
+        active = store(active.join(attrs, F.col("sig") == F.col("n_sig")).select("key", "sig", "root", "n_shingles", "sketch"), "ngram-active")
+        other = active.select(*(F.col(c).alias(f"o_{c}") for c in active.columns))
         if turn < STAR_ROUNDS:  # another centre for each key
-            centre = active.groupBy(F.col("key").alias("c_key")).agg(
-                F.min(F.struct(F.xxhash64("sig", "key", F.lit(turn)).alias("h"), F.col("sig").alias("c_sig"), F.col("root").alias("c_root"))).alias("c"))
-            wanted = active.join(centre, F.col("key") == F.col("c_key")).where(F.col("root") != F.col("c.c_root"))
-            wanted = _pairs(wanted.select(F.col("sig").alias("a"), F.col("c.c_sig").alias("b")))
+            other = other.groupBy("o_key").agg(F.min_by(F.struct(*other.columns[1:]), F.xxhash64("o_sig", "o_key", F.lit(turn))).alias("o"))
+            other = other.select("o_key", "o.*")
+            order = F.col("sig") != F.col("o_sig")
         else:  # the rest: every pair across components
-            other = active.select(F.col("key").alias("o_key"), F.col("sig").alias("o_sig"), F.col("root").alias("o_root"))
-            wanted = active.join(other, (F.col("key") == F.col("o_key")) & (F.col("sig") < F.col("o_sig")) & (F.col("root") != F.col("o_root")))
-            wanted = _pairs(wanted.select(F.col("sig").alias("a"), F.col("o_sig").alias("b")))
-        wanted = store(wanted.join(tested, ["a", "b"], "left_anti"), "ngram-tested")
-        tested = tested.unionByName(wanted)
+            order = F.col("sig") < F.col("o_sig")
+        may = _may_link("n_shingles", "sketch", "o_n_shingles", "o_sketch", percent)
+        wanted = active.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & order & may)
+        wanted = _pairs(wanted.select(F.col("sig").alias("a"), F.col("o_sig").alias("b")))
         found = store(_verified(wanted, nodes, keyed, n, percent), "ngram-links")
         if found.take(1):
             stars = connected_components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(
                 found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
-    named = rows.select("id", "n_shingles", "sig").join(stars, F.col("sig") == F.col("node"), "left").select(
-        "id", "n_shingles", F.coalesce("root", "sig").alias("root"))
+    named = rows.select("id", "text_key", "n_shingles", "sig").join(stars, F.col("sig") == F.col("node"), "left").select(
+        "id", "text_key", "n_shingles", F.coalesce("root", "sig").alias("root"))
     least = named.where(F.col("root").isNotNull()).groupBy(F.col("root").alias("l_root")).agg(F.min("id").alias("least_id"))
     return named.join(least, F.col("root") == F.col("l_root"), "left").select(
-        "id", "n_shingles", F.coalesce("least_id", "id").alias("component_id"))
+        "id", "text_key", "n_shingles", F.col("root").alias("component"), F.coalesce("least_id", "id").alias("component_id"))
+
+
+def spare_copies(groups: DataFrame) -> DataFrame:
+    """(id, text_key) of the rows of a stored ``similar_groups`` that their component can do without: all but its least."""
+    first = groups.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("f_component")).agg(
+        F.min(F.struct("id", "text_key")).alias("f"))
+    rows = groups.join(first, F.col("component") == F.col("f_component"))
+    return rows.where(~(F.col("id").eqNullSafe(F.col("f.id")) & (F.col("text_key") == F.col("f.text_key")))).select("id", "text_key")
 
 
 def _pairs(ab: DataFrame) -> DataFrame:
