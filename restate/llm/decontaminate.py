@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restate.llm.common import store
+from restate.llm.common import store, text_key
 from restate.llm.url_filter import LOWER, UPPER
 
 WINDOW = 13
@@ -102,7 +102,7 @@ def lengths_of(rows: DataFrame) -> list[int]:
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_words, n_hit, items (sorted ids, as strings), spans.
+    """Per row of ``docs``: id, text_key, n_words, n_hit, items (sorted ids, as strings), spans.
 
     ``n_hit`` counts the words under any occurrence of a window, each once;
     ``spans`` are the merged runs of hit words (start, end; from 0, end excluded).
@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows = store(benchmark_windows(items, item_col, item_text_col), "benchmark-windows")
     lengths = lengths_of(windows)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = base.select("id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("key"), words(F.col("text")).alias("w"))
+    base = base.select("id", text_key("text").alias("key"), words(F.col("text")).alias("w"))
 
     prints, columns = base, []
     for length in lengths:
@@ -132,7 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         hits = rows if hits is None else hits.unionByName(rows)
     all_rows = prints.select("id", "key", "n_words")
     if hits is None:
-        return all_rows.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
+        return all_rows.select("id", F.col("key").alias("text_key"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
                                F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     hits = store(hits, "document-hits").select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), "hit", "length")
     for length in lengths:
@@ -151,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = found.select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), "items", _merged("runs").alias("spans"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return all_rows.join(found, (F.col("key") == F.col("f_key")) & F.col("id").eqNullSafe(F.col("f_id")), "left").select(
-        "id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        "id", F.col("key").alias("text_key"), "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from restate.llm import textarrays as T
-from restate.llm.common import store
+from restate.llm.common import store, text_key
 
 #: Bound of the fit: labelled texts, the first by a hash of their id.
 MAX_LABELLED = 20_000
@@ -183,13 +183,13 @@ def posterior(rows: DataFrame, prior: float) -> DataFrame:
 
 def judge(docs: DataFrame, model: Model, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
           host_col: str = "source", path_col: str = "lang", label_col: str = "quality", min_quality: float = MIN_QUALITY) -> DataFrame:
-    """Per row of ``docs``: id, host, path, llr, host_rate, path_rate, quality (0 to 1), rejected.
+    """Per row of ``docs``: id, text_key, host, path, llr, host_rate, path_rate, quality (0 to 1), rejected.
 
     Null and empty texts are judged by their features, all zero.  Null hosts are
     one host, null paths one path of their host.  Repeated rows and ids each keep
     their row.  An empty table gives no rows; other columns are left out.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"),
+    base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"),
                        F.col(text_col).alias("text"))
     rows = evidence(base, model)
     if labels is None:
@@ -198,4 +198,4 @@ def judge(docs: DataFrame, model: Model, labels: DataFrame | None = None, id_col
         known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.min(F.col(label_col)).cast("double").alias("label"))
         rows = rows.join(known, F.col("id") == F.col("l_id"), "left").drop("l_id")
     rows = posterior(rows, model.prior)
-    return rows.select("id", "host", "path", "llr", "host_rate", "path_rate", "quality", (F.col("quality") < min_quality).alias("rejected"))
+    return rows.select("id", "text_key", "host", "path", "llr", "host_rate", "path_rate", "quality", (F.col("quality") < min_quality).alias("rejected"))

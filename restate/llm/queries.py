@@ -129,7 +129,7 @@ from rows group by conv_id
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
-    return groups.withColumnRenamed("id", "doc_id")
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 OP10_SQL = r"""
