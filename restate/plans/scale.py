@@ -70,10 +70,9 @@ def drop_dominated(legs_h: DataFrame, filter_cols) -> DataFrame:
     dead = (F.col("_h_leg") == 1) & (F.col("_h_eff").isNull() | (F.col("_h_eff") == 0))
     live = legs_h.where(~dead)
     order = F.col("_h_ord")
-    # same-COB legs: any non-zero factor nets to zero exactly when the position sums to
-    # zero, so the factor does not split the group; roll legs group by factor.
-    eff_g = F.when(F.col("_h_leg") == 1, F.lit(None)).otherwise(F.col("_h_eff"))
-    g = live.groupBy("_h_leg", "_h_match", "_h_cob", "_h_src", eff_g.alias("_g_eff"),
+    # the factor splits every group: products are rounded to the value scale, so two
+    # non-zero factors need not net to zero on the same positions
+    g = live.groupBy("_h_leg", "_h_match", "_h_cob", "_h_src", F.col("_h_eff").alias("_g_eff"),
                      _signature(cols).alias("_g_sig"), _header_key(cols).alias("_g_key")) \
         .agg(*[F.max_by(F.col(c), order).alias(c) for c in legs_h.columns
                if c not in ("_h_leg", "_h_match", "_h_cob", "_h_src")])
