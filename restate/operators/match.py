@@ -13,8 +13,10 @@ so the planner rewrites it:
   broadcast-hash when the request side is provably small, otherwise a salted
   shuffle join (a whole-COB request puts every fact row of that COB on a single
   key; salting spreads it over ``salt`` tasks).
-* **residual** fallback — equi on COB + OR residual, used when a batch carries
-  too many distinct signatures.  Both strategies return identical rows.
+  Many signatures are joined ``SIGNATURES_PER_JOIN`` at a time, so that a fact row
+  is never copied more often than that in one join.
+* **residual** — equi on COB + OR residual; only on request, as the reference that
+  the signature join is tested against.  Both return identical rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEP = "\u0001"
-MAX_SIGNATURES = 64
+SIGNATURES_PER_JOIN = 64
 BROADCAST_MAX_ROWS = 200_000
 
 
@@ -123,18 +125,16 @@ def wildcard_match(
     if active is None:
         active = active_filters(headers, filter_map.keys())
     hdr_cols = headers.columns
-    if sigs is not None and strategy == "auto":
-        strategy = "signature" if len(sigs) <= MAX_SIGNATURES else "residual"
-    if strategy == "auto":
-        sigs = [r[0] for r in headers.select(_signature(active).alias("s")).distinct().limit(MAX_SIGNATURES + 1).collect()]
-        strategy = "signature" if len(sigs) <= MAX_SIGNATURES else "residual"
-    else:
-        sigs = None
     if strategy == "residual":
         return _residual_match(facts, headers, filter_map, active, fact_cob, header_cob, broadcast_max_rows, small)
     if sigs is None:
         sigs = [r[0] for r in headers.select(_signature(active).alias("s")).distinct().collect()]
     sigs = sorted(sigs)
+    if len(sigs) > SIGNATURES_PER_JOIN:
+        parts = [sigs[i:i + SIGNATURES_PER_JOIN] for i in range(0, len(sigs), SIGNATURES_PER_JOIN)]
+        return reduce(DataFrame.unionByName, [
+            wildcard_match(facts, headers.where(_signature(active).isin(part)), filter_map, fact_cob, header_cob, "signature", salt,
+                           broadcast_max_rows, active, part, small) for part in parts])
 
     hk = headers.select("*", _signature(active).alias("_sig"), _header_key(active).alias("_key"))
     if small is None:

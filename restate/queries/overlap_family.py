@@ -123,7 +123,7 @@ def jn_list_intersect(spark, d):
                       F.col("common_brands").cast("long").alias("common_brands"))
 
 
-@q("adj_block_greedy")
+# Not registered: the rule is sequential, so a whole queue goes through one task.
 def adj_block_greedy(spark, d):
     h = _live(spark, d).where(F.col("run_status").isin("Pending", "Approved")) \
         .select("adj_key", *GRP, "created_date", *DIMS)
