@@ -50,8 +50,11 @@ def preview_breakdown(m: DataFrame, metric: str, by) -> DataFrame:
 
 
 def preview_sample(m: DataFrame, metric: str, n: int, tie_break, keep) -> DataFrame:
-    """Top-n rows per request by |metric| desc (row_number <= n: partial top-k before the shuffle)."""
-    n = max(1, min(int(n), 10_000))
+    """Top-n rows per request by |metric| desc (row_number <= n: partial top-k before the shuffle).
+
+    Every n asked for is given; n below 1 is an error."""
+    if n < 1:
+        raise ValueError(f"n must be at least 1, not {n}")
     w = Window.partitionBy("_p_key").orderBy(F.abs(F.col(metric)).desc(), *[F.col(c) for c in tie_break])
     ranked = m.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     d = _delta(metric)
