@@ -11,31 +11,37 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _same(a_prefix: str, b_prefix: str, cols) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(a_prefix + c).eqNullSafe(F.col(b_prefix + c)) for c in cols], F.lit(True))
+def classify(batch: DataFrame, keys, values, action_col: str = "action", seq_col: str | None = None) -> DataFrame:
+    """The net change of each key within one batch of DELETE and INSERT images.
 
+    Only deleted -> 'D'; only inserted -> 'I'; deleted and inserted with other
+    values -> 'U' (new values); unchanged, or inserted and deleted again -> no row.
 
-def classify(batch: DataFrame, keys, values, action_col: str = "action") -> DataFrame:
-    """Pair DELETE and INSERT images of a key within one batch.
-
-    D only -> 'D'; I only -> 'I'; both and different -> 'U' (new values);
-    both and identical -> no row.  One full-outer join on the NULL-safe key.
+    A key may change several times in a batch: ``seq_col`` then orders its changes
+    (an update's DELETE comes before its INSERT of the same number), and the first
+    image and the last decide.  Without it a key with two images of one kind has no
+    defined result and the query fails.  One aggregation on the key, which counts
+    null keys as one key; no join.
     """
-    d = batch.where(F.upper(action_col) == "DELETE").select(*[F.col(c).alias("d_" + c) for c in [*keys, *values]])
-    i = batch.where(F.upper(action_col) == "INSERT").select(*[F.col(c).alias("i_" + c) for c in [*keys, *values]])
-    cond = reduce(lambda x, y: x & y, [F.col("d_" + k).eqNullSafe(F.col("i_" + k)) for k in keys])
-    j = d.join(i, cond, "full_outer")
-    has_d = reduce(lambda x, y: x | y, [F.col("d_" + k).isNotNull() for k in keys])
-    has_i = reduce(lambda x, y: x | y, [F.col("i_" + k).isNotNull() for k in keys])
-    kind = (F.when(has_d & ~has_i, "D").when(has_i & ~has_d, "I")
-            .when(~_same("d_", "i_", values), "U"))
-    out = j.select(*[F.coalesce(F.col("i_" + k), F.col("d_" + k)).alias(k) for k in keys],
-                   *[F.when(has_i, F.col("i_" + v)).otherwise(F.col("d_" + v)).alias(v) for v in values],
-                   kind.alias("change_type"))
+    kind = F.upper(F.col(action_col))
+    rank = F.when(kind == "DELETE", F.lit(0)).otherwise(F.lit(1))
+    order = F.struct(*([F.col(seq_col)] if seq_col else []), rank)
+    image = F.struct(kind.alias("_kind"), *[F.col(v).alias(v) for v in values])
+    net = batch.where(kind.isin("DELETE", "INSERT")).groupBy(*keys).agg(
+        F.min_by(image, order).alias("_first"), F.max_by(image, order).alias("_last"),
+        F.greatest(F.count_if(kind == "DELETE"), F.count_if(kind == "INSERT")).alias("_n"))
+    if seq_col is None:
+        repeated = F.raise_error(F.lit("several changes of a key in one batch: name the column that orders them"))
+        net = net.withColumn("_first", F.when(F.col("_n") > 1, repeated.cast(net.schema["_first"].dataType)).otherwise(F.col("_first")))
+    had, has = F.col("_first._kind") == "DELETE", F.col("_last._kind") == "INSERT"
+    same = reduce(lambda x, y: x & y, [F.col(f"_first.{v}").eqNullSafe(F.col(f"_last.{v}")) for v in values], F.lit(True))
+    change = F.when(had & ~has, "D").when(~had & has, "I").when(had & has & ~same, "U")
+    out = net.select(*keys, *[F.when(has, F.col(f"_last.{v}")).otherwise(F.col(f"_first.{v}")).alias(v) for v in values],
+                     change.alias("change_type"))
     return out.where(F.col("change_type").isNotNull())
 
 

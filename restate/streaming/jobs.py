@@ -23,14 +23,18 @@ from restate.operators.cdc import classify, upsert
 
 
 def _epochs(spark: SparkSession, root: str) -> list[int]:
-    """Epoch ids present under ``root`` (partition discovery on shared storage)."""
-    try:
-        df = spark.read.parquet(root)
-    except Exception:  # noqa: BLE001 - no image written yet
+    """Epochs with a committed image under ``root``: a folder listing, no data is read.
+
+    No folder yet means no image; any other failure is raised, so that a passing
+    read error is never taken for an empty target."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
         return []
-    if "epoch" not in df.columns:
-        return []
-    return sorted(r[0] for r in df.select("epoch").distinct().collect())
+    folders = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("epoch=")]
+    done = [p for p in folders if fs.exists(sc._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=", 1)[1]) for p in done)
 
 
 def _image(spark: SparkSession, root: str, epoch: int, schema) -> DataFrame:
@@ -39,8 +43,11 @@ def _image(spark: SparkSession, root: str, epoch: int, schema) -> DataFrame:
 
 def cdc_merge_stream(spark: SparkSession, source_dir: str, source_schema, image_root: str, checkpoint: str,
                      keys, values, deleted_col: str = "is_deleted", trigger: dict | None = None,
-                     max_files_per_trigger: int | None = None):
-    """Start the CDC merge stream; returns the StreamingQuery."""
+                     max_files_per_trigger: int | None = None, seq_col: str | None = None):
+    """Start the CDC merge stream; returns the StreamingQuery.
+
+    ``seq_col`` orders the changes of a key, of which a batch of several files may
+    hold many; without it such a batch fails instead of merging a wrong image."""
     image_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source_schema.fields
                               if f.name in [*keys, *values]] + [f"{deleted_col} boolean"])
 
@@ -49,7 +56,7 @@ def cdc_merge_stream(spark: SparkSession, source_dir: str, source_schema, image_
         # images are keyed by epoch: a replayed epoch must see the image before it
         prior = [e for e in _epochs(sp, image_root) if e < epoch_id]
         current = _image(sp, image_root, prior[-1], image_schema) if prior else sp.createDataFrame([], image_schema)
-        changes = classify(batch, keys, values)
+        changes = classify(batch, keys, values, seq_col=seq_col)
         nxt = upsert(current, changes, keys, values, deleted_col).drop("merge_action")
         nxt.write.mode("overwrite").parquet(f"{image_root}/epoch={epoch_id}")
 
