@@ -200,16 +200,20 @@ def stm_feed_sync(spark, d):
 
 
 @q("stm_materialised_refresh", scale_sql("hdr_inline", True, """
-SELECT cobid, source_system_code, CAST(sum(value_usd) AS DOUBLE) AS value_usd FROM b_out
+SELECT cobid, source_system_code, CAST(sum(value_usd) AS DOUBLE) AS value_usd
+FROM (SELECT cobid, source_system_code, value_usd FROM p_out UNION ALL SELECT cobid, source_system_code, value_usd FROM b_out) u
 WHERE cobid IN (SELECT DISTINCT cobid FROM b_out) GROUP BY ALL"""))
 def stm_materialised_refresh(spark, d):
-    """Incremental refresh: recompute the summary only for COBs the new deltas touched,
-    then replace exactly those partitions."""
+    """Incremental refresh: the summary of the COBs that the new deltas touched, from all
+    stored deltas there, replaces exactly those partitions."""
+    from restate.queries.common import prior_deltas
+    k = ["cobid", "source_system_code"]
     new = run_scale(spark, d, "hdr_inline")
+    stored = prior_deltas(spark, d).select(*k, "value_usd").unionByName(new.select(*k, "value_usd"))
     touched = new.select("cobid").distinct()
-    summary = D.summarise(new.join(touched, "cobid", "left_semi"), ["cobid", "source_system_code"], ["value_usd"])
+    summary = D.summarise(stored.join(touched, "cobid", "left_semi"), k, ["value_usd"])
     path = IO.scratch_path(spark, "summary")
-    IO.replace_slice(summary, path, ["cobid"])
+    IO.replace_slice(summary, path, touched, ["cobid"])
     return doubles(spark.read.parquet(path), ["value_usd"]).select("cobid", "source_system_code", "value_usd")
 
 
@@ -250,8 +254,9 @@ def snk_delta_append(spark, d):
     from restate.queries.common import prior_deltas
     path = IO.scratch_path(spark, "deltas")
     cols = ["cobid", "adjustment_id", "trade_key", "line_no", "value_usd"]
-    IO.write_deltas(prior_deltas(spark, d), path, ["cobid"], cols)
-    IO.write_deltas(run_scale(spark, d, "hdr_inline"), path, ["cobid"], cols)
+    IO.write_deltas(prior_deltas(spark, d), path, "prior", ["cobid"], cols)
+    for _ in range(2):  # a batch that runs again replaces its own rows
+        IO.write_deltas(run_scale(spark, d, "hdr_inline"), path, "inline", ["cobid"], cols)
     out = spark.read.parquet(path)
     return out.select(F.col("cobid").cast("int").alias("cobid"), "adjustment_id", "trade_key", "line_no",
                       F.col("value_usd").cast("double").alias("value_usd"))
@@ -259,17 +264,21 @@ def snk_delta_append(spark, d):
 
 @q("snk_partition_replace", scale_sql("hdr_inline", True, """
 , old AS (SELECT cobid, source_system_code, sum(value_usd) AS value_usd FROM p_out GROUP BY ALL),
-  new AS (SELECT cobid, source_system_code, sum(value_usd) AS value_usd FROM b_out GROUP BY ALL)
+  new AS (SELECT cobid, source_system_code, sum(value_usd) AS value_usd
+    FROM (SELECT cobid, source_system_code, value_usd FROM p_out UNION ALL SELECT cobid, source_system_code, value_usd FROM b_out) u
+    WHERE cobid IN (SELECT cobid FROM b_out) GROUP BY ALL)
 SELECT cobid, source_system_code, CAST(value_usd AS DOUBLE) AS value_usd FROM old
 WHERE cobid NOT IN (SELECT cobid FROM new)
 UNION ALL SELECT cobid, source_system_code, CAST(value_usd AS DOUBLE) AS value_usd FROM new"""))
 def snk_partition_replace(spark, d):
-    """Summary slices: the new batch's COB partitions replace the old ones, others stay."""
+    """Summary slices: the COBs that the new batch touched are summed anew over all stored deltas, others stay."""
     from restate.queries.common import prior_deltas
     path = IO.scratch_path(spark, "summary")
     k = ["cobid", "source_system_code"]
-    IO.replace_slice(D.summarise(prior_deltas(spark, d), k, ["value_usd"]), path, ["cobid"])
-    IO.replace_slice(D.summarise(run_scale(spark, d, "hdr_inline"), k, ["value_usd"]), path, ["cobid"])
+    prior, new = prior_deltas(spark, d), run_scale(spark, d, "hdr_inline")
+    both = prior.select(*k, "value_usd").unionByName(new.select(*k, "value_usd"))
+    IO.replace_slice(D.summarise(prior, k, ["value_usd"]), path, prior.select("cobid"), ["cobid"])
+    IO.replace_slice(D.summarise(both, k, ["value_usd"]), path, new.select("cobid"), ["cobid"])
     out = spark.read.parquet(path)
     return out.select(F.col("cobid").cast("int").alias("cobid"), "source_system_code",
                       F.col("value_usd").cast("double").alias("value_usd"))

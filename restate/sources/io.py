@@ -52,23 +52,35 @@ def read_upload(spark: SparkSession, path: str, sep: str | None = None) -> DataF
     return df
 
 
-def write_deltas(df: DataFrame, path: str, partition_cols=("cobid",), target_columns=None) -> None:
-    """Append delta rows, aligned to the target column order."""
+BATCH_COL = "batch"
+
+
+def write_deltas(df: DataFrame, path: str, batch: str, partition_cols=("cobid",), target_columns=None) -> None:
+    """Add a batch's delta rows, aligned to the target column order.
+
+    Each batch has a partition of its own, so a batch that runs again (a retry, a
+    replay) replaces its rows and never doubles them."""
     if target_columns is not None:
         df = df.select(*target_columns)
-    df.write.mode("append").partitionBy(*partition_cols).parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/{BATCH_COL}={batch}")
+
 
+def replace_slice(df: DataFrame, path: str, slices: DataFrame, partition_cols=("cobid",)) -> None:
+    """Replace the partitions named by ``slices`` with their rows of ``df``.
 
-def replace_slice(df: DataFrame, path: str, partition_cols=("cobid",)) -> None:
-    """Replace exactly the partitions present in ``df`` (dynamic partition overwrite)."""
+    Partitions of ``slices`` without rows in ``df`` end empty; rows of ``df`` outside
+    of ``slices`` are not written; other partitions stay as they are.  The list of
+    emptied slices reaches the driver: it is bounded by the partitions of the table."""
     spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", None)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy(*partition_cols).parquet(path)
-    finally:
-        if old is not None:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    cols = list(partition_cols)
+    slices = slices.select(*cols).distinct()
+    df.join(slices, cols, "left_semi").select(*df.columns).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
+    emptied = slices.join(df.select(*cols).distinct(), cols, "left_anti").collect()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in emptied:
+        gone = hadoop.Path("/".join([path, *(f"{c}={row[c]}" for c in cols)]))
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
