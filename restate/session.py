@@ -56,8 +56,8 @@ def ensure_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when nothing is configured (local tests) a fresh scratch folder is made;
-    on a cluster the setting must point at shared storage.
+    Only where nothing is configured and all runs in one process (tests) a fresh
+    scratch folder is made; on a cluster the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -67,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="restate-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
