@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from restate.functions.factor import VALUE_TYPE
 from restate.functions.text import cob_to_date
 from restate.operators import delta as D
+from restate.operators.overlap import narrower_pairs
 from restate.plans.entity_roll import entity_roll
 from restate.plans.scale import legacy_roll
 from restate.queries import standin as S
@@ -194,14 +195,13 @@ def adj_replace_reference(spark, d):
                     .otherwise("Retired").alias("outcome"))
 
 
-@q("adj_clone", S.with_views(["hdr_inline"], """
+@q("adj_clone", S.with_views(["hdr_orders"], """
 SELECT adj_key || '-C' AS adj_key, 20000101 AS cobid,
        CASE WHEN coalesce(source_cobid, cobid) = cobid THEN 20000101 ELSE source_cobid END AS source_cobid,
        adjustment_type, CAST(scale_factor AS DOUBLE) AS scale_factor
-FROM hdr_inline"""))
+FROM hdr_orders"""))
 def adj_clone(spark, d):
-    v = S.register(spark, d, ["hdr_inline"])
-    h = v["hdr_inline"]
+    h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
     same = F.coalesce("source_cobid", "cobid") == F.col("cobid")
     return h.select(F.concat("adj_key", F.lit("-C")).alias("adj_key"), F.lit(20000101).alias("cobid"),
                     F.when(same, F.lit(20000101)).otherwise(F.col("source_cobid")).alias("source_cobid"),
@@ -282,9 +282,9 @@ def prj_delta_pointwise(spark, d):
                     F.when(flat, F.lit(0)).otherwise(val * f).cast("double").alias("projected_usd"))
 
 
-@q("jn_extra_rolls", S.with_views(["hdr_inline"], """
+@q("jn_extra_rolls", S.with_views(["hdr_orders"], """
 SELECT s.adj_key AS scale_adj, r.adj_key AS roll_adj, md5(s.adj_key || '-' || r.adj_key) AS extra_id, s.cobid
-FROM hdr_inline s JOIN hdr_inline r ON s.cobid = r.cobid AND r.created_date < s.created_date
+FROM hdr_orders s JOIN hdr_orders r ON s.cobid = r.cobid AND r.created_date < s.created_date
 WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
   AND coalesce(s.entity_code, r.entity_code, '~') = coalesce(r.entity_code, '~')
   AND coalesce(s.department_code, r.department_code, '~') = coalesce(r.department_code, '~')
@@ -298,41 +298,33 @@ WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
 def jn_extra_rolls(spark, d):
     """A Scale created after an earlier Roll at the same COB whose filters are narrower
     (every Scale filter open or equal to the Roll's) yields a synthetic extra adjustment."""
-    v = S.register(spark, d, ["hdr_inline"])
-    h = v["hdr_inline"]
-    s = h.where(F.lower("adjustment_type") == "scale").select(*[F.col(c).alias("s_" + c) for c in h.columns])
-    r = h.where(F.lower("adjustment_type") == "roll").select(*[F.col(c).alias("r_" + c) for c in h.columns])
-    cond = (F.col("s_cobid") == F.col("r_cobid")) & (F.col("r_created_date") < F.col("s_created_date"))
-    for c in S.FILTER_COLS:
-        cond = cond & (F.coalesce(F.col("s_" + c), F.col("r_" + c), F.lit("~")) == F.coalesce(F.col("r_" + c), F.lit("~")))
-    j = s.join(F.broadcast(r), cond)
-    return j.select(F.col("s_adj_key").alias("scale_adj"), F.col("r_adj_key").alias("roll_adj"),
-                    F.md5(F.concat_ws("-", "s_adj_key", "r_adj_key")).alias("extra_id"), F.col("s_cobid").alias("cobid"))
-
-
-# Named stress windows for full-entity rolls (name, start, end inclusive).
-SCENARIO_WINDOWS = [
-    ("ASIAN_CRISIS", "1997-07-01", "1998-01-31"),
-    ("LTCM", "1998-08-01", "1998-10-31"),
-    ("DOTCOM", "2000-03-01", "2000-12-31"),
-    ("SEPT_2001", "2001-09-01", "2001-10-31"),
-]
-
-
-@q("jn_window_scenarios", S.with_views(["lineitem"], """
-WITH w AS (SELECT * FROM (VALUES ('ASIAN_CRISIS', DATE '1997-07-01', DATE '1998-01-31'),
-   ('LTCM', DATE '1998-08-01', DATE '1998-10-31'), ('DOTCOM', DATE '2000-03-01', DATE '2000-12-31'),
-   ('SEPT_2001', DATE '2001-09-01', DATE '2001-10-31')) AS t(name, s, e))
-SELECT CAST(l_shipdate AS DATE) AS scenario_date, count(*) AS n FROM lineitem l
-WHERE EXISTS (SELECT 1 FROM w WHERE CAST(l.l_shipdate AS DATE) BETWEEN w.s AND w.e)
-GROUP BY 1"""))
+    h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
+    s = h.where(F.lower("adjustment_type") == "scale")
+    r = h.where(F.lower("adjustment_type") == "roll")
+    j = narrower_pairs(s, r, "adj_key", S.FILTER_COLS, ["cobid"], "created_date")
+    return j.select(F.col("a_adj_key").alias("scale_adj"), F.col("b_adj_key").alias("roll_adj"),
+                    F.md5(F.concat_ws("-", "a_adj_key", "b_adj_key")).alias("extra_id"), F.col("a_cobid").alias("cobid"))
+
+
+# Windows: the four quarters with the largest order volume, as a table made from the orders.
+WINDOWS_SQL = """
+SELECT CAST(year(o_orderdate) AS STRING) || 'Q' || CAST(quarter(o_orderdate) AS STRING) AS name,
+       CAST(min(o_orderdate) AS DATE) AS s, CAST(max(o_orderdate) AS DATE) AS e
+FROM orders GROUP BY year(o_orderdate), quarter(o_orderdate)
+ORDER BY sum(CAST(o_totalprice AS DECIMAL(18,2))) DESC, 1 LIMIT 4"""
+
+
+@q("jn_window_scenarios", S.with_views(["lineitem", "orders"], f"""
+WITH w AS ({WINDOWS_SQL})
+SELECT w.name, CAST(l.l_shipdate AS DATE) AS scenario_date, count(*) AS n FROM lineitem l
+JOIN w ON CAST(l.l_shipdate AS DATE) BETWEEN w.s AND w.e GROUP BY 1, 2"""))
 def jn_window_scenarios(spark, d):
-    v = S.register(spark, d, ["lineitem"])
-    w = spark.createDataFrame([(n, s, e) for n, s, e in SCENARIO_WINDOWS], "name string, s string, e string") \
-        .select("name", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
-    li = v["lineitem"].withColumn("scenario_date", F.to_date("l_shipdate"))
-    hit = li.join(F.broadcast(w), F.col("scenario_date").between(F.col("s"), F.col("e")), "left_semi")
-    return hit.groupBy("scenario_date").agg(F.count(F.lit(1)).alias("n"))
+    """Rows per window and day: the windows' days are listed, so the join is an equi-join on the date,
+    and the rows are counted per day before it."""
+    v = S.register(spark, d, ["lineitem", "orders"])
+    days = spark.sql(WINDOWS_SQL).select("name", F.explode(F.sequence("s", "e")).alias("scenario_date"))
+    counts = v["lineitem"].groupBy(F.to_date("l_shipdate").alias("scenario_date")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(days, "scenario_date").select("name", "scenario_date", "n")
 
 
 @q("set_union_scopes", scale_sql("hdr_inline", True, CUR_CTE + """
@@ -346,10 +338,10 @@ def set_union_scopes(spark, d):
     return u.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.sum("value_usd").cast("double").alias("value_usd"))
 
 
-@q("set_union_synthetic", S.with_views(["hdr_inline"], """
-SELECT adj_key, cobid, 'real' AS origin FROM hdr_inline
+@q("set_union_synthetic", S.with_views(["hdr_orders"], """
+SELECT adj_key, cobid, 'real' AS origin FROM hdr_orders
 UNION ALL
-SELECT md5(s.adj_key || '-' || r.adj_key), s.cobid, 'synthetic' FROM hdr_inline s JOIN hdr_inline r
+SELECT md5(s.adj_key || '-' || r.adj_key), s.cobid, 'synthetic' FROM hdr_orders s JOIN hdr_orders r
   ON s.cobid = r.cobid AND r.created_date < s.created_date
 WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
   AND coalesce(s.entity_code, r.entity_code, '~') = coalesce(r.entity_code, '~')
@@ -362,8 +354,8 @@ WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
   AND coalesce(s.source_system_code, r.source_system_code, '~') = coalesce(r.source_system_code, '~')
   AND coalesce(s.currency_code, r.currency_code, '~') = coalesce(r.currency_code, '~')"""))
 def set_union_synthetic(spark, d):
-    v = S.register(spark, d, ["hdr_inline"])
-    real = v["hdr_inline"].select("adj_key", "cobid", F.lit("real").alias("origin"))
+    v = S.register(spark, d, ["hdr_orders"])
+    real = v["hdr_orders"].select("adj_key", "cobid", F.lit("real").alias("origin"))
     syn = jn_extra_rolls(spark, d).select(F.col("extra_id").alias("adj_key"), "cobid", F.lit("synthetic").alias("origin"))
     return real.unionByName(syn)
 
@@ -375,12 +367,12 @@ def set_union_distinct(spark, d):
     return v["fact"].select("cobid").union(v["hdr_orders"].select("cobid")).distinct()
 
 
-@q("adj_roll_guard", S.with_views(["hdr_inline"], """
-SELECT adj_key, (coalesce(source_cobid, cobid) <> cobid) AS needs_combined FROM hdr_inline"""))
+@q("adj_roll_guard", S.with_views(["hdr_orders"], """
+SELECT adj_key, (coalesce(source_cobid, cobid) <> cobid) AS needs_combined FROM hdr_orders"""))
 def adj_roll_guard(spark, d):
     """Which requests need the combined relation (the planner refuses them without it)."""
-    v = S.register(spark, d, ["hdr_inline"])
-    return v["hdr_inline"].select("adj_key", (F.coalesce("source_cobid", "cobid") != F.col("cobid")).alias("needs_combined"))
+    v = S.register(spark, d, ["hdr_orders"])
+    return v["hdr_orders"].select("adj_key", (F.coalesce("source_cobid", "cobid") != F.col("cobid")).alias("needs_combined"))
 
 
 def cob_dates(df, col="cobid"):
