@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE, effective_factor
 from restate.operators.match import wildcard_match
+from restate.plans.scale import request_cobs
 
 
 def matched(fact_attr: DataFrame, headers: DataFrame, filter_map: dict[str, str], cob_col="cobid",
@@ -25,6 +26,7 @@ def matched(fact_attr: DataFrame, headers: DataFrame, filter_map: dict[str, str]
                        effective_factor("adjustment_type", "scale_factor", "cobid", src).alias("_p_eff"),
                        *[F.col(c).alias(f"_pf_{c}") for c in filter_map])
     fmap = {f"_pf_{k}": v for k, v in filter_map.items()}
+    fact_attr = fact_attr.where(F.col(cob_col).isin(request_cobs(headers)))
     return wildcard_match(fact_attr, h, fmap, fact_cob=cob_col, header_cob="_p_match")
 
 

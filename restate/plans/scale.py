@@ -79,6 +79,15 @@ def drop_dominated(legs_h: DataFrame, filter_cols) -> DataFrame:
     return g.select(*legs_h.columns)
 
 
+def request_cobs(headers: DataFrame) -> list[int]:
+    """Business dates that some request reads or writes (a calendar's worth of values at most).
+
+    As a literal list they become a partition filter of the fact, ahead of every join."""
+    both = F.array(F.col("cobid").cast("int"), F.coalesce("source_cobid", "cobid").cast("int"))
+    rows = headers.select(F.explode(both).alias("c")).distinct().collect()
+    return sorted(r["c"] for r in rows if r["c"] is not None)
+
+
 def request_profile(headers: DataFrame, filter_cols) -> dict:
     """One planning job: active filters, signatures, row count, cross-COB presence."""
     cross = F.col("source_cobid").isNotNull() & (F.col("source_cobid") != F.col("cobid"))
@@ -88,6 +97,7 @@ def request_profile(headers: DataFrame, filter_cols) -> dict:
     prof = profile_requests(headers, filter_cols, {"has_cross": cross}, distinct_key=key)
     # request legs after dominance reduction: at most one per distinct request key
     # and leg, i.e. a proven bound from the same planning job
+    prof["cobs"] = request_cobs(headers)
     prof["legs_bound"] = sum(g["_nd"] * (2 if g["has_cross"] else 1) for g in prof["groups"])
     return prof
 
@@ -113,6 +123,8 @@ def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str],
     rel = fact.select(*rel_cols).withColumn("_is_delta", F.lit(False))
     if deltas is not None and profile["has_cross"]:
         rel = rel.unionByName(deltas.select(*rel_cols).withColumn("_is_delta", F.lit(True)))
+    if "cobs" in profile:
+        rel = rel.where(F.col(cob_col).isin(profile["cobs"]))
     # proven bound on the request side: legs per request, or distinct keys when reduced
     bound = profile.get("legs_bound") if dominated and "legs_bound" in profile else 3 * profile["rows"]
     small = True if bound <= BROADCAST_MAX_ROWS else None
