@@ -19,15 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.functions.factor import VALUE_TYPE
-from restate.operators.match import sized_broadcast
 
 
-def _slice(df: DataFrame, rolls: DataFrame, cob_col: str, roll_cob: str, entity_col: str) -> DataFrame:
-    r = rolls.select(F.col(roll_cob).alias("_r_cob"), F.upper(F.col("entity_code")).alias("_r_ent"),
-                     F.col("adjustment_id").alias("_r_adj"), F.col("created_date").alias("_r_created"),
-                     F.col("cobid").alias("_r_target"))
-    r, _ = sized_broadcast(r, 1_000_000)
-    return df.join(r, (F.col(cob_col) == F.col("_r_cob")) & (F.upper(F.col(entity_col)) == F.col("_r_ent")), "inner")
+def _rolled(df: DataFrame, legs: DataFrame, cob_col: str, entity_col: str) -> DataFrame:
+    """Rows in a slice that some leg reads; the legs' few dates come first, as a filter of the scan."""
+    cobs = sorted({r["_r_cob"] for r in legs.select("_r_cob").distinct().collect() if r["_r_cob"] is not None})
+    return df.where(F.col(cob_col).isin(cobs)).join(
+        legs, (F.col(cob_col) == F.col("_r_cob")) & (F.upper(F.col(entity_col)) == F.col("_r_ent")), "inner")
 
 
 def entity_roll(fact_attr: DataFrame, deltas_attr: DataFrame, rolls: DataFrame, position_cols, metrics,
@@ -35,25 +33,29 @@ def entity_roll(fact_attr: DataFrame, deltas_attr: DataFrame, rolls: DataFrame,
     """Returns ``kept``, ``new_rows``, ``deltas`` (kept + new) and ``superseded`` ids.
 
     ``rolls``: adjustment_id, cobid (target), source_cobid, entity_code, created_date.
-    ``fact_attr``/``deltas_attr`` carry the entity attribute next to the position.
+    ``fact_attr``/``deltas_attr`` carry the entity attribute next to the position;
+    the deltas should be a stored table, as they are read for each of the results.
+    The fact is read once: a row is matched with the legs that flatten it (target
+    slice, sign -1) and those that carry it (source slice, sign +1) in one join.
     """
     pos = [c for c in position_cols if c != cob_col]
     out_cols = [cob_col, "adjustment_id", "adjustment_created_timestamp", *pos, *metrics]
-    wiped = _slice(deltas_attr, rolls, cob_col, "cobid", entity_col)
+    base = [F.upper(F.col("entity_code")).alias("_r_ent"), F.col("adjustment_id").alias("_r_adj"),
+            F.col("created_date").alias("_r_created"), F.col("cobid").alias("_r_target")]
+    target = rolls.select(F.col("cobid").alias("_r_cob"), *base, F.lit(-1).cast(VALUE_TYPE).alias("_r_sign"))
+    source = rolls.select(F.col("source_cobid").alias("_r_cob"), *base, F.lit(1).cast(VALUE_TYPE).alias("_r_sign"))
+
+    def moved(df: DataFrame, legs: DataFrame) -> DataFrame:
+        values = [F.when(F.col("_r_sign") < 0, -F.col(m).cast(VALUE_TYPE)).otherwise(F.col(m).cast(VALUE_TYPE)).alias(m) for m in metrics]
+        return _rolled(df, legs, cob_col, entity_col).select(
+            F.col("_r_target").alias(cob_col), F.col("_r_adj").alias("adjustment_id"),
+            F.col("_r_created").alias("adjustment_created_timestamp"), *pos, *values)
+
+    wiped = _rolled(deltas_attr, target, cob_col, entity_col)
     keep_keys = rolls.select(F.col("cobid").alias("_k_cob"), F.upper(F.col("entity_code")).alias("_k_ent"))
-    keep_keys, _ = sized_broadcast(keep_keys, 1_000_000)
     kept = deltas_attr.join(keep_keys, (F.col(cob_col) == F.col("_k_cob"))
                             & (F.upper(F.col(entity_col)) == F.col("_k_ent")), "left_anti")
-    flatten = _slice(fact_attr, rolls, cob_col, "cobid", entity_col).select(
-        F.col("_r_target").alias(cob_col), F.col("_r_adj").alias("adjustment_id"),
-        F.col("_r_created").alias("adjustment_created_timestamp"), *pos,
-        *[(-F.col(m).cast(VALUE_TYPE)).alias(m) for m in metrics])
-    src_rel = fact_attr.select(cob_col, *pos, entity_col, *[F.col(m).cast(VALUE_TYPE).alias(m) for m in metrics]) \
-        .unionByName(deltas_attr.select(cob_col, *pos, entity_col, *[F.col(m).cast(VALUE_TYPE).alias(m) for m in metrics]))
-    carry = _slice(src_rel, rolls, cob_col, "source_cobid", entity_col).select(
-        F.col("_r_target").alias(cob_col), F.col("_r_adj").alias("adjustment_id"),
-        F.col("_r_created").alias("adjustment_created_timestamp"), *pos, *metrics)
-    new_rows = flatten.unionByName(carry)
+    new_rows = moved(fact_attr, target.unionByName(source)).unionByName(moved(deltas_attr, source))
     kept_rows = kept.select(*[F.col(c).cast(VALUE_TYPE).alias(c) if c in metrics else F.col(c) for c in out_cols])
     superseded = wiped.select(F.col("adjustment_id").alias("superseded_id"),
                               F.col("_r_adj").alias("superseded_by")).distinct()

@@ -14,6 +14,7 @@ from restate.plans.scale import legacy_roll
 from restate.queries import standin as S
 from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, Query, attach_attrs, current_deltas, doubles,
                                     prior_deltas, run_scale, scale_sql, _attrs)
+from restate.sources import io as IO
 
 QUERIES: list[Query] = []
 
@@ -48,7 +49,8 @@ _ROLL_CTES = CUR_CTE + ", " + _attrs("cur", "cura") + f""",
 def _roll(spark, d):
     v = S.register(spark, d, ["fact", "book_dim", "rolls_inline"])
     fa = attach_attrs(v["fact"], v, ["entity_code"])
-    da = attach_attrs(current_deltas(spark, d), v, ["entity_code"])
+    stored = IO.write_image(current_deltas(spark, d), "deltas")  # the delta table that a roll reads
+    da = attach_attrs(stored, v, ["entity_code"])
     return entity_roll(fa, da, v["rolls_inline"], S.POSITION_COLS, M2), v
 
 
