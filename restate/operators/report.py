@@ -30,11 +30,14 @@ def _ts(now) -> Column:
 
 
 def kpi_per_cob(headers: DataFrame, overlaps: DataFrame | None = None, id_col="adj_key") -> DataFrame:
-    """Per COB: distinct counts per status, processed value, timing, users, overlap alerts."""
+    """Per COB: counts per status, processed value, timing, users, overlap alerts.
+
+    ``id_col`` is unique per row, so rows are counted; only users need a distinct count.
+    ``overlaps``: overlapping pairs per COB (cobid, pairs)."""
     h = headers.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
-    aggs = [F.countDistinct(id_col).alias("total_adjustments")]
-    aggs += [F.countDistinct(F.when(F.col("run_status") == s, F.col(id_col))).alias(n) for n, s in KPI_STATUSES.items()]
-    aggs += [F.countDistinct(F.when(F.col("run_status").like("Rejected%"), F.col(id_col))).alias("rejected_count"),
+    aggs = [F.count(id_col).alias("total_adjustments")]
+    aggs += [F.count_if(F.col("run_status") == s).alias(n) for n, s in KPI_STATUSES.items()]
+    aggs += [F.count_if(F.col("run_status").like("Rejected%")).alias("rejected_count"),
              F.sum(F.when(F.col("run_status") == STATUS_PROCESSED, F.col("adjustment_value_in_usd")).otherwise(F.lit(0)))
              .alias("total_processed_value_usd"),
              F.min("created_date").alias("first_submission"), F.max("process_date").alias("last_processing"),
@@ -43,7 +46,7 @@ def kpi_per_cob(headers: DataFrame, overlaps: DataFrame | None = None, id_col="a
              F.countDistinct("username").alias("unique_users")]
     k = h.groupBy("cobid").agg(*aggs)
     if overlaps is not None:
-        o = overlaps.groupBy(F.col("cobid").alias("_oc")).agg(F.count(F.lit(1)).alias("_on"))
+        o = overlaps.groupBy(F.col("cobid").alias("_oc")).agg(F.sum("pairs").alias("_on"))
         k = k.join(o, F.col("cobid") == F.col("_oc"), "left").drop("_oc") \
             .withColumn("overlap_alerts", F.coalesce(F.col("_on"), F.lit(0))).drop("_on")
     return k

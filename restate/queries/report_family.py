@@ -142,9 +142,9 @@ WITH k AS ({_KPI_SQL}),
        GROUP BY a.cobid)
 SELECT k.*, coalesce(o.n, 0) AS overlap_alerts FROM k LEFT JOIN o ON k.cobid = o.cobid"""))
 def agg_kpi(spark, d):
-    from restate.queries.overlap_family import jn_self_overlap
+    from restate.operators.overlap import overlap_counts
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
-    k = RP.kpi_per_cob(h, jn_self_overlap(spark, d))
+    k = RP.kpi_per_cob(h, overlap_counts(h.where(~F.col("is_deleted")), S.FILTER_COLS, ["cobid", "process_type"]))
     return k.withColumn("total_processed_value_usd", F.col("total_processed_value_usd").cast("double")) \
         .withColumn("avg_processing_seconds", F.col("avg_processing_seconds").cast("double"))
 
