@@ -10,7 +10,7 @@ from restate.operators import delta as D
 from restate.operators.match import active_filters, wildcard_match
 from restate.plans.scale import request_legs, scale_legs
 from restate.queries import standin as S
-from restate.queries.common import (OUT_COLS, POS_NO_COB, Query, attach_attrs, dbl_select, doubles,
+from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, Query, attach_attrs, dbl_select, current_deltas, doubles,
                                     prior_deltas, run_scale, scale_sql)
 
 QUERIES: list[Query] = []
@@ -153,12 +153,14 @@ def agg_adjusted_fact(spark, d):
     return doubles(out, ["original_usd", "delta_usd", "adjusted_usd"])
 
 
-@q("agg_summary_rebuild", scale_sql("hdr_inline", True, """
+@q("agg_summary_rebuild", scale_sql("hdr_inline", True, CUR_CTE + """
 SELECT cobid, adjustment_id, source_system_code, currency_code,
        CAST(sum(value_local) AS DOUBLE) AS value_local, CAST(sum(value_usd) AS DOUBLE) AS value_usd
-FROM b_out GROUP BY ALL"""))
+FROM cur WHERE cobid IN (SELECT cobid FROM b_out) GROUP BY ALL"""))
 def agg_summary_rebuild(spark, d):
-    s = D.summarise(run_scale(spark, d, "hdr_inline"),
+    """The business dates that the batch touched, summed over the whole delta table there."""
+    touched = run_scale(spark, d, "hdr_inline").select("cobid").distinct()
+    s = D.summarise(current_deltas(spark, d).join(touched, "cobid", "left_semi"),
                     ["cobid", "adjustment_id", "source_system_code", "currency_code"], M2)
     return doubles(s, M2)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from restate.operators import overlap as O
+from restate.spec import OVERLAP_HORIZON_DAYS, PIPELINE_OF_SCOPE
 from restate.queries import standin as S
 from restate.queries.common import Query
 
@@ -20,6 +21,10 @@ def q(name, sql=None):
 
 DIMS = list(S.FILTER_COLS)
 GRP = ["cobid", "process_type"]
+PIPE = ["cobid", "pipeline"]
+# Stand-in for scope names: three market segments play the scopes that share one pipeline.
+SCOPE_OF_SEGMENT = {"BUILDING": "FRTB", "FURNITURE": "FRTBDRC", "HOUSEHOLD": "FRTBRRAO"}
+_PIPELINE_SQL = "CASE WHEN process_type IN ('BUILDING', 'FURNITURE', 'HOUSEHOLD') THEN 'FRTB' ELSE process_type END"
 
 
 def _compat(a: str, b: str) -> str:
@@ -32,6 +37,12 @@ def _live(spark, d):
     return v["hdr_queue"].where(~F.col("is_deleted"))
 
 
+def _piped(spark, d):
+    """Live requests with the pipeline their scope runs in: scopes of one pipeline block each other."""
+    pipeline = {seg: PIPELINE_OF_SCOPE[scope] for seg, scope in SCOPE_OF_SEGMENT.items()}
+    return O.with_pipeline(_live(spark, d), "process_type", pipeline)
+
+
 @q("jn_self_overlap", S.with_views(["hdr_queue"], f"""
 WITH h AS (SELECT * FROM hdr_queue WHERE NOT is_deleted)
 SELECT a.cobid, a.process_type, a.adj_key AS adj_a, b.adj_key AS adj_b,
@@ -40,35 +51,40 @@ SELECT a.cobid, a.process_type, a.adj_key AS adj_a, b.adj_key AS adj_b,
        CASE WHEN b.created_date > a.created_date OR (b.created_date = a.created_date AND b.adj_key > a.adj_key)
             THEN a.adj_key ELSE b.adj_key END AS superseded_adj
 FROM h a JOIN h b ON a.cobid = b.cobid AND a.process_type = b.process_type AND a.adj_key < b.adj_key
- AND {_compat('a', 'b')}"""))
+ AND {_compat('a', 'b')}
+ AND a.created_date >= (SELECT max(created_date) FROM h) - INTERVAL {OVERLAP_HORIZON_DAYS} DAY
+ AND b.created_date >= (SELECT max(created_date) FROM h) - INTERVAL {OVERLAP_HORIZON_DAYS} DAY"""))
 def jn_self_overlap(spark, d):
+    """Alerts for requests created in the last 35 days; today is the newest request's time."""
     h = _live(spark, d).select("adj_key", *GRP, "created_date", *DIMS)
+    today = h.agg(F.max("created_date")).first()[0]
+    h = O.within_horizon(h, "created_date", today, OVERLAP_HORIZON_DAYS)
     return O.overlap_alerts(h, "adj_key", DIMS, GRP, "created_date")
 
 
 @q("jn_block_running", S.with_views(["hdr_queue"], f"""
-WITH h AS (SELECT * FROM hdr_queue WHERE NOT is_deleted)
+WITH h AS (SELECT *, {_PIPELINE_SQL} AS pipeline FROM hdr_queue WHERE NOT is_deleted)
 SELECT a.adj_key, min_by(b.adj_key, struct_pack(c := b.created_date, i := b.adj_key)) AS blocked_by
-FROM h a JOIN h b ON a.cobid = b.cobid AND a.process_type = b.process_type
+FROM h a JOIN h b ON a.cobid = b.cobid AND a.pipeline = b.pipeline
  AND a.run_status = 'Pending' AND b.run_status = 'Running' AND {_compat('a', 'b')}
 GROUP BY a.adj_key"""))
 def jn_block_running(spark, d):
-    h = _live(spark, d).select("adj_key", *GRP, "created_date", "run_status", *DIMS)
-    return O.block_running(h, "adj_key", DIMS, GRP, "created_date")
+    h = _piped(spark, d).select("adj_key", *PIPE, "created_date", "run_status", *DIMS)
+    return O.block_running(h, "adj_key", DIMS, PIPE, "created_date")
 
 
 @q("jn_first_blocker", S.with_views(["hdr_queue"], f"""
-WITH h AS (SELECT * FROM hdr_queue WHERE NOT is_deleted)
+WITH h AS (SELECT *, {_PIPELINE_SQL} AS pipeline FROM hdr_queue WHERE NOT is_deleted)
 SELECT a.adj_key, min_by(b.adj_key, struct_pack(c := b.created_date, i := b.adj_key)) AS blocked_by
-FROM h a JOIN h b ON a.cobid = b.cobid AND a.process_type = b.process_type AND a.adj_key <> b.adj_key
+FROM h a JOIN h b ON a.cobid = b.cobid AND a.pipeline = b.pipeline AND a.adj_key <> b.adj_key
  AND a.run_status = 'Pending Approval' AND b.run_status IN ('Pending', 'Approved', 'Running')
  AND b.created_date < a.created_date AND {_compat('a', 'b')}
 GROUP BY a.adj_key"""))
 def jn_first_blocker(spark, d):
-    h = _live(spark, d).select("adj_key", *GRP, "created_date", "run_status", *DIMS)
+    h = _piped(spark, d).select("adj_key", *PIPE, "created_date", "run_status", *DIMS)
     new = h.where(F.col("run_status") == "Pending Approval")
     live = h.where(F.col("run_status").isin("Pending", "Approved", "Running"))
-    return O.first_blocker(new, live, "adj_key", DIMS, GRP, "created_date", older_only=True)
+    return O.first_blocker(new, live, "adj_key", DIMS, PIPE, "created_date", older_only=True)
 
 
 @q("srt_first_overlap", S.with_views(["hdr_queue"], f"""
@@ -86,16 +102,16 @@ def srt_first_overlap(spark, d):
 
 
 @q("jn_unblock", S.with_views(["hdr_queue"], f"""
-WITH h AS (SELECT * FROM hdr_queue WHERE NOT is_deleted),
+WITH h AS (SELECT *, {_PIPELINE_SQL} AS pipeline FROM hdr_queue WHERE NOT is_deleted),
  stale AS (SELECT * FROM h WHERE blocked_by_adj_id IS NOT NULL
            AND blocked_by_adj_id NOT IN (SELECT adj_key FROM h WHERE run_status = 'Running')),
  rb AS (SELECT a.adj_key, min_by(b.adj_key, struct_pack(c := b.created_date, i := b.adj_key)) AS nb
-        FROM stale a JOIN h b ON a.cobid = b.cobid AND a.process_type = b.process_type
+        FROM stale a JOIN h b ON a.cobid = b.cobid AND a.pipeline = b.pipeline
          AND a.run_status = 'Pending' AND b.run_status = 'Running' AND {_compat('a', 'b')} GROUP BY a.adj_key)
 SELECT s.adj_key, rb.nb AS new_blocked_by FROM stale s LEFT JOIN rb ON s.adj_key = rb.adj_key"""))
 def jn_unblock(spark, d):
-    h = _live(spark, d).select("adj_key", *GRP, "created_date", "run_status", "blocked_by_adj_id", *DIMS)
-    return O.unblock(h, "adj_key", DIMS, GRP, "created_date")
+    h = _piped(spark, d).select("adj_key", *PIPE, "created_date", "run_status", "blocked_by_adj_id", *DIMS)
+    return O.unblock(h, "adj_key", DIMS, PIPE, "created_date")
 
 
 @q("jn_list_intersect", S.with_views(["lineitem", "orders", "part"], """
