@@ -56,10 +56,11 @@ def reply_paths(messages: DataFrame, paths_per_tree: int = 1) -> DataFrame:
             break
         far = jump.select(F.col("tree").alias("f_tree"), F.col("node").alias("f_node"), F.col("up").alias("f_up"),
                           F.col("steps").alias("f_steps"), F.col("total").alias("f_total"))
-        jump = store(jump.join(far, (F.col("tree") == F.col("f_tree")) & (F.col("up") == F.col("f_node")), "left").select(
-            "tree", "node", F.col("f_up").alias("up"),
-            (F.col("steps") + F.coalesce(F.col("f_steps"), F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce(F.col("f_total"), F.lit(0.0))).alias("total")), "reply-jump")
+        # messages that have reached their root are through: only the others are joined
+        moved = jump.where(F.col("up").isNotNull()).join(far, (F.col("tree") == F.col("f_tree")) & (F.col("up") == F.col("f_node"))).select(
+            "tree", "node", F.col("f_up").alias("up"), (F.col("steps") + F.col("f_steps")).alias("steps"),
+            (F.col("total") + F.col("f_total")).alias("total"))
+        jump = store(jump.where(F.col("up").isNull()).unionByName(moved), "reply-jump")
         tables.append(jump)
     # `up` is null for all now (but in cycles): steps is the depth, total the score of the whole path
     done = jump.where(F.col("up").isNull()).select("tree", "node", "steps", "total")
