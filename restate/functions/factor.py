@@ -1,4 +1,4 @@
-"""Adjustment-type arithmetic: effective factor, action, delta columns."""
+"""Restatement-type arithmetic: effective factor, action, delta columns."""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def effective_factor(adj_type, factor, cobid, source_cobid, other: float = 0.0)
 
 
 def action_of(adj_type) -> Column:
-    """Adjustment type -> processing action (case-insensitive); unknown -> NULL."""
+    """Restatement type -> processing action (case-insensitive); unknown -> NULL."""
     m = F.create_map(*[x for k, v in ACTION_MAP.items() for x in (F.lit(k), F.lit(v))])
     return m[F.lower(F.trim(_c(adj_type)))]
 

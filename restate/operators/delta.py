@@ -3,7 +3,7 @@ summaries and bookkeeping.
 
 Invariant maintained by every operator here::
 
-    combined(position) = original(position) + sum(delta(position, adjustment))
+    combined(position) = original(position) + sum(delta(position, restatement))
 
 All operators are DataFrame -> DataFrame and keep the work distributed; the only
 shuffles are the grouping keys named in each docstring.
@@ -29,9 +29,9 @@ def _sum_cols(metrics, dtype=None):
 
 def net_positions(legs: DataFrame, key_cols, adj_col: str, metrics, usd_metric: str,
                   carry_max=(), carry_any=()) -> DataFrame:
-    """One row per (position, adjustment): SUM metrics, HAVING sum(usd) != 0.
+    """One row per (position, restatement): SUM metrics, HAVING sum(usd) != 0.
 
-    Shuffle on (position, adjustment) with map-side partial sums, so a hot
+    Shuffle on (position, restatement) with map-side partial sums, so a hot
     position is pre-aggregated before it is moved.  ``carry_max`` columns are
     taken with MAX (deterministic ANY_VALUE); ``carry_any`` with ``any_value``.
     """
@@ -44,10 +44,10 @@ def net_positions(legs: DataFrame, key_cols, adj_col: str, metrics, usd_metric:
 
 def rank_latest(netted: DataFrame, key_cols, created_col: str, adj_col: str,
                 method: str = "aggregate", order_col: str | None = None) -> DataFrame:
-    """Keep, per position, only the newest adjustment (created desc, id desc).
+    """Keep, per position, only the newest restatement (created desc, id desc).
 
     Equivalent to ``DENSE_RANK() ... = 1``: after netting there is exactly one row
-    per (position, adjustment) and ids are unique, so rank 1 is a single row.
+    per (position, restatement) and ids are unique, so rank 1 is a single row.
     ``aggregate`` (default) uses ``max_by`` with partial aggregation — a position
     touched by thousands of requests never lands whole in one task; ``window``
     is the literal dense-rank form.
@@ -119,14 +119,14 @@ def summarise(deltas: DataFrame, summary_cols, metrics, nonzero_col: str | None
 
 
 def record_counts(headers: DataFrame, deltas: DataFrame, adj_col: str, delta_adj_col: str | None = None) -> DataFrame:
-    """Rows written per adjustment, zero-filled for requests that matched nothing."""
+    """Rows written per restatement, zero-filled for requests that matched nothing."""
     delta_adj_col = delta_adj_col or adj_col
     counts = deltas.groupBy(F.col(delta_adj_col).alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
     j = headers.join(counts, F.col(adj_col) == F.col("_a"), "left")
     return j.select(*headers.columns, F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("record_count"))
 
 
-def zero_match_warning(counted: DataFrame, type_col="adjustment_type", factor_col="scale_factor",
+def zero_match_warning(counted: DataFrame, type_col="restatement_type", factor_col="scale_factor",
                        cob_col="cobid", src_col="source_cobid") -> DataFrame:
     """Processed with 0 rows, except a same-COB Scale by factor 1 (a legitimate no-op)."""
     same = F.col(src_col).isNull() | (F.col(src_col) == F.col(cob_col))
@@ -163,7 +163,7 @@ def group_zero_flag(df: DataFrame, key_cols, metric: str, flag: str = "all_zero"
 
 
 def reverse(items: DataFrame, adj_col: str, old_id, new_id, metrics) -> DataFrame:
-    """Negated copy of one adjustment's rows under a new id."""
+    """Negated copy of one restatement's rows under a new id."""
     src = items.where(F.col(adj_col) == F.lit(old_id))
     return src.select(*[
         (F.lit(new_id).cast(items.schema[adj_col].dataType).alias(c) if c == adj_col
@@ -173,7 +173,7 @@ def reverse(items: DataFrame, adj_col: str, old_id, new_id, metrics) -> DataFram
 
 
 def remove_ids(deltas: DataFrame, ids: DataFrame, adj_col: str, ids_col: str | None = None) -> DataFrame:
-    """Remove every row of the given adjustment ids (retry cleanup / delete)."""
+    """Remove every row of the given restatement ids (retry cleanup / delete)."""
     ids_col = ids_col or adj_col
     k = ids.select(F.col(ids_col).alias("_rid")).distinct()
     return deltas.join(k, F.col(adj_col) == F.col("_rid"), "left_anti")

@@ -1,4 +1,4 @@
-"""Wildcard matching of fact rows against adjustment requests.
+"""Wildcard matching of fact rows against restatement requests.
 
 A request filter that is NULL matches anything; a set filter must equal the fact
 attribute case-insensitively.  ``a.c = f.c OR a.c IS NULL`` is not hash-joinable,

@@ -1,4 +1,4 @@
-"""Reconciliation: expected vs written delta per adjustment, with the status
+"""Reconciliation: expected vs written delta per restatement, with the status
 vocabulary of the reference's reconciliation report."""
 
 from __future__ import annotations
@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restate.spec import (RECON_BREAK, RECON_MISSING_ADJUSTMENT, RECON_MISSING_ORIGINAL, RECON_MISSING_SOURCE,
+from restate.spec import (RECON_BREAK, RECON_MISSING_RESTATEMENT, RECON_MISSING_ORIGINAL, RECON_MISSING_SOURCE,
                           RECON_NO_DATA, RECON_NO_OP, RECON_RECONCILED, RECON_TOLERANCE)
 
 
@@ -30,7 +30,7 @@ def recon_status(type_col: str, factor_col: str, cob_col: str, src_col: str, ori
     return (F.when(F.col(original).isNull() & F.col(written).isNull() & (~cross | F.col(source).isNull()), RECON_NO_DATA)
             .when((t == "scale") & ~cross & (F.col(factor_col) == 1) & F.col(written).isNull(), RECON_NO_OP)
             .when(cross & F.col(source).isNull(), RECON_MISSING_SOURCE)
-            .when(F.col(written).isNull(), RECON_MISSING_ADJUSTMENT)
+            .when(F.col(written).isNull(), RECON_MISSING_RESTATEMENT)
             .when(~cross & F.col(original).isNull(), RECON_MISSING_ORIGINAL)
             .when(F.abs(F.col(expected) - F.col(written)) < F.lit(tol), RECON_RECONCILED)
             .otherwise(RECON_BREAK))
@@ -38,15 +38,15 @@ def recon_status(type_col: str, factor_col: str, cob_col: str, src_col: str, ori
 
 def reconcile(headers: DataFrame, original: DataFrame, source: DataFrame, written: DataFrame, id_col: str,
               metric: str) -> DataFrame:
-    """Per adjustment: original, source, expected and written totals plus a status.
+    """Per restatement: original, source, expected and written totals plus a status.
 
-    Every side is pre-aggregated per adjustment before the joins."""
+    Every side is pre-aggregated per restatement before the joins."""
     o = original.groupBy(id_col).agg(F.sum(metric).alias("original_total"))
     s = source.groupBy(id_col).agg(F.sum(metric).alias("source_total"))
     w = written.groupBy(id_col).agg(F.sum(metric).alias("written_delta"))
     j = headers.join(o, id_col, "left").join(s, id_col, "left").join(w, id_col, "left")
-    j = j.withColumn("expected_delta", expected_delta("adjustment_type", "scale_factor", "cobid", "source_cobid",
+    j = j.withColumn("expected_delta", expected_delta("restatement_type", "scale_factor", "cobid", "source_cobid",
                                                       "original_total", "source_total"))
-    return j.withColumn("recon_status", recon_status("adjustment_type", "scale_factor", "cobid", "source_cobid",
+    return j.withColumn("recon_status", recon_status("restatement_type", "scale_factor", "cobid", "source_cobid",
                                                      "original_total", "source_total", "written_delta",
                                                      "expected_delta"))

@@ -35,10 +35,10 @@ def kpi_per_cob(headers: DataFrame, overlaps: DataFrame | None = None, id_col="a
     ``id_col`` is unique per row, so rows are counted; only users need a distinct count.
     ``overlaps``: overlapping pairs per COB (cobid, pairs)."""
     h = headers.where(~F.coalesce(F.col("is_deleted"), F.lit(False)))
-    aggs = [F.count(id_col).alias("total_adjustments")]
+    aggs = [F.count(id_col).alias("total_restatements")]
     aggs += [F.count_if(F.col("run_status") == s).alias(n) for n, s in KPI_STATUSES.items()]
     aggs += [F.count_if(F.col("run_status").like("Rejected%")).alias("rejected_count"),
-             F.sum(F.when(F.col("run_status") == STATUS_PROCESSED, F.col("adjustment_value_in_usd")).otherwise(F.lit(0)))
+             F.sum(F.when(F.col("run_status") == STATUS_PROCESSED, F.col("restatement_value_in_usd")).otherwise(F.lit(0)))
              .alias("total_processed_value_usd"),
              F.min("created_date").alias("first_submission"), F.max("process_date").alias("last_processing"),
              F.avg(F.when(F.col("run_status") == STATUS_PROCESSED,
@@ -90,7 +90,7 @@ def health(headers: DataFrame, now, stale_minutes: int = 240) -> DataFrame:
 
 
 def impact_summary(headers: DataFrame, deltas: DataFrame, original: DataFrame, id_col: str, metric: str) -> DataFrame:
-    """Per adjustment: rows, sum |delta|, net delta, original total, % impact (pre-aggregated sides)."""
+    """Per restatement: rows, sum |delta|, net delta, original total, % impact (pre-aggregated sides)."""
     d = deltas.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows_affected"),
                                    F.sum(F.abs(F.col(metric))).alias("abs_delta"), F.sum(metric).alias("net_delta"))
     o = original.groupBy(id_col).agg(F.sum(metric).alias("original_total"))

@@ -59,7 +59,7 @@ def resolve_qualified(df: DataFrame, dim: DataFrame, row_id, code_col: str, dim_
     return out.select(*df.columns, F.coalesce(F.col("_rk"), F.lit(unknown)).alias(out_col))
 
 
-def dummy_code(primary, fallback, suffix: str = "/ADJUSTMENT") -> Column:
+def dummy_code(primary, fallback, suffix: str = "/RESTATEMENT") -> Column:
     """Missing primary code -> '<fallback><suffix>' (turns an OR join into an equi join)."""
     p = primary if isinstance(primary, Column) else F.col(primary)
     f = fallback if isinstance(fallback, Column) else F.col(fallback)

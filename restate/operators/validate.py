@@ -123,7 +123,7 @@ def errors_per_row(errs: DataFrame, id_cols, error_col: str, sep: str = "; ") ->
     return errs.groupBy(*id_cols).agg(F.array_join(F.array_sort(F.collect_list(error_col)), sep).alias("errors"))
 
 
-def request_errors(reason_col="reason", type_col="adjustment_type", factor_col="scale_factor",
+def request_errors(reason_col="reason", type_col="restatement_type", factor_col="scale_factor",
                    cob_col="cobid", src_col="source_cobid", min_reason: int = 10) -> Column:
     """Request-level rules: reason length, pointless factor, roll dates."""
     t = F.lower(F.col(type_col))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from restate.operators.match import sized_broadcast
 from restate.spec import SIGNOFF_ALL_ENTITIES, STAGE_RETENTION_DAYS, STALE_RUNNING_MINUTES
 
-# Sign-off states that block adjustments.
+# Sign-off states that block restatements.
 SIGNOFF_BLOCKING = ("SIGNED_OFF", "REOPEN_REQUESTED", "SIGNOFF_REQUESTED")
 SIGNOFF_PENDING = ("SIGNOFF_REQUESTED", "REOPEN_REQUESTED")
 # Older state machine (status -> allowed next statuses).
@@ -170,7 +170,7 @@ def decide(headers: DataFrame, decisions: DataFrame, approvers: DataFrame, id_co
     a, _ = sized_broadcast(a, 5_000_000)
     j = decisions.join(h, F.col(id_col) == F.col("_hid"), "left")
     j = j.join(a, (_u("approver") == F.col("_ap")) & (_u("_hscope") == F.col("_apscope")), "left")
-    outcome = (F.when(F.col("_hid").isNull(), "Refused: unknown adjustment")
+    outcome = (F.when(F.col("_hid").isNull(), "Refused: unknown restatement")
                .when(F.col("_hst") != "Pending Approval", "Refused: not pending approval")
                .when(_u("approver") == _u("_hsub"), "Refused: approver is the submitter")
                .when(F.col("_aok").isNull(), "Refused: not an approver for this scope")

@@ -32,15 +32,15 @@ def entity_roll(fact_attr: DataFrame, deltas_attr: DataFrame, rolls: DataFrame,
                 cob_col: str = "cobid", entity_col: str = "entity_code") -> dict[str, DataFrame]:
     """Returns ``kept``, ``new_rows``, ``deltas`` (kept + new) and ``superseded`` ids.
 
-    ``rolls``: adjustment_id, cobid (target), source_cobid, entity_code, created_date.
+    ``rolls``: restatement_id, cobid (target), source_cobid, entity_code, created_date.
     ``fact_attr``/``deltas_attr`` carry the entity attribute next to the position;
     the deltas should be a stored table, as they are read for each of the results.
     The fact is read once: a row is matched with the legs that flatten it (target
     slice, sign -1) and those that carry it (source slice, sign +1) in one join.
     """
     pos = [c for c in position_cols if c != cob_col]
-    out_cols = [cob_col, "adjustment_id", "adjustment_created_timestamp", *pos, *metrics]
-    base = [F.upper(F.col("entity_code")).alias("_r_ent"), F.col("adjustment_id").alias("_r_adj"),
+    out_cols = [cob_col, "restatement_id", "restatement_created_timestamp", *pos, *metrics]
+    base = [F.upper(F.col("entity_code")).alias("_r_ent"), F.col("restatement_id").alias("_r_adj"),
             F.col("created_date").alias("_r_created"), F.col("cobid").alias("_r_target")]
     target = rolls.select(F.col("cobid").alias("_r_cob"), *base, F.lit(-1).cast(VALUE_TYPE).alias("_r_sign"))
     source = rolls.select(F.col("source_cobid").alias("_r_cob"), *base, F.lit(1).cast(VALUE_TYPE).alias("_r_sign"))
@@ -48,8 +48,8 @@ def entity_roll(fact_attr: DataFrame, deltas_attr: DataFrame, rolls: DataFrame,
     def moved(df: DataFrame, legs: DataFrame) -> DataFrame:
         values = [F.when(F.col("_r_sign") < 0, -F.col(m).cast(VALUE_TYPE)).otherwise(F.col(m).cast(VALUE_TYPE)).alias(m) for m in metrics]
         return _rolled(df, legs, cob_col, entity_col).select(
-            F.col("_r_target").alias(cob_col), F.col("_r_adj").alias("adjustment_id"),
-            F.col("_r_created").alias("adjustment_created_timestamp"), *pos, *values)
+            F.col("_r_target").alias(cob_col), F.col("_r_adj").alias("restatement_id"),
+            F.col("_r_created").alias("restatement_created_timestamp"), *pos, *values)
 
     wiped = _rolled(deltas_attr, target, cob_col, entity_col)
     keep_keys = rolls.select(F.col("cobid").alias("_k_cob"), F.upper(F.col("entity_code")).alias("_k_ent"))
@@ -57,7 +57,7 @@ def entity_roll(fact_attr: DataFrame, deltas_attr: DataFrame, rolls: DataFrame,
                             & (F.upper(F.col(entity_col)) == F.col("_k_ent")), "left_anti")
     new_rows = moved(fact_attr, target.unionByName(source)).unionByName(moved(deltas_attr, source))
     kept_rows = kept.select(*[F.col(c).cast(VALUE_TYPE).alias(c) if c in metrics else F.col(c) for c in out_cols])
-    superseded = wiped.select(F.col("adjustment_id").alias("superseded_id"),
+    superseded = wiped.select(F.col("restatement_id").alias("superseded_id"),
                               F.col("_r_adj").alias("superseded_by")).distinct()
     return {"kept": kept_rows, "new_rows": new_rows, "deltas": kept_rows.unionByName(new_rows),
             "superseded": superseded}

@@ -20,10 +20,10 @@ def matched(fact_attr: DataFrame, headers: DataFrame, filter_map: dict[str, str]
     source is its own COB); ``'target'`` at the target COB.
     """
     src = F.coalesce(F.col("source_cobid"), F.col("cobid"))
-    h = headers.select(F.col("adj_key").alias("_p_key"), F.col("adjustment_type").alias("_p_type"),
+    h = headers.select(F.col("adj_key").alias("_p_key"), F.col("restatement_type").alias("_p_type"),
                        F.col("scale_factor").cast(FACTOR_TYPE).alias("_p_f"),
                        (src if match_on == "source" else F.col("cobid")).cast("int").alias("_p_match"),
-                       effective_factor("adjustment_type", "scale_factor", "cobid", src).alias("_p_eff"),
+                       effective_factor("restatement_type", "scale_factor", "cobid", src).alias("_p_eff"),
                        *[F.col(c).alias(f"_pf_{c}") for c in filter_map])
     fmap = {f"_pf_{k}": v for k, v in filter_map.items()}
     fact_attr = fact_attr.where(F.col(cob_col).isin(request_cobs(headers)))

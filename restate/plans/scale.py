@@ -1,6 +1,6 @@
-"""Scale / Flatten / Roll: the main adjustment path.
+"""Scale / Flatten / Roll: the main restatement path.
 
-    match -> legs -> net per (position, adjustment) -> newest adjustment wins
+    match -> legs -> net per (position, restatement) -> newest restatement wins
 
 Legs (all UNION ALL, then netted):
   1. same-COB Scale/Flatten: original(target) x effective factor (f-1, or -1)
@@ -25,19 +25,19 @@ from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE, effective_factor
 from restate.operators.delta import net_positions, ordinal, rank_latest
 from restate.operators.match import BROADCAST_MAX_ROWS, _header_key, _signature, profile_requests, wildcard_match
 
-HEADER_COLS = ("adjustment_id", "cobid", "source_cobid", "adjustment_type", "scale_factor", "created_date")
+HEADER_COLS = ("restatement_id", "cobid", "source_cobid", "restatement_type", "scale_factor", "created_date")
 
 
 def request_legs(headers: DataFrame, filter_cols) -> DataFrame:
     """Requests -> match legs with (match_cob, leg, leg_factor); filters prefixed ``_f_``."""
     src = F.coalesce(F.col("source_cobid"), F.col("cobid"))
     base = headers.select(
-        F.col("adjustment_id").alias("_h_adj"),
+        F.col("restatement_id").alias("_h_adj"),
         F.col("cobid").cast("int").alias("_h_cob"),
         src.cast("int").alias("_h_src"),
         F.col("created_date").alias("_h_created"),
-        ordinal("created_date", "adjustment_id").alias("_h_ord"),
-        effective_factor("adjustment_type", "scale_factor", "cobid", src).alias("_h_eff"),
+        ordinal("created_date", "restatement_id").alias("_h_ord"),
+        effective_factor("restatement_type", "scale_factor", "cobid", src).alias("_h_eff"),
         *[F.col(c).alias(f"_f_{c}") for c in filter_cols],
     )
     cross = F.col("_h_src") != F.col("_h_cob")
@@ -92,7 +92,7 @@ def request_profile(headers: DataFrame, filter_cols) -> dict:
     """One planning job: active filters, signatures, row count, cross-COB presence."""
     cross = F.col("source_cobid").isNotNull() & (F.col("source_cobid") != F.col("cobid"))
     key = F.to_json(F.struct(F.col("cobid"), F.coalesce("source_cobid", "cobid").alias("s"),
-                             F.lower("adjustment_type").alias("t"), F.col("scale_factor").alias("f"),
+                             F.lower("restatement_type").alias("t"), F.col("scale_factor").alias("f"),
                              *[F.upper(F.trim(F.col(c).cast("string"))).alias(c) for c in filter_cols]))
     prof = profile_requests(headers, filter_cols, {"has_cross": cross}, distinct_key=key)
     # request legs after dominance reduction: at most one per distinct request key
@@ -134,8 +134,8 @@ def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str],
     pos_wo_cob = [c for c in position_cols if c != cob_col]
     return m.select(
         F.col("_h_cob").alias(cob_col),
-        F.col("_h_adj").alias("adjustment_id"),
-        F.col("_h_created").alias("adjustment_created_timestamp"),
+        F.col("_h_adj").alias("restatement_id"),
+        F.col("_h_created").alias("restatement_created_timestamp"),
         *pos_wo_cob,
         *[(F.col(mc).cast(VALUE_TYPE) * F.col("_h_factor")).cast(VALUE_TYPE).alias(mc) for mc in metrics],
         *([F.col("_h_leg").alias("leg")] if keep_leg else []),
@@ -146,19 +146,19 @@ def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str],
 def apply_scale(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str], position_cols,
                 metrics, usd_metric: str, deltas: DataFrame | None = None, strategy: str = "auto",
                 rank_method: str = "aggregate", cob_col: str = "cobid", profile: dict | None = None) -> DataFrame:
-    """Full Scale path -> one delta row per (position, winning adjustment).
+    """Full Scale path -> one delta row per (position, winning restatement).
 
-    Output columns: cob, adjustment_id, adjustment_created_timestamp, position
+    Output columns: cob, restatement_id, restatement_created_timestamp, position
     columns, metrics (decimal(28,8)).
     """
     legs = scale_legs(fact, headers, filter_map, position_cols, metrics, deltas, strategy, cob_col, dominated=True,
                       profile=profile, keep_order=True)
-    netted = net_positions(legs, list(position_cols), "adjustment_id", metrics, usd_metric,
-                           carry_max=("adjustment_created_timestamp", "_ord"))
-    ranked = rank_latest(netted, list(position_cols), "adjustment_created_timestamp", "adjustment_id", rank_method,
+    netted = net_positions(legs, list(position_cols), "restatement_id", metrics, usd_metric,
+                           carry_max=("restatement_created_timestamp", "_ord"))
+    ranked = rank_latest(netted, list(position_cols), "restatement_created_timestamp", "restatement_id", rank_method,
                          order_col="_ord")
     pos_wo_cob = [c for c in position_cols if c != cob_col]
-    return ranked.select(cob_col, "adjustment_id", "adjustment_created_timestamp", *pos_wo_cob, *metrics)
+    return ranked.select(cob_col, "restatement_id", "restatement_created_timestamp", *pos_wo_cob, *metrics)
 
 
 def roll_guard(has_cross: bool, combined_available: bool) -> None:
@@ -181,5 +181,5 @@ def legacy_roll(fact: DataFrame, deltas: DataFrame, target_cob: int, source_cob:
          .agg(*[(F.sum(F.col(m).cast(VALUE_TYPE)) * F.lit(factor).cast(FACTOR_TYPE)).cast(VALUE_TYPE).alias(m) for m in metrics]))
     out = reduce(lambda a, b: a.unionByName(b), [t.withColumn("leg", F.lit("flatten_target")),
                                                   s.withColumn("leg", F.lit("copy_source")),
-                                                  d.withColumn("leg", F.lit("copy_source_adjustments"))])
+                                                  d.withColumn("leg", F.lit("copy_source_restatements"))])
     return out.withColumn(cob_col, F.lit(target_cob))

@@ -248,17 +248,17 @@ def src_csv_upload(spark, d):
 
 
 @q("snk_delta_append", scale_sql("hdr_inline", True, """
-SELECT cobid, adjustment_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS value_usd FROM p_out
-UNION ALL SELECT cobid, adjustment_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS value_usd FROM b_out"""))
+SELECT cobid, restatement_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS value_usd FROM p_out
+UNION ALL SELECT cobid, restatement_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS value_usd FROM b_out"""))
 def snk_delta_append(spark, d):
     from restate.queries.common import prior_deltas
     path = IO.scratch_path(spark, "deltas")
-    cols = ["cobid", "adjustment_id", "trade_key", "line_no", "value_usd"]
+    cols = ["cobid", "restatement_id", "trade_key", "line_no", "value_usd"]
     IO.write_deltas(prior_deltas(spark, d), path, "prior", ["cobid"], cols)
     for _ in range(2):  # a batch that runs again replaces its own rows
         IO.write_deltas(run_scale(spark, d, "hdr_inline"), path, "inline", ["cobid"], cols)
     out = spark.read.parquet(path)
-    return out.select(F.col("cobid").cast("int").alias("cobid"), "adjustment_id", "trade_key", "line_no",
+    return out.select(F.col("cobid").cast("int").alias("cobid"), "restatement_id", "trade_key", "line_no",
                       F.col("value_usd").cast("double").alias("value_usd"))
 
 
@@ -285,7 +285,7 @@ def snk_partition_replace(spark, d):
 
 
 @q("snk_trigger_row", S.with_views(["hdr_queue"], """
-SELECT process_type, cobid, max(process_date) AS triggered_at, count(*) AS adjustments,
+SELECT process_type, cobid, max(process_date) AS triggered_at, count(*) AS restatements,
        md5(process_type || '-' || CAST(cobid AS VARCHAR)) AS trigger_id
 FROM hdr_queue WHERE run_status = 'Processed' GROUP BY process_type, cobid"""))
 def snk_trigger_row(spark, d):

@@ -134,8 +134,8 @@ def scale_ctes(p: str, hdr: str, deltas_attr: str | None) -> list[str]:
                f"SELECT {cols}, TRUE AS is_delta FROM {deltas_attr}")
     return [
         f"""{p}_h AS (SELECT *, coalesce(source_cobid, cobid) AS src,
-   CAST(CASE WHEN lower(adjustment_type) = 'flatten' THEN -1
-             WHEN lower(adjustment_type) IN ('scale', 'roll') THEN
+   CAST(CASE WHEN lower(restatement_type) = 'flatten' THEN -1
+             WHEN lower(restatement_type) IN ('scale', 'roll') THEN
                   CASE WHEN coalesce(source_cobid, cobid) <> cobid THEN CAST(scale_factor AS DECIMAL(12,4))
                        ELSE CAST(scale_factor AS DECIMAL(12,4)) - 1 END
              ELSE 0 END AS DECIMAL(12,4)) AS eff
@@ -144,17 +144,17 @@ def scale_ctes(p: str, hdr: str, deltas_attr: str | None) -> list[str]:
   UNION ALL SELECT *, src AS match_cob, 2 AS leg, eff AS lf FROM {p}_h WHERE src <> cobid
   UNION ALL SELECT *, cobid AS match_cob, 3 AS leg, CAST(-1 AS DECIMAL(12,4)) AS lf FROM {p}_h WHERE src <> cobid)""",
         f"""{p}_rel AS ({rel})""",
-        f"""{p}_legs AS (SELECT h.cobid, h.adjustment_id, h.created_date AS adjustment_created_timestamp, {pos},
+        f"""{p}_legs AS (SELECT h.cobid, h.restatement_id, h.created_date AS restatement_created_timestamp, {pos},
    CAST(CAST(r.value_local AS DECIMAL(28,8)) * h.lf AS DECIMAL(28,8)) AS value_local,
    CAST(CAST(r.value_usd AS DECIMAL(28,8)) * h.lf AS DECIMAL(28,8)) AS value_usd, h.leg
   FROM {p}_rel r JOIN {p}_hl h ON r.cobid = h.match_cob AND (h.leg = 2 OR NOT r.is_delta) AND {_wild('h', 'r')})""",
-        f"""{p}_net AS (SELECT cobid, {pos_plain}, adjustment_id,
-   max(adjustment_created_timestamp) AS adjustment_created_timestamp,
+        f"""{p}_net AS (SELECT cobid, {pos_plain}, restatement_id,
+   max(restatement_created_timestamp) AS restatement_created_timestamp,
    sum(value_local) AS value_local, sum(value_usd) AS value_usd
-  FROM {p}_legs GROUP BY cobid, {pos_plain}, adjustment_id HAVING sum(value_usd) <> 0)""",
+  FROM {p}_legs GROUP BY cobid, {pos_plain}, restatement_id HAVING sum(value_usd) <> 0)""",
         f"""{p}_ranked AS (SELECT *, dense_rank() OVER (PARTITION BY cobid, {pos_plain}
-   ORDER BY adjustment_created_timestamp DESC NULLS LAST, adjustment_id DESC NULLS LAST) AS rk FROM {p}_net)""",
-        f"""{p}_out AS (SELECT cobid, adjustment_id, adjustment_created_timestamp, {pos_plain}, value_local, value_usd
+   ORDER BY restatement_created_timestamp DESC NULLS LAST, restatement_id DESC NULLS LAST) AS rk FROM {p}_net)""",
+        f"""{p}_out AS (SELECT cobid, restatement_id, restatement_created_timestamp, {pos_plain}, value_local, value_usd
   FROM {p}_ranked WHERE rk = 1)""",
     ]
 
@@ -172,7 +172,7 @@ def scale_sql(hdr: str, with_prior: bool, tail: str, extra_views=()) -> str:
     return S.with_views(views, "WITH " + ",\n".join(ctes) + "\n" + tail)
 
 
-OUT_COLS = ["cobid", "adjustment_id", "adjustment_created_timestamp", *POS_NO_COB]
+OUT_COLS = ["cobid", "restatement_id", "restatement_created_timestamp", *POS_NO_COB]
 
 
 def dbl_select(alias: str = "") -> str:

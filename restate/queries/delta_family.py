@@ -51,9 +51,9 @@ def jn_fact_x_adjust(spark, d):
 
 
 @q("prj_delta", scale_sql("hdr_inline", True, f"""
-SELECT cobid, adjustment_id, count(*) AS leg_rows,
+SELECT cobid, restatement_id, count(*) AS leg_rows,
        CAST(sum(value_local) AS DOUBLE) AS value_local, CAST(sum(value_usd) AS DOUBLE) AS value_usd
-FROM b_legs GROUP BY cobid, adjustment_id"""))
+FROM b_legs GROUP BY cobid, restatement_id"""))
 def prj_delta(spark, d):
     v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_inline", "hdr_prior"])
     h = v["hdr_inline"]
@@ -61,14 +61,14 @@ def prj_delta(spark, d):
     fact = attach_attrs(v["fact"], v, fmap.values())
     deltas = attach_attrs(prior_deltas(spark, d, v), v, fmap.values())
     legs = scale_legs(fact, h, fmap, S.POSITION_COLS, S.METRICS, deltas)
-    out = legs.groupBy("cobid", "adjustment_id").agg(F.count(F.lit(1)).alias("leg_rows"),
+    out = legs.groupBy("cobid", "restatement_id").agg(F.count(F.lit(1)).alias("leg_rows"),
                                                      F.sum("value_local").alias("value_local"),
                                                      F.sum("value_usd").alias("value_usd"))
     return doubles(out, M2)
 
 
 @q("agg_net_position", scale_sql("hdr_inline", True, f"""
-SELECT cobid, {POS}, adjustment_id, adjustment_created_timestamp,
+SELECT cobid, {POS}, restatement_id, restatement_created_timestamp,
        CAST(value_local AS DOUBLE) AS value_local, CAST(value_usd AS DOUBLE) AS value_usd FROM b_net"""))
 def agg_net_position(spark, d):
     v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_inline", "hdr_prior"])
@@ -77,27 +77,27 @@ def agg_net_position(spark, d):
     fact = attach_attrs(v["fact"], v, fmap.values())
     deltas = attach_attrs(prior_deltas(spark, d, v), v, fmap.values())
     legs = scale_legs(fact, h, fmap, S.POSITION_COLS, S.METRICS, deltas)
-    net = D.net_positions(legs, list(S.POSITION_COLS), "adjustment_id", M2, "value_usd",
-                          carry_max=("adjustment_created_timestamp",))
+    net = D.net_positions(legs, list(S.POSITION_COLS), "restatement_id", M2, "value_usd",
+                          carry_max=("restatement_created_timestamp",))
     return doubles(net, M2)
 
 
 @q("prj_effective_factor", S.with_views(["hdr_inline", "hdr_orders"], """
-SELECT adj_key, adjustment_type, CAST(CASE WHEN lower(adjustment_type) = 'flatten' THEN -1
-   WHEN lower(adjustment_type) IN ('scale', 'roll') THEN
+SELECT adj_key, restatement_type, CAST(CASE WHEN lower(restatement_type) = 'flatten' THEN -1
+   WHEN lower(restatement_type) IN ('scale', 'roll') THEN
         CASE WHEN coalesce(source_cobid, cobid) <> cobid THEN scale_factor ELSE scale_factor - 1 END
    ELSE 0 END AS DOUBLE) AS effective_factor,
-   CASE lower(adjustment_type) WHEN 'flatten' THEN 'Scale' WHEN 'scale' THEN 'Scale' WHEN 'roll' THEN 'Scale'
+   CASE lower(restatement_type) WHEN 'flatten' THEN 'Scale' WHEN 'scale' THEN 'Scale' WHEN 'roll' THEN 'Scale'
         WHEN 'erol' THEN 'EntityRoll' WHEN 'entity_roll' THEN 'EntityRoll' WHEN 'upload' THEN 'Upload'
-        WHEN 'direct' THEN 'Direct' END AS adjustment_action
+        WHEN 'direct' THEN 'Direct' END AS restatement_action
 FROM (SELECT * FROM hdr_inline UNION ALL SELECT * FROM hdr_orders) h"""))
 def prj_effective_factor(spark, d):
     v = S.register(spark, d, ["hdr_inline", "hdr_orders"])
     h = v["hdr_inline"].unionByName(v["hdr_orders"])
-    return h.select("adj_key", "adjustment_type",
-                    effective_factor("adjustment_type", "scale_factor", "cobid",
+    return h.select("adj_key", "restatement_type",
+                    effective_factor("restatement_type", "scale_factor", "cobid",
                                      F.coalesce("source_cobid", "cobid")).cast("double").alias("effective_factor"),
-                    action_of("adjustment_type").alias("adjustment_action"))
+                    action_of("restatement_type").alias("restatement_action"))
 
 
 # -- supersede / combined / summary / counts ----------------------------------
@@ -154,14 +154,14 @@ def agg_adjusted_fact(spark, d):
 
 
 @q("agg_summary_rebuild", scale_sql("hdr_inline", True, CUR_CTE + """
-SELECT cobid, adjustment_id, source_system_code, currency_code,
+SELECT cobid, restatement_id, source_system_code, currency_code,
        CAST(sum(value_local) AS DOUBLE) AS value_local, CAST(sum(value_usd) AS DOUBLE) AS value_usd
 FROM cur WHERE cobid IN (SELECT cobid FROM b_out) GROUP BY ALL"""))
 def agg_summary_rebuild(spark, d):
     """The business dates that the batch touched, summed over the whole delta table there."""
     touched = run_scale(spark, d, "hdr_inline").select("cobid").distinct()
     s = D.summarise(current_deltas(spark, d).join(touched, "cobid", "left_semi"),
-                    ["cobid", "adjustment_id", "source_system_code", "currency_code"], M2)
+                    ["cobid", "restatement_id", "source_system_code", "currency_code"], M2)
     return doubles(s, M2)
 
 
@@ -175,28 +175,28 @@ def agg_summary_official(spark, d):
 
 
 @q("agg_record_counts", scale_sql("hdr_inline", True, """
-SELECT h.adj_key, h.adjustment_id, CAST(coalesce(c.n, 0) AS BIGINT) AS record_count
-FROM hdr_inline h LEFT JOIN (SELECT adjustment_id, count(*) AS n FROM b_out GROUP BY adjustment_id) c
-  ON h.adjustment_id = c.adjustment_id"""))
+SELECT h.adj_key, h.restatement_id, CAST(coalesce(c.n, 0) AS BIGINT) AS record_count
+FROM hdr_inline h LEFT JOIN (SELECT restatement_id, count(*) AS n FROM b_out GROUP BY restatement_id) c
+  ON h.restatement_id = c.restatement_id"""))
 def agg_record_counts(spark, d):
     v = S.register(spark, d, ["hdr_inline"])
-    counted = D.record_counts(v["hdr_inline"].select("adj_key", "adjustment_id"), run_scale(spark, d, "hdr_inline"),
-                              "adjustment_id")
+    counted = D.record_counts(v["hdr_inline"].select("adj_key", "restatement_id"), run_scale(spark, d, "hdr_inline"),
+                              "restatement_id")
     return counted
 
 
 @q("flt_zero_match_warning", scale_sql("hdr_inline", True, """
-SELECT h.adj_key, h.adjustment_type, CAST(coalesce(c.n, 0) AS BIGINT) AS record_count
-FROM hdr_inline h LEFT JOIN (SELECT adjustment_id, count(*) AS n FROM b_out GROUP BY adjustment_id) c
-  ON h.adjustment_id = c.adjustment_id
+SELECT h.adj_key, h.restatement_type, CAST(coalesce(c.n, 0) AS BIGINT) AS record_count
+FROM hdr_inline h LEFT JOIN (SELECT restatement_id, count(*) AS n FROM b_out GROUP BY restatement_id) c
+  ON h.restatement_id = c.restatement_id
 WHERE coalesce(c.n, 0) = 0
-  AND NOT (lower(h.adjustment_type) = 'scale' AND h.scale_factor = 1
+  AND NOT (lower(h.restatement_type) = 'scale' AND h.scale_factor = 1
            AND (h.source_cobid IS NULL OR h.source_cobid = h.cobid))"""))
 def flt_zero_match_warning(spark, d):
     v = S.register(spark, d, ["hdr_inline"])
     h = v["hdr_inline"]
-    counted = D.record_counts(h, run_scale(spark, d, "hdr_inline"), "adjustment_id")
-    return D.zero_match_warning(counted).select("adj_key", "adjustment_type", "record_count")
+    counted = D.record_counts(h, run_scale(spark, d, "hdr_inline"), "restatement_id")
+    return D.zero_match_warning(counted).select("adj_key", "restatement_type", "record_count")
 
 
 @q("jn_before_after", scale_sql("hdr_inline", True, """
@@ -263,18 +263,18 @@ def flt_wildcard_match(spark, d):
 
 
 @q("prj_column_align", scale_sql("hdr_inline", True, """
-SELECT cobid, adjustment_id, trade_key, CAST(-1 AS BIGINT) AS counterparty_key, CAST(-1 AS BIGINT) AS run_log_id,
+SELECT cobid, restatement_id, trade_key, CAST(-1 AS BIGINT) AS counterparty_key, CAST(-1 AS BIGINT) AS run_log_id,
        CAST(NULL AS VARCHAR) AS strategy, CAST(value_usd AS DOUBLE) AS value_usd FROM b_out"""))
 def prj_column_align(spark, d):
     out = run_scale(spark, d, "hdr_inline")
-    a = D.align(out, ["cobid", "adjustment_id", "trade_key", "counterparty_key", "run_log_id", "strategy", "value_usd"],
+    a = D.align(out, ["cobid", "restatement_id", "trade_key", "counterparty_key", "run_log_id", "strategy", "value_usd"],
                 types={"counterparty_key": "bigint", "run_log_id": "bigint", "strategy": "string", "value_usd": "double"})
     return a
 
 
 @q("set_union_legs", scale_sql("hdr_inline", True, """
 SELECT h.adj_key, l.cobid, l.leg, count(*) AS rows_
-FROM b_legs l JOIN b_h h ON l.adjustment_id = h.adjustment_id GROUP BY ALL"""))
+FROM b_legs l JOIN b_h h ON l.restatement_id = h.restatement_id GROUP BY ALL"""))
 def set_union_legs(spark, d):
     v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_inline", "hdr_prior"])
     h = v["hdr_inline"]
@@ -282,5 +282,5 @@ def set_union_legs(spark, d):
     fact = attach_attrs(v["fact"], v, fmap.values())
     deltas = attach_attrs(prior_deltas(spark, d, v), v, fmap.values())
     legs = scale_legs(fact, h, fmap, S.POSITION_COLS, S.METRICS, deltas, keep_leg=True)
-    j = legs.join(F.broadcast(h.select("adj_key", "adjustment_id")), "adjustment_id")
+    j = legs.join(F.broadcast(h.select("adj_key", "restatement_id")), "restatement_id")
     return j.groupBy("adj_key", "cobid", "leg").agg(F.count(F.lit(1)).alias("rows_"))

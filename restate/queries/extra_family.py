@@ -63,12 +63,12 @@ def prj_metric_collapse(spark, d):
 
 
 @q("prj_request_action", S.with_views(["hdr_queue"], """
-SELECT adj_key, CASE lower(trim(adjustment_type)) WHEN 'flatten' THEN 'Scale' WHEN 'scale' THEN 'Scale' WHEN 'roll' THEN 'Scale'
+SELECT adj_key, CASE lower(trim(restatement_type)) WHEN 'flatten' THEN 'Scale' WHEN 'scale' THEN 'Scale' WHEN 'roll' THEN 'Scale'
   WHEN 'erol' THEN 'EntityRoll' WHEN 'entity_roll' THEN 'EntityRoll' WHEN 'upload' THEN 'Upload' WHEN 'direct' THEN 'Direct'
-  END AS adjustment_action FROM hdr_queue"""))
+  END AS restatement_action FROM hdr_queue"""))
 def prj_request_action(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
-    return h.select("adj_key", action_of("adjustment_type").alias("adjustment_action"))
+    return h.select("adj_key", action_of("restatement_type").alias("restatement_action"))
 
 
 @q("flt_value_list", S.with_views(["fact"], """

@@ -33,12 +33,12 @@ SEL = ", ".join(OUT_COLS) + ", CAST(value_local AS DOUBLE) AS value_local, CAST(
 _ROLL_CTES = CUR_CTE + ", " + _attrs("cur", "cura") + f""",
  rl AS (SELECT *, upper(entity_code) AS ent FROM rolls_inline),
  kept AS (SELECT * FROM cura c WHERE NOT EXISTS (SELECT 1 FROM rl WHERE rl.cobid = c.cobid AND rl.ent = upper(c.entity_code))),
- flat AS (SELECT rl.cobid, rl.adjustment_id, rl.created_date AS adjustment_created_timestamp, {', '.join('x.' + c for c in POS_NO_COB)},
+ flat AS (SELECT rl.cobid, rl.restatement_id, rl.created_date AS restatement_created_timestamp, {', '.join('x.' + c for c in POS_NO_COB)},
                  -CAST(x.value_local AS DECIMAL(28,8)) AS value_local, -CAST(x.value_usd AS DECIMAL(28,8)) AS value_usd
           FROM fa x JOIN rl ON x.cobid = rl.cobid AND upper(x.entity_code) = rl.ent),
  srcrel AS (SELECT cobid, {POS}, entity_code, value_local, value_usd FROM fa
             UNION ALL SELECT cobid, {POS}, entity_code, value_local, value_usd FROM cura),
- carry AS (SELECT rl.cobid, rl.adjustment_id, rl.created_date AS adjustment_created_timestamp, {', '.join('x.' + c for c in POS_NO_COB)},
+ carry AS (SELECT rl.cobid, rl.restatement_id, rl.created_date AS restatement_created_timestamp, {', '.join('x.' + c for c in POS_NO_COB)},
                   CAST(x.value_local AS DECIMAL(28,8)) AS value_local, CAST(x.value_usd AS DECIMAL(28,8)) AS value_usd
            FROM srcrel x JOIN rl ON x.cobid = rl.source_cobid AND upper(x.entity_code) = rl.ent),
  rolled AS (SELECT {', '.join(OUT_COLS)}, value_local, value_usd FROM kept
@@ -62,7 +62,7 @@ def adj_entity_roll(spark, d):
 
 @q("agg_summary_entity_slice", scale_sql("hdr_inline", True, _ROLL_CTES + """
 , ra AS (SELECT r.*, b.entity_code FROM rolled r LEFT JOIN book_dim b ON coalesce(r.book_key, -1) = b.book_key)
-SELECT ra.cobid, upper(ra.entity_code) AS entity, ra.adjustment_id, ra.source_system_code,
+SELECT ra.cobid, upper(ra.entity_code) AS entity, ra.restatement_id, ra.source_system_code,
        CAST(sum(ra.value_usd) AS DOUBLE) AS value_usd
 FROM ra JOIN rl ON ra.cobid = rl.cobid AND upper(ra.entity_code) = rl.ent GROUP BY ALL""", ["rolls_inline"]))
 def agg_summary_entity_slice(spark, d):
@@ -71,7 +71,7 @@ def agg_summary_entity_slice(spark, d):
     rl = v["rolls_inline"].select(F.col("cobid").alias("_c"), F.upper("entity_code").alias("_e"))
     sl = r.join(F.broadcast(rl), (F.col("cobid") == F.col("_c")) & (F.upper("entity_code") == F.col("_e")), "left_semi")
     s = D.summarise(sl.withColumn("entity", F.upper("entity_code")),
-                    ["cobid", "entity", "adjustment_id", "source_system_code"], ["value_usd"])
+                    ["cobid", "entity", "restatement_id", "source_system_code"], ["value_usd"])
     return doubles(s, ["value_usd"])
 
 
@@ -122,7 +122,7 @@ def adj_entity_roll_check(spark, d):
                'copy_source' AS leg FROM fa WHERE cobid = 19970201 AND upper(entity_code) = 'NATION_3'),
   a AS (SELECT {POS}, CAST(sum(CAST(value_local AS DECIMAL(28,8))) * CAST(1.5 AS DECIMAL(12,4)) AS DECIMAL(28,8)) AS value_local,
                CAST(sum(CAST(value_usd AS DECIMAL(28,8))) * CAST(1.5 AS DECIMAL(12,4)) AS DECIMAL(28,8)) AS value_usd,
-               'copy_source_adjustments' AS leg FROM cura WHERE cobid = 19970201 AND upper(entity_code) = 'NATION_3' GROUP BY {POS})
+               'copy_source_restatements' AS leg FROM cura WHERE cobid = 19970201 AND upper(entity_code) = 'NATION_3' GROUP BY {POS})
 SELECT 19970301 AS cobid, {POS}, leg, CAST(value_local AS DOUBLE) AS value_local, CAST(value_usd AS DOUBLE) AS value_usd
 FROM (SELECT * FROM t UNION ALL SELECT * FROM s UNION ALL SELECT * FROM a) u"""))
 def adj_legacy_roll(spark, d):
@@ -155,29 +155,29 @@ def adj_legacy_step(spark, d):
 
 
 @q("adj_reverse", scale_sql("hdr_inline", True, CUR_CTE + f"""
-SELECT cobid, CAST(9902 AS BIGINT) AS adjustment_id, {POS},
+SELECT cobid, CAST(9902 AS BIGINT) AS restatement_id, {POS},
        CAST(-value_local AS DOUBLE) AS value_local, CAST(-value_usd AS DOUBLE) AS value_usd
-FROM cur WHERE adjustment_id = 902"""))
+FROM cur WHERE restatement_id = 902"""))
 def adj_reverse(spark, d):
-    cur = current_deltas(spark, d).select("cobid", "adjustment_id", *POS_NO_COB, *M2)
-    return doubles(D.reverse(cur, "adjustment_id", 902, 9902, M2), M2)
+    cur = current_deltas(spark, d).select("cobid", "restatement_id", *POS_NO_COB, *M2)
+    return doubles(D.reverse(cur, "restatement_id", 902, 9902, M2), M2)
 
 
 @q("adj_delete", scale_sql("hdr_inline", True, CUR_CTE + f"""
-SELECT {SEL} FROM cur WHERE adjustment_id NOT IN (SELECT adjustment_id FROM hdr_inline WHERE username = 'amy')"""))
+SELECT {SEL} FROM cur WHERE restatement_id NOT IN (SELECT restatement_id FROM hdr_inline WHERE username = 'amy')"""))
 def adj_delete(spark, d):
     v = S.register(spark, d, ["hdr_inline"])
-    ids = v["hdr_inline"].where(F.col("username") == "amy").select("adjustment_id")
-    return doubles(D.remove_ids(current_deltas(spark, d), ids, "adjustment_id"), M2)
+    ids = v["hdr_inline"].where(F.col("username") == "amy").select("restatement_id")
+    return doubles(D.remove_ids(current_deltas(spark, d), ids, "restatement_id"), M2)
 
 
 @q("adj_retry_cleanup", scale_sql("hdr_orders", False, f"""
-SELECT {SEL} FROM b_out WHERE adjustment_id NOT IN (SELECT adjustment_id FROM hdr_queue WHERE run_status = 'Failed')""",
+SELECT {SEL} FROM b_out WHERE restatement_id NOT IN (SELECT restatement_id FROM hdr_queue WHERE run_status = 'Failed')""",
     ["hdr_queue"]))
 def adj_retry_cleanup(spark, d):
     v = S.register(spark, d, ["hdr_queue"])
-    failed = v["hdr_queue"].where(F.col("run_status") == "Failed").select("adjustment_id")
-    return doubles(D.remove_ids(run_scale(spark, d, "hdr_orders", with_prior=False), failed, "adjustment_id"), M2)
+    failed = v["hdr_queue"].where(F.col("run_status") == "Failed").select("restatement_id")
+    return doubles(D.remove_ids(run_scale(spark, d, "hdr_orders", with_prior=False), failed, "restatement_id"), M2)
 
 
 @q("adj_replace_reference", S.with_views(["hdr_queue"], """
@@ -200,14 +200,14 @@ def adj_replace_reference(spark, d):
 @q("adj_clone", S.with_views(["hdr_orders"], """
 SELECT adj_key || '-C' AS adj_key, 20000101 AS cobid,
        CASE WHEN coalesce(source_cobid, cobid) = cobid THEN 20000101 ELSE source_cobid END AS source_cobid,
-       adjustment_type, CAST(scale_factor AS DOUBLE) AS scale_factor
+       restatement_type, CAST(scale_factor AS DOUBLE) AS scale_factor
 FROM hdr_orders"""))
 def adj_clone(spark, d):
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
     same = F.coalesce("source_cobid", "cobid") == F.col("cobid")
     return h.select(F.concat("adj_key", F.lit("-C")).alias("adj_key"), F.lit(20000101).alias("cobid"),
                     F.when(same, F.lit(20000101)).otherwise(F.col("source_cobid")).alias("source_cobid"),
-                    "adjustment_type", F.col("scale_factor").cast("double").alias("scale_factor"))
+                    "restatement_type", F.col("scale_factor").cast("double").alias("scale_factor"))
 
 
 _ITEMS_SQL = S.with_views(["fact", "book_dim"], f"""
@@ -253,9 +253,9 @@ def adj_create_items(spark, d):
 @q("prj_delta_pointwise", S.with_views(["fact", "hdr_inline"], f"""
 SELECT h.adj_key, f.trade_key, f.line_no, f.book_key, f.instrument_key, f.source_system_code,
        CAST(f.value_usd AS DOUBLE) AS original_usd,
-       CAST(CASE WHEN lower(h.adjustment_type) = 'flatten' THEN -f.value_usd
+       CAST(CASE WHEN lower(h.restatement_type) = 'flatten' THEN -f.value_usd
                  ELSE CAST(f.value_usd AS DECIMAL(28,8)) * (CAST(h.scale_factor AS DECIMAL(12,4)) - 1) END AS DOUBLE) AS delta_usd,
-       CAST(CASE WHEN lower(h.adjustment_type) = 'flatten' THEN 0
+       CAST(CASE WHEN lower(h.restatement_type) = 'flatten' THEN 0
                  ELSE CAST(f.value_usd AS DECIMAL(28,8)) * CAST(h.scale_factor AS DECIMAL(12,4)) END AS DOUBLE) AS projected_usd
 FROM fact f JOIN hdr_inline h ON f.cobid = h.cobid AND coalesce(h.source_cobid, h.cobid) = h.cobid
  AND (h.source_system_code IS NULL OR upper(h.source_system_code) = upper(f.source_system_code))
@@ -270,12 +270,12 @@ def prj_delta_pointwise(spark, d):
     h = v["hdr_inline"].where(F.coalesce("source_cobid", "cobid") == F.col("cobid"))
     for c in dim_filters:
         h = h.where(F.col(c).isNull())
-    h = h.select("adj_key", F.col("cobid").alias("_hc"), "adjustment_type", "scale_factor",
+    h = h.select("adj_key", F.col("cobid").alias("_hc"), "restatement_type", "scale_factor",
                  F.col("source_system_code").alias("_hs"), F.col("currency_code").alias("_hy"))
     j = v["fact"].join(F.broadcast(h), (F.col("cobid") == F.col("_hc"))
                        & (F.col("_hs").isNull() | (F.upper("_hs") == F.upper("source_system_code")))
                        & (F.col("_hy").isNull() | (F.upper("_hy") == F.upper("currency_code"))))
-    flat = F.lower("adjustment_type") == "flatten"
+    flat = F.lower("restatement_type") == "flatten"
     val = F.col("value_usd").cast(VALUE_TYPE)
     f = F.col("scale_factor").cast("decimal(12,4)")
     return j.select("adj_key", "trade_key", "line_no", "book_key", "instrument_key", "source_system_code",
@@ -287,7 +287,7 @@ def prj_delta_pointwise(spark, d):
 @q("jn_extra_rolls", S.with_views(["hdr_orders"], """
 SELECT s.adj_key AS scale_adj, r.adj_key AS roll_adj, md5(s.adj_key || '-' || r.adj_key) AS extra_id, s.cobid
 FROM hdr_orders s JOIN hdr_orders r ON s.cobid = r.cobid AND r.created_date < s.created_date
-WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
+WHERE lower(s.restatement_type) = 'scale' AND lower(r.restatement_type) = 'roll'
   AND coalesce(s.entity_code, r.entity_code, '~') = coalesce(r.entity_code, '~')
   AND coalesce(s.department_code, r.department_code, '~') = coalesce(r.department_code, '~')
   AND coalesce(s.book_code, r.book_code, '~') = coalesce(r.book_code, '~')
@@ -299,10 +299,10 @@ WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
   AND coalesce(s.currency_code, r.currency_code, '~') = coalesce(r.currency_code, '~')"""))
 def jn_extra_rolls(spark, d):
     """A Scale created after an earlier Roll at the same COB whose filters are narrower
-    (every Scale filter open or equal to the Roll's) yields a synthetic extra adjustment."""
+    (every Scale filter open or equal to the Roll's) yields a synthetic extra restatement."""
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
-    s = h.where(F.lower("adjustment_type") == "scale")
-    r = h.where(F.lower("adjustment_type") == "roll")
+    s = h.where(F.lower("restatement_type") == "scale")
+    r = h.where(F.lower("restatement_type") == "roll")
     j = narrower_pairs(s, r, "adj_key", S.FILTER_COLS, ["cobid"], "created_date")
     return j.select(F.col("a_adj_key").alias("scale_adj"), F.col("b_adj_key").alias("roll_adj"),
                     F.md5(F.concat_ws("-", "a_adj_key", "b_adj_key")).alias("extra_id"), F.col("a_cobid").alias("cobid"))
@@ -345,7 +345,7 @@ SELECT adj_key, cobid, 'real' AS origin FROM hdr_orders
 UNION ALL
 SELECT md5(s.adj_key || '-' || r.adj_key), s.cobid, 'synthetic' FROM hdr_orders s JOIN hdr_orders r
   ON s.cobid = r.cobid AND r.created_date < s.created_date
-WHERE lower(s.adjustment_type) = 'scale' AND lower(r.adjustment_type) = 'roll'
+WHERE lower(s.restatement_type) = 'scale' AND lower(r.restatement_type) = 'roll'
   AND coalesce(s.entity_code, r.entity_code, '~') = coalesce(r.entity_code, '~')
   AND coalesce(s.department_code, r.department_code, '~') = coalesce(r.department_code, '~')
   AND coalesce(s.book_code, r.book_code, '~') = coalesce(r.book_code, '~')

@@ -47,10 +47,10 @@ _RECON_SQL = scale_sql("hdr_inline", True, f"""
                   strategy, trade_typology, source_system_code, currency_code FROM pa),
   s AS (SELECT h.adj_key, sum(f.value_usd) AS source_total FROM comb f JOIN hdr_inline h
         ON coalesce(h.source_cobid, h.cobid) <> h.cobid AND f.cobid = h.source_cobid AND {WILD} GROUP BY h.adj_key),
-  w AS (SELECT h.adj_key, sum(x.value_usd) AS written_delta FROM b_out x JOIN hdr_inline h ON x.adjustment_id = h.adjustment_id
+  w AS (SELECT h.adj_key, sum(x.value_usd) AS written_delta FROM b_out x JOIN hdr_inline h ON x.restatement_id = h.restatement_id
         GROUP BY h.adj_key),
   j AS (SELECT h.*, o.original_total, s.source_total, w.written_delta,
-          CAST(CASE WHEN lower(h.adjustment_type) = 'flatten' THEN -CAST(coalesce(o.original_total, 0) AS DECIMAL(28,8))
+          CAST(CASE WHEN lower(h.restatement_type) = 'flatten' THEN -CAST(coalesce(o.original_total, 0) AS DECIMAL(28,8))
                     WHEN coalesce(h.source_cobid, h.cobid) <> h.cobid
                       THEN CAST(coalesce(s.source_total, 0) AS DECIMAL(28,8)) * CAST(h.scale_factor AS DECIMAL(12,4))
                            - CAST(coalesce(o.original_total, 0) AS DECIMAL(28,8))
@@ -62,9 +62,9 @@ _RECON_SQL = scale_sql("hdr_inline", True, f"""
 SELECT adj_key, CAST(original_total AS DOUBLE) AS original_total, CAST(source_total AS DOUBLE) AS source_total,
        CAST(written_delta AS DOUBLE) AS written_delta, CAST(expected_delta AS DOUBLE) AS expected_delta,
   CASE WHEN original_total IS NULL AND written_delta IS NULL AND (NOT cross_cob OR source_total IS NULL) THEN 'NO DATA IN SCOPE'
-       WHEN lower(adjustment_type) = 'scale' AND NOT cross_cob AND scale_factor = 1 AND written_delta IS NULL THEN 'NO-OP'
+       WHEN lower(restatement_type) = 'scale' AND NOT cross_cob AND scale_factor = 1 AND written_delta IS NULL THEN 'NO-OP'
        WHEN cross_cob AND source_total IS NULL THEN 'MISSING SOURCE'
-       WHEN written_delta IS NULL THEN 'MISSING ADJUSTMENT'
+       WHEN written_delta IS NULL THEN 'MISSING RESTATEMENT'
        WHEN NOT cross_cob AND original_total IS NULL THEN 'MISSING ORIGINAL'
        WHEN abs(expected_delta - written_delta) < 0.01 THEN 'RECONCILED' ELSE 'BREAK' END AS recon_status
 FROM j""")
@@ -82,7 +82,7 @@ def adj_recon(spark, d):
     cross = h.where(F.coalesce("source_cobid", "cobid") != F.col("cobid"))
     src = PV.matched(fa.select(*cols).unionByName(da.select(*cols)), cross, fmap, match_on="source") \
         .withColumnRenamed("_p_key", "adj_key")
-    written = run_scale(spark, d, "hdr_inline").join(F.broadcast(h.select("adjustment_id", "adj_key")), "adjustment_id")
+    written = run_scale(spark, d, "hdr_inline").join(F.broadcast(h.select("restatement_id", "adj_key")), "restatement_id")
     r = RC.reconcile(h, orig, src, written, "adj_key", "value_usd")
     return doubles(r.select("adj_key", "original_total", "source_total", "written_delta", "expected_delta", "recon_status"),
                    ["original_total", "source_total", "written_delta", "expected_delta"])
@@ -90,36 +90,36 @@ def adj_recon(spark, d):
 
 @q("agg_reconcile_counts", scale_sql("hdr_inline", True, """, cur0 AS (SELECT 1 AS x)
 SELECT (SELECT count(*) FROM hdr_inline) AS header_count,
-       (SELECT count(DISTINCT adjustment_id) FROM (SELECT adjustment_id FROM hdr_inline UNION ALL
-                                                  SELECT adjustment_id FROM hdr_prior)) AS registry_count,
-       (SELECT count(DISTINCT adjustment_id) FROM (SELECT adjustment_id FROM p_out p WHERE NOT EXISTS (
+       (SELECT count(DISTINCT restatement_id) FROM (SELECT restatement_id FROM hdr_inline UNION ALL
+                                                  SELECT restatement_id FROM hdr_prior)) AS registry_count,
+       (SELECT count(DISTINCT restatement_id) FROM (SELECT restatement_id FROM p_out p WHERE NOT EXISTS (
             SELECT 1 FROM b_out b WHERE b.cobid IS NOT DISTINCT FROM p.cobid AND b.trade_key IS NOT DISTINCT FROM p.trade_key
             AND b.line_no IS NOT DISTINCT FROM p.line_no AND b.book_key IS NOT DISTINCT FROM p.book_key
             AND b.instrument_key IS NOT DISTINCT FROM p.instrument_key
             AND b.source_system_code IS NOT DISTINCT FROM p.source_system_code
             AND b.currency_code IS NOT DISTINCT FROM p.currency_code)
-          UNION ALL SELECT adjustment_id FROM b_out)) AS delta_ids"""))
+          UNION ALL SELECT restatement_id FROM b_out)) AS delta_ids"""))
 def agg_reconcile_counts(spark, d):
     v = S.register(spark, d, ["hdr_inline", "hdr_prior"])
-    reg = v["hdr_inline"].select("adjustment_id").union(v["hdr_prior"].select("adjustment_id")).distinct()
-    ids = current_deltas(spark, d).select("adjustment_id").distinct()
+    reg = v["hdr_inline"].select("restatement_id").union(v["hdr_prior"].select("restatement_id")).distinct()
+    ids = current_deltas(spark, d).select("restatement_id").distinct()
     return RP.three_way(v["hdr_inline"], reg, ids, ("header_count", "registry_count", "delta_ids"))
 
 
 @q("jn_dev_prod", scale_sql("hdr_inline", True, """
-, dev AS (SELECT adjustment_id AS adj_no, count(*) AS rows_, sum(value_usd) AS total FROM b_out GROUP BY 1),
+, dev AS (SELECT restatement_id AS adj_no, count(*) AS rows_, sum(value_usd) AS total FROM b_out GROUP BY 1),
   prod AS (SELECT CAST(regexp_extract(h.adj_key, '[0-9]+', 0) AS BIGINT) AS adj_no, count(*) AS rows_, sum(p.value_usd) AS total
-           FROM p_out p JOIN hdr_prior h ON p.adjustment_id = h.adjustment_id GROUP BY 1)
+           FROM p_out p JOIN hdr_prior h ON p.restatement_id = h.restatement_id GROUP BY 1)
 SELECT coalesce(dev.adj_no, prod.adj_no) AS adj_no, coalesce(dev.rows_, 0) AS dev_rows, coalesce(prod.rows_, 0) AS prod_rows,
        CAST(dev.total AS DOUBLE) AS dev_total, CAST(prod.total AS DOUBLE) AS prod_total
 FROM dev FULL OUTER JOIN prod ON dev.adj_no = prod.adj_no"""))
 def jn_dev_prod(spark, d):
-    """Same adjustment in two environments side by side; the other side's id is the
+    """Same restatement in two environments side by side; the other side's id is the
     first number in its reference text."""
     v = S.register(spark, d, ["hdr_prior"])
-    dev = run_scale(spark, d, "hdr_inline").groupBy(F.col("adjustment_id").alias("adj_no")).agg(
+    dev = run_scale(spark, d, "hdr_inline").groupBy(F.col("restatement_id").alias("adj_no")).agg(
         F.count(F.lit(1)).alias("dev_rows"), F.sum("value_usd").alias("dev_total"))
-    prod = prior_deltas(spark, d).join(v["hdr_prior"].select("adjustment_id", "adj_key"), "adjustment_id") \
+    prod = prior_deltas(spark, d).join(v["hdr_prior"].select("restatement_id", "adj_key"), "restatement_id") \
         .groupBy(F.regexp_extract("adj_key", "[0-9]+", 0).cast("long").alias("adj_no")).agg(
         F.count(F.lit(1)).alias("prod_rows"), F.sum("value_usd").alias("prod_total"))
     j = dev.join(prod, "adj_no", "full_outer")
@@ -132,20 +132,20 @@ def jn_dev_prod(spark, d):
 @q("adj_business_checks", scale_sql("hdr_inline", True, f"""
 , pos AS (SELECT DISTINCT f.cobid, f.trade_key, f.line_no, f.book_key, f.instrument_key, f.source_system_code,
                  f.currency_code, f.value_usd FROM fa f JOIN hdr_inline h ON f.cobid = h.cobid AND {WILD}
-          WHERE h.adjustment_id = 2)
-SELECT (SELECT CAST(sum(value_usd) AS DOUBLE) FROM b_out WHERE adjustment_id = 2) AS delta_total,
+          WHERE h.restatement_id = 2)
+SELECT (SELECT CAST(sum(value_usd) AS DOUBLE) FROM b_out WHERE restatement_id = 2) AS delta_total,
        (SELECT CAST(sum(value_usd) AS DOUBLE) FROM pos) AS original_total,
-       (SELECT count(*) FROM b_out WHERE adjustment_id = 2) AS delta_rows,
+       (SELECT count(*) FROM b_out WHERE restatement_id = 2) AS delta_rows,
        (SELECT CAST(sum(value_usd) AS DOUBLE) FROM (SELECT cobid, source_system_code, sum(value_usd) AS value_usd
-         FROM b_out WHERE adjustment_id = 2 GROUP BY ALL)) AS summary_total"""))
+         FROM b_out WHERE restatement_id = 2 GROUP BY ALL)) AS summary_total"""))
 def adj_business_checks(spark, d):
-    """Delta, original and summary totals for one adjustment id (2)."""
+    """Delta, original and summary totals for one restatement id (2)."""
     v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_inline"])
-    h = v["hdr_inline"].where(F.col("adjustment_id") == 2)
+    h = v["hdr_inline"].where(F.col("restatement_id") == 2)
     fmap = {c: S.FILTER_MAP[c] for c in active_filters(h, S.FILTER_COLS)}
     fa = attach_attrs(v["fact"], v, fmap.values())
     orig = PV.matched(fa, h, fmap, match_on="target")
-    dl = run_scale(spark, d, "hdr_inline").where(F.col("adjustment_id") == 2)
+    dl = run_scale(spark, d, "hdr_inline").where(F.col("restatement_id") == 2)
     a = dl.agg(F.sum("value_usd").cast("double").alias("delta_total"), F.count(F.lit(1)).alias("delta_rows"))
     b = orig.agg(F.sum("value_usd").cast("double").alias("original_total"))
     c = D.summarise(dl, ["cobid", "source_system_code"], ["value_usd"]).agg(
@@ -154,20 +154,20 @@ def adj_business_checks(spark, d):
 
 
 @q("agg_fanout_report", scale_sql("hdr_inline", True, """
-, ids AS (SELECT adjustment_id FROM hdr_inline UNION SELECT adjustment_id FROM hdr_prior)
-SELECT ids.adjustment_id, coalesce(p.n, 0) AS rows_prior, coalesce(b.n, 0) AS rows_batch
-FROM ids LEFT JOIN (SELECT adjustment_id, count(*) AS n FROM p_out GROUP BY 1) p ON ids.adjustment_id = p.adjustment_id
-LEFT JOIN (SELECT adjustment_id, count(*) AS n FROM b_out GROUP BY 1) b ON ids.adjustment_id = b.adjustment_id"""))
+, ids AS (SELECT restatement_id FROM hdr_inline UNION SELECT restatement_id FROM hdr_prior)
+SELECT ids.restatement_id, coalesce(p.n, 0) AS rows_prior, coalesce(b.n, 0) AS rows_batch
+FROM ids LEFT JOIN (SELECT restatement_id, count(*) AS n FROM p_out GROUP BY 1) p ON ids.restatement_id = p.restatement_id
+LEFT JOIN (SELECT restatement_id, count(*) AS n FROM b_out GROUP BY 1) b ON ids.restatement_id = b.restatement_id"""))
 def agg_fanout_report(spark, d):
     v = S.register(spark, d, ["hdr_inline", "hdr_prior"])
-    ids = v["hdr_inline"].select("adjustment_id").union(v["hdr_prior"].select("adjustment_id"))
-    return RP.fanout(ids, "adjustment_id", {"prior": prior_deltas(spark, d), "batch": run_scale(spark, d, "hdr_inline")})
+    ids = v["hdr_inline"].select("restatement_id").union(v["hdr_prior"].select("restatement_id"))
+    return RP.fanout(ids, "restatement_id", {"prior": prior_deltas(spark, d), "batch": run_scale(spark, d, "hdr_inline")})
 
 
 @q("agg_verified_questions", S.with_views(["hdr_queue"], f"""
 SELECT (SELECT count(*) FROM hdr_queue WHERE run_status = 'Processed'
           AND process_date >= TIMESTAMP '{NOW}' - INTERVAL '7' DAY AND process_date < TIMESTAMP '{NOW}') AS applied_this_week,
-       (SELECT CAST(sum(adjustment_value_in_usd) AS DOUBLE) FROM hdr_queue WHERE run_status = 'Processed') AS sum_applied,
+       (SELECT CAST(sum(restatement_value_in_usd) AS DOUBLE) FROM hdr_queue WHERE run_status = 'Processed') AS sum_applied,
        (SELECT count(*) FROM hdr_queue WHERE run_status IN ('Pending', 'Pending Approval')) AS pending,
        (SELECT username FROM hdr_queue GROUP BY username ORDER BY count(*) DESC, username LIMIT 1) AS top_creator"""))
 def agg_verified_questions(spark, d):
@@ -175,7 +175,7 @@ def agg_verified_questions(spark, d):
     now = F.lit(NOW).cast("timestamp")
     a = h.agg(F.count_if((F.col("run_status") == "Processed") & (F.col("process_date") >= now - F.expr("INTERVAL 7 DAYS"))
                          & (F.col("process_date") < now)).alias("applied_this_week"),
-              F.sum(F.when(F.col("run_status") == "Processed", F.col("adjustment_value_in_usd"))).cast("double")
+              F.sum(F.when(F.col("run_status") == "Processed", F.col("restatement_value_in_usd"))).cast("double")
               .alias("sum_applied"),
               F.count_if(F.col("run_status").isin("Pending", "Pending Approval")).alias("pending"))
     top = RP.top_n(h.groupBy("username").agg(F.count(F.lit(1)).alias("n")), [F.col("n").desc(), F.col("username")], 1) \
@@ -331,7 +331,7 @@ def fn_uuid5(spark, d):
 
 @q("adj_submit_batch", S.with_views(["stage_direct", "entity_dim"], f"""
 SELECT {_uuid5_sql(_NAME)} AS adj_id, s.cobid, s.entity_code, s.book_code,
-       CAST(TRY_CAST(s.value_usd AS DECIMAL(38,6)) AS DOUBLE) AS adjustment_value_in_usd,
+       CAST(TRY_CAST(s.value_usd AS DECIMAL(38,6)) AS DOUBLE) AS restatement_value_in_usd,
        substr(concat_ws(' | ', nullif(trim(s.currency_code), ''), coalesce(nullif(trim(s.reason), ''), 'batch ' || s.batch_id)), 1, 1000) AS reason,
        CASE WHEN s.currency_code = 'F' THEN 'Pending Approval' ELSE 'Pending' END AS run_status
 FROM stage_direct s
@@ -348,7 +348,7 @@ def adj_submit_batch(spark, d):
     name = F.concat_ws("-", "batch_id", "order_key", "line_no", "part_key")
     reason = F.coalesce(F.nullif(F.trim("reason"), F.lit("")), F.concat(F.lit("batch "), F.col("batch_id")))
     return s.select(uuid5(ID_NAMESPACE, name).alias("adj_id"), "cobid", "entity_code", "book_code",
-                    val.cast("double").alias("adjustment_value_in_usd"),
+                    val.cast("double").alias("restatement_value_in_usd"),
                     compose_reason("currency_code", reason).alias("reason"),
                     F.when(F.col("currency_code") == "F", "Pending Approval").otherwise("Pending").alias("run_status"))
 
@@ -481,7 +481,7 @@ FROM stage_direct s LEFT JOIN book_dim b ON upper(trim(s.book_code)) = upper(tri
 LEFT JOIN rates r ON r.cobid = s.cobid AND r.currency_code = s.currency_code
 LEFT JOIN g4 ON g4.c = upper(trim(s.entity_code))"""))
 def prj_legacy_base(spark, d):
-    """Older adjustment base: -1 key defaults only for direct rows (stand-in: currency F), FX to
+    """Older restatement base: -1 key defaults only for direct rows (stand-in: currency F), FX to
     local with missing rate = 1, G4 classification, error message."""
     from restate.operators import resolve as R
     v = S.register(spark, d, ["stage_direct", "book_dim", "fact", "nation"])
@@ -500,7 +500,7 @@ def prj_legacy_base(spark, d):
 
 
 @q("adj_upload_legacy", S.with_views(["stage_direct", "book_dim"], """
-WITH r AS (SELECT s.batch_id, s.entity_code, coalesce(nullif(trim(s.book_code), ''), s.department_code || '/ADJUSTMENT') AS book_code,
+WITH r AS (SELECT s.batch_id, s.entity_code, coalesce(nullif(trim(s.book_code), ''), s.department_code || '/RESTATEMENT') AS book_code,
                   TRY_CAST(s.value_usd AS DECIMAL(38,6)) AS v FROM stage_direct s)
 SELECT r.batch_id, upper(r.entity_code) AS entity, coalesce(b.book_key, -1) AS book_key, count(*) AS rows_,
        CAST(sum(r.v) AS DOUBLE) AS value_usd
@@ -536,14 +536,14 @@ def adj_upload_frtb(spark, d):
 
 
 @q("adj_legacy_base_incremental", S.with_views(["hdr_orders", "hdr_queue"], """
-WITH old AS (SELECT username, cobid, adj_key, adjustment_type FROM hdr_orders),
- new AS (SELECT username, cobid, adj_key, adjustment_type FROM hdr_queue WHERE run_status = 'Processed')
+WITH old AS (SELECT username, cobid, adj_key, restatement_type FROM hdr_orders),
+ new AS (SELECT username, cobid, adj_key, restatement_type FROM hdr_queue WHERE run_status = 'Processed')
 SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.username = o.username AND n.cobid = o.cobid)
 UNION ALL SELECT * FROM new"""))
 def adj_legacy_base_incremental(spark, d):
     """Incremental model keyed by (reference, COB): new keys replace every old row of that key."""
     v = S.register(spark, d, ["hdr_orders", "hdr_queue"])
-    cols = ["username", "cobid", "adj_key", "adjustment_type"]
+    cols = ["username", "cobid", "adj_key", "restatement_type"]
     old = v["hdr_orders"].select(*cols)
     new = v["hdr_queue"].where(F.col("run_status") == "Processed").select(*cols)
     keys = new.select(F.col("username").alias("_u"), F.col("cobid").alias("_c")).distinct()

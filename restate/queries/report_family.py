@@ -25,8 +25,8 @@ def q(name, sql=None):
 NOW = "1998-06-01 00:00:00"
 WILD = " AND ".join(f"(h.{c} IS NULL OR upper(trim(h.{c})) = upper(trim(CAST(f.{a} AS VARCHAR))))"
                     for c, a in S.FILTER_MAP.items())
-EFF = """CAST(CASE WHEN lower(h.adjustment_type) = 'flatten' THEN -1
-   WHEN lower(h.adjustment_type) IN ('scale', 'roll') THEN
+EFF = """CAST(CASE WHEN lower(h.restatement_type) = 'flatten' THEN -1
+   WHEN lower(h.restatement_type) IN ('scale', 'roll') THEN
         CASE WHEN coalesce(h.source_cobid, h.cobid) <> h.cobid THEN CAST(h.scale_factor AS DECIMAL(12,4))
              ELSE CAST(h.scale_factor AS DECIMAL(12,4)) - 1 END ELSE 0 END AS DECIMAL(12,4))"""
 PREVIEW_M = f"""
@@ -106,20 +106,20 @@ def agg_preview_roll(spark, d):
 # -- KPIs and dashboards -------------------------------------------------------
 
 @q("agg_dashboard", S.with_views(["hdr_queue"], """
-SELECT cobid, process_type, adjustment_type, run_status, entity_code, department_code, source_system_code,
-       currency_code, is_deleted, username IS NOT NULL AS has_user, count(*) AS adjustments,
-       CAST(sum(adjustment_value_in_usd) AS DOUBLE) AS value_usd
+SELECT cobid, process_type, restatement_type, run_status, entity_code, department_code, source_system_code,
+       currency_code, is_deleted, username IS NOT NULL AS has_user, count(*) AS restatements,
+       CAST(sum(restatement_value_in_usd) AS DOUBLE) AS value_usd
 FROM hdr_queue GROUP BY ALL"""))
 def agg_dashboard(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
-    keys = ["cobid", "process_type", "adjustment_type", "run_status", "entity_code", "department_code",
+    keys = ["cobid", "process_type", "restatement_type", "run_status", "entity_code", "department_code",
             "source_system_code", "currency_code", "is_deleted", F.col("username").isNotNull().alias("has_user")]
-    return h.groupBy(*keys).agg(F.count(F.lit(1)).alias("adjustments"),
-                                F.sum("adjustment_value_in_usd").cast("double").alias("value_usd"))
+    return h.groupBy(*keys).agg(F.count(F.lit(1)).alias("restatements"),
+                                F.sum("restatement_value_in_usd").cast("double").alias("value_usd"))
 
 
 _KPI_SQL = """
-SELECT h.cobid, count(DISTINCT h.adj_key) AS total_adjustments,
+SELECT h.cobid, count(DISTINCT h.adj_key) AS total_restatements,
   count(DISTINCT CASE WHEN run_status = 'Pending' THEN adj_key END) AS pending_count,
   count(DISTINCT CASE WHEN run_status = 'Pending Approval' THEN adj_key END) AS pending_approval_count,
   count(DISTINCT CASE WHEN run_status = 'Approved' THEN adj_key END) AS approved_count,
@@ -127,7 +127,7 @@ SELECT h.cobid, count(DISTINCT h.adj_key) AS total_adjustments,
   count(DISTINCT CASE WHEN run_status = 'Running' THEN adj_key END) AS running_count,
   count(DISTINCT CASE WHEN run_status = 'Failed' THEN adj_key END) AS failed_count,
   count(DISTINCT CASE WHEN run_status LIKE 'Rejected%' THEN adj_key END) AS rejected_count,
-  CAST(sum(CASE WHEN run_status = 'Processed' THEN adjustment_value_in_usd ELSE 0 END) AS DOUBLE) AS total_processed_value_usd,
+  CAST(sum(CASE WHEN run_status = 'Processed' THEN restatement_value_in_usd ELSE 0 END) AS DOUBLE) AS total_processed_value_usd,
   min(created_date) AS first_submission, max(process_date) AS last_processing,
   avg(CASE WHEN run_status = 'Processed' THEN epoch(process_date) - epoch(created_date) END) AS avg_processing_seconds,
   count(DISTINCT username) AS unique_users
@@ -151,14 +151,14 @@ def agg_kpi(spark, d):
 
 @q("agg_kpi_total", S.with_views(["hdr_queue"], f"""
 WITH k AS ({_KPI_SQL})
-SELECT coalesce(sum(total_adjustments), 0) AS total_adjustments, coalesce(sum(pending_count), 0) AS pending_count,
+SELECT coalesce(sum(total_restatements), 0) AS total_restatements, coalesce(sum(pending_count), 0) AS pending_count,
        coalesce(sum(processed_count), 0) AS processed_count, coalesce(sum(failed_count), 0) AS failed_count,
        CAST(coalesce(sum(total_processed_value_usd), 0) AS DOUBLE) AS total_processed_value_usd FROM k"""))
 def agg_kpi_total(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
     k = RP.kpi_per_cob(h)
     return k.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in
-                   ["total_adjustments", "pending_count", "processed_count", "failed_count"]],
+                   ["total_restatements", "pending_count", "processed_count", "failed_count"]],
                  F.coalesce(F.sum("total_processed_value_usd"), F.lit(0)).cast("double").alias("total_processed_value_usd"))
 
 
@@ -171,25 +171,25 @@ def agg_scope_status(spark, d):
 
 @q("agg_cob_trend", scale_sql("hdr_orders", False, """
 , top AS (SELECT DISTINCT cobid FROM hdr_orders ORDER BY cobid DESC LIMIT 10),
-  a AS (SELECT cobid, process_type, count(*) AS adjustments FROM hdr_orders WHERE cobid IN (SELECT cobid FROM top) GROUP BY ALL),
-  r AS (SELECT h.cobid, h.process_type, count(*) AS delta_rows FROM b_out o JOIN hdr_orders h ON o.adjustment_id = h.adjustment_id
+  a AS (SELECT cobid, process_type, count(*) AS restatements FROM hdr_orders WHERE cobid IN (SELECT cobid FROM top) GROUP BY ALL),
+  r AS (SELECT h.cobid, h.process_type, count(*) AS delta_rows FROM b_out o JOIN hdr_orders h ON o.restatement_id = h.restatement_id
         WHERE h.cobid IN (SELECT cobid FROM top) GROUP BY ALL)
-SELECT a.cobid, a.process_type, a.adjustments, coalesce(r.delta_rows, 0) AS delta_rows
+SELECT a.cobid, a.process_type, a.restatements, coalesce(r.delta_rows, 0) AS delta_rows
 FROM a LEFT JOIN r ON a.cobid = r.cobid AND a.process_type = r.process_type"""))
 def agg_cob_trend(spark, d):
     v = S.register(spark, d, ["hdr_orders"])
     h = v["hdr_orders"]
     top = h.select("cobid").distinct().orderBy(F.col("cobid").desc()).limit(10)
     hh = h.join(F.broadcast(top), "cobid", "left_semi")
-    a = hh.groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("adjustments"))
+    a = hh.groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("restatements"))
     out = run_scale(spark, d, "hdr_orders", with_prior=False)
-    r = out.select("adjustment_id").join(hh.select("adjustment_id", "cobid", "process_type"), "adjustment_id") \
+    r = out.select("restatement_id").join(hh.select("restatement_id", "cobid", "process_type"), "restatement_id") \
         .groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("delta_rows"))
     return a.join(r, ["cobid", "process_type"], "left").na.fill(0, ["delta_rows"])
 
 
 @q("agg_run_log", S.with_views(["hdr_queue"], """
-SELECT process_type AS run_scope, cobid, min(adjustment_type) AS any_type,
+SELECT process_type AS run_scope, cobid, min(restatement_type) AS any_type,
        count_if(run_status = 'Processed') AS processed, count_if(run_status = 'Failed') AS failed,
        min(start_date) AS started_at, max(process_date) AS ended_at,
        epoch(max(process_date)) - epoch(min(start_date)) AS duration_sec
@@ -197,7 +197,7 @@ FROM hdr_queue GROUP BY ALL"""))
 def agg_run_log(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
     return h.groupBy(F.col("process_type").alias("run_scope"), "cobid").agg(
-        F.min("adjustment_type").alias("any_type"), F.count_if(F.col("run_status") == "Processed").alias("processed"),
+        F.min("restatement_type").alias("any_type"), F.count_if(F.col("run_status") == "Processed").alias("processed"),
         F.count_if(F.col("run_status") == "Failed").alias("failed"), F.min("start_date").alias("started_at"),
         F.max("process_date").alias("ended_at"),
         (F.unix_timestamp(F.max("process_date")) - F.unix_timestamp(F.min("start_date"))).cast("double").alias("duration_sec"))
@@ -264,14 +264,14 @@ def agg_notification_kpi(spark, d):
 @q("agg_home_kpi", S.with_views(["hdr_queue"], f"""
 SELECT count_if(run_status IN ('Pending', 'Pending Approval')) AS pending,
        count_if(run_status = 'Processed' AND CAST(process_date AS DATE) = DATE '1998-06-01') AS applied_today,
-       count(*) AS total, CAST(coalesce(sum(CASE WHEN run_status = 'Processed' THEN adjustment_value_in_usd END), 0) AS DOUBLE) AS value_applied
+       count(*) AS total, CAST(coalesce(sum(CASE WHEN run_status = 'Processed' THEN restatement_value_in_usd END), 0) AS DOUBLE) AS value_applied
 FROM hdr_queue"""))
 def agg_home_kpi(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
     return h.agg(F.count_if(F.col("run_status").isin("Pending", "Pending Approval")).alias("pending"),
                  F.count_if((F.col("run_status") == "Processed") & (F.to_date("process_date") == F.lit("1998-06-01").cast("date")))
                  .alias("applied_today"), F.count(F.lit(1)).alias("total"),
-                 F.coalesce(F.sum(F.when(F.col("run_status") == "Processed", F.col("adjustment_value_in_usd"))), F.lit(0))
+                 F.coalesce(F.sum(F.when(F.col("run_status") == "Processed", F.col("restatement_value_in_usd"))), F.lit(0))
                  .cast("double").alias("value_applied"))
 
 
@@ -286,18 +286,18 @@ def agg_admin_totals(spark, d):
 
 
 @q("agg_recent_stats", scale_sql("hdr_orders", False, """
-, rh AS (SELECT adjustment_id FROM hdr_orders WHERE created_date >= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL '7' DAY
+, rh AS (SELECT restatement_id FROM hdr_orders WHERE created_date >= TIMESTAMP '1998-06-01 00:00:00' - INTERVAL '7' DAY
          AND created_date < TIMESTAMP '1998-06-01 00:00:00')
-SELECT (SELECT count(*) FROM rh) AS adjustments, count(*) AS delta_rows,
+SELECT (SELECT count(*) FROM rh) AS restatements, count(*) AS delta_rows,
        CAST(coalesce(sum(abs(value_usd)), 0) AS DOUBLE) AS abs_delta
-FROM b_out WHERE adjustment_id IN (SELECT adjustment_id FROM rh)"""))
+FROM b_out WHERE restatement_id IN (SELECT restatement_id FROM rh)"""))
 def agg_recent_stats(spark, d):
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
     now = F.lit("1998-06-01 00:00:00").cast("timestamp")
     rh = h.where((F.col("created_date") >= now - F.expr("INTERVAL 7 DAYS")) & (F.col("created_date") < now)) \
-        .select("adjustment_id")
-    dd = run_scale(spark, d, "hdr_orders", with_prior=False).join(rh, "adjustment_id", "left_semi")
-    a = rh.agg(F.count(F.lit(1)).alias("adjustments"))
+        .select("restatement_id")
+    dd = run_scale(spark, d, "hdr_orders", with_prior=False).join(rh, "restatement_id", "left_semi")
+    a = rh.agg(F.count(F.lit(1)).alias("restatements"))
     b = dd.agg(F.count(F.lit(1)).alias("delta_rows"),
                F.coalesce(F.sum(F.abs("value_usd")), F.lit(0)).cast("double").alias("abs_delta"))
     return RP.side_by_side(a, b)
@@ -344,62 +344,62 @@ def agg_refresh_kpi(spark, d):
 
 
 @q("agg_impact_summary", scale_sql("hdr_inline", True, """
-, o AS (SELECT h.adjustment_id, sum(f.value_usd) AS original_total FROM fa f
-        JOIN hdr_inline h ON f.cobid = h.cobid AND """ + WILD + """ GROUP BY h.adjustment_id),
-  dd AS (SELECT adjustment_id, count(*) AS rows_affected, sum(abs(value_usd)) AS abs_delta, sum(value_usd) AS net_delta
-         FROM b_out GROUP BY adjustment_id)
-SELECT h.adjustment_id, coalesce(dd.rows_affected, 0) AS rows_affected, CAST(dd.abs_delta AS DOUBLE) AS abs_delta,
+, o AS (SELECT h.restatement_id, sum(f.value_usd) AS original_total FROM fa f
+        JOIN hdr_inline h ON f.cobid = h.cobid AND """ + WILD + """ GROUP BY h.restatement_id),
+  dd AS (SELECT restatement_id, count(*) AS rows_affected, sum(abs(value_usd)) AS abs_delta, sum(value_usd) AS net_delta
+         FROM b_out GROUP BY restatement_id)
+SELECT h.restatement_id, coalesce(dd.rows_affected, 0) AS rows_affected, CAST(dd.abs_delta AS DOUBLE) AS abs_delta,
        CAST(dd.net_delta AS DOUBLE) AS net_delta, CAST(o.original_total AS DOUBLE) AS original_total,
        CAST(round(CAST(dd.net_delta AS DOUBLE) / nullif(CAST(o.original_total AS DOUBLE), 0) * 100, 4) AS DOUBLE) AS pct_impact
-FROM hdr_inline h LEFT JOIN dd ON h.adjustment_id = dd.adjustment_id LEFT JOIN o ON h.adjustment_id = o.adjustment_id"""))
+FROM hdr_inline h LEFT JOIN dd ON h.restatement_id = dd.restatement_id LEFT JOIN o ON h.restatement_id = o.restatement_id"""))
 def agg_impact_summary(spark, d):
     from restate.operators.match import wildcard_match
     v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_inline"])
     h = v["hdr_inline"]
     fmap = {c: S.FILTER_MAP[c] for c in active_filters(h, S.FILTER_COLS)}
     fa = attach_attrs(v["fact"], v, fmap.values())
-    hh = h.select(F.col("adjustment_id"), F.col("cobid").alias("_hc"), *[F.col(c).alias(f"_h_{c}") for c in fmap])
+    hh = h.select(F.col("restatement_id"), F.col("cobid").alias("_hc"), *[F.col(c).alias(f"_h_{c}") for c in fmap])
     orig = wildcard_match(fa, hh, {f"_h_{c}": a for c, a in fmap.items()}, header_cob="_hc")
     deltas = run_scale(spark, d, "hdr_inline").withColumn("value_usd", F.col("value_usd").cast("double"))
     out = RP.impact_summary(h, deltas, orig.withColumn("value_usd", F.col("value_usd").cast("double")),
-                            "adjustment_id", "value_usd")
+                            "restatement_id", "value_usd")
     return doubles(out, ["abs_delta", "net_delta", "original_total", "pct_impact"])
 
 
 @q("agg_daily_activity", S.with_views(["hdr_queue"], """
-SELECT date_trunc('day', created_date) AS day, adjustment_type, run_status, username, count(*) AS n
+SELECT date_trunc('day', created_date) AS day, restatement_type, run_status, username, count(*) AS n
 FROM hdr_queue GROUP BY ALL"""))
 def agg_daily_activity(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
-    return h.groupBy(F.date_trunc("day", "created_date").alias("day"), "adjustment_type", "run_status", "username") \
+    return h.groupBy(F.date_trunc("day", "created_date").alias("day"), "restatement_type", "run_status", "username") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("agg_daily_metrics", scale_sql("hdr_orders", False, """
-, dd AS (SELECT adjustment_id, count(*) AS n, sum(abs(value_usd)) AS a FROM b_out GROUP BY adjustment_id)
-SELECT date_trunc('day', h.created_date) AS day, count(DISTINCT h.adj_key) AS adjustments,
-       CAST(sum(dd.a) AS DOUBLE) AS sum_abs_delta, count(dd.a) AS adjustments_with_deltas,
+, dd AS (SELECT restatement_id, count(*) AS n, sum(abs(value_usd)) AS a FROM b_out GROUP BY restatement_id)
+SELECT date_trunc('day', h.created_date) AS day, count(DISTINCT h.adj_key) AS restatements,
+       CAST(sum(dd.a) AS DOUBLE) AS sum_abs_delta, count(dd.a) AS restatements_with_deltas,
        CAST(max(dd.a) AS DOUBLE) AS max_abs_delta, coalesce(sum(dd.n), 0) AS affected_rows
-FROM hdr_orders h LEFT JOIN dd ON h.adjustment_id = dd.adjustment_id GROUP BY 1"""))
+FROM hdr_orders h LEFT JOIN dd ON h.restatement_id = dd.restatement_id GROUP BY 1"""))
 def agg_daily_metrics(spark, d):
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
-    dd = run_scale(spark, d, "hdr_orders", with_prior=False).groupBy("adjustment_id").agg(
+    dd = run_scale(spark, d, "hdr_orders", with_prior=False).groupBy("restatement_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.abs("value_usd")).alias("a"))
-    j = h.join(dd, "adjustment_id", "left")
+    j = h.join(dd, "restatement_id", "left")
     return j.groupBy(F.date_trunc("day", "created_date").alias("day")).agg(
-        F.countDistinct("adj_key").alias("adjustments"), F.sum("a").cast("double").alias("sum_abs_delta"),
-        F.count("a").alias("adjustments_with_deltas"), F.max("a").cast("double").alias("max_abs_delta"),
+        F.countDistinct("adj_key").alias("restatements"), F.sum("a").cast("double").alias("sum_abs_delta"),
+        F.count("a").alias("restatements_with_deltas"), F.max("a").cast("double").alias("max_abs_delta"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("affected_rows"))
 
 
 @q("agg_impact_by_type", scale_sql("hdr_orders", False, """
-SELECT h.adjustment_type, count(*) AS delta_rows, CAST(sum(o.value_usd) AS DOUBLE) AS net_impact,
+SELECT h.restatement_type, count(*) AS delta_rows, CAST(sum(o.value_usd) AS DOUBLE) AS net_impact,
        CAST(sum(abs(o.value_usd)) AS DOUBLE) AS abs_impact
-FROM b_out o JOIN hdr_orders h ON o.adjustment_id = h.adjustment_id GROUP BY 1"""))
+FROM b_out o JOIN hdr_orders h ON o.restatement_id = h.restatement_id GROUP BY 1"""))
 def agg_impact_by_type(spark, d):
-    h = S.register(spark, d, ["hdr_orders"])["hdr_orders"].select("adjustment_id", "adjustment_type")
+    h = S.register(spark, d, ["hdr_orders"])["hdr_orders"].select("restatement_id", "restatement_type")
     o = run_scale(spark, d, "hdr_orders", with_prior=False)
-    return o.join(h, "adjustment_id").groupBy("adjustment_type").agg(
+    return o.join(h, "restatement_id").groupBy("restatement_type").agg(
         F.count(F.lit(1)).alias("delta_rows"), F.sum("value_usd").cast("double").alias("net_impact"),
         F.sum(F.abs("value_usd")).cast("double").alias("abs_impact"))
 
@@ -427,12 +427,12 @@ def agg_top_users(spark, d):
 
 
 @q("srt_top_impact", scale_sql("hdr_orders", False, """
-SELECT adjustment_id, CAST(sum(abs(value_usd)) AS DOUBLE) AS abs_impact FROM b_out
-GROUP BY adjustment_id ORDER BY abs_impact DESC, adjustment_id LIMIT 10"""))
+SELECT restatement_id, CAST(sum(abs(value_usd)) AS DOUBLE) AS abs_impact FROM b_out
+GROUP BY restatement_id ORDER BY abs_impact DESC, restatement_id LIMIT 10"""))
 def srt_top_impact(spark, d):
     o = run_scale(spark, d, "hdr_orders", with_prior=False)
-    g = o.groupBy("adjustment_id").agg(F.sum(F.abs("value_usd")).cast("double").alias("abs_impact"))
-    return RP.top_n(g, [F.col("abs_impact").desc(), F.col("adjustment_id")], 10)
+    g = o.groupBy("restatement_id").agg(F.sum(F.abs("value_usd")).cast("double").alias("abs_impact"))
+    return RP.top_n(g, [F.col("abs_impact").desc(), F.col("restatement_id")], 10)
 
 
 @q("srt_recent_n", S.with_views(["status_history"], """
@@ -468,13 +468,13 @@ def srt_probe_exists(spark, d):
 
 @q("shp_pivot_chart", S.with_views(["hdr_queue"], """
 SELECT CAST(date_trunc('month', created_date) AS DATE) AS month,
-       count_if(adjustment_type = 'Flatten') AS "Flatten", count_if(adjustment_type = 'Roll') AS "Roll",
-       count_if(adjustment_type = 'Scale') AS "Scale"
+       count_if(restatement_type = 'Flatten') AS "Flatten", count_if(restatement_type = 'Roll') AS "Roll",
+       count_if(restatement_type = 'Scale') AS "Scale"
 FROM hdr_queue GROUP BY 1"""))
 def shp_pivot_chart(spark, d):
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
     p = RP.pivot_counts(h.withColumn("month", F.to_date(F.date_trunc("month", "created_date"))), "month",
-                        "adjustment_type", ["Flatten", "Roll", "Scale"])
+                        "restatement_type", ["Flatten", "Roll", "Scale"])
     return p
 
 
@@ -504,8 +504,8 @@ def agg_orig_vs_adj(spark, d):
 @q("agg_avg_outliers", scale_sql("hdr_orders", False, """
 , st AS (SELECT h.adj_key, coalesce(c.n, 0) AS rows_, CAST(h.scale_factor AS DOUBLE) AS factor,
                 CASE WHEN h.source_system_code IS NULL THEN NULL ELSE 'T' END AS ticket
-         FROM hdr_orders h LEFT JOIN (SELECT adjustment_id, count(*) AS n FROM b_out GROUP BY 1) c
-           ON h.adjustment_id = c.adjustment_id),
+         FROM hdr_orders h LEFT JOIN (SELECT restatement_id, count(*) AS n FROM b_out GROUP BY 1) c
+           ON h.restatement_id = c.restatement_id),
   g AS (SELECT avg(rows_) AS ar, avg(factor) AS af, stddev_pop(factor) AS sf FROM st),
   f AS (SELECT st.adj_key, list_filter([CASE WHEN rows_ > ar * 2.5 THEN 'ROWS_ABOVE_2.5X_MEAN' END,
           CASE WHEN abs(factor - 1) > 0.10 THEN 'FACTOR_CHANGE_OVER_10PCT' END,
@@ -515,8 +515,8 @@ def agg_orig_vs_adj(spark, d):
 SELECT adj_key, unnest(fl) AS anomaly FROM f"""))
 def agg_avg_outliers(spark, d):
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
-    c = run_scale(spark, d, "hdr_orders", with_prior=False).groupBy("adjustment_id").agg(F.count(F.lit(1)).alias("n"))
-    st = h.join(c, "adjustment_id", "left").select(
+    c = run_scale(spark, d, "hdr_orders", with_prior=False).groupBy("restatement_id").agg(F.count(F.lit(1)).alias("n"))
+    st = h.join(c, "restatement_id", "left").select(
         "adj_key", F.coalesce("n", F.lit(0)).alias("rows_"), F.col("scale_factor").cast("double").alias("factor"),
         F.when(F.col("source_system_code").isNotNull(), F.lit("T")).alias("ticket"))
     return RP.anomalies(st, "adj_key", "rows_", "factor", "ticket")
@@ -526,12 +526,12 @@ def agg_avg_outliers(spark, d):
 SELECT adj_key, process_type, username AS actor, 'Submitted' AS event_type, created_date AS event_time FROM hdr_queue
 UNION ALL
 SELECT s.adj_key, h.process_type, s.changed_by, s.new_status, s.changed_at
-FROM status_history s JOIN hdr_queue h ON s.adj_key = 'USR-' || CAST(h.adjustment_id - 1000 AS VARCHAR)"""))
+FROM status_history s JOIN hdr_queue h ON s.adj_key = 'USR-' || CAST(h.restatement_id - 1000 AS VARCHAR)"""))
 def jn_activity_feed(spark, d):
     v = S.register(spark, d, ["hdr_queue", "status_history"])
     h = v["hdr_queue"]
     hist = v["status_history"]
-    hk = h.withColumn("_user_key", F.concat(F.lit("USR-"), (F.col("adjustment_id") - 1000).cast("string")))
+    hk = h.withColumn("_user_key", F.concat(F.lit("USR-"), (F.col("restatement_id") - 1000).cast("string")))
     sub = h.select("adj_key", "process_type", F.col("username").alias("actor"), F.lit("Submitted").alias("event_type"),
                    F.col("created_date").alias("event_time"))
     ch = hist.join(hk.select("_user_key", "process_type"), F.col("adj_key") == F.col("_user_key")).select(
@@ -541,7 +541,7 @@ def jn_activity_feed(spark, d):
 
 
 @q("jn_track", S.with_views(["hdr_queue"], """
-SELECT h.adj_key, h.run_status, b.adjustment_id AS blocked_by_dim_id,
+SELECT h.adj_key, h.run_status, b.restatement_id AS blocked_by_dim_id,
   CASE WHEN h.run_status = 'Failed' THEN 'Failed' WHEN h.run_status LIKE 'Rejected%' THEN 'Rejected'
        WHEN h.run_status = 'Processed' THEN 'PBI Queued' WHEN h.run_status = 'Running' THEN 'Processing'
        WHEN h.run_status = 'Approved' THEN 'Approved' WHEN h.run_status = 'Pending Approval' THEN 'Pending Approval'
@@ -550,7 +550,7 @@ FROM hdr_queue h LEFT JOIN hdr_queue b ON b.adj_key = h.blocked_by_adj_id"""))
 def jn_track(spark, d):
     from restate.operators.workflow import lifecycle_stage
     h = S.register(spark, d, ["hdr_queue"])["hdr_queue"]
-    b = h.select(F.col("adj_key").alias("_bk"), F.col("adjustment_id").alias("blocked_by_dim_id"))
+    b = h.select(F.col("adj_key").alias("_bk"), F.col("restatement_id").alias("blocked_by_dim_id"))
     return h.join(b, F.col("blocked_by_adj_id") == F.col("_bk"), "left").select(
         "adj_key", "run_status", "blocked_by_dim_id", lifecycle_stage().alias("current_stage"))
 

@@ -60,10 +60,10 @@ def jn_qualified_code(spark, d):
 
 
 @q("jn_fallback_dummy", S.with_views(["stage_direct", "book_dim"], f"""
-SELECT {RIDS}, coalesce(nullif(trim(s.book_code), ''), s.department_code || '/ADJUSTMENT') AS resolved_book_code,
+SELECT {RIDS}, coalesce(nullif(trim(s.book_code), ''), s.department_code || '/RESTATEMENT') AS resolved_book_code,
        coalesce(b.book_key, -1) AS book_key
 FROM stage_direct s LEFT JOIN book_dim b
-  ON upper(trim(coalesce(nullif(trim(s.book_code), ''), s.department_code || '/ADJUSTMENT'))) = upper(trim(b.book_code))"""))
+  ON upper(trim(coalesce(nullif(trim(s.book_code), ''), s.department_code || '/RESTATEMENT'))) = upper(trim(b.book_code))"""))
 def jn_fallback_dummy(spark, d):
     v = S.register(spark, d, ["stage_direct", "book_dim"])
     rows = v["stage_direct"].select(*RID, R.dummy_code("book_code", "department_code").alias("resolved_book_code"))

@@ -1,6 +1,6 @@
 """Stand-in data model over the driver's TPC-H-like tables.
 
-The adjustment domain has facts (positions by COB), dimensions (book, entity,
+The restatement domain has facts (positions by COB), dimensions (book, entity,
 instrument, trade) and request headers.  The driver's tables are mapped onto it:
 
   fact            lineitem: cobid = first day of the ship month (int yyyymmdd),
@@ -80,9 +80,9 @@ FROM orders"""
 
 # Literal request list: overlapping wildcards, mixed case, same- and cross-COB.
 VIEWS["hdr_inline"] = """
-SELECT CAST(adj_key AS STRING) AS adj_key, CAST(adjustment_id AS BIGINT) AS adjustment_id,
+SELECT CAST(adj_key AS STRING) AS adj_key, CAST(restatement_id AS BIGINT) AS restatement_id,
        CAST(cobid AS INT) AS cobid, CAST(source_cobid AS INT) AS source_cobid,
-       CAST(adjustment_type AS STRING) AS adjustment_type,
+       CAST(restatement_type AS STRING) AS restatement_type,
        CAST(scale_factor AS DECIMAL(10,4)) AS scale_factor,
        CAST(created_date AS TIMESTAMP) AS created_date,
        CAST(entity_code AS STRING) AS entity_code, CAST(department_code AS STRING) AS department_code,
@@ -106,15 +106,15 @@ FROM (VALUES
  ('ADJ-11', 11, 19980601, 19980501, 'Roll', 0.5, '2026-01-06 09:30:00', 'NATION_12', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Stress', 'cy'),
  ('ADJ-12', 12, 19990101, 19990101, 'Scale', 1.0, '2026-01-08 08:00:00', 'NATION_99', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'VaR', 'dee'),
  ('ADJ-13', 13, 19970301, 19970301, 'Scale', 1.2, '2026-01-05 11:30:00', 'NATION_5', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'VaR', 'amy')
-) AS t(adj_key, adjustment_id, cobid, source_cobid, adjustment_type, scale_factor, created_date,
+) AS t(adj_key, restatement_id, cobid, source_cobid, restatement_type, scale_factor, created_date,
        entity_code, department_code, book_code, instrument_code, product_type, strategy,
        trade_typology, source_system_code, currency_code, process_type, username)"""
 
 # Requests already applied earlier (their deltas form the existing delta table).
 VIEWS["hdr_prior"] = """
-SELECT CAST(adj_key AS STRING) AS adj_key, CAST(adjustment_id AS BIGINT) AS adjustment_id,
+SELECT CAST(adj_key AS STRING) AS adj_key, CAST(restatement_id AS BIGINT) AS restatement_id,
        CAST(cobid AS INT) AS cobid, CAST(source_cobid AS INT) AS source_cobid,
-       CAST(adjustment_type AS STRING) AS adjustment_type,
+       CAST(restatement_type AS STRING) AS restatement_type,
        CAST(scale_factor AS DECIMAL(10,4)) AS scale_factor,
        CAST(created_date AS TIMESTAMP) AS created_date,
        CAST(entity_code AS STRING) AS entity_code, CAST(department_code AS STRING) AS department_code,
@@ -129,19 +129,19 @@ FROM (VALUES
  ('PRI-02', 902, 19970301, 19970301, 'Scale', 1.5, '2025-12-01 10:00:00', NULL, NULL, NULL, NULL, 'LARGE', NULL, NULL, NULL, NULL, 'VaR', 'bob'),
  ('PRI-03', 903, 19970301, 19970301, 'Flatten', 1.0, '2025-12-02 10:00:00', 'NATION_3', NULL, NULL, NULL, NULL, NULL, NULL, 'N', NULL, 'VaR', 'cy'),
  ('PRI-04', 904, 19980501, 19980501, 'Scale', 0.2, '2025-12-03 10:00:00', 'NATION_12', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'Stress', 'dee')
-) AS t(adj_key, adjustment_id, cobid, source_cobid, adjustment_type, scale_factor, created_date,
+) AS t(adj_key, restatement_id, cobid, source_cobid, restatement_type, scale_factor, created_date,
        entity_code, department_code, book_code, instrument_code, product_type, strategy,
        trade_typology, source_system_code, currency_code, process_type, username)"""
 
 # One request per order: type from priority, filter signature from status.
 VIEWS["hdr_orders"] = f"""
 SELECT 'ORD-' || CAST(o.o_orderkey AS STRING) AS adj_key,
-       o.o_orderkey + 1000 AS adjustment_id,
+       o.o_orderkey + 1000 AS restatement_id,
        {COB_EXPR.format(c='o.o_orderdate')} AS cobid,
        CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED'
             THEN CAST(year(o.o_orderdate - INTERVAL '1' MONTH) * 10000 + month(o.o_orderdate - INTERVAL '1' MONTH) * 100 + 1 AS INT)
             ELSE {COB_EXPR.format(c='o.o_orderdate')} END AS source_cobid,
-       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Flatten' WHEN '4-NOT SPECIFIED' THEN 'Roll' ELSE 'Scale' END AS adjustment_type,
+       CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Flatten' WHEN '4-NOT SPECIFIED' THEN 'Roll' ELSE 'Scale' END AS restatement_type,
        CAST(CASE o.o_orderpriority WHEN '2-HIGH' THEN 1.1 WHEN '3-MEDIUM' THEN 0.95 WHEN '5-LOW' THEN 1.05 ELSE 1.0 END AS DECIMAL(10,4)) AS scale_factor,
        o.o_orderdate + (CAST(o.o_custkey AS INT) * INTERVAL '1' SECOND) AS created_date,
        CASE WHEN o.o_orderstatus IN ('F', 'P') THEN n.n_name END AS entity_code,
@@ -214,8 +214,8 @@ SELECT h.*,
        (o.o_orderstatus = 'P' AND o.o_orderpriority = '3-MEDIUM') AS is_deleted,
        CASE WHEN o.o_orderpriority = '2-HIGH' AND o.o_orderstatus = 'F'
             THEN 'ORD-' || CAST(o.o_orderkey - 1 AS STRING) END AS blocked_by_adj_id,
-       CAST(o.o_totalprice AS DECIMAL(20,6)) AS adjustment_value_in_usd
-FROM hdr_orders h JOIN orders o ON h.adjustment_id - 1000 = o.o_orderkey"""
+       CAST(o.o_totalprice AS DECIMAL(20,6)) AS restatement_value_in_usd
+FROM hdr_orders h JOIN orders o ON h.restatement_id - 1000 = o.o_orderkey"""
 
 # Sign-off state per (COB, scope, entity, sub-type) plus whole-scope '*' rows.
 VIEWS["signoff_status"] = f"""
@@ -269,14 +269,14 @@ FROM events"""
 
 # Entity-roll requests (distinct target slices).
 VIEWS["rolls_inline"] = """
-SELECT CAST(adj_key AS STRING) AS adj_key, CAST(adjustment_id AS BIGINT) AS adjustment_id,
+SELECT CAST(adj_key AS STRING) AS adj_key, CAST(restatement_id AS BIGINT) AS restatement_id,
        CAST(cobid AS INT) AS cobid, CAST(source_cobid AS INT) AS source_cobid,
        CAST(entity_code AS STRING) AS entity_code, CAST(created_date AS TIMESTAMP) AS created_date
 FROM (VALUES
  ('EROL-1', 501, 19970301, 19970201, 'NATION_3', '2026-01-09 08:00:00'),
  ('EROL-2', 502, 19980601, 19980501, 'NATION_12', '2026-01-09 09:00:00'),
  ('EROL-3', 503, 19970401, 19970301, 'nation_5', '2026-01-09 10:00:00')
-) AS t(adj_key, adjustment_id, cobid, source_cobid, entity_code, created_date)"""
+) AS t(adj_key, restatement_id, cobid, source_cobid, entity_code, created_date)"""
 
 # Two images of a keyed feed (events): the old image and a re-sent new image in
 # which 'view' rows vanished and 'click' values changed; plus the change batch
@@ -299,7 +299,7 @@ SELECT event_id, user_id, event_type, value, 'INSERT' AS action FROM cdc_new"""
 # The request table one lifecycle step later (for status-change logs).
 VIEWS["hdr_queue_next"] = """
 SELECT adj_key, CASE run_status WHEN 'Approved' THEN 'Running' WHEN 'Running' THEN 'Processed'
-                  WHEN 'Pending Approval' THEN CASE WHEN adjustment_type = 'Flatten' THEN 'Approved' ELSE run_status END
+                  WHEN 'Pending Approval' THEN CASE WHEN restatement_type = 'Flatten' THEN 'Approved' ELSE run_status END
                   ELSE run_status END AS run_status,
        created_date + INTERVAL '1' HOUR AS changed_at, username
 FROM hdr_queue"""

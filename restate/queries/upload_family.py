@@ -229,7 +229,7 @@ def prj_enrich_rrao(spark, d):
     return _enrich(spark, d, "rrao")
 
 
-DELTA_COLS = ["cobid", "adjustment_id", "entity_key", "book_key", "instrument_key", "trade_key",
+DELTA_COLS = ["cobid", "restatement_id", "entity_key", "book_key", "instrument_key", "trade_key",
               "counterparty_key", "run_log_id", "currency_code", "value_local", "value_usd"]
 
 
@@ -240,7 +240,7 @@ WITH v AS (SELECT * FROM stage_direct WHERE TRY_CAST(value_usd AS DECIMAL(38,6))
           ON upper(trim(v.book_code)) = upper(trim(b.book_code))
          AND (v.entity_code IS NULL OR upper(trim(v.entity_code)) = upper(trim(b.entity_code)))
         GROUP BY 1, 2, 3, 4)
-SELECT v.cobid, v.order_key * 10 + v.line_no AS adjustment_id, coalesce(e.k, -1) AS entity_key,
+SELECT v.cobid, v.order_key * 10 + v.line_no AS restatement_id, coalesce(e.k, -1) AS entity_key,
        coalesce(bk.k, -1) AS book_key, coalesce(i.k, -1) AS instrument_key, coalesce(t.k, -1) AS trade_key,
        CAST(-1 AS BIGINT) AS counterparty_key, CAST(-1 AS BIGINT) AS run_log_id, v.currency_code,
        CAST(TRY_CAST(v.value_usd AS DECIMAL(38,6)) AS DOUBLE) AS value_local,
@@ -262,7 +262,7 @@ def adj_direct(spark, d):
                             {"entity_code": "entity_code"}, "book_key")
     s = R.resolve_max(s, v["instrument_dim"], "instrument_code", "instrument_code", "instrument_key", "instrument_key")
     s = R.resolve_max(s, v["trade_dim"], "trade_code", "trade_code", "trade_key", "trade_key")
-    s = s.withColumn("adjustment_id", F.col("order_key") * 10 + F.col("line_no")) \
+    s = s.withColumn("restatement_id", F.col("order_key") * 10 + F.col("line_no")) \
         .withColumn("value_local", F.col("_val").cast("double")).withColumn("value_usd", F.col("_val").cast("double"))
     return D.align(s, DELTA_COLS, types={"counterparty_key": "bigint", "run_log_id": "bigint"})
 
@@ -299,7 +299,7 @@ def adj_upload(spark, d):
 
 
 @q("agg_upload_header", S.with_views(["stage_direct"], """
-SELECT batch_id, CAST(sum(TRY_CAST(value_usd AS DECIMAL(38,6))) AS DOUBLE) AS adjustment_value_in_usd,
+SELECT batch_id, CAST(sum(TRY_CAST(value_usd AS DECIMAL(38,6))) AS DOUBLE) AS restatement_value_in_usd,
        count_if(TRY_CAST(value_usd AS DECIMAL(38,6)) IS NOT NULL AND TRY_CAST(value_usd AS DECIMAL(38,6)) <> 0) AS active_rows,
        max(split_part(entity_code, '_', 1)) AS file_id
 FROM stage_direct GROUP BY batch_id"""))
@@ -307,7 +307,7 @@ def agg_upload_header(spark, d):
     v = S.register(spark, d, ["stage_direct"])
     val = F.expr("try_cast(value_usd AS decimal(38,6))")
     return v["stage_direct"].groupBy("batch_id").agg(
-        F.sum(val).cast("double").alias("adjustment_value_in_usd"),
+        F.sum(val).cast("double").alias("restatement_value_in_usd"),
         F.count_if(val.isNotNull() & (val != 0)).alias("active_rows"),
         F.max(F.split_part(F.col("entity_code"), F.lit("_"), F.lit(1))).alias("file_id"))
 

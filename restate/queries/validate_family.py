@@ -227,11 +227,11 @@ def adj_validate_upload(spark, d):
 WITH h AS (SELECT * FROM hdr_inline UNION ALL SELECT * FROM hdr_orders),
  e AS (SELECT adj_key, list_filter([
    CASE WHEN coalesce(length(trim(username)), 0) < 10 THEN 'Reason must be at least 10 characters' END,
-   CASE WHEN lower(adjustment_type) = 'scale' AND scale_factor = 1 AND coalesce(source_cobid, cobid) = cobid
+   CASE WHEN lower(restatement_type) = 'scale' AND scale_factor = 1 AND coalesce(source_cobid, cobid) = cobid
         THEN 'Scale factor of 1 has no effect' END,
-   CASE WHEN lower(adjustment_type) = 'roll' AND coalesce(source_cobid, cobid) = cobid
+   CASE WHEN lower(restatement_type) = 'roll' AND coalesce(source_cobid, cobid) = cobid
         THEN 'Roll needs a source COB different from the target COB' END,
-   CASE WHEN lower(adjustment_type) = 'roll' AND source_cobid > cobid THEN 'Roll source COB must precede the target COB' END
+   CASE WHEN lower(restatement_type) = 'roll' AND source_cobid > cobid THEN 'Roll source COB must precede the target COB' END
  ], lambda x: x IS NOT NULL) AS errs FROM h)
 SELECT adj_key, array_to_string(errs, ' | ') AS errors FROM e WHERE len(errs) > 0"""))
 def adj_request_validate(spark, d):

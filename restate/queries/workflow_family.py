@@ -56,7 +56,7 @@ def jn_signoff_gate(spark, d):
 
 
 @q("jn_signoff_legacy", S.with_views(["hdr_queue", "signoff_feed"], """
-SELECT h.adj_key, CASE WHEN upper(h.adjustment_type) = 'ROLL' THEN 'Pending'
+SELECT h.adj_key, CASE WHEN upper(h.restatement_type) = 'ROLL' THEN 'Pending'
                        WHEN upper(f.publish_status) = 'SIGNEDOFF' THEN 'Rejected' ELSE 'Pending' END AS gate_status
 FROM hdr_queue h LEFT JOIN signoff_feed f ON f.cobid = h.cobid AND f.process_type = h.process_type
  AND f.entity_code = h.entity_code"""))
@@ -67,7 +67,7 @@ def jn_signoff_legacy(spark, d):
                                  F.col("entity_code").alias("_e"), "publish_status")
     j = v["hdr_queue"].join(f, (F.col("cobid") == F.col("_c")) & (F.col("process_type") == F.col("_p"))
                             & (F.col("entity_code") == F.col("_e")), "left")
-    st = (F.when(F.upper("adjustment_type") == "ROLL", "Pending")
+    st = (F.when(F.upper("restatement_type") == "ROLL", "Pending")
           .when(F.upper("publish_status") == "SIGNEDOFF", "Rejected").otherwise("Pending"))
     return j.select("adj_key", st.alias("gate_status"))
 
@@ -159,7 +159,7 @@ def agg_row_set_status(spark, d):
 @q("adj_decide", S.with_views(["hdr_queue", "decisions", "approvers"], """
 WITH a AS (SELECT DISTINCT upper(trim(approver)) AS ap, upper(trim(process_type)) AS sc FROM approvers WHERE is_active)
 SELECT d.adj_key, d.approver, d.decision,
-  CASE WHEN h.adj_key IS NULL THEN 'Refused: unknown adjustment'
+  CASE WHEN h.adj_key IS NULL THEN 'Refused: unknown restatement'
        WHEN h.run_status <> 'Pending Approval' THEN 'Refused: not pending approval'
        WHEN upper(trim(d.approver)) = upper(trim(h.username)) THEN 'Refused: approver is the submitter'
        WHEN a.ap IS NULL THEN 'Refused: not an approver for this scope'
@@ -332,7 +332,7 @@ SELECT adj_key, coalesce(entity_code, '—') AS entity, coalesce(department_code
               THEN CAST(CAST(floor((epoch(process_date) - epoch(start_date)) / 60) AS BIGINT) AS VARCHAR) || 'm '
                    || CAST(CAST((epoch(process_date) - epoch(start_date)) % 60 AS BIGINT) AS VARCHAR) || 's'
             ELSE CAST(CAST(epoch(process_date) - epoch(start_date) AS BIGINT) AS VARCHAR) || 's' END AS duration,
-       format('{:,.2f}', CAST(adjustment_value_in_usd AS DOUBLE)) AS value_usd
+       format('{:,.2f}', CAST(restatement_value_in_usd AS DOUBLE)) AS value_usd
 FROM hdr_queue"""))
 def prj_activity_grid(spark, d):
     v = S.register(spark, d, ["hdr_queue"])
@@ -342,15 +342,15 @@ def prj_activity_grid(spark, d):
                     F.coalesce("department_code", F.lit("—")).alias("department"),
                     F.date_format("created_date", "yyyy-MM-dd HH:mm").alias("created"),
                     duration_text(secs).alias("duration"),
-                    F.format_number(F.col("adjustment_value_in_usd").cast("double"), 2).alias("value_usd"))
+                    F.format_number(F.col("restatement_value_in_usd").cast("double"), 2).alias("value_usd"))
 
 
 @q("prj_search_text", S.with_views(["hdr_queue"], """
-SELECT adj_key, lower(concat_ws(' ', adj_key, process_type, adjustment_type, entity_code, department_code,
+SELECT adj_key, lower(concat_ws(' ', adj_key, process_type, restatement_type, entity_code, department_code,
                                 source_system_code, currency_code, username, run_status)) AS search_text
 FROM hdr_queue"""))
 def prj_search_text(spark, d):
     v = S.register(spark, d, ["hdr_queue"])
     return v["hdr_queue"].select("adj_key", F.lower(F.concat_ws(
-        " ", "adj_key", "process_type", "adjustment_type", "entity_code", "department_code",
+        " ", "adj_key", "process_type", "restatement_type", "entity_code", "department_code",
         "source_system_code", "currency_code", "username", "run_status")).alias("search_text"))

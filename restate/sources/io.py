@@ -107,7 +107,7 @@ def emit_triggers(processed: DataFrame, scope_col: str = "process_type", cob_col
                   ts_col: str = "process_date") -> DataFrame:
     """One downstream "rebuild" record per (scope, COB) with a deterministic id."""
     g = processed.groupBy(scope_col, cob_col).agg(F.max(ts_col).alias("triggered_at"),
-                                                  F.count(F.lit(1)).alias("adjustments"))
+                                                  F.count(F.lit(1)).alias("restatements"))
     return g.withColumn("trigger_id", F.md5(F.concat_ws("-", F.col(scope_col), F.col(cob_col).cast("string"))))
 
 

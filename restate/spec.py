@@ -1,4 +1,4 @@
-"""Scope specifications and the fixed vocabulary of the adjustment domain.
+"""Scope specifications and the fixed vocabulary of the restatement domain.
 
 A *scope* (VaR, Stress, ...) is pure data: which columns form a position, which
 metrics carry values, and which header filter maps onto which fact attribute.
@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's vocabulary for equal results)
 # ---------------------------------------------------------------------------
-# Adjustment type -> processing action.
+# Restatement type -> processing action.
 ACTION_MAP = {
     "flatten": "Scale",
     "scale": "Scale",
@@ -65,7 +65,7 @@ SIGNOFF_ALL_ENTITIES = "*"
 # Reconciliation statuses.
 RECON_RECONCILED = "RECONCILED"
 RECON_BREAK = "BREAK"
-RECON_MISSING_ADJUSTMENT = "MISSING ADJUSTMENT"
+RECON_MISSING_RESTATEMENT = "MISSING RESTATEMENT"
 RECON_MISSING_ORIGINAL = "MISSING ORIGINAL"
 RECON_MISSING_SOURCE = "MISSING SOURCE"
 RECON_NO_OP = "NO-OP"
@@ -108,8 +108,8 @@ class ScopeSpec:
     metric_usd: str
     cob_col: str = "cobid"
     entity_col: str = "entity_code"
-    adj_id_col: str = "adjustment_id"
-    created_col: str = "adjustment_created_timestamp"
+    adj_id_col: str = "restatement_id"
+    created_col: str = "restatement_created_timestamp"
     summary_cols: tuple[str, ...] = ()
     # header filter column -> fact attribute column it constrains
     filter_map: dict[str, str] = field(default_factory=dict)

@@ -27,7 +27,7 @@ STAR_FACT = [
 ]
 POSITION = ("cobid", "entity_key", "product_key", "account_key", "currency_key", "counterparty_key", "cost_center_key")
 FILTER_MAP = {"entity_code": "entity_key", "product_code": "product_key", "currency_code": "currency_key"}
-HEADER_SCHEMA = ("adjustment_id bigint, cobid int, source_cobid int, adjustment_type string, "
+HEADER_SCHEMA = ("restatement_id bigint, cobid int, source_cobid int, restatement_type string, "
                  "scale_factor decimal(10,4), created_date timestamp, entity_code string, product_code string, "
                  "currency_code string")
 

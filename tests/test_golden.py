@@ -70,18 +70,18 @@ def test_b6_net_and_rank(spark):
         ("P", 1, "2026-01-01 00:00:00", 3.0), ("P", 1, "2026-01-01 00:00:00", -3.0),
         ("P", 2, "2026-01-02 00:00:00", 4.0),
         ("P", 3, "2026-01-02 00:00:00", 1.0), ("P", 3, "2026-01-02 00:00:00", 1.0)],
-        "pos string, adjustment_id bigint, created string, amount double") \
-        .withColumn("adjustment_created_timestamp", F.to_timestamp("created")).drop("created")
-    net = D.net_positions(legs, ["pos"], "adjustment_id", ["amount"], "amount",
-                          carry_max=("adjustment_created_timestamp",))
-    assert {r.adjustment_id for r in net.collect()} == {2, 3}
+        "pos string, restatement_id bigint, created string, amount double") \
+        .withColumn("restatement_created_timestamp", F.to_timestamp("created")).drop("created")
+    net = D.net_positions(legs, ["pos"], "restatement_id", ["amount"], "amount",
+                          carry_max=("restatement_created_timestamp",))
+    assert {r.restatement_id for r in net.collect()} == {2, 3}
     for method in ("aggregate", "window"):
-        r = D.rank_latest(net, ["pos"], "adjustment_created_timestamp", "adjustment_id", method).collect()
-        assert [(x.adjustment_id, x.amount) for x in r] == [(3, 2.0)]
+        r = D.rank_latest(net, ["pos"], "restatement_created_timestamp", "restatement_id", method).collect()
+        assert [(x.restatement_id, x.amount) for x in r] == [(3, 2.0)]
 
 
 def test_b7_supersede_null_safe(spark):
-    existing = spark.createDataFrame([("P", 1), (None, 1), ("R", 1)], "pos string, adjustment_id int")
+    existing = spark.createDataFrame([("P", 1), (None, 1), ("R", 1)], "pos string, restatement_id int")
     batch = spark.createDataFrame([("P",), (None,)], "pos string")
     assert [r.pos for r in D.supersede(existing, batch, ["pos"]).collect()] == ["R"]
 
@@ -177,7 +177,7 @@ def test_b17_recon_statuses(spark):
     df = spark.createDataFrame(rows, "t string, f double, c int, s int, o double, src double, w double")
     df = df.withColumn("e", RC.expected_delta("t", "f", "c", "s", "o", "src"))
     got = [r[0] for r in df.select(RC.recon_status("t", "f", "c", "s", "o", "src", "w", "e")).collect()]
-    assert got == ["RECONCILED", "BREAK", "MISSING ADJUSTMENT", "NO DATA IN SCOPE", "NO-OP"]
+    assert got == ["RECONCILED", "BREAK", "MISSING RESTATEMENT", "NO DATA IN SCOPE", "NO-OP"]
 
 
 def test_b18_duration_text(spark):
@@ -189,14 +189,14 @@ def test_b19_entity_roll(spark):
     schema = "cobid int, pos string, entity_code string, amount double"
     fact = spark.createDataFrame([(2, "P", "E", 2.0), (1, "P", "E", 9.0), (1, "R", "E", 4.0)], schema)
     deltas = spark.createDataFrame([(2, 1, "P", "E", 5.0), (2, 2, "Q", "F", 1.0)],
-                                   "cobid int, adjustment_id bigint, pos string, entity_code string, amount double") \
-        .withColumn("adjustment_created_timestamp", F.lit(None).cast("timestamp"))
-    rolls = spark.createDataFrame([(99, 2, 1, "E")], "adjustment_id bigint, cobid int, source_cobid int, entity_code string") \
+                                   "cobid int, restatement_id bigint, pos string, entity_code string, amount double") \
+        .withColumn("restatement_created_timestamp", F.lit(None).cast("timestamp"))
+    rolls = spark.createDataFrame([(99, 2, 1, "E")], "restatement_id bigint, cobid int, source_cobid int, entity_code string") \
         .withColumn("created_date", F.current_timestamp())
     out = entity_roll(fact, deltas, rolls, ("cobid", "pos"), ["amount"])
-    new = sorted((r.adjustment_id, r.pos, float(r.amount)) for r in out["deltas"].collect())
+    new = sorted((r.restatement_id, r.pos, float(r.amount)) for r in out["deltas"].collect())
     assert new == [(2, "Q", 1.0), (99, "P", -2.0), (99, "P", 9.0), (99, "R", 4.0)]
     assert [(r.superseded_id, r.superseded_by) for r in out["superseded"].collect()] == [(1, 99)]
-    comb = D.combined(fact.where("cobid = 2 AND entity_code = 'E'"), out["deltas"].where("adjustment_id = 99"),
+    comb = D.combined(fact.where("cobid = 2 AND entity_code = 'E'"), out["deltas"].where("restatement_id = 99"),
                       ["pos"], ["amount"])
     assert {r.pos: float(r.amount) for r in comb.collect()} == {"P": 9.0, "R": 4.0}

@@ -47,17 +47,17 @@ def test_dropping_dominated_legs_is_exact(spark):
     fmap = {c: S.FILTER_MAP[c] for c in prof["active"]}
     fa = attach_attrs(v["fact"], v, fmap.values())
     full = scale_legs(fa, h, fmap, S.POSITION_COLS, S.METRICS, None, dominated=False, profile=prof)
-    net = D.net_positions(full, list(S.POSITION_COLS), "adjustment_id", list(S.METRICS), "value_usd",
-                          carry_max=("adjustment_created_timestamp",))
-    ranked = D.rank_latest(net, list(S.POSITION_COLS), "adjustment_created_timestamp", "adjustment_id", "window")
+    net = D.net_positions(full, list(S.POSITION_COLS), "restatement_id", list(S.METRICS), "value_usd",
+                          carry_max=("restatement_created_timestamp",))
+    ranked = D.rank_latest(net, list(S.POSITION_COLS), "restatement_created_timestamp", "restatement_id", "window")
     reduced = apply_scale(fa, h, fmap, S.POSITION_COLS, S.METRICS, S.USD, profile=prof)
-    cols = ["cobid", "adjustment_id", "trade_key", "line_no", "value_usd"]
+    cols = ["cobid", "restatement_id", "trade_key", "line_no", "value_usd"]
     assert _rows(ranked.select(*cols)) == _rows(reduced.select(*cols))
 
 
 def test_flatten_zeroes_matched_positions(spark):
     v = S.register(spark, SF, ["fact", "book_dim", "hdr_inline"])
-    out = run_scale(spark, SF, "hdr_inline", with_prior=False).where("adjustment_id = 1")  # ADJ-01 flatten NATION_3
+    out = run_scale(spark, SF, "hdr_inline", with_prior=False).where("restatement_id = 1")  # ADJ-01 flatten NATION_3
     fa = attach_attrs(v["fact"], v, ["entity_code"]).where("cobid = 19970301 AND upper(entity_code) = 'NATION_3'")
     k = list(S.POSITION_COLS)
     j = fa.groupBy(*k).agg(F.sum("value_usd").alias("o")).join(out.select(*k, "value_usd"), k)

@@ -9,6 +9,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 NOT_BUILT = {
+    "adj_block_greedy": "not registered: sequential within a queue, so a whole queue would go through one task",
     "shp_array_agg_sorted": "not built: collects every row number of a batch into one array (unbounded single group)",
 }
 
