@@ -282,5 +282,5 @@ def set_union_legs(spark, d):
     fact = attach_attrs(v["fact"], v, fmap.values())
     deltas = attach_attrs(prior_deltas(spark, d, v), v, fmap.values())
     legs = scale_legs(fact, h, fmap, S.POSITION_COLS, S.METRICS, deltas, keep_leg=True)
-    j = legs.join(F.broadcast(h.select("adj_key", "restatement_id")), "restatement_id")
+    j = legs.join(h.select("adj_key", "restatement_id"), "restatement_id")
     return j.groupBy("adj_key", "cobid", "leg").agg(F.count(F.lit(1)).alias("rows_"))

@@ -107,7 +107,7 @@ GROUP BY e.entity_code"""))
 def flt_case_insensitive_eq(spark, d):
     v = S.register(spark, d, ["stage_direct", "entity_dim"])
     e = v["entity_dim"].select(F.col("entity_code").alias("_ec"))
-    j = v["stage_direct"].join(F.broadcast(e), ci_eq("entity_code", "_ec"))
+    j = v["stage_direct"].join(e, ci_eq("entity_code", "_ec"))
     return j.groupBy(F.col("_ec").alias("entity_code")).agg(F.count(F.lit(1)).alias("n"))
 
 

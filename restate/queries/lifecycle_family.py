@@ -69,7 +69,7 @@ def agg_summary_entity_slice(spark, d):
     out, v = _roll(spark, d)
     r = attach_attrs(out["deltas"], v, ["entity_code"])
     rl = v["rolls_inline"].select(F.col("cobid").alias("_c"), F.upper("entity_code").alias("_e"))
-    sl = r.join(F.broadcast(rl), (F.col("cobid") == F.col("_c")) & (F.upper("entity_code") == F.col("_e")), "left_semi")
+    sl = r.join(rl, (F.col("cobid") == F.col("_c")) & (F.upper("entity_code") == F.col("_e")), "left_semi")
     s = D.summarise(sl.withColumn("entity", F.upper("entity_code")),
                     ["cobid", "entity", "restatement_id", "source_system_code"], ["value_usd"])
     return doubles(s, ["value_usd"])
@@ -99,9 +99,9 @@ def adj_entity_roll_check(spark, d):
     comb_t = fa.select(*cols).unionByName(attach_attrs(out["deltas"], v, ["entity_code"]).select(*cols))
     da = attach_attrs(current_deltas(spark, d), v, ["entity_code"])
     comb_s = fa.select(*cols).unionByName(da.select(*cols))
-    t = comb_t.join(F.broadcast(rl), (F.col("cobid") == F.col("_t")) & (F.upper("entity_code") == F.col("_e"))) \
+    t = comb_t.join(rl, (F.col("cobid") == F.col("_t")) & (F.upper("entity_code") == F.col("_e"))) \
         .groupBy("adj_key", *POS_NO_COB).agg(F.sum("value_usd").alias("tv"))
-    s = comb_s.join(F.broadcast(rl), (F.col("cobid") == F.col("_s")) & (F.upper("entity_code") == F.col("_e"))) \
+    s = comb_s.join(rl, (F.col("cobid") == F.col("_s")) & (F.upper("entity_code") == F.col("_e"))) \
         .groupBy("adj_key", *POS_NO_COB).agg(F.sum("value_usd").alias("sv"))
     keys = ["adj_key", *POS_NO_COB]
     cond = F.col("t.adj_key") == F.col("s.adj_key")
@@ -272,7 +272,7 @@ def prj_delta_pointwise(spark, d):
         h = h.where(F.col(c).isNull())
     h = h.select("adj_key", F.col("cobid").alias("_hc"), "restatement_type", "scale_factor",
                  F.col("source_system_code").alias("_hs"), F.col("currency_code").alias("_hy"))
-    j = v["fact"].join(F.broadcast(h), (F.col("cobid") == F.col("_hc"))
+    j = v["fact"].join(h, (F.col("cobid") == F.col("_hc"))
                        & (F.col("_hs").isNull() | (F.upper("_hs") == F.upper("source_system_code")))
                        & (F.col("_hy").isNull() | (F.upper("_hy") == F.upper("currency_code"))))
     flat = F.lower("restatement_type") == "flatten"

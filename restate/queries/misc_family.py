@@ -82,7 +82,7 @@ def adj_recon(spark, d):
     cross = h.where(F.coalesce("source_cobid", "cobid") != F.col("cobid"))
     src = PV.matched(fa.select(*cols).unionByName(da.select(*cols)), cross, fmap, match_on="source") \
         .withColumnRenamed("_p_key", "adj_key")
-    written = run_scale(spark, d, "hdr_inline").join(F.broadcast(h.select("restatement_id", "adj_key")), "restatement_id")
+    written = run_scale(spark, d, "hdr_inline").join(h.select("restatement_id", "adj_key"), "restatement_id")
     r = RC.reconcile(h, orig, src, written, "adj_key", "value_usd")
     return doubles(r.select("adj_key", "original_total", "source_total", "written_delta", "expected_delta", "recon_status"),
                    ["original_total", "source_total", "written_delta", "expected_delta"])
@@ -243,7 +243,7 @@ WHERE cobid IN (SELECT cobid FROM days) GROUP BY object_name"""))
 def agg_max_publish(spark, d):
     a = _actions(spark, d)
     days = RP.top_n(a.select("cobid").distinct(), [F.col("cobid").desc()], 3)
-    return a.join(F.broadcast(days), "cobid", "left_semi").groupBy("object_name").agg(
+    return a.join(days, "cobid", "left_semi").groupBy("object_name").agg(
         F.max("request_time").alias("latest_request"), F.max("event_id").alias("latest_run_id"))
 
 
@@ -588,7 +588,7 @@ def adj_signoff_decide(spark, d):
     pend = v["signoff_status"].where(F.col("sign_off_status").isin("SIGNOFF_REQUESTED", "REOPEN_REQUESTED"))
     appr = v["approvers"].where("is_active").groupBy(F.col("process_type").alias("_pt")).agg(
         F.min("approver").alias("approver"))
-    j = pend.join(F.broadcast(appr), F.col("process_type") == F.col("_pt"), "left")
+    j = pend.join(appr, F.col("process_type") == F.col("_pt"), "left")
     approve = F.col("cobid") % 200 < 100
     st = F.col("sign_off_status")
     new = (F.when(F.col("approver").isNull(), st)

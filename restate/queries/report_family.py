@@ -180,7 +180,7 @@ def agg_cob_trend(spark, d):
     v = S.register(spark, d, ["hdr_orders"])
     h = v["hdr_orders"]
     top = h.select("cobid").distinct().orderBy(F.col("cobid").desc()).limit(10)
-    hh = h.join(F.broadcast(top), "cobid", "left_semi")
+    hh = h.join(top, "cobid", "left_semi")
     a = hh.groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("restatements"))
     out = run_scale(spark, d, "hdr_orders", with_prior=False)
     r = out.select("restatement_id").join(hh.select("restatement_id", "cobid", "process_type"), "restatement_id") \

@@ -196,7 +196,7 @@ def _enrich(spark, d, kind):
     s = R.resolve_key(s, v["book_dim"].select("book_code", "book_key", "department_code"), "book_code", "book_code",
                       "book_key", "book_key", unknown=None)
     dept = v["book_dim"].select(F.col("book_key").alias("_bk"), F.col("department_code").alias("_bdept"))
-    s = s.join(F.broadcast(dept), F.col("book_key") == F.col("_bk"), "left")
+    s = s.join(dept, F.col("book_key") == F.col("_bk"), "left")
     s = R.resolve_max(s, v["instrument_dim"], "instrument_code", "instrument_code", "instrument_key", "instrument_key")
     dep = F.coalesce(F.col("_bdept"), F.lit("NA"))
     pair = F.concat_ws("-", F.col("currency_code"), dep) if kind == "sbm" else F.concat_ws("-", dep, F.col("currency_code"))
@@ -284,7 +284,7 @@ FROM long l LEFT JOIN book_dim b ON upper(trim(l.book_code)) = upper(trim(b.book
 def adj_upload(spark, d):
     """payload -> typed extract -> unpivot -> resolve codes -> defaults."""
     v = S.register(spark, d, ["fact", "book_dim"])
-    lines = v["fact"].join(F.broadcast(v["book_dim"].select("book_key", "book_code")), "book_key", "left")
+    lines = v["fact"].join(v["book_dim"].select("book_key", "book_code"), "book_key", "left")
     payload = SH.to_payload(lines, ["cobid", "trade_key", "line_no", "instrument_key"],
                             ["book_code", "currency_code", "value_local", "value_usd"])
     typed = SH.extract(payload, "payload", {"book_code": "string", "value_local": "decimal(18,2)",
