@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -40,6 +41,15 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % LEARN_MODULUS == HELD_OUT, F.lit(False))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of rounds whose result is stored.
+
+    It does so when the driver's garbage collector drops the plans, which a driver
+    with memory to spare may not do for long; a loop of many shuffles calls this."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of (id, text hash) up to which they are broadcast: some 50 MB.
 BROADCAST_ROWS = 2_000_000
 

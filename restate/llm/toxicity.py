@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from restate.llm import textarrays as T
 
-#: Hash buckets of words, and the bounds of the fit: confirmed and unlabelled texts, the latest by a hash of their id.
+#: Hash buckets of words, and the bounds of the fit: confirmed and unlabelled texts, the first by a hash of their id.
 BUCKETS = 1 << 17
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12_000
 #: A word enters the model if its share of the confirmed texts differs from its share of all by so many
