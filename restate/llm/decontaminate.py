@@ -116,9 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows = store(benchmark_windows(items, item_col, item_text_col), "benchmark-windows")
     lengths = lengths_of(windows)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    base = base.select("id", text_key("text").alias("key"), words(F.col("text")).alias("w"))
+    base = base.withColumn("key", text_key("text"))
 
-    prints, columns = base, []
+    prints, columns = base.select("id", "key", words(F.col("text")).alias("w")), []
     for length in lengths:
         prints = fingerprints(prints, "w", length, f"fp{length}")
         columns.append(F.array_distinct(f"fp{length}").alias(f"fp{length}"))
@@ -137,6 +137,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = store(hits, "document-hits").select(F.col("id").alias("h_id"), F.col("key").alias("h_key"), "hit", "length")
     for length in lengths:
         rows = base.join(hits.where(F.col("length") == length), (F.col("key") == F.col("h_key")) & F.col("id").eqNullSafe(F.col("h_id")))
+        # of the hit texts only; stored, as Spark would put the splitting of a text into each step over its words
+        rows = store(rows.select("id", "key", "hit", "length", words(F.col("text")).alias("w")), "hit-words")
         rows = fingerprints(rows, "w", length, "fp")
         places = F.filter(F.transform("fp", lambda m, i: F.when(F.array_contains("hit", m), F.struct(
             i.alias("at"), _window_text("w", i, length).alias("window")))), lambda x: x.isNotNull())
