@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -27,6 +28,12 @@ TRAIN_TEXTS, TRAIN_CHARS = 400, 20_000
 #: dictionary and not on its own beginning; the sizes of all its pieces are added.
 PIECE_BYTES = 2048
 LEVEL = 6
+#: A lead below this share is settled by the sum of the sizes of two levels: sizes are whole
+#: bytes, and of a short text those of one level often tie.
+SECOND_LEVEL, SETTLE = 12, 0.02
+#: A text below this many bytes is repeated up to them: zstandard stores what it can't shrink as it
+#: is, which would make all languages equal.
+SHORT_BYTES = 64
 #: Rejected below this lead, as a share of the winner's size.
 MIN_MARGIN = 0.003
 UNKNOWN = "und"
@@ -54,17 +61,37 @@ def fit(examples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     rows = examples.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"),
                            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     rows = rows.where(F.col("l").isNotNull() & (F.length("t") > 0) & (F.length("t") <= max_chars))
+    # chosen by hash alone; the hashes, bounded for each language, are broadcast, so no text is shuffled
+    chosen = bounded_sample(rows.select("l", "h").distinct(), "l", F.col("h"), texts)
+    texts_of = rows.join(F.broadcast(chosen), ["l", "h"]).collect()
     parts: dict[str, list[bytes]] = {}
-    for r in bounded_sample(rows, "l", F.col("h"), texts).orderBy("l", "h").toLocalIterator():
-        parts.setdefault(r["l"], []).append(normalise(r["t"]))
+    for lang, _, text in sorted({(r["l"], r["h"], r["t"]) for r in texts_of}):
+        parts.setdefault(lang, []).append(normalise(text))
     return {lang: b" ".join(p)[:dict_bytes] for lang, p in sorted(parts.items()) if any(p)}
 
 
-def judge(content: bytes, by_lang: list[tuple[str, zstandard.ZstdCompressor]]) -> tuple[str, float, float]:
+@lru_cache(maxsize=256)
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    """One per worker process, language and level: digesting a dictionary takes longer than a small task."""
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
+def judge(content: bytes, dictionaries: dict[str, bytes]) -> tuple[str, float, float]:
     """Language, score and margin of one normalised text.  Ties go to the first language in order."""
+    if len(content) < SHORT_BYTES:
+        content = b" ".join([content] * -(-SHORT_BYTES // (len(content) + 1)))
     view = memoryview(content)
     pieces = [view[i:i + PIECE_BYTES] for i in range(0, len(view), PIECE_BYTES)]
-    sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for lang, c in by_lang)
+
+    def measure(*levels: int) -> list[tuple[int, str]]:
+        return sorted((sum(len(c.compress(p)) for c in [_compressor(d, x) for x in levels] for p in pieces), lang)
+                      for lang, d in dictionaries.items())
+
+    sizes = measure(LEVEL)
+    if len(sizes) > 1 and sizes[1][0] < sizes[0][0] * (1 + SETTLE):
+        sizes = measure(LEVEL, SECOND_LEVEL)
     best, lang = sizes[0]
     score = 1 / sum(math.exp(min(0.0, (best - s) / 4)) for s, _ in sizes)
     return lang, score, (sizes[1][0] - best) / best if len(sizes) > 1 else 1.0
@@ -81,19 +108,14 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang = []
-        for lang, content in dictionaries.items():
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            by_lang.append((lang, zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)))
         for batch in batches:
             out = []
             for value in batch.column(at):
                 text = value.as_py()
-                if not by_lang or not has_letter(text):
+                if not dictionaries or not has_letter(text):
                     out.append((UNKNOWN, 0.0, 0.0))
                 else:
-                    out.append(judge(normalise(text) or unicodedata.normalize("NFC", text).encode(), by_lang))
+                    out.append(judge(normalise(text) or unicodedata.normalize("NFC", text).encode(), dictionaries))
             langs, scores, margins = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64()),
