@@ -183,3 +183,23 @@ def legacy_roll(fact: DataFrame, deltas: DataFrame, target_cob: int, source_cob:
                                                   s.withColumn("leg", F.lit("copy_source")),
                                                   d.withColumn("leg", F.lit("copy_source_restatements"))])
     return out.withColumn(cob_col, F.lit(target_cob))
+
+
+def legacy_rolls(fact: DataFrame, deltas: DataFrame, rolls: DataFrame, key_cols, metrics,
+                 cob_col: str = "cobid", entity_col: str = "entity_code") -> DataFrame:
+    """``legacy_roll`` for every row of ``rolls`` (adj_key, cobid, source_cobid, entity_code, scale_factor) at once."""
+    keys = [c for c in key_cols if c != cob_col]
+    r = rolls.select(F.col("adj_key"), F.col("cobid").alias("_target"), F.col("source_cobid").alias("_source"),
+                     F.upper("entity_code").alias("_ent"), F.col("scale_factor").cast(FACTOR_TYPE).alias("_f"))
+
+    def sl(df: DataFrame, cob: str) -> DataFrame:
+        return df.join(r, (F.col(cob_col) == F.col(cob)) & (F.upper(F.col(entity_col)) == F.col("_ent")))
+    t = sl(fact, "_target").select("adj_key", "_target", *keys, *[(-F.col(m).cast(VALUE_TYPE)).alias(m) for m in metrics])
+    s = sl(fact, "_source").select("adj_key", "_target", *keys, *[
+        (F.col(m).cast(VALUE_TYPE) * F.col("_f")).cast(VALUE_TYPE).alias(m) for m in metrics])
+    d = sl(deltas, "_source").groupBy("adj_key", "_target", "_f", *keys).agg(*[F.sum(F.col(m).cast(VALUE_TYPE)).alias(m) for m in metrics])
+    d = d.select("adj_key", "_target", *keys, *[(F.col(m) * F.col("_f")).cast(VALUE_TYPE).alias(m) for m in metrics])
+    out = reduce(lambda a, b: a.unionByName(b), [t.withColumn("leg", F.lit("flatten_target")),
+                                                  s.withColumn("leg", F.lit("copy_source")),
+                                                  d.withColumn("leg", F.lit("copy_source_restatements"))])
+    return out.withColumnRenamed("_target", cob_col)

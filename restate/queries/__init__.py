@@ -17,6 +17,7 @@ FAMILIES = (
     "cdc_family",
     "misc_family",
     "extra_family",
+    "whole_family",
 )
 
 

@@ -278,6 +278,13 @@ FROM (VALUES
  ('EROL-3', 503, 19970401, 19970301, 'nation_5', '2026-01-09 10:00:00')
 ) AS t(adj_key, restatement_id, cobid, source_cobid, entity_code, created_date)"""
 
+# Every roll slice that the orders ask for: one row per target COB, source COB and entity.
+VIEWS["rolls_orders"] = """
+SELECT 'SLICE-' || CAST(cobid AS STRING) || '-' || CAST(source_cobid AS STRING) || '-' || upper(entity_code) AS adj_key,
+       cobid, source_cobid, 'Roll' AS restatement_type, max(scale_factor) AS scale_factor, upper(entity_code) AS entity_code
+FROM hdr_orders WHERE restatement_type = 'Roll' AND entity_code IS NOT NULL
+GROUP BY cobid, source_cobid, upper(entity_code)"""
+
 # Two images of a keyed feed (events): the old image and a re-sent new image in
 # which 'view' rows vanished and 'click' values changed; plus the change batch
 # (old overlapping rows as DELETE, new rows as INSERT).
@@ -323,6 +330,7 @@ DEPENDS = {
     "instrument_dim": ("part",),
     "trade_dim": ("orders",),
     "hdr_inline": (),
+    "rolls_orders": ("hdr_orders",),
     "hdr_prior": (),
     "hdr_orders": ("orders", "customer", "nation", "region"),
     "fact_attr": ("fact", "book_dim", "instrument_dim", "trade_dim"),
