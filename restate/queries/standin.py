@@ -285,6 +285,15 @@ SELECT 'SLICE-' || CAST(cobid AS STRING) || '-' || CAST(source_cobid AS STRING)
 FROM hdr_orders WHERE restatement_type = 'Roll' AND entity_code IS NOT NULL
 GROUP BY cobid, source_cobid, upper(entity_code)"""
 
+# Requests of every type for line items: the fixed list and every roll slice of the orders.
+VIEWS["hdr_items"] = """
+SELECT adj_key, cobid, source_cobid, restatement_type, scale_factor, entity_code, department_code, book_code,
+       instrument_code, product_type, strategy, trade_typology, source_system_code, currency_code FROM hdr_inline
+UNION ALL
+SELECT adj_key, cobid, source_cobid, restatement_type, scale_factor, entity_code, CAST(NULL AS STRING), CAST(NULL AS STRING),
+       CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+       CAST(NULL AS STRING) FROM rolls_orders"""
+
 # Two images of a keyed feed (events): the old image and a re-sent new image in
 # which 'view' rows vanished and 'click' values changed; plus the change batch
 # (old overlapping rows as DELETE, new rows as INSERT).
@@ -331,6 +340,7 @@ DEPENDS = {
     "trade_dim": ("orders",),
     "hdr_inline": (),
     "rolls_orders": ("hdr_orders",),
+    "hdr_items": ("hdr_inline", "rolls_orders"),
     "hdr_prior": (),
     "hdr_orders": ("orders", "customer", "nation", "region"),
     "fact_attr": ("fact", "book_dim", "instrument_dim", "trade_dim"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE
@@ -30,6 +31,71 @@ JOIN_KEYS = ["book_key", "instrument_key", "source_system_code", "currency_code"
 ITEM = ["trade_key", "line_no", "book_key", "instrument_key", "source_system_code"]
 
 
+# --- line items of every request -------------------------------------------
+_ITEMS_CTES = "WITH " + _attrs("fact", "fa") + f"""
+, t AS (SELECT h.adj_key, h.restatement_type, CAST(h.scale_factor AS DECIMAL(12,4)) AS fac,
+               coalesce(h.source_cobid, h.cobid) <> h.cobid AND lower(h.restatement_type) <> 'flatten' AS moved, x.*
+        FROM fa x JOIN hdr_items h ON x.cobid = h.cobid AND {_wild('h', 'x')})
+, s AS (SELECT h.adj_key, {', '.join('x.' + c for c in JOIN_KEYS)}, x.value_usd
+        FROM fa x JOIN hdr_items h ON x.cobid = h.source_cobid AND h.source_cobid <> h.cobid
+         AND lower(h.restatement_type) <> 'flatten' AND {_wild('h', 'x')})
+, items AS (
+ SELECT adj_key, restatement_type, {', '.join(ITEM)}, value_usd AS original_usd, value_usd AS source_usd,
+        CASE WHEN lower(restatement_type) = 'flatten' THEN 0 ELSE CAST(value_usd AS DECIMAL(28,8)) * fac END AS projected_usd
+ FROM t WHERE NOT moved
+ UNION ALL
+ SELECT t.adj_key, t.restatement_type, {', '.join('t.' + c for c in ITEM)}, t.value_usd, s.value_usd,
+        CAST(s.value_usd AS DECIMAL(28,8)) * t.fac
+ FROM t LEFT JOIN s ON t.adj_key = s.adj_key AND {' AND '.join(f't.{c} = s.{c}' for c in JOIN_KEYS)}
+ WHERE t.moved)
+"""
+
+
+def line_items(spark, d) -> DataFrame:
+    """A row per request and target row (per source row met, for a request from another COB): original, source, projected.
+
+    A Flatten projects 0, a request of its own COB the row times its factor, one from
+    another COB the source rows of equal keys times its factor, NULL without one."""
+    v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_items"])
+    h = v["hdr_items"]
+    fmap = {c: S.FILTER_MAP[c] for c in active_filters(h, S.FILTER_COLS)}
+    fa = attach_attrs(v["fact"], v, fmap.values())
+    flat = F.lower("restatement_type") == "flatten"
+    moves = (F.coalesce("source_cobid", "cobid") != F.col("cobid")) & ~flat
+    val, f = F.col("value_usd").cast(VALUE_TYPE), F.col("_p_f").cast(FACTOR_TYPE)
+    here = matched(fa, h.where(~moves), fmap, match_on="target")
+    own = F.when(F.lower("_p_type") == "flatten", F.lit(0)).otherwise(val * f)
+    here = here.select("_p_key", "_p_type", *ITEM, F.col("value_usd").alias("original_usd"), F.col("value_usd").alias("source_usd"), own.alias("projected_usd"))
+    target = matched(fa, h.where(moves), fmap, match_on="target")
+    source = matched(fa, h.where(moves), fmap, match_on="source").select(
+        F.col("_p_key").alias("_s_key"), *[F.col(k).alias(f"_s_{k}") for k in JOIN_KEYS], F.col("value_usd").alias("source_usd"))
+    cond = F.col("_p_key") == F.col("_s_key")
+    for k in JOIN_KEYS:
+        cond = cond & (F.col(k) == F.col(f"_s_{k}"))  # plain equality: NULL keys do not match
+    far = target.join(source, cond, "left").select("_p_key", "_p_type", *ITEM, F.col("value_usd").alias("original_usd"), "source_usd",
+                                                   (F.col("source_usd").cast(VALUE_TYPE) * f).alias("projected_usd"))
+    out = here.unionByName(far).withColumn("delta_usd", F.col("projected_usd") - F.col("original_usd"))
+    return doubles(out.withColumnsRenamed({"_p_key": "adj_key", "_p_type": "restatement_type"}),
+                   ["original_usd", "source_usd", "projected_usd", "delta_usd"])
+
+
+_ITEMS_VIEWS = ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_items"]
+_ITEM_COLS = f"""adj_key, restatement_type, {', '.join(ITEM)}, CAST(original_usd AS DOUBLE) AS original_usd,
+ CAST(projected_usd AS DOUBLE) AS projected_usd, CAST(projected_usd - original_usd AS DOUBLE) AS delta_usd"""
+
+
+@q("prj_delta_pointwise_all", S.with_views(_ITEMS_VIEWS, _ITEMS_CTES + f"SELECT {_ITEM_COLS} FROM items"))
+def prj_delta_pointwise_all(spark, d):
+    """Flatten, Scale and Roll columns of every request, whatever its filters and COBs."""
+    return line_items(spark, d).drop("source_usd")
+
+
+@q("adj_create_items_all", S.with_views(_ITEMS_VIEWS, _ITEMS_CTES + f"SELECT {_ITEM_COLS}, CAST(source_usd AS DOUBLE) AS source_usd FROM items"))
+def adj_create_items_all(spark, d):
+    """Line items of every request: original, source, projected and delta snapshots."""
+    return line_items(spark, d)
+
+
 # --- rolls of every COB and entity ------------------------------------------
 @q("jn_roll_left_all", S.with_views(["fact", "book_dim", "rolls_orders"], f"""
 WITH fa AS (SELECT f.*, b.entity_code FROM fact f LEFT JOIN book_dim b ON f.book_key = b.book_key),

@@ -5,7 +5,7 @@ import pytest
 from restate.queries import all_queries
 from test_oracle import SF, _rows, duck  # noqa: F401
 
-WHOLE = ["jn_roll_left_all", "adj_legacy_roll_all", "src_csv_upload_all",
+WHOLE = ["prj_delta_pointwise_all", "adj_create_items_all", "jn_roll_left_all", "adj_legacy_roll_all", "src_csv_upload_all",
          "adj_business_checks_all"]
 
 
@@ -23,5 +23,6 @@ def test_whole_query_matches_oracle(spark, duck, name):  # noqa: F811
 def test_more_than_one_slice(spark):
     def column(name, col):
         return {r[0] for r in all_queries()[name].build(spark, SF).select(col).distinct().collect()}
+    assert column("prj_delta_pointwise_all", "restatement_type") >= {"Flatten", "Scale", "Roll"}
     assert len(column("jn_roll_left_all", "adj_key")) > 1 and len(column("adj_legacy_roll_all", "adj_key")) > 1
     assert len(column("src_csv_upload_all", "BATCH_ID")) > 1 and len(column("adj_business_checks_all", "restatement_id")) == 13

@@ -13,6 +13,13 @@ NOT_BUILT = {
     "shp_array_agg_sorted": "not built: collects every row number of a batch into one array (unbounded single group)",
 }
 
+NOTES = {
+    "prj_delta_pointwise": "takes same-COB requests without dimension filters only, `prj_delta_pointwise_all` takes all",
+    "adj_create_items": "is one roll slice, the same job as `jn_roll_left`; `adj_create_items_all` has the line items of all requests",
+    "jn_exists_latest": "is an alias of `stm_latest_version`",
+    "set_except_changed": "is an alias of `stm_changed_vs_registry`",
+}
+
 
 def main():
     import importlib
@@ -54,6 +61,7 @@ def main():
             n_ok += 1
         else:
             out.append(f"| {i} | no | — | {NOT_BUILT.get(i, 'missing')} |")
+    out += ["", "Partly covered or shared: " + "; ".join(f"`{k}` {v}" for k, v in NOTES.items()) + "."]
     extra = sorted(set(where) - set(ids))
     out += ["", f"{n_ok} of {len(ids)} inventory ids registered; {len(where)} queries in total.", "",
             "Additional registered queries (stages and checks beyond the inventory ids): " + ", ".join(extra) + "."]
