@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, decontaminate, knn, language_id, ngram_join, packing, quality, token_files, toxicity, url_filter
+from restate.llm import chat_format, decontaminate, hard_negatives, knn, language_id, ngram_join, packing, quality, token_files, toxicity, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -148,3 +148,26 @@ reach(x, y) as (select x, y from edges union select r.x, e.y from reach r join e
 select doc_id, len(s)::bigint as n_shingles, coalesce(least(doc_id, (select min(y) from reach where reach.x = sets.doc_id)), doc_id) as component_id
 from sets
 """
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP13_SQL = r"""
+with rows as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as materialized (select a.vec_id as anchor_id, a.label as anchor_label, r.vec_id, r.label, list_dot_product(a.v, r.v)::bigint as score
+  from rows a join rows r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+positives as (select anchor_id, vec_id as positive_id, score as positive_score from scored where label = anchor_label
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and s.label <> s.anchor_label
+  and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+qualify rank <= 5
+"""
