@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, decontaminate, hard_negatives, knn, language_id, ngram_join, packing, quality, token_files, toxicity, url_filter
+from restate.llm import chat_format, decontaminate, hard_negatives, knn, language_id, lexical, ngram_join, packing, quality, token_files, toxicity, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -150,6 +150,26 @@ from sets
 """
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+with texts as (select 'd' as k, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+split as materialized (select k, id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
+query as materialized (select id as item_id, t, count(*) as reps from (select id, unnest(w) as t from split where k = 'b') group by id, t),
+size as (select count(*) as n_docs, sum(len(w))::bigint as total from split where k = 'd' and len(w) > 0),
+held as materialized (select id as doc_id, n, t, count(*) as tf
+  from (select id, len(w) as n, unnest(w) as t from split where k = 'd') where t in (select t from query) group by id, n, t),
+weight as (select t, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, size group by t),
+scored as (select item_id, doc_id, sum(reps * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // total)))))::bigint as score
+  from query join weight using (t) join held using (t), size group by item_id, doc_id)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scored where score > 0 qualify rank <= 20
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)

@@ -17,6 +17,7 @@ _QUERIES = {
     "op8_nearest": q.op8_nearest,
     "op9_chat_format": q.op9_chat_format,
     "op10_ngram_jaccard": q.op10_ngram_jaccard,
+    "op11_lexical": q.op11_lexical,
     "op13_hard_negatives": q.op13_hard_negatives,
 }
 
@@ -25,6 +26,7 @@ SQL = {
     "op5_decontaminate": q.OP5_SQL,
     "op9_chat_format": q.OP9_SQL,
     "op10_ngram_jaccard": q.OP10_SQL,
+    "op11_lexical": q.OP11_SQL,
     "op13_hard_negatives": q.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
