@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.llm import chat_format, decontaminate, hard_negatives, knn, language_id, lexical, ngram_join, packing, quality, token_files, toxicity, url_filter
+from restate.llm import chat_format, decontaminate, hard_negatives, knn, language_id, lexical, ngram_join, packing, quality, secret_scan, token_files, toxicity, url_filter
 from restate.llm.common import held_out, scratch, store, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -170,6 +170,20 @@ from scored where score > 0 qualify rank <= 20
 """
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.scan(docs, secret_scan.fit(docs))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"), count("novel"),
+                        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "novel")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, 256)

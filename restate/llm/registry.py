@@ -18,6 +18,7 @@ _QUERIES = {
     "op9_chat_format": q.op9_chat_format,
     "op10_ngram_jaccard": q.op10_ngram_jaccard,
     "op11_lexical": q.op11_lexical,
+    "op12_secret_scan": q.op12_secret_scan,
     "op13_hard_negatives": q.op13_hard_negatives,
 }
 
