@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from restate.operators.asof import asof_join
 from restate.operators.match import sized_broadcast
 
 DIM_BROADCAST_ROWS = 5_000_000
@@ -66,28 +67,6 @@ def dummy_code(primary, fallback, suffix: str = "/RESTATEMENT") -> Column:
     return F.coalesce(F.nullif(F.trim(p), F.lit("")), F.concat(f, F.lit(suffix)))
 
 
-def asof_join(df: DataFrame, versions: DataFrame, keys: dict[str, str], date_col: str,
-              start_col: str, end_col: str, take, end_exclusive: bool = True) -> DataFrame:
-    """Attach the dimension version effective on ``date_col``.
-
-    Equi join on the natural keys (hash join) + range residual; overlapping
-    versions are resolved by the latest start (``best_candidate``).
-    ``take`` maps output column -> version column.
-    """
-    v = versions.select(*[F.col(vk).alias(f"_v_{i}") for i, vk in enumerate(keys.values())],
-                        F.col(start_col).alias("_vs"), F.col(end_col).alias("_ve"),
-                        *[F.col(src).alias(f"_t_{out}") for out, src in take.items()])
-    cond = reduce(lambda a, b: a & b, [F.col(dk) == F.col(f"_v_{i}") for i, dk in enumerate(keys)])
-    upper_ok = (F.col(date_col) < F.col("_ve")) if end_exclusive else (F.col(date_col) <= F.col("_ve"))
-    cond = cond & (F.col(date_col) >= F.col("_vs")) & (F.col("_ve").isNull() | upper_ok)
-    rid = "_asof_rid"
-    base = df.withColumn(rid, F.monotonically_increasing_id())
-    j = base.join(v, cond, "left")
-    w = Window.partitionBy(rid).orderBy(F.col("_vs").desc_nulls_last())
-    j = j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return j.select(*df.columns, *[F.col(f"_t_{out}").alias(out) for out in take])
-
-
 def versions_from_events(events: DataFrame, natural_key: str, start_col: str, version_key: str,
                          tie: str | None = None) -> DataFrame:
     """Build SCD2 [start, end) intervals: end = next start of the same natural key."""
@@ -98,11 +77,11 @@ def versions_from_events(events: DataFrame, natural_key: str, start_col: str, ve
 
 
 def rekey(df: DataFrame, versions: DataFrame, key_col: str, natural_key: str, version_key: str,
-          at_col: str, start_col: str = "effective_start", end_col: str = "effective_end") -> DataFrame:
+          at_col: str, start_col: str = "effective_start", end_col: str | None = "effective_end", order_cols=()) -> DataFrame:
     """Replace a version key by the version of the same natural key effective at ``at_col``."""
     nk = versions.select(F.col(version_key).alias("_vk"), F.col(natural_key).alias("_nk"))
     step = df.join(nk, F.col(key_col) == F.col("_vk"), "left").drop("_vk")
-    out = asof_join(step, versions, {"_nk": natural_key}, at_col, start_col, end_col, {"_new": version_key})
+    out = asof_join(step, versions, {"_nk": natural_key}, at_col, start_col, end_col, {"_new": version_key}, order_cols=order_cols)
     return out.select(*[F.coalesce(F.col("_new"), F.col(c)).alias(c) if c == key_col else F.col(c)
                         for c in df.columns])
 

@@ -78,17 +78,22 @@ LEFT JOIN cust_versions v ON v.customer_key = o.o_custkey AND l.l_shipdate >= v.
   AND (v.effective_end IS NULL OR l.l_shipdate < v.effective_end)"""
 
 
+def _cust_versions(orders):
+    """Versions that last until the next start of their customer."""
+    return orders.select(F.col("o_custkey").alias("customer_key"), F.col("o_orderkey").alias("version_key"),
+                         F.col("o_orderdate").alias("effective_start"))
+
+
 @q("jn_scd2_asof", S.with_views(["cust_versions", "lineitem", "orders"], _ASOF_SQL))
 def jn_scd2_asof(spark, d):
     v = S.register(spark, d, ["lineitem", "orders"])
-    versions = R.versions_from_events(v["orders"], "o_custkey", "o_orderdate", "o_orderkey", tie="o_orderkey") \
-        .withColumnRenamed("o_custkey", "customer_key").withColumnRenamed("o_orderkey", "version_key")
+    versions = _cust_versions(v["orders"])
     li = v["lineitem"].join(v["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = li.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line_no"),
                      F.col("l_partkey").alias("part_key"), F.col("l_suppkey").alias("supp_key"),
                      F.col("o_custkey").alias("customer_key"), "l_shipdate")
     out = R.asof_join(rows, versions, {"customer_key": "customer_key"}, "l_shipdate", "effective_start",
-                      "effective_end", {"version_key": "version_key"})
+                      None, {"version_key": "version_key"}, order_cols=["version_key"])
     return out.drop("l_shipdate")
 
 
@@ -102,13 +107,12 @@ LEFT JOIN cust_versions v ON v.customer_key = o.o_custkey
   AND (v.effective_end IS NULL OR CAST(strptime(CAST(f.cobid AS VARCHAR), '%Y%m%d') AS TIMESTAMP) - INTERVAL '1' MONTH < v.effective_end)"""))
 def jn_scd2_rekey(spark, d):
     v = S.register(spark, d, ["fact", "orders"])
-    versions = R.versions_from_events(v["orders"], "o_custkey", "o_orderdate", "o_orderkey", tie="o_orderkey") \
-        .withColumnRenamed("o_custkey", "customer_key").withColumnRenamed("o_orderkey", "version_key")
+    versions = _cust_versions(v["orders"])
     f = v["fact"].select("cobid", "line_no", "book_key", "instrument_key", "trade_key",
                          F.col("trade_key").alias("old_trade_key"),
                          F.add_months(F.to_date(F.col("cobid").cast("string"), "yyyyMMdd"), -1)
                          .cast("timestamp").alias("source_date"))
-    out = R.rekey(f, versions, "trade_key", "customer_key", "version_key", "source_date")
+    out = R.rekey(f, versions, "trade_key", "customer_key", "version_key", "source_date", end_col=None, order_cols=["version_key"])
     return out.select("cobid", "line_no", "book_key", "instrument_key", "old_trade_key", "trade_key")
 
 
