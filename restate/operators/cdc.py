@@ -1,10 +1,10 @@
 """Change-data-capture: classify a change batch, merge it into a target, turn
 rows missing from a re-sent file into deletes, keep the latest version.
 
-Without a transactional table format the merge is a full-outer join on the key
-(NULL-safe, hash-joinable) producing the complete next image; the caller writes
-it with a partition/slice replace.  Everything is deterministic, so replaying a
-micro-batch yields the same target (idempotent ``foreachBatch``).
+The merge is a full-outer join on the key (NULL-safe, hash-joinable) producing
+the next image.  ``merge_image`` keeps an image in hash buckets of the key, reads and
+writes only the buckets that a batch touches and publishes them in one commit; a batch
+that is there already is not merged again.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from restate.session import cut_lineage
+from restate.sources.manifest import Change, Tables, bucket_id
+
 
 def classify(batch: DataFrame, keys, values, action_col: str = "action", seq_col: str | None = None) -> DataFrame:
     """The net change of each key within one batch of DELETE and INSERT images.
@@ -52,7 +55,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys, values, deleted_col: str
     U -> new values; D -> soft delete (``on_delete='ignore'`` leaves the row);
     I -> insert, or resurrect a soft-deleted row with the new values.
     """
-    t = target.select(*[F.col(c).alias("t_" + c) for c in [*keys, *values, deleted_col]])
+    t = target.select(*[F.col(c).alias("t_" + c) for c in [*keys, *values, deleted_col]], F.lit(True).alias("_in_target"))
     c = changes.select(*[F.col(x).alias("c_" + x) for x in [*keys, *values, "change_type"]])
     cond = reduce(lambda x, y: x & y, [F.col("t_" + k).eqNullSafe(F.col("c_" + k)) for k in keys])
     j = t.join(c, cond, "full_outer")
@@ -63,7 +66,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys, values, deleted_col: str
     else:
         deleted = (F.when(ct == "D", F.lit(True)).when(ct.isin("U", "I"), F.lit(False))
                    .otherwise(F.col("t_" + deleted_col)))
-    t_present = reduce(lambda x, y: x | y, [F.col("t_" + k).isNotNull() for k in keys])
+    t_present = F.col("_in_target").isNotNull()
     out = j.select(*[F.coalesce(F.col("t_" + k), F.col("c_" + k)).alias(k) for k in keys],
                    *[F.when(take_new, F.col("c_" + v)).otherwise(F.col("t_" + v)).alias(v) for v in values],
                    deleted.alias(deleted_col),
@@ -73,6 +76,39 @@ def upsert(target: DataFrame, changes: DataFrame, keys, values, deleted_col: str
     return out.where(t_present | (ct != "D"))
 
 
+def merge_image(tables: Tables, name: str, batch: str, changes: DataFrame, keys, values, deleted_col: str = "is_deleted",
+                buckets: int = 64, on_delete: str = "soft") -> bool:
+    """Merge classified ``changes`` into the image ``name``; False if ``batch`` was merged before.
+
+    Besides keys, values and ``deleted_col`` the image holds each row's last merge
+    (``merge_action``, ``merge_batch``).  The number of buckets stays as the image was made with; it
+    should follow the size of the image, so that a bucket is some hundred MB."""
+    if tables.committed(batch):
+        return False
+    state = tables.state()
+    note = f"{name}.buckets"
+    buckets = state["notes"].get(note, buckets)
+    columns = [*keys, *values, deleted_col]
+    if name in state["tables"]:
+        types = {f.name: f.dataType for f in tables.schema(name).fields}
+        changes = changes.select(*[F.col(c).cast(types[c]).alias(c) for c in [*keys, *values]], "change_type")
+    changes = cut_lineage(changes)
+    # at most ``buckets`` names
+    touched = [r[0] for r in changes.select(bucket_id(keys, buckets)).distinct().collect()]
+    if name in state["tables"]:
+        current = tables.read(name, touched)
+    else:
+        current = changes.select(*keys, *values).limit(0).withColumn(deleted_col, F.lit(False)).withColumns(
+            {"merge_action": F.lit(""), "merge_batch": F.lit("")})
+    merged = upsert(current.select(*columns), changes, keys, values, deleted_col, on_delete)
+    before = current.select(*[F.col(k).alias("p_" + k) for k in keys], F.col("merge_action").alias("p_action"), F.col("merge_batch").alias("p_batch"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col("p_" + k)) for k in keys])
+    kept = F.col("merge_action") == "KEEP"
+    merged = merged.join(before, same, "left").select(*columns, F.when(kept, F.col("p_action")).otherwise(F.col("merge_action")).alias("merge_action"),
+                                                      F.when(kept, F.col("p_batch")).otherwise(F.lit(batch)).alias("merge_batch"))
+    return tables.commit(batch, {name: Change(merged, by=tuple(keys), buckets=buckets)}, {note: buckets})
+
+
 def missing_as_delete(target: DataFrame, resend: DataFrame, keys, file_col: str) -> DataFrame:
     """Target rows of re-sent files whose key is absent from the new version -> 'D'."""
     files = resend.select(F.col(file_col).alias("_rf")).distinct()

@@ -76,6 +76,12 @@ def ordinal(created_col: str, adj_col: str) -> Column:
     return (hi + lo).cast("decimal(38,0)")
 
 
+def positions_of(rows: DataFrame, key_cols) -> tuple[DataFrame, Column]:
+    """The distinct positions of ``rows``, and the NULL-safe condition that another relation's rows are on one."""
+    positions = rows.select(*[F.col(c).alias(f"_p_{c}") for c in key_cols]).distinct()
+    return positions, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in key_cols])
+
+
 def supersede(existing: DataFrame, batch_positions: DataFrame, key_cols, adj_col: str | None = None,
               batch_ids: DataFrame | None = None) -> DataFrame:
     """Drop existing delta rows at positions the new batch owns (NULL-safe key).
@@ -83,8 +89,7 @@ def supersede(existing: DataFrame, batch_positions: DataFrame, key_cols, adj_col
     ``<=>`` is an equi-join key in Spark, so this is a hash/sort-merge anti join,
     never a nested loop.  Rows of the batch's own ids are kept.
     """
-    pos = batch_positions.select(*[F.col(c).alias(f"_p_{c}") for c in key_cols]).distinct()
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in key_cols])
+    pos, cond = positions_of(batch_positions, key_cols)
     kept = existing.join(pos, cond, "left_anti")
     if batch_ids is not None and adj_col is not None:
         own = existing.join(batch_ids.select(F.col(adj_col).alias("_own")).distinct(),

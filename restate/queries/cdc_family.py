@@ -9,7 +9,9 @@ from restate.operators import cdc as CDC
 from restate.operators import delta as D
 from restate.queries import standin as S
 from restate.queries.common import Query, doubles, run_scale, scale_sql
+from restate.plans.summary import SummaryView, signed
 from restate.sources import io as IO
+from restate.sources.manifest import Change, Tables
 
 QUERIES: list[Query] = []
 
@@ -76,8 +78,15 @@ def stm_cdc_upsert(spark, d):
 SELECT merge_action, count(*) AS n, count_if(is_deleted) AS deleted FROM m WHERE t_present OR merge_action <> 'DELETE'
 GROUP BY merge_action"""))
 def snk_merge_upsert(spark, d):
-    """Merge-by-join, materialised to a fresh staging image (never overwriting what it reads)."""
-    img = IO.write_image(_upserted(spark, d), "merge")
+    """An image in hash buckets: loaded, then merged with the change batch (twice: the replay does nothing)."""
+    v = S.register(spark, d, ["cdc_batch", "cdc_old"])
+    tables = Tables(spark, IO.scratch_path(spark, "merge"))
+    load = v["cdc_old"].select(*KEYS, *VALS, F.lit("I").alias("change_type"))
+    CDC.merge_image(tables, "image", "load", load, KEYS, VALS)
+    for _ in range(2):
+        CDC.merge_image(tables, "image", "changes", CDC.classify(v["cdc_batch"], KEYS, VALS), KEYS, VALS)
+    action = F.when(F.col("merge_batch") == "changes", F.col("merge_action")).otherwise("KEEP")
+    img = tables.read("image").withColumn("merge_action", action)
     return img.groupBy("merge_action").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_deleted").alias("deleted"))
 
 
@@ -145,10 +154,11 @@ def stm_status_log(spark, d):
 
 @q("snk_history_append", _STATUS_LOG_SQL)
 def snk_history_append(spark, d):
-    """Append status transitions to a history table (twice-run safe: fresh path per run)."""
-    path = IO.scratch_path(spark, "history")
-    IO.append_history(_transitions(spark, d), path)
-    return spark.read.parquet(path)
+    """Status transitions appended to a history table; the same batch run again adds nothing."""
+    tables = Tables(spark, IO.scratch_path(spark, "history"))
+    for _ in range(2):
+        tables.commit("transitions", {"history": Change(_transitions(spark, d), append=True)})
+    return tables.read("history")
 
 
 @q("src_cdc_stream", S.with_views(["cdc_batch", "cdc_old"], _UPSERT_SQL + """
@@ -204,17 +214,17 @@ SELECT cobid, source_system_code, CAST(sum(value_usd) AS DOUBLE) AS value_usd
 FROM (SELECT cobid, source_system_code, value_usd FROM p_out UNION ALL SELECT cobid, source_system_code, value_usd FROM b_out) u
 WHERE cobid IN (SELECT DISTINCT cobid FROM b_out) GROUP BY ALL"""))
 def stm_materialised_refresh(spark, d):
-    """Incremental refresh: the summary of the COBs that the new deltas touched, from all
-    stored deltas there, replaces exactly those partitions."""
+    """A summary that follows its deltas: the stored ones, then the new batch's as changes.
+
+    The business dates that the batch touched are shown; of the others no delta is read again."""
     from restate.queries.common import prior_deltas
     k = ["cobid", "source_system_code"]
-    new = run_scale(spark, d, "hdr_inline")
-    stored = prior_deltas(spark, d).select(*k, "value_usd").unionByName(new.select(*k, "value_usd"))
-    touched = new.select("cobid").distinct()
-    summary = D.summarise(stored.join(touched, "cobid", "left_semi"), k, ["value_usd"])
-    path = IO.scratch_path(spark, "summary")
-    IO.replace_slice(summary, path, touched, ["cobid"])
-    return doubles(spark.read.parquet(path), ["value_usd"]).select("cobid", "source_system_code", "value_usd")
+    new = IO.write_image(run_scale(spark, d, "hdr_inline").select(*k, "value_usd"), "new")
+    view = SummaryView(Tables(spark, IO.scratch_path(spark, "summary")), "summary", tuple(k), ("value_usd",))
+    view.apply("stored", signed(prior_deltas(spark, d).select(*k, "value_usd"), 1))
+    for _ in range(2):  # a refresh that runs again changes nothing
+        view.apply("inline", signed(new, 1))
+    return doubles(view.read().join(new.select("cobid").distinct(), "cobid", "left_semi"), ["value_usd"])
 
 
 # -- sources / sinks ------------------------------------------------------------
@@ -252,12 +262,12 @@ SELECT cobid, restatement_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS v
 UNION ALL SELECT cobid, restatement_id, trade_key, line_no, CAST(value_usd AS DOUBLE) AS value_usd FROM b_out"""))
 def snk_delta_append(spark, d):
     from restate.queries.common import prior_deltas
-    path = IO.scratch_path(spark, "deltas")
+    tables = Tables(spark, IO.scratch_path(spark, "deltas"))
     cols = ["cobid", "restatement_id", "trade_key", "line_no", "value_usd"]
-    IO.write_deltas(prior_deltas(spark, d), path, "prior", ["cobid"], cols)
-    for _ in range(2):  # a batch that runs again replaces its own rows
-        IO.write_deltas(run_scale(spark, d, "hdr_inline"), path, "inline", ["cobid"], cols)
-    out = spark.read.parquet(path)
+    tables.commit("prior", {"deltas": Change(prior_deltas(spark, d).select(*cols), by=("cobid",), append=True)})
+    for _ in range(2):  # a batch that runs again adds nothing
+        tables.commit("inline", {"deltas": Change(run_scale(spark, d, "hdr_inline").select(*cols), by=("cobid",), append=True)})
+    out = tables.read("deltas")
     return out.select(F.col("cobid").cast("int").alias("cobid"), "restatement_id", "trade_key", "line_no",
                       F.col("value_usd").cast("double").alias("value_usd"))
 
@@ -273,13 +283,14 @@ UNION ALL SELECT cobid, source_system_code, CAST(value_usd AS DOUBLE) AS value_u
 def snk_partition_replace(spark, d):
     """Summary slices: the COBs that the new batch touched are summed anew over all stored deltas, others stay."""
     from restate.queries.common import prior_deltas
-    path = IO.scratch_path(spark, "summary")
+    tables = Tables(spark, IO.scratch_path(spark, "summary"))
     k = ["cobid", "source_system_code"]
     prior, new = prior_deltas(spark, d), run_scale(spark, d, "hdr_inline")
     both = prior.select(*k, "value_usd").unionByName(new.select(*k, "value_usd"))
-    IO.replace_slice(D.summarise(prior, k, ["value_usd"]), path, prior.select("cobid"), ["cobid"])
-    IO.replace_slice(D.summarise(both, k, ["value_usd"]), path, new.select("cobid"), ["cobid"])
-    out = spark.read.parquet(path)
+    for batch, rows, slices in (("prior", prior, prior), ("inline", both, new)):
+        summary = D.summarise(rows, k, ["value_usd"])
+        tables.commit(batch, {"summary": Change(summary, by=("cobid",), emptied=slices.select("cobid"), only_emptied=True)})
+    out = tables.read("summary")
     return out.select(F.col("cobid").cast("int").alias("cobid"), "source_system_code",
                       F.col("value_usd").cast("double").alias("value_usd"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restate.operators.match import active_filters, enrich, reduce_dim_for_requests, sized_broadcast
+from restate.plans.process import Scope
 from restate.plans.scale import apply_scale, request_profile
 from restate.queries import standin as S
 
@@ -64,6 +65,10 @@ def _memo(key, build):
     return _PLANS[key]
 
 
+#: The stand-in scope as settings of the composed run.
+SCOPE = Scope(S.POSITION_COLS, S.METRICS, S.USD, S.FILTER_MAP, ("cobid", "restatement_id", "source_system_code", "currency_code"))
+
+
 def run_scale(spark: SparkSession, sf_dir: str, hdr: str, with_prior: bool = True,
               rank_method: str = "aggregate", strategy: str = "auto") -> DataFrame:
     key = ("scale", id(spark), sf_dir, hdr, with_prior, rank_method, strategy)

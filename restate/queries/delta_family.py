@@ -8,10 +8,14 @@ from restate.functions.factor import action_of, effective_factor
 from restate.functions.keys import surrogate_key
 from restate.operators import delta as D
 from restate.operators.match import active_filters, wildcard_match
+from restate.operators.delta import positions_of
 from restate.plans.scale import request_legs, scale_legs
+from restate.plans.summary import SummaryView, signed
 from restate.queries import standin as S
 from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, Query, attach_attrs, dbl_select, current_deltas, doubles,
                                     prior_deltas, run_scale, scale_sql)
+from restate.sources import io as IO
+from restate.sources.manifest import Tables
 
 QUERIES: list[Query] = []
 
@@ -158,11 +162,16 @@ SELECT cobid, restatement_id, source_system_code, currency_code,
        CAST(sum(value_local) AS DOUBLE) AS value_local, CAST(sum(value_usd) AS DOUBLE) AS value_usd
 FROM cur WHERE cobid IN (SELECT cobid FROM b_out) GROUP BY ALL"""))
 def agg_summary_rebuild(spark, d):
-    """The business dates that the batch touched, summed over the whole delta table there."""
-    touched = run_scale(spark, d, "hdr_inline").select("cobid").distinct()
-    s = D.summarise(current_deltas(spark, d).join(touched, "cobid", "left_semi"),
-                    ["cobid", "restatement_id", "source_system_code", "currency_code"], M2)
-    return doubles(s, M2)
+    """The summary of the delta table, kept by signed changes: the stored rows, then what the batch brought and
+    superseded.  The business dates that the batch touched are shown."""
+    k = ("cobid", "restatement_id", "source_system_code", "currency_code")
+    new, prior = run_scale(spark, d, "hdr_inline"), prior_deltas(spark, d)
+    position, same = positions_of(new, S.POSITION_COLS)
+    left = prior.join(position, same, "left_semi")
+    view = SummaryView(Tables(spark, IO.scratch_path(spark, "summary")), "summary", k, tuple(M2))
+    view.apply("stored", signed(prior.select(*k, *M2), 1))
+    view.apply("batch", signed(new.select(*k, *M2), 1).unionByName(signed(left.select(*k, *M2), -1)))
+    return doubles(view.read().join(new.select("cobid").distinct(), "cobid", "left_semi"), M2)
 
 
 @q("agg_summary_official", scale_sql("hdr_inline", True, """

@@ -10,11 +10,13 @@ from restate.functions.text import cob_to_date
 from restate.operators import delta as D
 from restate.operators.overlap import narrower_pairs
 from restate.plans.entity_roll import entity_roll
+from restate.plans.process import DELTAS, load, remove
 from restate.plans.scale import legacy_roll
 from restate.queries import standin as S
-from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, Query, attach_attrs, current_deltas, doubles,
+from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, SCOPE, Query, attach_attrs, current_deltas, doubles,
                                     prior_deltas, run_scale, scale_sql, _attrs)
 from restate.sources import io as IO
+from restate.sources.manifest import Tables
 
 QUERIES: list[Query] = []
 
@@ -177,7 +179,12 @@ SELECT {SEL} FROM b_out WHERE restatement_id NOT IN (SELECT restatement_id FROM
 def adj_retry_cleanup(spark, d):
     v = S.register(spark, d, ["hdr_queue"])
     failed = v["hdr_queue"].where(F.col("run_status") == "Failed").select("restatement_id")
-    return doubles(D.remove_ids(run_scale(spark, d, "hdr_orders", with_prior=False), failed, "restatement_id"), M2)
+    tables = Tables(spark, IO.scratch_path(spark, "cleanup"))
+    new = run_scale(spark, d, "hdr_orders", with_prior=False)
+    load(tables, SCOPE, "orders", new)
+    for _ in range(2):  # a clean-up that runs again takes nothing more
+        remove(tables, SCOPE, "retry", failed)
+    return doubles(tables.read(DELTAS).select(*new.columns), M2)
 
 
 @q("adj_replace_reference", S.with_views(["hdr_queue"], """

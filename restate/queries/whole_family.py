@@ -9,11 +9,13 @@ from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE
 from restate.operators import delta as D
 from restate.operators.match import active_filters
 from restate.plans.preview import matched
+from restate.plans.process import DELTAS, process
 from restate.plans.scale import legacy_rolls
 from restate.queries import standin as S
-from restate.queries.common import (CUR_CTE, POS_NO_COB, Query, attach_attrs, current_deltas, doubles, run_scale,
+from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, SCOPE, Query, attach_attrs, current_deltas, doubles, run_scale,
                                     scale_sql, _attrs, _wild)
 from restate.sources import io as IO
+from restate.sources.manifest import Tables
 
 QUERIES: list[Query] = []
 
@@ -182,3 +184,27 @@ def adj_business_checks_all(spark, d):
         F.sum("value_usd").cast("double").alias("summary_total"))
     out = h.select("restatement_id", "adj_key").join(orig, "adj_key", "left").join(a, "restatement_id", "left").join(c, "restatement_id", "left")
     return out.select("restatement_id", "delta_total", "original_total", F.coalesce("delta_rows", F.lit(0)).alias("delta_rows"), "summary_total")
+
+
+# --- the composed run -------------------------------------------------------
+def _processed(spark, d) -> Tables:
+    """Two batches of requests from request to published tables; the second is run again."""
+    v = S.register(spark, d, ["fact", "book_dim", "instrument_dim", "trade_dim", "hdr_prior", "hdr_inline"])
+    tables = Tables(spark, IO.scratch_path(spark, "process"))
+    for batch in ("hdr_prior", "hdr_inline", "hdr_inline"):
+        process(tables, SCOPE, batch, v[batch], v["fact"], lambda df, h=batch: attach_attrs(df, v, S.FILTER_MAP.values(), requests=v[h]))
+    return tables
+
+
+@q("adj_process_run", scale_sql("hdr_inline", True, CUR_CTE + f"""
+SELECT {', '.join(OUT_COLS)}, CAST(value_local AS DOUBLE) AS value_local, CAST(value_usd AS DOUBLE) AS value_usd FROM cur"""))
+def adj_process_run(spark, d):
+    return doubles(_processed(spark, d).read(DELTAS).select(*OUT_COLS, *M2), M2)
+
+
+@q("adj_process_summary", scale_sql("hdr_inline", True, CUR_CTE + """
+SELECT cobid, restatement_id, source_system_code, currency_code,
+       CAST(sum(value_local) AS DOUBLE) AS value_local, CAST(sum(value_usd) AS DOUBLE) AS value_usd
+FROM cur GROUP BY ALL"""))
+def adj_process_summary(spark, d):
+    return doubles(SCOPE.summary(_processed(spark, d)).read(), M2)

@@ -1,12 +1,10 @@
 """Sources and sinks over partitioned Parquet.
 
-* facts and deltas are partitioned by ``cobid`` (deltas also by scope), so a COB
-  filter is a partition filter;
-* deltas are appended; summaries and slices are replaced with dynamic partition
-  overwrite (only the partitions present in the new data are rewritten);
-* a merge (no transactional table format) is computed as the next full image
-  and written to a fresh staging directory, then read back — never overwrite a
-  path that is being read in the same job.
+* facts are partitioned by ``cobid``, so a COB filter is a partition filter;
+* tables that the library writes (deltas, summaries, histories, images) are the
+  slices of ``manifest.Tables``: appended, replaced or merged in one commit;
+* ``write_image`` materialises an intermediate relation in a fresh staging
+  directory and reads it back.
 """
 
 from __future__ import annotations
@@ -52,37 +50,6 @@ def read_upload(spark: SparkSession, path: str, sep: str | None = None) -> DataF
     return df
 
 
-BATCH_COL = "batch"
-
-
-def write_deltas(df: DataFrame, path: str, batch: str, partition_cols=("cobid",), target_columns=None) -> None:
-    """Add a batch's delta rows, aligned to the target column order.
-
-    Each batch has a partition of its own, so a batch that runs again (a retry, a
-    replay) replaces its rows and never doubles them."""
-    if target_columns is not None:
-        df = df.select(*target_columns)
-    df.write.mode("overwrite").partitionBy(*partition_cols).parquet(f"{path}/{BATCH_COL}={batch}")
-
-
-def replace_slice(df: DataFrame, path: str, slices: DataFrame, partition_cols=("cobid",)) -> None:
-    """Replace the partitions named by ``slices`` with their rows of ``df``.
-
-    Partitions of ``slices`` without rows in ``df`` end empty; rows of ``df`` outside
-    of ``slices`` are not written; other partitions stay as they are.  The list of
-    emptied slices reaches the driver: it is bounded by the partitions of the table."""
-    spark = df.sparkSession
-    cols = list(partition_cols)
-    slices = slices.select(*cols).distinct()
-    df.join(slices, cols, "left_semi").select(*df.columns).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(*cols).parquet(path)
-    emptied = slices.join(df.select(*cols).distinct(), cols, "left_anti").collect()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for row in emptied:
-        gone = hadoop.Path("/".join([path, *(f"{c}={row[c]}" for c in cols)]))
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh directory under the shared checkpoint folder (never machine-local on a cluster)."""
     base = checkpoint_dir(spark)
@@ -99,10 +66,6 @@ def write_image(df: DataFrame, name: str, partition_cols=()) -> DataFrame:
     return df.sparkSession.read.parquet(p)
 
 
-def append_history(transitions: DataFrame, path: str) -> None:
-    transitions.write.mode("append").parquet(path)
-
-
 def emit_triggers(processed: DataFrame, scope_col: str = "process_type", cob_col: str = "cobid",
                   ts_col: str = "process_date") -> DataFrame:
     """One downstream "rebuild" record per (scope, COB) with a deterministic id."""

@@ -4,9 +4,10 @@ The reference consumes change feeds in one-minute batches and polls its request
 queue.  Here both are Structured Streaming queries over a file source:
 
 * ``cdc_merge_stream`` — each micro-batch is classified (DELETE/INSERT pairing)
-  and merged into the target image; the next image is written to a directory
-  keyed by the epoch id, so a replayed epoch rewrites the same directory
-  (idempotent, exactly-once in effect).  Offsets live in the checkpoint folder.
+  and merged into the target image, of which only the touched hash buckets are read
+  and written.  An epoch is one commit: replayed, it finds itself published and does
+  nothing (exactly-once in effect).  Offsets live in the checkpoint folder; buckets that
+  later epochs replaced are deleted.
 * ``poll_stream`` — every trigger re-reads the *current* request table (not only
   the new files), so late arrivals are never stranded; the output is appended.
 
@@ -19,46 +20,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restate.operators.cdc import classify, upsert
+from restate.operators.cdc import classify, merge_image
+from restate.sources.manifest import Tables
 
 
-def _epochs(spark: SparkSession, root: str) -> list[int]:
-    """Epochs with a committed image under ``root``: a folder listing, no data is read.
-
-    No folder yet means no image; any other failure is raised, so that a passing
-    read error is never taken for an empty target."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    folders = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("epoch=")]
-    done = [p for p in folders if fs.exists(sc._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=", 1)[1]) for p in done)
-
-
-def _image(spark: SparkSession, root: str, epoch: int, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/epoch={epoch}")
+IMAGE, KEPT_COMMITS = "image", 3
 
 
 def cdc_merge_stream(spark: SparkSession, source_dir: str, source_schema, image_root: str, checkpoint: str,
                      keys, values, deleted_col: str = "is_deleted", trigger: dict | None = None,
-                     max_files_per_trigger: int | None = None, seq_col: str | None = None):
+                     max_files_per_trigger: int | None = None, seq_col: str | None = None, buckets: int = 64):
     """Start the CDC merge stream; returns the StreamingQuery.
 
     ``seq_col`` orders the changes of a key, of which a batch of several files may
     hold many; without it such a batch fails instead of merging a wrong image."""
-    image_schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source_schema.fields
-                              if f.name in [*keys, *values]] + [f"{deleted_col} boolean"])
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
-        sp = batch.sparkSession
-        # images are keyed by epoch: a replayed epoch must see the image before it
-        prior = [e for e in _epochs(sp, image_root) if e < epoch_id]
-        current = _image(sp, image_root, prior[-1], image_schema) if prior else sp.createDataFrame([], image_schema)
+        tables = Tables(batch.sparkSession, image_root)
         changes = classify(batch, keys, values, seq_col=seq_col)
-        nxt = upsert(current, changes, keys, values, deleted_col).drop("merge_action")
-        nxt.write.mode("overwrite").parquet(f"{image_root}/epoch={epoch_id}")
+        merge_image(tables, IMAGE, f"epoch.{epoch_id}", changes, keys, values, deleted_col, buckets)
+        tables.vacuum(KEPT_COMMITS)
 
     reader = spark.readStream.schema(source_schema)
     if max_files_per_trigger:
@@ -70,10 +51,8 @@ def cdc_merge_stream(spark: SparkSession, source_dir: str, source_schema, image_
 
 
 def current_image(spark: SparkSession, image_root: str) -> DataFrame:
-    ep = _epochs(spark, image_root)
-    if not ep:
-        raise FileNotFoundError(image_root)
-    return spark.read.parquet(f"{image_root}/epoch={ep[-1]}")
+    image = Tables(spark, image_root).read(IMAGE)
+    return image.drop("merge_action", "merge_batch")
 
 
 def poll_stream(spark: SparkSession, tick_dir: str, tick_schema, read_state, select_eligible, sink_dir: str,

@@ -10,6 +10,7 @@ from restate.operators import match as M
 from restate.operators import overlap as O
 from restate.plans import scale as SC
 from restate.sources import io as IO
+from restate.sources.manifest import Change, Tables
 
 
 def test_pruning_keeps_the_newest_request_that_does_not_round_to_zero(spark):
@@ -61,18 +62,18 @@ def test_several_changes_of_a_key(spark):
 
 
 def test_batches_and_slices_can_run_again(spark):
-    path = IO.scratch_path(spark, "t")
+    tables = Tables(spark, IO.scratch_path(spark, "t"))
     df = spark.createDataFrame([(1, 10.0), (2, 20.0)], "cobid int, v double")
     for _ in range(2):
-        IO.write_deltas(df, path, "b1")
-    IO.write_deltas(df, path, "b2")
-    assert spark.read.parquet(path).agg(F.sum("v")).first()[0] == 60.0
-    path = IO.scratch_path(spark, "t")
-    IO.replace_slice(df, path, df)
-    IO.replace_slice(df.where("cobid = 2").withColumn("v", F.lit(5.0)), path, df)  # slice 1 has no rows any more
-    assert [(r.cobid, r.v) for r in spark.read.parquet(path).collect()] == [(2, 5.0)]
-    IO.replace_slice(df.limit(0), path, spark.createDataFrame([(9,)], "cobid int"))
-    assert spark.read.parquet(path).count() == 1
+        tables.commit("b1", {"t": Change(df, by=("cobid",), append=True)})
+    tables.commit("b2", {"t": Change(df, by=("cobid",), append=True)})
+    assert tables.read("t").agg(F.sum("v")).first()[0] == 60.0
+    tables = Tables(spark, IO.scratch_path(spark, "t"))
+    tables.commit("b1", {"t": Change(df, by=("cobid",), emptied=df)})
+    tables.commit("b2", {"t": Change(df.where("cobid = 2").withColumn("v", F.lit(5.0)), by=("cobid",), emptied=df)})  # slice 1 has no rows any more
+    assert [(r.cobid, r.v) for r in tables.read("t").collect()] == [(2, 5.0)]
+    tables.commit("b3", {"t": Change(df.limit(0), by=("cobid",), emptied=spark.createDataFrame([(9,)], "cobid int"))})
+    assert tables.read("t").count() == 1
 
 
 def test_stream_with_several_changes_in_a_batch(spark):
