@@ -98,21 +98,71 @@ def supersede(existing: DataFrame, batch_positions: DataFrame, key_cols, adj_col
     return kept
 
 
+#: Of a position filter: 64-bit words at most (a proven bound of what is broadcast, some 60 MB), keys a word, bits a key.
+MAX_WORDS, KEYS_A_WORD, KEY_BITS = 1 << 20, 4, 4
+
+
+def _word_and_mask(key_cols, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(*[F.col(c) for c in key_cols])
+    second = F.xxhash64(h, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(second, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(KEY_BITS)]
+    return F.pmod(h, F.lit(words)), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def position_filter(rows: DataFrame, key_cols) -> tuple[DataFrame, int]:
+    """A Bloom filter of the positions of ``rows`` as a table (word, bits), and its number of words.
+
+    A position sets its bits in one word.  The table has ``MAX_WORDS`` rows at most: beyond that more rows than
+    need to pass the filter, and none that should is held back."""
+    n = rows.count()
+    words = min(MAX_WORDS, 1 << max(0, -(-n // KEYS_A_WORD) - 1).bit_length())
+    word, mask = _word_and_mask(key_cols, words)
+    return rows.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), words
+
+
+def maybe_at(rows: DataFrame, filter_: tuple[DataFrame, int], key_cols, out_col: str) -> DataFrame:
+    """``out_col``: whether the row's position may be in the filter; False is certain."""
+    table, words = filter_
+    word, mask = _word_and_mask(key_cols, words)
+    j = rows.withColumn("_at", word).join(F.broadcast(table), F.col("_at") == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(mask) == mask, F.lit(False))
+    return j.select(*rows.columns, hit.alias(out_col))
+
+
 def combined(fact: DataFrame, deltas: DataFrame, key_cols, metrics, aggregate: bool = True,
-             flag_col: str | None = None) -> DataFrame:
-    """original UNION ALL deltas (aligned by name), optionally summed per position."""
+             flag_col: str | None = None, once: bool = False, slice_col: str | None = None) -> DataFrame:
+    """original UNION ALL deltas (aligned by name), optionally summed per position.
+
+    ``once`` says that the fact holds a position once (its grain).  Then only fact rows whose position may have
+    deltas, by a Bloom filter of those, are shuffled and summed with them; all others are passed on as they
+    are, and slices (``slice_col``, a calendar's worth of values) without deltas are not even asked.  ``deltas``
+    is read three times then: give a stored table."""
     f = fact.select(*key_cols, *metrics)
     d = deltas.select(*key_cols, *metrics)
     if flag_col:
         f = f.withColumn(flag_col, F.lit(False))
         d = d.withColumn(flag_col, F.lit(True))
-    u = f.unionByName(d)
     if not aggregate:
-        return u
+        return f.unionByName(d)
     aggs = [F.sum(m).alias(m) for m in metrics]
     if flag_col:
         aggs.append(F.max(F.col(flag_col)).alias(flag_col))
-    return u.groupBy(*key_cols).agg(*aggs)
+    if not once:
+        return f.unionByName(d).groupBy(*key_cols).agg(*aggs)
+    # one type on both sides: the filter hashes values of a type
+    types = {c: f.schema[c].dataType for c in key_cols}
+    d = d.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in d.columns])
+    places, untouched = position_filter(d, key_cols), None
+    if slice_col:
+        slices = [r[0] for r in d.select(slice_col).distinct().collect()]
+        inside = F.coalesce(F.col(slice_col).isin([s for s in slices if s is not None]), F.lit(None in slices))
+        untouched, f = f.where(~inside), f.where(inside)
+    asked = maybe_at(f, places, key_cols, "_maybe")
+    summed = asked.where("_maybe").drop("_maybe").unionByName(d).groupBy(*key_cols).agg(*aggs)
+    alone = asked.where("NOT _maybe").drop("_maybe")
+    if untouched is not None:
+        alone = alone.unionByName(untouched)
+    return summed.unionByName(alone.select(*[F.col(c).cast(summed.schema[c].dataType).alias(c) if c in metrics else F.col(c) for c in summed.columns]))
 
 
 def summarise(deltas: DataFrame, summary_cols, metrics, nonzero_col: str | None = None) -> DataFrame:

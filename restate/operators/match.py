@@ -10,9 +10,10 @@ so the planner rewrites it:
   they set).  For each signature in the batch a fact row produces one match key
   (the upper-cased attribute values of that signature joined by a separator),
   so the whole batch becomes ONE equi-join on ``(cob, signature, key)`` —
-  broadcast-hash when the request side is provably small, otherwise a salted
-  shuffle join (a whole-COB request puts every fact row of that COB on a single
-  key; salting spreads it over ``salt`` tasks).
+  broadcast-hash when the request side is provably small, otherwise a shuffle
+  join.  A whole-COB request puts every fact row of that COB on a single key:
+  ``hot_buckets`` counts the fact rows of every key in a sketch of fixed size, and each
+  key is spread over as many tasks as its rows ask for.  Cold keys are not copied.
   Many signatures are joined ``SIGNATURES_PER_JOIN`` at a time, so that a fact row
   is never copied more often than that in one join.
 * **residual** — equi on COB + OR residual; only on request, as the reference that
@@ -26,8 +27,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from restate.session import cut_lineage
+
 SEP = "\u0001"
 SIGNATURES_PER_JOIN = 64
+#: Fact rows of a match key that one task joins; counters of the sketch and hashes of a key in it.
+PIECE_ROWS, SKETCH_WIDTH, SKETCH_DEPTH = 1_000_000, 1 << 15, 2
 BROADCAST_MAX_ROWS = 200_000
 
 
@@ -103,6 +108,33 @@ def _fact_key(sig: int, active: list[str], filter_map: dict[str, str]) -> Column
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _sketch_bucket(depth: int, *cols) -> Column:
+    return F.pmod(F.xxhash64(F.lit(depth), *cols), F.lit(SKETCH_WIDTH)).cast("int")
+
+
+def hot_buckets(keyed: DataFrame, key_cols, piece_rows: int | None = None) -> DataFrame:
+    """(depth, bucket, pieces) of a sketch's counters above ``piece_rows``: a heavy-hitter sketch of the key.
+
+    Every row counts in one bucket of each depth, so a key has at most as many rows as the least of its
+    buckets counts.  The table has at most SKETCH_WIDTH x SKETCH_DEPTH rows whatever the data, and
+    so do its partial sums."""
+    piece_rows = piece_rows or PIECE_ROWS
+    buckets = F.array(*[F.struct(F.lit(i).alias("depth"), _sketch_bucket(i, *key_cols).alias("bucket")) for i in range(SKETCH_DEPTH)])
+    counted = keyed.select(F.explode(buckets).alias("_b")).groupBy("_b.depth", "_b.bucket").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(F.col("n") > piece_rows).select("depth", "bucket", F.ceil(F.col("n") / piece_rows).cast("int").alias("pieces"))
+
+
+def with_pieces(df: DataFrame, hot: DataFrame, key_cols, out_col: str) -> DataFrame:
+    """How many tasks the key of each row is spread over: the least its buckets ask for, 1 if one of them is not hot."""
+    found = []
+    for i in range(SKETCH_DEPTH):
+        h = hot.where(F.col("depth") == i).select(F.col("bucket").alias(f"_hb{i}"), F.col("pieces").alias(f"_hp{i}"))
+        # at most SKETCH_WIDTH rows of two integers
+        df = df.join(F.broadcast(h), _sketch_bucket(i, *key_cols) == F.col(f"_hb{i}"), "left")
+        found.append(F.coalesce(F.col(f"_hp{i}"), F.lit(1)))
+    return df.withColumn(out_col, F.least(*found)).drop(*[f"_hb{i}" for i in range(SKETCH_DEPTH)], *[f"_hp{i}" for i in range(SKETCH_DEPTH)])
+
+
 def wildcard_match(
     facts: DataFrame,
     headers: DataFrame,
@@ -110,7 +142,6 @@ def wildcard_match(
     fact_cob: str = "cobid",
     header_cob: str = "match_cob",
     strategy: str = "auto",
-    salt: int = 8,
     broadcast_max_rows: int = BROADCAST_MAX_ROWS,
     active: list[str] | None = None,
     sigs: list[int] | None = None,
@@ -133,7 +164,7 @@ def wildcard_match(
     if len(sigs) > SIGNATURES_PER_JOIN:
         parts = [sigs[i:i + SIGNATURES_PER_JOIN] for i in range(0, len(sigs), SIGNATURES_PER_JOIN)]
         return reduce(DataFrame.unionByName, [
-            wildcard_match(facts, headers.where(_signature(active).isin(part)), filter_map, fact_cob, header_cob, "signature", salt,
+            wildcard_match(facts, headers.where(_signature(active).isin(part)), filter_map, fact_cob, header_cob, "signature",
                            broadcast_max_rows, active, part, small) for part in parts])
 
     hk = headers.select("*", _signature(active).alias("_sig"), _header_key(active).alias("_key"))
@@ -149,11 +180,16 @@ def wildcard_match(
     )
     hk = hk.withColumnRenamed("_sig", "_hsig").withColumnRenamed("_key", "_hkey")
     cond = [F.col(fact_cob) == F.col(header_cob), F.col("_fsig") == F.col("_hsig"), F.col("_fkey") == F.col("_hkey")]
-    if not small and salt and salt > 1:
-        # Deterministic salt from the row's own values: replay-safe and spreads
-        # a hot (cob, signature, key) over `salt` tasks.
-        fk = fk.withColumn("_fsalt", F.pmod(F.xxhash64(*facts.columns), F.lit(salt)).cast("int"))
-        hk = hk.withColumn("_hsalt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    if not small:
+        fkey, hkey = [fact_cob, "_fsig", "_fkey"], [header_cob, "_hsig", "_hkey"]
+        # both sides hash alike only if their business dates have one type
+        cob = headers.schema[header_cob].dataType
+        fkey[0], hkey[0] = F.col(fact_cob).cast(cob), F.col(header_cob)
+        hot = cut_lineage(hot_buckets(fk, fkey))
+        # dealt by the row's own values: a replayed task deals alike
+        fk = with_pieces(fk, hot, fkey, "_fpieces")
+        fk = fk.withColumn("_fsalt", F.pmod(F.xxhash64(*facts.columns), F.col("_fpieces")).cast("int"))
+        hk = with_pieces(hk, hot, hkey, "_hpieces").withColumn("_hsalt", F.explode(F.sequence(F.lit(0), F.col("_hpieces") - 1)))
         cond.append(F.col("_fsalt") == F.col("_hsalt"))
     joined = fk.join(hk, cond, "inner")
     return joined.select(*facts.columns, *hdr_cols)

@@ -11,7 +11,7 @@ source-only positions carried over and target-only positions flattened.
 
 Physical plan: ONE scan of the fact (plus the small delta table when a roll is
 present), ONE equi-join against the request legs (broadcast when provably small,
-salted shuffle otherwise), then two partial-aggregated shuffles (netting, ranking).
+otherwise a shuffle that splits hot keys by their size), then two partial-aggregated shuffles (netting, ranking).
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE, effective_factor
 from restate.operators.delta import net_positions, ordinal, rank_latest
@@ -56,7 +57,15 @@ def has_cross_cob(headers: DataFrame) -> bool:
     return headers.where(cross).limit(1).count() > 0
 
 
-def drop_dominated(legs_h: DataFrame, filter_cols) -> DataFrame:
+def exact_products(fact: DataFrame, metrics) -> bool:
+    """Whether value x factor never rounds: the value's and the factor's decimals fit into those of the result."""
+    def decimals(kind) -> int | None:
+        return kind.scale if isinstance(kind, T.DecimalType) else 0 if isinstance(kind, T.IntegralType) else None
+    scales = [decimals(fact.schema[m].dataType) for m in metrics]
+    return all(s is not None and s + decimals(T._parse_datatype_string(FACTOR_TYPE)) <= decimals(T._parse_datatype_string(VALUE_TYPE)) for s in scales)
+
+
+def drop_dominated(legs_h: DataFrame, filter_cols, exact: bool = False) -> DataFrame:
     """Keep, per group of interchangeable request legs, only the newest request.
 
     Requests with the same leg type, COB(s), factor, signature and filter key
@@ -65,14 +74,18 @@ def drop_dominated(legs_h: DataFrame, filter_cols) -> DataFrame:
     whose effective factor is 0 (or NULL) always net to zero and never win.
     Exact, and it turns "every fact row x every overlapping request" into at most
     one leg per fact row per group.
+
+    With ``exact`` products (see ``exact_products``) a same-COB leg nets to its factor times the sum of
+    the values: legs of different factors, none of them 0, net to zero on the same positions,
+    so the factor does not split their groups.  Rounded products need not, and legs across
+    business dates net against another leg: there it does.
     """
     cols = [f"_f_{c}" for c in filter_cols]
     dead = (F.col("_h_leg") == 1) & (F.col("_h_eff").isNull() | (F.col("_h_eff") == 0))
     live = legs_h.where(~dead)
     order = F.col("_h_ord")
-    # the factor splits every group: products are rounded to the value scale, so two
-    # non-zero factors need not net to zero on the same positions
-    g = live.groupBy("_h_leg", "_h_match", "_h_cob", "_h_src", F.col("_h_eff").alias("_g_eff"),
+    factor = F.when(F.col("_h_leg") != 1, F.col("_h_eff")) if exact else F.col("_h_eff")
+    g = live.groupBy("_h_leg", "_h_match", "_h_cob", "_h_src", factor.alias("_g_eff"),
                      _signature(cols).alias("_g_sig"), _header_key(cols).alias("_g_key")) \
         .agg(*[F.max_by(F.col(c), order).alias(c) for c in legs_h.columns
                if c not in ("_h_leg", "_h_match", "_h_cob", "_h_src")])
@@ -116,7 +129,7 @@ def scale_legs(fact: DataFrame, headers: DataFrame, filter_map: dict[str, str],
     filter_map = {c: filter_map[c] for c in profile["active"]}
     legs_h = request_legs(headers, list(filter_map))
     if dominated:
-        legs_h = drop_dominated(legs_h, list(filter_map))
+        legs_h = drop_dominated(legs_h, list(filter_map), exact_products(fact, metrics))
     fmap = {f"_f_{k}": v for k, v in filter_map.items()}
     attrs = sorted(set(filter_map.values()) - set(position_cols))
     rel_cols = [*position_cols, *attrs, *metrics]

@@ -124,7 +124,8 @@ FROM (SELECT cobid, {POS}, value_local, value_usd, FALSE AS is_delta FROM fact
 GROUP BY cobid, {POS}"""))
 def src_combined_scan(spark, d):
     v = S.register(spark, d, ["fact"])
-    c = D.combined(v["fact"], prior_deltas(spark, d), list(S.POSITION_COLS), M2, flag_col="is_adjusted")
+    stored = IO.write_image(prior_deltas(spark, d), "deltas")
+    c = D.combined(v["fact"], stored, list(S.POSITION_COLS), M2, flag_col="is_adjusted", once=True, slice_col="cobid")
     return doubles(c, M2)
 
 
