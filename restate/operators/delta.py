@@ -211,10 +211,20 @@ def nonzero(df: DataFrame, metric: str) -> DataFrame:
     return df.where(F.col(metric) != 0)
 
 
+def group_totals(df: DataFrame, key_cols, totals: dict[str, Column]) -> DataFrame:
+    """``df`` with the aggregates ``totals`` of each row's key (NULL keys are keys).
+
+    Partial sums meet, not the rows of a key: a hot key is summed by many tasks, and the join that
+    brings its total back may split it."""
+    sums = df.groupBy(*key_cols).agg(*[c.alias(f"_t_{n}") for n, c in totals.items()])
+    sums = sums.select(*[F.col(c).alias(f"_k_{c}") for c in key_cols], *[f"_t_{n}" for n in totals])
+    j = df.join(sums, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key_cols]))
+    return j.select(*df.columns, *[F.col(f"_t_{n}").alias(n) for n in totals])
+
+
 def group_zero_flag(df: DataFrame, key_cols, metric: str, flag: str = "all_zero") -> DataFrame:
     """Per-key flag: SUM(ABS(metric)) over the key is 0."""
-    w = Window.partitionBy(*key_cols)
-    return df.withColumn(flag, F.coalesce(F.sum(F.abs(F.col(metric))).over(w), F.lit(0)) == 0)
+    return group_totals(df, key_cols, {flag: F.coalesce(F.sum(F.abs(F.col(metric))), F.lit(0)) == 0})
 
 
 def reverse(items: DataFrame, adj_col: str, old_id, new_id, metrics) -> DataFrame:

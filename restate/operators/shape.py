@@ -20,22 +20,25 @@ def row_numbers(df: DataFrame, group_cols, order_cols, out_col: str = "row_num",
 
     A range shuffle on (group, order) splits even a single huge group over many
     tasks; each task numbers its slice locally, and a tiny per-(task, group)
-    count table gives every slice its starting offset.
+    count table gives every slice its starting offset.  NULL groups are groups;
+    ``order_cols`` are names (ascending, NULL first) or sort expressions.
     """
-    group_cols, order_cols = list(group_cols), list(order_cols)
+    group_cols = list(group_cols)
+    order = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order_cols]
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The slice id must be fixed data before it is used twice (range bounds come
     # from sampling), so the ranged rows are checkpointed into the shared folder.
-    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in group_cols + order_cols])
+    ranged = cut_lineage(df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in group_cols], *order)
                          .withColumn("_pid", F.spark_partition_id()))
-    w = Window.partitionBy("_pid", *group_cols).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    w = Window.partitionBy("_pid", *group_cols).orderBy(*order)
     local = ranged.withColumn("_local", F.row_number().over(w))
     counts = ranged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cnt"))
     wo = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(wo), F.lit(0))).drop("_cnt")
     offsets, _ = sized_broadcast(offsets, 1_000_000)
-    j = local.join(offsets, ["_pid", *group_cols], "left")
+    offsets = offsets.select("_off", *[F.col(c).alias(f"_o{c}") for c in ["_pid", *group_cols]])
+    j = local.join(offsets, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in ["_pid", *group_cols]]), "left")
     return j.select(*df.columns, (F.col("_local") + F.col("_off")).cast("long").alias(out_col))
 
 

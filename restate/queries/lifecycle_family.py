@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from restate.functions.factor import VALUE_TYPE
 from restate.functions.text import cob_to_date
 from restate.operators import delta as D
+from restate.operators.factored import narrower_links
 from restate.operators.overlap import narrower_pairs
 from restate.plans.entity_roll import entity_roll
 from restate.plans.process import DELTAS, load, remove
@@ -315,6 +316,19 @@ def jn_extra_rolls(spark, d):
                     F.md5(F.concat_ws("-", "a_adj_key", "b_adj_key")).alias("extra_id"), F.col("a_cobid").alias("cobid"))
 
 
+@q("jn_extra_roll_links", S.with_views(["hdr_orders"], """
+SELECT s.adj_key, count(*) AS older, min_by(r.adj_key, struct_pack(c := r.created_date, k := r.adj_key)) AS oldest,
+       max_by(r.adj_key, struct_pack(c := r.created_date, k := r.adj_key)) AS newest
+FROM hdr_orders s JOIN hdr_orders r ON s.cobid = r.cobid AND r.created_date < s.created_date
+WHERE lower(s.restatement_type) = 'scale' AND lower(r.restatement_type) = 'roll' AND """
+    + " AND ".join(f"coalesce(s.{c}, r.{c}, '~') = coalesce(r.{c}, '~')" for c in S.FILTER_COLS) + " GROUP BY s.adj_key"))
+def jn_extra_roll_links(spark, d):
+    """Each Scale with how many earlier, no wider Rolls it has, the first and the last: a row a Scale."""
+    h = S.register(spark, d, ["hdr_orders"])["hdr_orders"]
+    return narrower_links(h.where(F.lower("restatement_type") == "scale"), h.where(F.lower("restatement_type") == "roll"), "adj_key",
+                          S.FILTER_COLS, ["cobid"], "created_date")
+
+
 # Windows: the four quarters with the largest order volume, as a table made from the orders.
 WINDOWS_SQL = """
 SELECT CAST(year(o_orderdate) AS STRING) || 'Q' || CAST(quarter(o_orderdate) AS STRING) AS name,

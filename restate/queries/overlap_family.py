@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from restate.operators import factored as FO
 from restate.operators import overlap as O
 from restate.spec import OVERLAP_HORIZON_DAYS, PIPELINE_OF_SCOPE
 from restate.queries import standin as S
 from restate.queries.common import Query
+from restate.session import cut_lineage
+from restate.sources import io as IO
 
 QUERIES: list[Query] = []
 
@@ -32,6 +35,9 @@ def _compat(a: str, b: str) -> str:
                         for c in DIMS)
 
 
+_SIG_SQL = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN {1 << i} ELSE 0 END" for i, c in enumerate(DIMS))
+
+
 def _live(spark, d):
     v = S.register(spark, d, ["hdr_queue"])
     return v["hdr_queue"].where(~F.col("is_deleted"))
@@ -114,17 +120,13 @@ def jn_unblock(spark, d):
     return O.unblock(h, "adj_key", DIMS, PIPE, "created_date")
 
 
-@q("jn_list_intersect", S.with_views(["lineitem", "orders", "part"], """
-WITH req AS (SELECT o.o_orderkey AS req_id, o.o_custkey AS customer_key, CAST(year(o.o_orderdate) AS INT) AS period,
+_LIST_REQUESTS = """req AS (SELECT o.o_orderkey AS req_id, o.o_custkey AS customer_key, CAST(year(o.o_orderdate) AS INT) AS period,
                     CASE WHEN o.o_orderstatus = 'P' THEN [] ELSE list_distinct(list(p.p_brand)) END AS brands
              FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN part p ON p.p_partkey = l.l_partkey
-             GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderstatus)
-SELECT a.req_id AS a_req_id, a.customer_key AS a_customer_key, a.period AS a_period, b.req_id AS b_req_id,
-       CASE WHEN len(a.brands) = 0 OR len(b.brands) = 0 THEN NULL
-            ELSE CAST(len(list_intersect(a.brands, b.brands)) AS BIGINT) END AS common_brands
-FROM req a JOIN req b ON a.customer_key = b.customer_key AND a.period = b.period AND a.req_id < b.req_id
-WHERE len(a.brands) = 0 OR len(b.brands) = 0 OR len(list_intersect(a.brands, b.brands)) > 0"""))
-def jn_list_intersect(spark, d):
+             GROUP BY o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderstatus)"""
+
+
+def _list_requests(spark, d):
     v = S.register(spark, d, ["lineitem", "orders", "part"])
     j = v["orders"].join(v["lineitem"], F.col("l_orderkey") == F.col("o_orderkey")).join(
         v["part"], F.col("p_partkey") == F.col("l_partkey"))
@@ -134,9 +136,54 @@ def jn_list_intersect(spark, d):
     req = req.select("req_id", "customer_key", "period",
                      F.when(F.col("o_orderstatus") == "P", F.array().cast("array<string>"))
                      .otherwise(F.col("brands")).alias("brands"))
-    out = O.list_overlap(req, "req_id", ["brands"], ["customer_key", "period"])
-    return out.select("a_req_id", "a_customer_key", "a_period", "b_req_id",
-                      F.col("common_brands").cast("long").alias("common_brands"))
+    return req
+
+
+@q("jn_list_intersect", S.with_views(["lineitem", "orders", "part"], f"""
+WITH {_LIST_REQUESTS}
+SELECT a.req_id AS a_req_id, a.customer_key AS a_customer_key, a.period AS a_period, b.req_id AS b_req_id,
+       CASE WHEN len(a.brands) = 0 OR len(b.brands) = 0 THEN NULL
+            ELSE CAST(len(list_intersect(a.brands, b.brands)) AS BIGINT) END AS common_brands
+FROM req a JOIN req b ON a.customer_key = b.customer_key AND a.period = b.period AND a.req_id < b.req_id
+WHERE len(a.brands) = 0 OR len(b.brands) = 0 OR len(list_intersect(a.brands, b.brands)) > 0"""))
+def jn_list_intersect(spark, d):
+    """The pairs, by expansion of the classes that share a value or leave the list open."""
+    req = IO.write_image(_list_requests(spark, d), "list-requests")
+    pairs = FO.expand_lists(req, "req_id", ["brands"], ["customer_key", "period"])
+    group = req.select("req_id", F.col("customer_key").alias("a_customer_key"), F.col("period").alias("a_period"))
+    return pairs.join(group, F.col("a_id") == F.col("req_id")).select(
+        F.col("a_id").alias("a_req_id"), "a_customer_key", "a_period", F.col("b_id").alias("b_req_id"), F.col("common_0").alias("common_brands"))
+
+
+@q("jn_list_links", S.with_views(["lineitem", "orders", "part"], f"""
+WITH {_LIST_REQUESTS}
+SELECT a.req_id, (SELECT count(*) FROM req b WHERE a.customer_key = b.customer_key AND a.period = b.period AND a.req_id <> b.req_id
+   AND (len(a.brands) = 0 OR len(b.brands) = 0 OR len(list_intersect(a.brands, b.brands)) > 0)) AS links FROM req a"""))
+def jn_list_links(spark, d):
+    """How many others each request's lists meet: a row a request, open lists counted by class."""
+    return FO.list_links(_list_requests(spark, d), "req_id", ["brands"], ["customer_key", "period"]).select("req_id", "links")
+
+
+@q("jn_overlap_links", S.with_views(["hdr_queue"], f"""
+WITH h AS (SELECT * FROM hdr_queue WHERE NOT is_deleted)
+SELECT a.adj_key, (SELECT count(*) FROM h b WHERE a.cobid = b.cobid AND a.process_type = b.process_type AND a.adj_key <> b.adj_key
+  AND {_compat('a', 'b')}) AS links FROM h a"""))
+def jn_overlap_links(spark, d):
+    """How many others each request overlaps, over all requests: a row a request."""
+    h = _live(spark, d).select("adj_key", *GRP, "created_date", *DIMS)
+    return FO.overlap_links(h, "adj_key", DIMS, GRP, "created_date").select("adj_key", "links")
+
+
+@q("jn_overlap_nodes", S.with_views(["hdr_queue"], f"""
+WITH h AS (SELECT *, {_SIG_SQL} AS sig FROM hdr_queue WHERE NOT is_deleted)
+SELECT a.cobid, a.process_type, least(a.sig, b.sig) AS sig_a, greatest(a.sig, b.sig) AS sig_b, count(*) AS pairs
+FROM h a JOIN h b ON a.cobid = b.cobid AND a.process_type = b.process_type AND a.adj_key < b.adj_key AND {_compat('a', 'b')}
+GROUP BY ALL"""))
+def jn_overlap_nodes(spark, d):
+    """All overlaps as nodes, counted here by group and the two signatures; no pair is listed."""
+    h = _live(spark, d).select("adj_key", *GRP, "created_date", *DIMS)
+    classes = cut_lineage(FO.overlap_classes(h, "adj_key", DIMS, GRP, "created_date"))
+    return FO.overlap_nodes(classes, DIMS, GRP).groupBy(*GRP, "sig_a", "sig_b").agg(F.sum("pairs").alias("pairs"))
 
 
 # Not registered: the rule is sequential, so a whole queue goes through one task.

@@ -316,17 +316,13 @@ SELECT EXISTS_FLAG AS has_group, count(*) AS n FROM (
   SELECT f.trade_key, EXISTS (SELECT 1 FROM trade_dim t WHERE t.trade_key = f.trade_key AND t.strategy = '1-URGENT'
                               AND t.trade_cobid <= f.cobid) AS EXISTS_FLAG FROM fact f) x GROUP BY 1"""))
 def agg_optionality_check(spark, d):
-    """Flag by EXISTS on an effective-dated group table, then count per flag."""
+    """Flag by EXISTS on an effective-dated group table, then count per flag: a key has a group from its
+    least date on, so one left join on that date tells."""
     v = S.register(spark, d, ["fact", "trade_dim"])
-    g = v["trade_dim"].where(F.col("strategy") == "1-URGENT").select(F.col("trade_key").alias("_tk"),
-                                                                     F.col("trade_cobid").alias("_from"))
-    hit = v["fact"].join(g, (F.col("trade_key") == F.col("_tk")) & (F.col("_from") <= F.col("cobid")), "left_semi") \
-        .select("trade_key", "line_no", "cobid", "book_key", "instrument_key", "source_system_code", "currency_code",
-                "value_usd").withColumn("has_group", F.lit(True))
-    nohit = v["fact"].join(g, (F.col("trade_key") == F.col("_tk")) & (F.col("_from") <= F.col("cobid")), "left_anti") \
-        .select("trade_key", "line_no", "cobid", "book_key", "instrument_key", "source_system_code", "currency_code",
-                "value_usd").withColumn("has_group", F.lit(False))
-    return hit.unionByName(nohit).groupBy("has_group").agg(F.count(F.lit(1)).alias("n"))
+    g = v["trade_dim"].where(F.col("strategy") == "1-URGENT").groupBy(F.col("trade_key").alias("_tk")).agg(F.min("trade_cobid").alias("_from"))
+    rows = v["fact"].select("trade_key", "cobid").join(g, F.col("trade_key") == F.col("_tk"), "left")
+    has = F.coalesce(F.col("_from") <= F.col("cobid"), F.lit(False))
+    return rows.groupBy(has.alias("has_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("agg_refresh_kpi", S.with_views(["events"], """
@@ -578,9 +574,9 @@ def win_latest_history(spark, d):
 @q("win_share_of_run", S.with_views(["status_history"], """
 SELECT adj_key, event_id, value, sum(value) OVER (PARTITION BY adj_key) AS run_total FROM status_history"""))
 def win_share_of_run(spark, d):
-    from pyspark.sql import Window
-    h = S.register(spark, d, ["status_history"])["status_history"]
-    return h.select("adj_key", "event_id", "value", F.sum("value").over(Window.partitionBy("adj_key")).alias("run_total"))
+    from restate.operators.delta import group_totals
+    h = S.register(spark, d, ["status_history"])["status_history"].select("adj_key", "event_id", "value")
+    return group_totals(h, ["adj_key"], {"run_total": F.sum("value")})
 
 
 @q("win_group_zero_flag", S.with_views(["stage_direct"], """
