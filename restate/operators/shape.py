@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from restate.operators.match import sized_broadcast
 from restate.session import cut_lineage
@@ -48,13 +49,11 @@ def to_payload(df: DataFrame, id_cols, payload_cols, out_col: str = "payload") -
 
 
 def extract(df: DataFrame, payload_col: str, fields: dict[str, str], keep=()) -> DataFrame:
-    """Typed field reads from a JSON payload; unparseable values -> NULL."""
-    cols = [F.col(c) for c in keep]
-    for name, dtype in fields.items():
-        raw = F.get_json_object(F.col(payload_col), f"$.{name}")
-        cols.append(F.expr(f"try_cast(get_json_object({payload_col}, '$.{name}') AS {dtype})").alias(name)
-                    if dtype != "string" else raw.alias(name))
-    return df.select(*cols)
+    """Typed field reads from a JSON payload, parsed once; unparseable values -> NULL."""
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in fields])
+    parsed = df.select(*keep, F.from_json(F.col(payload_col), texts).alias("_json"))
+    return parsed.select(*keep, *[F.col("_json")[name].alias(name) if dtype == "string" else F.col("_json")[name].try_cast(dtype).alias(name)
+                                  for name, dtype in fields.items()])
 
 
 def unpivot_measures(df: DataFrame, id_cols, measure_cols, name_col: str = "measure",

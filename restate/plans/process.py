@@ -112,6 +112,23 @@ def load(tables: Tables, scope: Scope, batch: str, deltas: DataFrame, step: Call
     return published
 
 
+def post(tables: Tables, scope: Scope, batch: str, rows: DataFrame, step: Callable[[str], None] = lambda name: None) -> bool:
+    """Add given delta rows (an upload); what their requests had in force before leaves."""
+    published = False
+    if not tables.committed(batch):
+        came = cut_lineage(rows.select(*scope.columns))
+        own = came.select(F.col(ADJ).alias("_own")).distinct()
+        hit = F.col(ADJ) == F.col("_own")
+        left = cut_lineage(tables.read(DELTAS).join(own, hit, "left_semi")) if tables.exists(DELTAS) else came.limit(0)
+        touched = came.select(scope.cob_col).union(left.select(scope.cob_col)).distinct()
+        kept = _in_force(tables, scope, came, touched).join(own, hit, "left_anti")
+        counts = came.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
+        history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit("Processed").alias("new_status"), "record_count")
+        published = _publish(tables, scope, batch, came, left, kept, touched, history, step)
+    scope.summary(tables).refresh(LOG, step)
+    return published
+
+
 def remove(tables: Tables, scope: Scope, batch: str, ids: DataFrame, status: str = "Removed", step: Callable[[str], None] = lambda name: None) -> bool:
     """Take every delta row of the requests ``ids`` out (a failed run's retry, a delete)."""
     published = False

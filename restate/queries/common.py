@@ -112,10 +112,10 @@ def doubles(df: DataFrame, cols) -> DataFrame:
 POS_NO_COB = [c for c in S.POSITION_COLS if c != "cobid"]
 
 
-def _wild(h: str, r: str) -> str:
+def _wild(h: str, r: str, fmap: dict[str, str] = S.FILTER_MAP) -> str:
     return " AND ".join(
         f"({h}.{c} IS NULL OR upper(trim(CAST({h}.{c} AS VARCHAR))) = upper(trim(CAST({r}.{a} AS VARCHAR))))"
-        for c, a in S.FILTER_MAP.items())
+        for c, a in fmap.items())
 
 
 def _attrs(src: str, alias: str) -> str:
@@ -127,16 +127,18 @@ LEFT JOIN instrument_dim i ON coalesce(x.instrument_key, -1) = i.instrument_key
 LEFT JOIN trade_dim t ON coalesce(x.trade_key, -1) = t.trade_key)"""
 
 
-def scale_ctes(p: str, hdr: str, deltas_attr: str | None) -> list[str]:
-    """CTEs {p}_legs, {p}_net, {p}_ranked, {p}_out for one request batch."""
-    pos = ", ".join(f"r.{c}" for c in POS_NO_COB)
-    pos_plain = ", ".join(POS_NO_COB)
-    rel = f"SELECT fa.*, FALSE AS is_delta FROM fa"
+def scale_ctes(p: str, hdr: str, deltas_attr: str | None, fact_attr: str = "fa", pos=POS_NO_COB, metrics=S.METRICS,
+               usd: str = S.USD, fmap: dict[str, str] = S.FILTER_MAP) -> list[str]:
+    """CTEs {p}_legs, {p}_net, {p}_ranked, {p}_out for one request batch over the relation ``fact_attr``."""
+    key = ", ".join(f"r.{c}" for c in pos)
+    key_plain = ", ".join(pos)
+    rel = f"SELECT {fact_attr}.*, FALSE AS is_delta FROM {fact_attr}"
     if deltas_attr:
-        cols = ", ".join(["cobid", *POS_NO_COB, "value_local", "value_usd", "entity_code", "department_code",
-                          "book_code", "instrument_code", "product_type", "strategy", "trade_typology"])
-        rel = (f"SELECT {cols}, FALSE AS is_delta FROM fa UNION ALL "
+        cols = ", ".join(dict.fromkeys(["cobid", *pos, *metrics, *fmap.values()]))
+        rel = (f"SELECT {cols}, FALSE AS is_delta FROM {fact_attr} UNION ALL "
                f"SELECT {cols}, TRUE AS is_delta FROM {deltas_attr}")
+    scaled = ",\n".join(f"   CAST(CAST(r.{m} AS DECIMAL(28,8)) * h.lf AS DECIMAL(28,8)) AS {m}" for m in metrics)
+    sums = ", ".join(f"sum({m}) AS {m}" for m in metrics)
     return [
         f"""{p}_h AS (SELECT *, coalesce(source_cobid, cobid) AS src,
    CAST(CASE WHEN lower(restatement_type) = 'flatten' THEN -1
@@ -149,17 +151,15 @@ def scale_ctes(p: str, hdr: str, deltas_attr: str | None) -> list[str]:
   UNION ALL SELECT *, src AS match_cob, 2 AS leg, eff AS lf FROM {p}_h WHERE src <> cobid
   UNION ALL SELECT *, cobid AS match_cob, 3 AS leg, CAST(-1 AS DECIMAL(12,4)) AS lf FROM {p}_h WHERE src <> cobid)""",
         f"""{p}_rel AS ({rel})""",
-        f"""{p}_legs AS (SELECT h.cobid, h.restatement_id, h.created_date AS restatement_created_timestamp, {pos},
-   CAST(CAST(r.value_local AS DECIMAL(28,8)) * h.lf AS DECIMAL(28,8)) AS value_local,
-   CAST(CAST(r.value_usd AS DECIMAL(28,8)) * h.lf AS DECIMAL(28,8)) AS value_usd, h.leg
-  FROM {p}_rel r JOIN {p}_hl h ON r.cobid = h.match_cob AND (h.leg = 2 OR NOT r.is_delta) AND {_wild('h', 'r')})""",
-        f"""{p}_net AS (SELECT cobid, {pos_plain}, restatement_id,
-   max(restatement_created_timestamp) AS restatement_created_timestamp,
-   sum(value_local) AS value_local, sum(value_usd) AS value_usd
-  FROM {p}_legs GROUP BY cobid, {pos_plain}, restatement_id HAVING sum(value_usd) <> 0)""",
-        f"""{p}_ranked AS (SELECT *, dense_rank() OVER (PARTITION BY cobid, {pos_plain}
+        f"""{p}_legs AS (SELECT h.cobid, h.restatement_id, h.created_date AS restatement_created_timestamp, {key},
+{scaled}, h.leg
+  FROM {p}_rel r JOIN {p}_hl h ON r.cobid = h.match_cob AND (h.leg = 2 OR NOT r.is_delta) AND {_wild('h', 'r', fmap)})""",
+        f"""{p}_net AS (SELECT cobid, {key_plain}, restatement_id,
+   max(restatement_created_timestamp) AS restatement_created_timestamp, {sums}
+  FROM {p}_legs GROUP BY cobid, {key_plain}, restatement_id HAVING sum({usd}) <> 0)""",
+        f"""{p}_ranked AS (SELECT *, dense_rank() OVER (PARTITION BY cobid, {key_plain}
    ORDER BY restatement_created_timestamp DESC NULLS LAST, restatement_id DESC NULLS LAST) AS rk FROM {p}_net)""",
-        f"""{p}_out AS (SELECT cobid, restatement_id, restatement_created_timestamp, {pos_plain}, value_local, value_usd
+        f"""{p}_out AS (SELECT cobid, restatement_id, restatement_created_timestamp, {key_plain}, {', '.join(metrics)}
   FROM {p}_ranked WHERE rk = 1)""",
     ]
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.functions.factor import FACTOR_TYPE, VALUE_TYPE
 from restate.operators import delta as D
 from restate.operators.match import active_filters
+from restate.operators.shape import to_payload
 from restate.plans.preview import matched
 from restate.plans.process import DELTAS, process
 from restate.plans.scale import legacy_rolls
+from restate.plans.scope_plan import load_plan
 from restate.queries import standin as S
 from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, SCOPE, Query, attach_attrs, current_deltas, doubles, run_scale,
-                                    scale_sql, _attrs, _wild)
+                                    scale_ctes, scale_sql, _attrs, _wild)
 from restate.sources import io as IO
 from restate.sources.manifest import Tables
+from restate.spec import VAR_COMPONENTS
 
 QUERIES: list[Query] = []
 
@@ -152,13 +157,15 @@ SELECT batch_id AS "BATCH_ID", CAST(order_key AS VARCHAR) AS "ORDER_KEY", CAST(l
        entity_code AS "ENTITY_CODE", value_usd AS "VALUE_USD"
 FROM stage_direct"""))
 def src_csv_upload_all(spark, d):
-    """Every batch's user file, read as all-text rows."""
+    """Every batch's user file, read as all-text rows: files of other separators, columns in another order."""
     v = S.register(spark, d, ["stage_direct"])
-    path = IO.scratch_path(spark, "upload")
-    v["stage_direct"].select(
+    rows = IO.write_image(v["stage_direct"].select(
         F.col("batch_id").alias(" Batch_Id"), F.col("order_key").alias("order_key "), F.col("line_no").alias("Line_No"),
-        F.col("entity_code").alias("entity_code"), F.col("value_usd").alias("Value_USD")) \
-        .write.option("header", True).option("sep", ";").csv(path)
+        F.col("entity_code").alias("entity_code"), F.col("value_usd").alias("Value_USD")), "stage")
+    path = IO.scratch_path(spark, "upload")
+    for n, (sep, back) in enumerate(((";", False), (",", True), ("\t", False), ("|", True))):
+        some = rows.where(F.pmod(F.xxhash64(" Batch_Id", "order_key "), F.lit(4)) == n)
+        some.select(*(rows.columns[::-1] if back else rows.columns)).write.mode("append").option("header", True).option("sep", sep).csv(path)
     return IO.read_upload(spark, path).drop("source_file")
 
 
@@ -208,3 +215,72 @@ SELECT cobid, restatement_id, source_system_code, currency_code,
 FROM cur GROUP BY ALL"""))
 def adj_process_summary(spark, d):
     return doubles(SCOPE.summary(_processed(spark, d)).read(), M2)
+
+
+# --- scopes from settings ---------------------------------------------------
+PLANS = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "conf", "plans.json")
+_ORDER_FILTERS = {c: c for c in ("entity_code", "strategy", "trade_typology")}
+_ORDER_POS = ["trade_key", "counterparty_key"]
+_ACCEPTED = " AND ".join(f"{c} IS NULL" for c in S.FILTER_COLS if c not in _ORDER_FILTERS)
+_ORDER_ATTRS = """SELECT x.*, n.n_name AS entity_code, o.o_orderpriority AS strategy, o.o_orderstatus AS trade_typology
+  FROM {src} x LEFT JOIN customer c ON x.counterparty_key = c.c_custkey LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN orders o ON x.trade_key = o.o_orderkey"""
+_SCOPES_SQL = scale_sql("hdr_inline", True, CUR_CTE + ",\n" + ",\n".join([
+    """ofact AS (SELECT CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + 1 AS INT) AS cobid, o_orderkey AS trade_key,
+       o_custkey AS counterparty_key, CAST(o_totalprice AS DECIMAL(18,2)) AS value_usd FROM orders)""",
+    f"ofa AS ({_ORDER_ATTRS.format(src='ofact')})",
+    f"ohp AS (SELECT * FROM hdr_prior WHERE {_ACCEPTED})", f"ohi AS (SELECT * FROM hdr_inline WHERE {_ACCEPTED})",
+    *scale_ctes("op", "ohp", None, "ofa", _ORDER_POS, ["value_usd"], "value_usd", _ORDER_FILTERS),
+    f"opa AS ({_ORDER_ATTRS.format(src='op_out')})",
+    *scale_ctes("ob", "ohi", "opa", "ofa", _ORDER_POS, ["value_usd"], "value_usd", _ORDER_FILTERS),
+    """ocur AS (SELECT * FROM op_out p WHERE NOT EXISTS (SELECT 1 FROM ob_out b WHERE b.cobid = p.cobid AND b.trade_key = p.trade_key
+       AND b.counterparty_key IS NOT DISTINCT FROM p.counterparty_key) UNION ALL SELECT * FROM ob_out)"""]) + """
+SELECT 'LineItem' AS scope, cobid, restatement_id, trade_key, CAST(sum(value_usd) AS DOUBLE) AS value_usd FROM cur GROUP BY ALL
+UNION ALL SELECT 'Orders', cobid, restatement_id, trade_key, CAST(sum(value_usd) AS DOUBLE) FROM ocur GROUP BY ALL""")
+
+
+@q("src_scope_process", _SCOPES_SQL)
+def src_scope_process(spark, d):
+    """Two scopes of different grain, metrics and filters, processed from settings alone."""
+    v = S.register(spark, d, ["hdr_prior", "hdr_inline"])
+    out = []
+    for name in ("lineitem", "ORDERS"):
+        plan = load_plan(spark, PLANS, name, sf_dir=d)
+        tables = Tables(spark, IO.scratch_path(spark, "scope"))
+        for batch in ("hdr_prior", "hdr_inline"):
+            plan.process(tables, batch, v[batch], S.FILTER_COLS)
+        out.append(plan.deltas(tables).groupBy(F.lit(plan.name).alias("scope"), "cobid", "restatement_id", "trade_key").agg(
+            F.sum("value_usd").cast("double").alias("value_usd")))
+    return out[0].unionByName(out[1])
+
+
+# Every line item as an uploaded row of 21 measures, some of them 0, blank or no number.
+_WIDE = [(m, f"CASE WHEN (l_orderkey + {i}) % 4 = 0 THEN '0' WHEN (l_orderkey + {i}) % 7 = 0 THEN 'n/a' WHEN (l_linenumber + {i}) % 5 = 0 THEN ''"
+             f" ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) - {i * 1000} AS {{text}}) END") for i, m in enumerate(VAR_COMPONENTS)]
+_WIDE_ROWS = """SELECT CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS INT) AS cobid, l_orderkey AS trade_key, l_linenumber AS line_no,
+  s_name AS book_code, n_name AS entity_code, CAST(100 + l_linenumber AS BIGINT) AS restatement_id, {measures}
+FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey"""
+
+
+@q("adj_upload_wide", f"""
+WITH up AS ({_WIDE_ROWS.format(measures=', '.join(f'{e.format(text="VARCHAR")} AS {m}' for m, e in _WIDE))}),
+ long AS ({' UNION ALL '.join(f"SELECT cobid, trade_key, line_no, book_code, entity_code, restatement_id, '{m}' AS measure, TRY_CAST({m} AS DECIMAL(18,4)) AS v FROM up" for m in VAR_COMPONENTS)}),
+ bk AS (SELECT upper(trim(s_name)) AS c, max(s_suppkey) AS k FROM supplier GROUP BY 1),
+ en AS (SELECT upper(trim(n_name)) AS c, max(n_nationkey) AS k FROM nation GROUP BY 1)
+SELECT cobid, restatement_id, measure, CAST(coalesce(bk.k, -1) AS BIGINT) AS book_key, CAST(coalesce(en.k, -1) AS BIGINT) AS entity_key,
+       count(*) AS n, CAST(sum(v) AS DOUBLE) AS value_usd
+FROM long LEFT JOIN bk ON upper(trim(book_code)) = bk.c LEFT JOIN en ON upper(trim(entity_code)) = en.c
+WHERE v IS NOT NULL AND v <> 0 GROUP BY ALL""")
+def adj_upload_wide(spark, d):
+    """The wide upload end to end from settings: payload, 21 measures by type, codes, published delta rows."""
+    S.register(spark, d, ["lineitem", "supplier", "nation"])
+    rows = spark.sql(_WIDE_ROWS.format(measures=", ".join(f"{e.format(text='STRING')} AS {m}" for m, e in _WIDE)))
+    fields = [c for c in rows.columns if c != "restatement_id"]
+    payload = to_payload(rows.withColumn("restatement_created_timestamp", F.lit("2026-01-05 09:00:00").cast("timestamp")),
+                         ["restatement_id", "restatement_created_timestamp"], fields)
+    plan = load_plan(spark, PLANS, "VaRUpload", sf_dir=d)
+    tables = Tables(spark, IO.scratch_path(spark, "upload"))
+    for _ in range(2):  # run again: published already
+        plan.upload(tables, "upload", payload)
+    return plan.deltas(tables).groupBy("cobid", "restatement_id", "measure", "book_key", "entity_key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("value_usd").cast("double").alias("value_usd"))

@@ -9,13 +9,18 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import os
+import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from restate.session import checkpoint_dir
 from restate.spec import ScopeSpec
@@ -32,22 +37,58 @@ def read_fact(spark: SparkSession, path: str, cobids=None, metric: str | None =
     return df
 
 
-def sniff_separator(first_line: str, candidates=(",", ";", "\t", "|")) -> str:
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def sniff_separator(first_line: str, candidates=SEPARATORS) -> str:
     """The candidate separator occurring most often in the header line."""
     counts = {c: first_line.count(c) for c in candidates}
     return max(counts, key=lambda c: (counts[c], -candidates.index(c)))
 
 
-def read_upload(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Delimited upload: sniffed separator, every column text, header upper/trimmed,
-    source file name attached for provenance."""
-    if sep is None:
-        head = spark.read.text(path).limit(1).collect()
-        sep = sniff_separator(head[0][0] if head else ",")
-    df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    df = df.select(*[F.col(f"`{c}`").alias(c.strip().upper()) for c in df.columns],
-                   F.col("_metadata.file_name").alias("source_file"))
-    return df
+def _header_names(line: str, sep: str) -> list[str]:
+    """Column names of a header line: upper-cased, trimmed; an empty one by its place."""
+    cells = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
+    names = [c.strip().upper() or f"_C{i}" for i, c in enumerate(cells)]
+    twice = sorted({n for n in names if names.count(n) > 1})
+    if twice:
+        raise ValueError(f"header {line!r} names {', '.join(twice)} more than once")
+    return names
+
+
+def upload_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below ``path`` by their first line.  What reaches the driver is a line and a name for each file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("n")).where("at = 0")
+    out: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", "n").alias("line")).orderBy("file").collect():
+        out.setdefault(r["line"], []).append(r["file"])
+    return out
+
+
+def read_upload(spark: SparkSession, path: str, sep: str | None = None, bad_col: str | None = None) -> DataFrame:
+    """Delimited uploads: every column text, header upper-cased and trimmed, ``source_file`` for provenance.
+
+    Each file counts by its own header and separator (sniffed, unless given): files of one header line are read
+    together, and the columns of all are put side by side by name, NULL where a file has none.  With ``bad_col`` that
+    column holds the line of a row that has another number of values than its header."""
+    groups: dict[tuple, list[str]] = {}
+    for line, files in upload_headers(spark, path).items():
+        own = sep or sniff_separator(line)
+        groups.setdefault((own, *_header_names(line, own)), []).extend(files)
+    extra = [bad_col] if bad_col else []
+    parts = []
+    for (own, *names), files in groups.items():
+        schema = StructType([StructField(n, StringType()) for n in [*names, *extra]])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", own).option("mode", "PERMISSIVE")
+        if bad_col:
+            reader = reader.option("columnNameOfCorruptRecord", bad_col)
+        # names come URL-encoded, and would be taken for patterns
+        df = reader.csv([re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(f)) for f in files])
+        parts.append(df.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_metadata.file_name").alias("source_file")))
+    if not parts:
+        return spark.createDataFrame([], "source_file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -184,6 +184,8 @@ class Tables:
             emptied |= {r[0] for r in ids.collect()}
             if change.only_emptied:
                 rows = rows.join(ids.withColumnRenamed(SLICE, "_wanted"), F.col(SLICE) == F.col("_wanted"), "left_semi")
+        # rows of a slice meet in few files; a large slice is split among tasks by its size
+        rows = rows.hint("rebalance", F.col(SLICE))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(SLICE).parquet(f"{self.root}/{folder}")
         schema = StructType([f for f in change.rows.schema.fields]).jsonValue()
         for f in schema["fields"]:
