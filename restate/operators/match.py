@@ -26,6 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from restate.session import cut_lineage
 
@@ -33,7 +34,7 @@ SEP = "\u0001"
 SIGNATURES_PER_JOIN = 64
 #: Fact rows of a match key that one task joins; counters of the sketch and hashes of a key in it.
 PIECE_ROWS, SKETCH_WIDTH, SKETCH_DEPTH = 1_000_000, 1 << 15, 2
-BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_ROWS, DIM_BROADCAST_ROWS, BROADCAST_MAX_BYTES = 200_000, 5_000_000, 128 << 20
 
 
 def _norm(c: Column) -> Column:
@@ -75,18 +76,48 @@ def profile_requests(headers: DataFrame, filter_cols, flags: dict[str, Column] |
     return out
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only if it provably has at most ``max_rows`` rows.
-
-    The bound is checked with a bounded count (``limit(max_rows+1)``), so a huge
-    side is never scanned in full just to find out it is too big.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row in memory."""
+    parts = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(16))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + F.lit(16))
+        else:
+            parts.append(F.lit(16))
+    return reduce(lambda a, b: a + b, parts, F.lit(16))
+
+
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and about ``max_bytes`` bytes in memory.
+
+    One aggregate counts both where the rows lie; nothing but two numbers moves."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    if n <= max_rows and size <= max_bytes:
         return F.broadcast(df), True
     return df, False
 
 
+def lookup_qualified(df: DataFrame, ref: DataFrame, code_col: str, ref_code: str, qualifiers: dict[str, str], value: Column, out_col: str) -> DataFrame:
+    """``df`` with ``out_col``: the aggregate ``value`` of the rows of ``ref`` with the row's code and those of its
+    ``qualifiers`` (row column -> reference column) that it gives; NULL if there are none.
+
+    Which qualifiers a row gives is its signature; the reference is grouped once for each signature it
+    may meet, so every row meets one reference row by equality: no fan-out, no join of rows with themselves."""
+    sigs = list(range(1 << len(qualifiers))) if len(qualifiers) <= 3 else sorted(r[0] for r in df.select(_signature(list(qualifiers)).alias("s")).distinct().collect())
+    r = ref.withColumn("_rsig", F.explode(F.array(*[F.lit(x) for x in sigs]).cast("array<int>")))
+    keys = [_norm(F.col(ref_code)).alias("_rc"), F.col("_rsig")]
+    keys += [F.when(F.col("_rsig").bitwiseAND(F.lit(1 << i)) != 0, _norm(F.col(c))).otherwise(F.lit("")).alias(f"_rq{i}") for i, c in enumerate(qualifiers.values())]
+    r = r.groupBy(*keys).agg(value.alias("_rv")).where(reduce(lambda a, b: a & b, [F.col(f"_rq{i}").isNotNull() for i in range(len(qualifiers))], F.col("_rc").isNotNull()))
+    r, _ = sized_broadcast(r, DIM_BROADCAST_ROWS)
+    cond = (_norm(F.col(code_col)) == F.col("_rc")) & (_signature(list(qualifiers)) == F.col("_rsig"))
+    for i, c in enumerate(qualifiers):
+        cond = cond & (F.coalesce(_norm(F.col(c)), F.lit("")) == F.col(f"_rq{i}"))
+    return df.join(r, cond, "left").select(*df.columns, F.col("_rv").alias(out_col))
+
+
 def _signature(active: list[str]) -> Column:
     bits = [F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(active)]
     return reduce(lambda a, b: a + b, bits, F.lit(0)).cast("int")

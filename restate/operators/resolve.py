@@ -14,9 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restate.operators.asof import asof_join
-from restate.operators.match import sized_broadcast
-
-DIM_BROADCAST_ROWS = 5_000_000
+from restate.operators.match import DIM_BROADCAST_ROWS, lookup_qualified, sized_broadcast
 
 
 def _u(c) -> Column:
@@ -41,23 +39,11 @@ def resolve_max(df: DataFrame, dim: DataFrame, code_col: str, dim_code: str, dim
     return j.select(*df.columns, F.coalesce(F.col("_rk"), F.lit(unknown)).alias(out_col))
 
 
-def resolve_qualified(df: DataFrame, dim: DataFrame, row_id, code_col: str, dim_code: str,
-                      dim_key: str, qualifiers: dict[str, str], out_col: str, unknown=-1) -> DataFrame:
-    """Code lookup qualified by extra columns only where the row gives them.
-
-    Equi on the code + residual ``(q IS NULL OR dim.q = q)``, then MAX(key) per row.
-    """
-    row_id = [row_id] if isinstance(row_id, str) else list(row_id)
-    d = dim.select(_u(dim_code).alias("_rc"), F.col(dim_key).alias("_rk"),
-                   *[_u(dc).alias(f"_q_{i}") for i, dc in enumerate(qualifiers.values())])
-    d, _ = sized_broadcast(d, DIM_BROADCAST_ROWS)
-    cond = F.col("_lc") == F.col("_rc")
-    for i, rc in enumerate(qualifiers):
-        cond = cond & (F.col(rc).isNull() | (_u(rc) == F.col(f"_q_{i}")))
-    j = df.withColumn("_lc", _u(code_col)).join(d, cond, "left")
-    agg = j.groupBy(*row_id).agg(F.max("_rk").alias("_rk"))
-    out = df.join(agg, row_id, "left")
-    return out.select(*df.columns, F.coalesce(F.col("_rk"), F.lit(unknown)).alias(out_col))
+def resolve_qualified(df: DataFrame, dim: DataFrame, code_col: str, dim_code: str, dim_key: str,
+                      qualifiers: dict[str, str], out_col: str, unknown=-1) -> DataFrame:
+    """Code lookup qualified by extra columns only where the row gives them; MAX(key) of what fits."""
+    found = lookup_qualified(df, dim, code_col, dim_code, qualifiers, F.max(dim_key), "_rk")
+    return found.select(*df.columns, F.coalesce(F.col("_rk"), F.lit(unknown)).alias(out_col))
 
 
 def dummy_code(primary, fallback, suffix: str = "/RESTATEMENT") -> Column:
@@ -110,15 +96,13 @@ def flag_membership(df: DataFrame, members: DataFrame, col: str, member_col: str
     return j.select(*df.columns, F.coalesce(F.col("_hit"), F.lit(False)).alias(out_col))
 
 
-def unique_id(df: DataFrame, dim: DataFrame, row_id, match: dict[str, str], dim_id: str, out_col: str) -> DataFrame:
-    """Id only when exactly one distinct id matches the row's names, else NULL."""
-    row_id = [row_id] if isinstance(row_id, str) else list(row_id)
-    d = dim.select(*[_u(dc).alias(f"_m_{i}") for i, dc in enumerate(match.values())], F.col(dim_id).alias("_id"))
+def unique_id(df: DataFrame, dim: DataFrame, match: dict[str, str], dim_id: str, out_col: str) -> DataFrame:
+    """Id only when exactly one distinct id matches all of the row's names, else NULL."""
+    d = dim.groupBy(*[_u(dc).alias(f"_m_{i}") for i, dc in enumerate(match.values())]).agg(
+        F.countDistinct(dim_id).alias("_n"), F.min(dim_id).alias("_min"))
+    d, _ = sized_broadcast(d.where("_n = 1"), DIM_BROADCAST_ROWS)
     cond = reduce(lambda a, b: a & b, [_u(rc) == F.col(f"_m_{i}") for i, rc in enumerate(match)])
-    j = df.select(*row_id, *match.keys()).join(d, cond, "inner")
-    agg = j.groupBy(*row_id).agg(F.countDistinct("_id").alias("_n"), F.min("_id").alias("_min"))
-    out = df.join(agg, row_id, "left")
-    return out.select(*df.columns, F.when(F.col("_n") == 1, F.col("_min")).alias(out_col))
+    return df.join(d, cond, "left").select(*df.columns, F.col("_min").alias(out_col))
 
 
 def ambiguous_codes(dim: DataFrame, code_col: str, key_col: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restate.operators.match import sized_broadcast
+from restate.operators.match import DIM_BROADCAST_ROWS, lookup_qualified, sized_broadcast
 
 
 def _u(c) -> Column:
@@ -45,7 +45,7 @@ def code_hit(df: DataFrame, codes: DataFrame, code_col: str, codes_col: str, fla
     """Flag whether the row's code exists in a DISTINCT upper-cased code set."""
     s = codes.select(_u(codes_col).alias("_code")).where(F.col("_code").isNotNull()).distinct() \
         .withColumn(f"_{flag}", F.lit(True))
-    s, _ = sized_broadcast(s, 5_000_000)
+    s, _ = sized_broadcast(s, DIM_BROADCAST_ROWS)
     j = df.withColumn("_lc", _u(code_col)).join(s, F.col("_lc") == F.col("_code"), "left")
     return j.select(*df.columns, F.coalesce(F.col(f"_{flag}"), F.lit(False)).alias(flag))
 
@@ -55,7 +55,7 @@ def pair_hit(df: DataFrame, pairs: DataFrame, cols: dict[str, str], flag: str) -
     keys = list(cols.items())
     s = pairs.select(*[_u(pc).alias(f"_p{i}") for i, (_, pc) in enumerate(keys)]).distinct() \
         .withColumn(f"_{flag}", F.lit(True))
-    s, _ = sized_broadcast(s, 5_000_000)
+    s, _ = sized_broadcast(s, DIM_BROADCAST_ROWS)
     cond = None
     for i, (rc, _) in enumerate(keys):
         c = _u(rc) == F.col(f"_p{i}")
@@ -64,19 +64,10 @@ def pair_hit(df: DataFrame, pairs: DataFrame, cols: dict[str, str], flag: str) -
     return j.select(*df.columns, F.coalesce(F.col(f"_{flag}"), F.lit(False)).alias(flag))
 
 
-def qualified_hit(df: DataFrame, ref: DataFrame, row_id, code_col: str, ref_code: str,
-                  qualifiers: dict[str, str], flag: str) -> DataFrame:
+def qualified_hit(df: DataFrame, ref: DataFrame, code_col: str, ref_code: str, qualifiers: dict[str, str], flag: str) -> DataFrame:
     """Code exists in the reference for the row's qualifiers (when given)."""
-    row_id = [row_id] if isinstance(row_id, str) else list(row_id)
-    r = ref.select(_u(ref_code).alias("_rc"), *[_u(c).alias(f"_q{i}") for i, c in enumerate(qualifiers.values())])
-    r, _ = sized_broadcast(r.distinct(), 5_000_000)
-    cond = _u(code_col) == F.col("_rc")
-    for i, rc in enumerate(qualifiers):
-        cond = cond & (F.col(rc).isNull() | (_u(rc) == F.col(f"_q{i}")))
-    hits = df.select(*row_id, code_col, *qualifiers.keys()).join(r, cond, "left_semi") \
-        .select(*row_id).distinct().withColumn(f"_{flag}", F.lit(True))
-    j = df.join(hits, row_id, "left")
-    return j.select(*df.columns, F.coalesce(F.col(f"_{flag}"), F.lit(False)).alias(flag))
+    found = lookup_qualified(df, ref, code_col, ref_code, qualifiers, F.max(F.lit(True)), "_found")
+    return found.select(*df.columns, F.coalesce(F.col("_found"), F.lit(False)).alias(flag))
 
 
 @dataclass(frozen=True)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from restate.operators.match import sized_broadcast
+from restate.operators.match import DIM_BROADCAST_ROWS, sized_broadcast
 from restate.spec import SIGNOFF_ALL_ENTITIES, STAGE_RETENTION_DAYS, STALE_RUNNING_MINUTES
 
 # Sign-off states that block restatements.
@@ -167,7 +167,7 @@ def decide(headers: DataFrame, decisions: DataFrame, approvers: DataFrame, id_co
                        F.col(submitter_col).alias("_hsub"), F.col(scope_col).alias("_hscope"))
     a = approvers.where(F.col("is_active")).select(_u("approver").alias("_ap"), _u("process_type").alias("_apscope")) \
         .distinct().withColumn("_aok", F.lit(True))
-    a, _ = sized_broadcast(a, 5_000_000)
+    a, _ = sized_broadcast(a, DIM_BROADCAST_ROWS)
     j = decisions.join(h, F.col(id_col) == F.col("_hid"), "left")
     j = j.join(a, (_u("approver") == F.col("_ap")) & (_u("_hscope") == F.col("_apscope")), "left")
     outcome = (F.when(F.col("_hid").isNull(), "Refused: unknown restatement")

@@ -54,7 +54,7 @@ GROUP BY {RIDS}, s.book_code, s.entity_code"""))
 def jn_qualified_code(spark, d):
     v = S.register(spark, d, ["stage_direct", "book_dim"])
     rows = v["stage_direct"].select(*RID, "book_code", "entity_code", "department_code")
-    out = R.resolve_qualified(rows, v["book_dim"], RID, "book_code", "book_code", "book_key",
+    out = R.resolve_qualified(rows, v["book_dim"], "book_code", "book_code", "book_key",
                               {"entity_code": "entity_code", "department_code": "department_code"}, "book_key")
     return out.drop("department_code")
 
@@ -174,7 +174,7 @@ FROM stage_direct s LEFT JOIN m ON s.order_key = m.order_key AND s.line_no = m.l
 def jn_name_to_id_unique(spark, d):
     v = S.register(spark, d, ["stage_direct", "instrument_dim"])
     rows = v["stage_direct"].select(*RID, "instrument_code", "product_type", "instrument_size")
-    out = R.unique_id(rows, v["instrument_dim"], RID,
+    out = R.unique_id(rows, v["instrument_dim"],
                       {"instrument_code": "instrument_code", "product_type": "product_type",
                        "instrument_size": "instrument_size"}, "instrument_key", "unique_instrument_key")
     return out.select(*RID, "unique_instrument_key")

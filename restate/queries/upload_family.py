@@ -258,7 +258,7 @@ def adj_direct(spark, d):
     val = F.expr("try_cast(value_usd AS decimal(38,6))")
     s = v["stage_direct"].withColumn("_val", val).where(F.col("_val").isNotNull() & (F.col("_val") != 0))
     s = R.resolve_max(s, v["entity_dim"], "entity_code", "entity_code", "entity_key", "entity_key")
-    s = R.resolve_qualified(s, v["book_dim"], RID, "book_code", "book_code", "book_key",
+    s = R.resolve_qualified(s, v["book_dim"], "book_code", "book_code", "book_key",
                             {"entity_code": "entity_code"}, "book_key")
     s = R.resolve_max(s, v["instrument_dim"], "instrument_code", "instrument_code", "instrument_key", "instrument_key")
     s = R.resolve_max(s, v["trade_dim"], "trade_code", "trade_code", "trade_key", "trade_key")

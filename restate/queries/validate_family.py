@@ -65,9 +65,9 @@ def direct_errors(spark, d):
     s = V.code_hit(s, v["entity_dim"], "entity_code", "entity_code", "ok_entity")
     s = V.code_hit(s, v["trade_dim"], "trade_code", "trade_code", "ok_trade")
     s = V.code_hit(s, v["instrument_dim"], "instrument_code", "instrument_code", "ok_instr")
-    s = V.qualified_hit(s, v["book_dim"], RID, "book_code", "book_code",
+    s = V.qualified_hit(s, v["book_dim"], "book_code", "book_code",
                         {"entity_code": "entity_code", "department_code": "department_code"}, "ok_book")
-    s = V.qualified_hit(s, v["book_dim"], RID, "department_code", "department_code",
+    s = V.qualified_hit(s, v["book_dim"], "department_code", "department_code",
                         {"entity_code": "entity_code"}, "ok_dept")
     num = V.numeric("value_usd")
     c = F.col
