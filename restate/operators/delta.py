@@ -237,6 +237,14 @@ def reverse(items: DataFrame, adj_col: str, old_id, new_id, metrics) -> DataFram
     ])
 
 
+def reverse_all(items: DataFrame, reversals: DataFrame, adj_col: str, metrics, old_col: str = "old_id", new_col: str = "new_id") -> DataFrame:
+    """Negated copies of the rows of every restatement that ``reversals`` names, under its new id; one that is named twice
+    gives a copy for each new id, one without rows none."""
+    r = reversals.select(F.col(old_col).alias("_old"), F.col(new_col).cast(items.schema[adj_col].dataType).alias("_new")).distinct()
+    hit = items.join(r, F.col(adj_col) == F.col("_old"))
+    return hit.select(*[F.col("_new").alias(c) if c == adj_col else (-F.col(c)).alias(c) if c in metrics else F.col(c) for c in items.columns])
+
+
 def remove_ids(deltas: DataFrame, ids: DataFrame, adj_col: str, ids_col: str | None = None) -> DataFrame:
     """Remove every row of the given restatement ids (retry cleanup / delete)."""
     ids_col = ids_col or adj_col

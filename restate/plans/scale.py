@@ -216,3 +216,17 @@ def legacy_rolls(fact: DataFrame, deltas: DataFrame, rolls: DataFrame, key_cols,
                                                   s.withColumn("leg", F.lit("copy_source")),
                                                   d.withColumn("leg", F.lit("copy_source_restatements"))])
     return out.withColumnRenamed("_target", cob_col)
+
+
+def legacy_steps(fact: DataFrame, steps: DataFrame, filter_map: dict[str, str], group_cols, metric: str, cob_col: str = "cobid") -> DataFrame:
+    """For every step (adj_key, source_cobid, target_cobid, scale_factor, filters; an empty filter matches all) the slice of its
+    source date, summed by ``group_cols`` and scaled, under its target date."""
+    head = ["adj_key", "source_cobid", "target_cobid", "scale_factor", *filter_map]
+    blank = [F.when(F.trim(F.col(c).cast("string")) != "", F.col(c)).alias(f"_f_{c}") if c in filter_map else F.col(c).alias(f"_s_{c}") for c in head]
+    # the fact is summed to what steps can tell apart before it meets them
+    attrs = list(dict.fromkeys([cob_col, *group_cols, *filter_map.values()]))
+    sums = fact.groupBy(*attrs).agg(F.sum(F.col(metric).cast(VALUE_TYPE)).alias("_sum"))
+    met = wildcard_match(sums, steps.select(*blank), {f"_f_{c}": a for c, a in filter_map.items()}, fact_cob=cob_col, header_cob="_s_source_cobid")
+    # exact sums first, one product after: the value's and the factor's decimals fit
+    out = met.groupBy(F.col("_s_adj_key").alias("adj_key"), F.col("_s_target_cobid").alias("_target"), "_s_scale_factor", *group_cols).agg(F.sum("_sum").alias("_sum"))
+    return out.select("adj_key", F.col("_target").alias(cob_col), *group_cols, (F.col("_sum").cast(VALUE_TYPE) * F.col("_s_scale_factor").cast(FACTOR_TYPE)).cast(VALUE_TYPE).alias(metric))

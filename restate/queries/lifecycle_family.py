@@ -33,8 +33,10 @@ M2 = ["value_local", "value_usd"]
 POS = ", ".join(POS_NO_COB)
 SEL = ", ".join(OUT_COLS) + ", CAST(value_local AS DOUBLE) AS value_local, CAST(value_usd AS DOUBLE) AS value_usd"
 
-_ROLL_CTES = CUR_CTE + ", " + _attrs("cur", "cura") + f""",
- rl AS (SELECT *, upper(entity_code) AS ent FROM rolls_inline),
+def roll_ctes(rolls: str) -> str:
+    """The entity roll of every request of the view ``rolls``, as CTEs that end in ``rolled``."""
+    return CUR_CTE + ", " + _attrs("cur", "cura") + f""",
+ rl AS (SELECT *, upper(entity_code) AS ent FROM {rolls}),
  kept AS (SELECT * FROM cura c WHERE NOT EXISTS (SELECT 1 FROM rl WHERE rl.cobid = c.cobid AND rl.ent = upper(c.entity_code))),
  flat AS (SELECT rl.cobid, rl.restatement_id, rl.created_date AS restatement_created_timestamp, {', '.join('x.' + c for c in POS_NO_COB)},
                  -CAST(x.value_local AS DECIMAL(28,8)) AS value_local, -CAST(x.value_usd AS DECIMAL(28,8)) AS value_usd
@@ -49,12 +51,15 @@ _ROLL_CTES = CUR_CTE + ", " + _attrs("cur", "cura") + f""",
 """
 
 
-def _roll(spark, d):
-    v = S.register(spark, d, ["fact", "book_dim", "rolls_inline"])
+_ROLL_CTES = roll_ctes("rolls_inline")
+
+
+def _roll(spark, d, rolls="rolls_inline"):
+    v = S.register(spark, d, ["fact", "book_dim", rolls])
     fa = attach_attrs(v["fact"], v, ["entity_code"])
     stored = IO.write_image(current_deltas(spark, d), "deltas")  # the delta table that a roll reads
     da = attach_attrs(stored, v, ["entity_code"])
-    return entity_roll(fa, da, v["rolls_inline"], S.POSITION_COLS, M2), v
+    return entity_roll(fa, da, v[rolls], S.POSITION_COLS, M2), v
 
 
 @q("adj_entity_roll", scale_sql("hdr_inline", True, _ROLL_CTES + f"SELECT {SEL} FROM rolled", ["rolls_inline"]))
@@ -69,9 +74,14 @@ SELECT ra.cobid, upper(ra.entity_code) AS entity, ra.restatement_id, ra.source_s
        CAST(sum(ra.value_usd) AS DOUBLE) AS value_usd
 FROM ra JOIN rl ON ra.cobid = rl.cobid AND upper(ra.entity_code) = rl.ent GROUP BY ALL""", ["rolls_inline"]))
 def agg_summary_entity_slice(spark, d):
-    out, v = _roll(spark, d)
+    return entity_slices(spark, d, "rolls_inline")
+
+
+def entity_slices(spark, d, rolls):
+    """The rolled slices of every request of ``rolls``, summed."""
+    out, v = _roll(spark, d, rolls)
     r = attach_attrs(out["deltas"], v, ["entity_code"])
-    rl = v["rolls_inline"].select(F.col("cobid").alias("_c"), F.upper("entity_code").alias("_e"))
+    rl = v[rolls].select(F.col("cobid").alias("_c"), F.upper("entity_code").alias("_e"))
     sl = r.join(rl, (F.col("cobid") == F.col("_c")) & (F.upper("entity_code") == F.col("_e")), "left_semi")
     s = D.summarise(sl.withColumn("entity", F.upper("entity_code")),
                     ["cobid", "entity", "restatement_id", "source_system_code"], ["value_usd"])

@@ -285,6 +285,26 @@ SELECT 'SLICE-' || CAST(cobid AS STRING) || '-' || CAST(source_cobid AS STRING)
 FROM hdr_orders WHERE restatement_type = 'Roll' AND entity_code IS NOT NULL
 GROUP BY cobid, source_cobid, upper(entity_code)"""
 
+# The same slices as entity-roll requests; the id tells date and entity.
+VIEWS["erolls_orders"] = """
+SELECT adj_key, CAST(cobid AS BIGINT) * 100 + CAST(replace(entity_code, 'NATION_', '') AS BIGINT) AS restatement_id, cobid, source_cobid, entity_code,
+       CAST('2026-01-09 08:00:00' AS TIMESTAMP) AS created_date
+FROM rolls_orders"""
+
+# Steps of the older job: for every department and business date of its facts a scaled, summed copy a year later,
+# of one currency for every other department.
+VIEWS["steps_all"] = """
+SELECT 'STEP-' || CAST(f.cobid AS STRING) || '-' || b.department_code AS adj_key, f.cobid AS source_cobid, f.cobid + 10000 AS target_cobid,
+       CAST(CASE WHEN b.department_code < 'B' THEN -0.5 ELSE 0.25 END AS DECIMAL(12,4)) AS scale_factor, b.department_code AS department_code,
+       CASE WHEN b.department_code < 'C' THEN 'F' END AS currency_code, CAST(NULL AS STRING) AS book_code
+FROM fact f JOIN book_dim b ON f.book_key = b.book_key WHERE b.department_code IS NOT NULL
+GROUP BY f.cobid, b.department_code"""
+
+# Requests to take back what earlier requests wrote, each under a new id.
+VIEWS["reversals"] = """
+SELECT restatement_id AS old_id, 9000 + restatement_id AS new_id FROM hdr_prior
+UNION ALL SELECT restatement_id, 9000 + restatement_id FROM hdr_inline WHERE username IN ('amy', 'cy')"""
+
 # Requests of every type for line items: the fixed list and every roll slice of the orders.
 VIEWS["hdr_items"] = """
 SELECT adj_key, cobid, source_cobid, restatement_type, scale_factor, entity_code, department_code, book_code,
@@ -340,6 +360,9 @@ DEPENDS = {
     "trade_dim": ("orders",),
     "hdr_inline": (),
     "rolls_orders": ("hdr_orders",),
+    "erolls_orders": ("rolls_orders",),
+    "steps_all": ("fact", "book_dim"),
+    "reversals": ("hdr_prior", "hdr_inline"),
     "hdr_items": ("hdr_inline", "rolls_orders"),
     "hdr_prior": (),
     "hdr_orders": ("orders", "customer", "nation", "region"),

@@ -13,11 +13,12 @@ from restate.operators.match import active_filters
 from restate.operators.shape import to_payload
 from restate.plans.preview import matched
 from restate.plans.process import DELTAS, process
-from restate.plans.scale import legacy_rolls
+from restate.plans.scale import legacy_rolls, legacy_steps
 from restate.plans.scope_plan import load_plan
 from restate.queries import standin as S
 from restate.queries.common import (CUR_CTE, OUT_COLS, POS_NO_COB, SCOPE, Query, attach_attrs, current_deltas, doubles, run_scale,
                                     scale_ctes, scale_sql, _attrs, _wild)
+from restate.queries.lifecycle_family import _roll, entity_slices, roll_ctes
 from restate.sources import io as IO
 from restate.sources.manifest import Tables
 from restate.spec import VAR_COMPONENTS
@@ -193,6 +194,52 @@ def adj_business_checks_all(spark, d):
     return out.select("restatement_id", "delta_total", "original_total", F.coalesce("delta_rows", F.lit(0)).alias("delta_rows"), "summary_total")
 
 
+# --- entity rolls, reversals and older steps of every request ---------------
+_EROLL_SQL = roll_ctes("erolls_orders")
+
+
+@q("adj_entity_roll_all", scale_sql("hdr_inline", True, _EROLL_SQL + f"""
+SELECT {', '.join(OUT_COLS)}, CAST(value_local AS DOUBLE) AS value_local, CAST(value_usd AS DOUBLE) AS value_usd FROM rolled""", ["erolls_orders"]))
+def adj_entity_roll_all(spark, d):
+    """The entity roll of every slice that the orders ask for, at once."""
+    out, _ = _roll(spark, d, "erolls_orders")
+    return doubles(out["deltas"].select(*OUT_COLS, *M2), M2)
+
+
+@q("agg_summary_entity_slice_all", scale_sql("hdr_inline", True, _EROLL_SQL + """
+, ra AS (SELECT r.*, b.entity_code FROM rolled r LEFT JOIN book_dim b ON coalesce(r.book_key, -1) = b.book_key)
+SELECT ra.cobid, upper(ra.entity_code) AS entity, ra.restatement_id, ra.source_system_code,
+       CAST(sum(ra.value_usd) AS DOUBLE) AS value_usd
+FROM ra JOIN rl ON ra.cobid = rl.cobid AND upper(ra.entity_code) = rl.ent GROUP BY ALL""", ["erolls_orders"]))
+def agg_summary_entity_slice_all(spark, d):
+    return entity_slices(spark, d, "erolls_orders")
+
+
+@q("adj_reverse_all", scale_sql("hdr_inline", True, CUR_CTE + f"""
+SELECT c.cobid, CAST(r.new_id AS BIGINT) AS restatement_id, {', '.join('c.' + c for c in POS_NO_COB)},
+       CAST(-c.value_local AS DOUBLE) AS value_local, CAST(-c.value_usd AS DOUBLE) AS value_usd
+FROM cur c JOIN reversals r ON c.restatement_id = r.old_id""", ["reversals"]))
+def adj_reverse_all(spark, d):
+    """Every request of a reversal table taken back in one join."""
+    v = S.register(spark, d, ["reversals"])
+    cur = current_deltas(spark, d).select("cobid", "restatement_id", *POS_NO_COB, *M2)
+    return doubles(D.reverse_all(cur, v["reversals"], "restatement_id", M2), M2)
+
+
+@q("adj_legacy_step_all", S.with_views(["fact", "book_dim", "steps_all"], """
+SELECT s.adj_key, s.target_cobid AS cobid, f.book_key, f.source_system_code,
+       CAST(sum(CAST(f.value_usd AS DECIMAL(28,8)) * s.scale_factor) AS DOUBLE) AS value_usd
+FROM fact f JOIN book_dim b ON f.book_key = b.book_key
+JOIN steps_all s ON f.cobid = s.source_cobid AND b.department_code = s.department_code AND (s.currency_code IS NULL OR s.currency_code = f.currency_code)
+GROUP BY ALL"""))
+def adj_legacy_step_all(spark, d):
+    """Every step of a step table: scaled, summed slices of source dates under target dates."""
+    v = S.register(spark, d, ["fact", "book_dim", "steps_all"])
+    fa = attach_attrs(v["fact"], v, ["department_code", "book_code"])
+    fmap = {c: c for c in ("department_code", "currency_code", "book_code")}
+    return doubles(legacy_steps(fa, v["steps_all"], fmap, ["book_key", "source_system_code"], "value_usd"), ["value_usd"])
+
+
 # --- the composed run -------------------------------------------------------
 def _processed(spark, d) -> Tables:
     """Two batches of requests from request to published tables; the second is run again."""
