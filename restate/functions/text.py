@@ -34,10 +34,18 @@ def coerce_date(c, formats=("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd.MM.yyy
     return F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in formats])
 
 
-def compose_reason(category, reason) -> Column:
-    """'<category> | <reason>' (blank category skipped), cut to the maximum length."""
-    joined = F.concat_ws(REASON_SEPARATOR, F.nullif(F.trim(_c(category)), F.lit("")), _c(reason))
-    return F.substring(joined, 1, REASON_MAX_LEN)
+def _whole_reason(category, reason) -> Column:
+    return F.concat_ws(REASON_SEPARATOR, F.nullif(F.trim(_c(category)), F.lit("")), _c(reason))
+
+
+def compose_reason(category, reason, max_len: int = REASON_MAX_LEN) -> Column:
+    """'<category> | <reason>' (blank category skipped), cut to ``max_len`` characters; see ``reason_is_cut``."""
+    return F.substring(_whole_reason(category, reason), 1, max_len)
+
+
+def reason_is_cut(category, reason, max_len: int = REASON_MAX_LEN) -> Column:
+    """Whether ``compose_reason`` leaves part of the text out."""
+    return F.length(_whole_reason(category, reason)) > max_len
 
 
 def ci_eq(a, b) -> Column:

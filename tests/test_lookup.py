@@ -43,3 +43,10 @@ def test_broadcasts_are_bound_by_rows_and_bytes(spark):
     df = spark.range(1000).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
     assert M.sized_broadcast(df, 1000)[1] and not M.sized_broadcast(df, 999)[1]
     assert not M.sized_broadcast(df, 1000, 900_000)[1] and M.sized_broadcast(df.limit(0), 0, 0)[1]
+
+
+def test_a_reason_that_is_cut_is_told(spark):
+    from restate.functions.text import compose_reason, reason_is_cut
+    df = spark.createDataFrame([("A", "x" * 6), ("", "x" * 7), (None, "x" * 11), ("A", None)], "c string, r string")
+    got = df.select(compose_reason("c", "r", 10).alias("t"), reason_is_cut("c", "r", 10).alias("cut")).collect()
+    assert [(r.t, r.cut) for r in got] == [("A | xxxxxx", False), ("xxxxxxx", False), ("x" * 10, True), ("A", False)]
