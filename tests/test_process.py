@@ -1,5 +1,6 @@
 """The composed run: tables after kills and repeats, and the summary against a sum over the whole delta table."""
 
+import shutil
 from decimal import Decimal
 
 import pytest
@@ -57,20 +58,37 @@ def test_batches_supersede_and_the_summary_follows(spark):
     assert before  # the first run made it
 
 
-def test_killed_between_any_two_steps(spark):
-    whole, names = new_tables(spark), []
-    run(spark, whole, "first", FIRST)
+@pytest.fixture
+def few_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_killed_between_any_two_steps(spark, few_partitions):
+    start, names = new_tables(spark), []
+    run(spark, start, "first", FIRST)
+
+    def copy():
+        t = new_tables(spark)
+        shutil.copytree(start.root, t.root)
+        return t
+
+    whole = copy()
     run(spark, whole, "second", SECOND, step=names.append)
     want = contents(whole)
     assert names.count("publish") == 2  # tables, then the summary
-    for n in range(1, len(names) + 1):
-        t = new_tables(spark)
-        run(spark, t, "first", FIRST)
+    # every kind of step, of the tables' commit and of the summary's (test_manifest kills at each one)
+    told = [n for n, name in enumerate(names, 1) if name in ("stage deltas", "stage summary", "publish", "published")]
+    assert len(told) == 6
+    for n in told[:-1]:
+        name, t = names[n - 1], copy()
         with pytest.raises(Killed):
             run(spark, t, "second", SECOND, step=kill_at(n))
         again = Tables(spark, t.root)
         run(spark, again, "second", SECOND)
-        assert contents(again) == want, names[n - 1]
+        assert contents(again) == want, name
 
 
 def view(spark, **kw):
