@@ -9,8 +9,9 @@ directories.  Both steps are equi-joins on a short prefix of the expression's
 sha-256 digest; the full digest confirms the hit, the rest of a rule's path is
 compared as text, and the longest fitting rule wins.
 
-The expansion is linear in the URL: suffixes that no rule names are gone before
-the directories are listed.  A suffix such as ``com`` that most URLs share is a
+A URL is expanded to the depths that some rule has, so the expansion is linear in
+the URL however deep its path; suffixes that no rule names are gone before the
+directories are listed.  A suffix such as ``com`` that most URLs share is a
 hot join key: both joins are plain equi-joins without hints, so the rule side is
 broadcast when Spark knows it to be small and skewed partitions are split else.
 """
@@ -60,6 +61,24 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def _count(text: Column, sep: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sep), F.lit("")))
+
+
+def _depths(rules: DataFrame, text: Column, sep: str) -> list[int]:
+    """How many separators the rules' texts have: as many numbers as there are different depths."""
+    return sorted(r[0] for r in rules.select(_count(text, sep)).distinct().collect())
+
+
+def _of_depths(text: Column, sep: str, depths: list[int], suffixes: bool = False) -> Column:
+    """The prefixes that end with the n-th separator (the empty one: 0), or the suffixes that hold n of them, for the n of ``depths``."""
+    if suffixes:
+        parts = [F.when(_count(text, sep) >= n, F.substring_index(text, sep, -(n + 1))) for n in depths]
+    else:
+        parts = [F.when(_count(text, sep) >= n, F.concat(F.substring_index(text, sep, n), F.lit(sep))) if n else F.lit("") for n in depths]
+    return F.array_compact(F.array(*parts).cast("array<string>"))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url",
                default: str = "allow") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict.
@@ -79,20 +98,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     # host suffixes that some rule names
     hosts = ready.select("r_host").distinct().withColumn("h_digest", _digest(F.col("r_host")))
     hosts = hosts.select(F.col("r_host").alias("h_host"), "h_digest", _key(F.col("h_digest")).alias("h_key"))
-    labels = F.split(F.col("u_host"), r"\.")
     suffix = base.where(F.col("u_host") != "").select(
-        "u_url", "u_path",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)),
-                              lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("s_host"))
+        "u_url", "u_path", F.explode(_of_depths(F.col("u_host"), ".", _depths(ready, F.col("r_host"), "."), suffixes=True)).alias("s_host"))
     suffix = suffix.withColumn("s_digest", _digest(F.col("s_host")))
     named = suffix.join(hosts, (_key(F.col("s_digest")) == F.col("h_key"))
                         & (F.col("s_digest") == F.col("h_digest"))).select("u_url", "u_path", "s_host")
 
-    # directories of the path, the empty one included, under each of those suffixes
-    pieces = F.split(F.col("u_path"), "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(pieces)),
-                       lambda i: F.when(i == 1, F.lit("")).otherwise(
-                           F.concat(F.array_join(F.slice(pieces, 1, i - 1), "/"), F.lit("/"))))
+    # directories of the path under each of those suffixes
+    dirs = _of_depths(F.col("u_path"), "/", _depths(ready, _directory(F.col("r_path")), "/"))
     exprs = named.select("u_url", "u_path", "s_host", F.explode(dirs).alias("s_dir"))
     exprs = exprs.withColumn("e_digest", _digest(F.col("s_host"), F.col("s_dir")))
     hits = exprs.join(ready, (_key(F.col("e_digest")) == F.col("r_key"))

@@ -53,3 +53,10 @@ def test_null_rules_and_empty_tables(llm):
     assert judge_urls(pages, none).first().verdict == "allow"
     assert judge_urls(pages.limit(0), none).count() == 0
     assert judge_urls(pages, llm.createDataFrame([(None, "/", "block"), ("b", None, "block")], RULES)).first().rule == "b"
+
+
+def test_very_long_urls_are_expanded_to_the_depths_of_rules_only(llm):
+    deep, wide = "http://a.example.com/" + "x/" * 8000 + "end", "http://" + "s." * 3000 + "example.com/en/"
+    rules = [("example.com", "/x/x/x/", "block"), ("com", "/", "allow"), ("a.example.com", "/x/x/x/x/xx", "allow"), ("s.example.com", "", "block")]
+    check(llm, [deep, wide, "http://example.com" + "//" * 500], rules)
+    check(llm, [deep, wide], [("com", "", "block")])
