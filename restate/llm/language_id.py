@@ -54,16 +54,28 @@ def fit(examples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         texts: int = TRAIN_TEXTS, max_chars: int = TRAIN_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionary content by language, from at most ``texts`` examples of each.
 
-    Examples with a null language or no text are left out, and so are those over
-    ``max_chars``: that bounds what reaches the driver.  Which ones are taken
-    depends on a hash of id and text only.  No examples: no languages.
+    Examples with a null language or no text are left out; of a text over
+    ``max_chars`` a piece of that length counts, which bounds what reaches the driver.  Which
+    ones are taken depends on a hash of id and text only.  No examples: no languages.
     """
     rows = examples.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"),
                            F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-    rows = rows.where(F.col("l").isNotNull() & (F.length("t") > 0) & (F.length("t") <= max_chars))
-    # chosen by hash alone; the hashes, bounded for each language, are broadcast, so no text is shuffled
-    chosen = bounded_sample(rows.select("l", "h").distinct(), "l", F.col("h"), texts)
-    texts_of = rows.join(F.broadcast(chosen), ["l", "h"]).collect()
+    rows = rows.where(F.col("l").isNotNull() & (F.length("t") > 0))
+    # whole texts first, by hash alone: the least hashes of each language, cut at a threshold before they are ranked, so that a
+    # language that most rows have sends its ranking few of them
+    order = F.struct((F.length("t") > max_chars).alias("long"), F.col("h").alias("h"))
+    keys = rows.select("l", order.alias("o")).distinct()
+    # a row a language, as the model has a dictionary for each
+    whole = {r["l"]: r["n"] for r in keys.groupBy("l").agg(F.count_if(~F.col("o.long")).alias("n")).collect()}
+    full = [x for lang, n in whole.items() if n >= texts for x in (F.lit(lang), F.lit(min(1.0, (4.0 * texts + 1000) / n)))]
+    if full:
+        share = F.create_map(*full)[F.col("l")]
+        low = (F.col("o.h").cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64) <= share
+        keys = keys.where(share.isNull() | (~F.col("o.long") & low))
+    chosen = bounded_sample(keys.select("l", "o"), "l", F.col("o"), texts).select("l", F.col("o.h").alias("h"))
+    # one row a hash, however often it is repeated; the hashes, bounded for each language, are broadcast
+    picked = rows.join(F.broadcast(chosen), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, max_chars)).alias("t"))
+    texts_of = picked.collect()
     parts: dict[str, list[bytes]] = {}
     for lang, _, text in sorted({(r["l"], r["h"], r["t"]) for r in texts_of}):
         parts.setdefault(lang, []).append(normalise(text))

@@ -118,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = text_features(batch.column(1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
-    got = docs.join(F.broadcast(ids), F.col(id_col) == F.col("l_id")).select("l_label", F.col(text_col).alias("t")).mapInArrow(
-        run, "label double, x binary").toArrow()
+    # one text an id, however often it is repeated
+    texts = docs.join(F.broadcast(ids), F.col(id_col) == F.col("l_id")).groupBy("l_id", "l_label").agg(F.min(text_col).alias("t"))
+    got = texts.select("l_label", "t").mapInArrow(run, "label double, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
     return train(x, got.column("label").to_numpy())
 

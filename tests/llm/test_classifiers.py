@@ -141,3 +141,35 @@ def test_quality_of_odd_rows(llm):
     assert (one_class.weights == 0).all()
     assert Q.fit(docs, labels.limit(0)).prior == 0.5
     assert held_out("x") is not None
+
+
+def test_risk_and_its_gradient_against_plain_sums():
+    rng = np.random.default_rng(3)
+    for case in range(20):
+        f_u, f_p, prior = rng.normal(size=7) * 3 - 3 * (case % 2), rng.normal(size=5) * 3 + 3 * (case % 2), 0.05 + 0.9 * rng.random()
+        loss = lambda x: math.log(1 + math.exp(-x))
+        toxic = prior * sum(loss(x) for x in f_p) / 5
+        clean = sum(loss(-x) for x in f_u) / 7 - prior * sum(loss(-x) for x in f_p) / 5
+        assert X.risks(f_u, f_p, prior) == pytest.approx((toxic, clean))
+        sign = 1 if clean >= 0 else -1
+        target = lambda u, p: sum(X.risks(u, p, prior)) if sign > 0 else -X.risks(u, p, prior)[1]
+        g_u, g_p = X.step_of(f_u, f_p, prior)
+        for f, g, at in ((f_u, g_u, 0), (f_p, g_p, 1)):
+            for i in range(len(f)):
+                moved = [f_u.copy(), f_p.copy()]
+                moved[at][i] += 1e-6
+                assert (target(*moved) - target(f_u, f_p)) / 1e-6 == pytest.approx(g[i], abs=1e-4)
+    # with a sample of all texts as unlabelled, the estimate is the clean texts' own risk
+    f_c, f_t = rng.normal(size=300), rng.normal(size=100) + 2
+    assert X.risks(np.concatenate([f_c, f_t]), f_t, 0.25)[1] == pytest.approx(0.75 * np.logaddexp(0, f_c).mean())
+
+
+def test_repeated_ids_fill_no_places(llm):
+    docs = llm.createDataFrame([(i, f"word{i} text") for i in range(40)] + [(0, "copy of one id")] * 3000 + [(1, "word1 text")] * 3000, "doc_id long, text string")
+    labels = llm.createDataFrame([(i, int(i < 3)) for i in range(0, 40, 2)], "doc_id long, toxic int")
+    rows, prior = X.training_rows(docs, labels, "doc_id", "text", "toxic", 5, 30)
+    got = rows.collect()
+    assert prior == 0.1 and sum(r.positive for r in got) == 2 and sum(not r.positive for r in got) == 30
+    assert len({tuple(r.words) for r in got}) == 32
+    graded = labels.withColumnRenamed("toxic", "quality")
+    assert Q.fit(docs, graded).prior == Q.fit(docs.dropDuplicates(["doc_id"]), graded).prior

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from restate.llm import language_id as L
 
 WORDS = {"xx": ["kolu", "maneta", "sirop", "tavile", "ruk"], "yy": ["schwe", "thran", "bloch", "grund", "peltz"]}
@@ -59,3 +61,28 @@ def test_held_out_accuracy(llm, spark):
         table(llm, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
     assert got.where(~held_out("doc_id")).count() == 0
+
+
+def test_languages_of_long_texts_only_and_repeated_rows(llm):
+    rows = [(i, "lange worte und noch mehr davon " * 900, "de") for i in range(5)] + [(100 + i, f"short words {i} and more of them", "en") for i in range(60)]
+    rows += [(200, "le texte que voici", "fr")] * 4000
+    docs = llm.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.fit(docs, texts=20)
+    assert sorted(got) == ["de", "en", "fr"] and got["fr"] == b"le texte que voici"
+    assert 0 < len(got["de"]) <= 5 * L.TRAIN_CHARS
+    assert L.fit(docs.repartition(7), texts=20) == got
+
+
+def test_sizes_against_plain_compression():
+    import zstandard
+
+    known = {"a": b"the words of one tongue and its words " * 20, "b": b"mots de la langue et des mots encore " * 20}
+    text = b"words of a tongue the tongue of words " * 200
+    sizes = {}
+    for lang, content in known.items():
+        z = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                     write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes[lang] = sum(len(z.compress(text[i:i + L.PIECE_BYTES])) for i in range(0, len(text), L.PIECE_BYTES))
+    lang, score, margin = L.judge(text, known)
+    best, other = sorted(sizes.values())
+    assert lang == min(sizes, key=sizes.get) == "a" and margin == pytest.approx((other - best) / best, abs=0.02) and score > 0.5
