@@ -222,6 +222,16 @@ def group_totals(df: DataFrame, key_cols, totals: dict[str, Column]) -> DataFram
     return j.select(*df.columns, *[F.col(f"_t_{n}").alias(n) for n in totals])
 
 
+def share_repeated(df: DataFrame, key_cols, cols) -> DataFrame:
+    """Rows of one key, where a key is repeated, take the largest of each of ``cols`` among them.
+
+    Only keys and ``cols`` are shuffled to find the repeated ones, which are few where keys are meant to be unique."""
+    again = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(f"_m_{c}") for c in cols]).where("_n > 1")
+    again = again.select(*[F.col(k).alias(f"_k_{k}") for k in key_cols], *[f"_m_{c}" for c in cols])
+    j = df.join(again, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key_cols]), "left")
+    return j.select(*[F.coalesce(f"_m_{c}", c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
 def group_zero_flag(df: DataFrame, key_cols, metric: str, flag: str = "all_zero") -> DataFrame:
     """Per-key flag: SUM(ABS(metric)) over the key is 0."""
     return group_totals(df, key_cols, {flag: F.coalesce(F.sum(F.abs(F.col(metric))), F.lit(0)) == 0})

@@ -260,6 +260,7 @@ def adj_direct(spark, d):
     s = R.resolve_max(s, v["entity_dim"], "entity_code", "entity_code", "entity_key", "entity_key")
     s = R.resolve_qualified(s, v["book_dim"], "book_code", "book_code", "book_key",
                             {"entity_code": "entity_code"}, "book_key")
+    s = D.share_repeated(s, RID, ["book_key"])  # staged rows that share their four keys are one upload row
     s = R.resolve_max(s, v["instrument_dim"], "instrument_code", "instrument_code", "instrument_key", "instrument_key")
     s = R.resolve_max(s, v["trade_dim"], "trade_code", "trade_code", "trade_key", "trade_key")
     s = s.withColumn("restatement_id", F.col("order_key") * 10 + F.col("line_no")) \

@@ -87,3 +87,13 @@ def test_native_plan(llm):
     df = contamination(llm.createDataFrame([(1, "a b")], "doc_id long, text string"), llm.createDataFrame([(1, "a b")], "item_id long, text string"))
     plan = df._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_no_list_is_computed_again_as_a_filter(llm):
+    """Spark puts a filter under an explode; over the hashing of windows it would be as large as the work itself."""
+    docs = llm.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(5)], "doc_id long, text string")
+    items = llm.createDataFrame([(1, " ".join(f"w{j}" for j in range(3, 33))), (2, "w1 w2")], "item_id long, text string")
+    out = contamination(docs, items)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 40_000 and plan.count("xxhash64") < 40
+    assert all(r.n_hit > 0 for r in out.collect())
