@@ -82,7 +82,7 @@ def fit(examples: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     return {lang: b" ".join(p)[:dict_bytes] for lang, p in sorted(parts.items()) if any(p)}
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=None)
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     """One per worker process, language and level: digesting a dictionary takes longer than a small task."""
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -90,6 +90,17 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
+_held: set[bytes] = set()
+
+
+def _keep_only(dictionaries: dict[str, bytes]) -> None:
+    """A worker process serves many jobs: drop the compressors of another job's dictionaries."""
+    if _held != set(dictionaries.values()):
+        _compressor.cache_clear()
+        _held.clear()
+        _held.update(dictionaries.values())
+
+
 def judge(content: bytes, dictionaries: dict[str, bytes]) -> tuple[str, float, float]:
     """Language, score and margin of one normalised text.  Ties go to the first language in order."""
     if len(content) < SHORT_BYTES:
@@ -120,6 +131,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_only(dictionaries)
         for batch in batches:
             out = []
             for value in batch.column(at):

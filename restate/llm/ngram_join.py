@@ -14,6 +14,10 @@ joined on only by texts with so many of them that the agreeing parts might all
 be empty.  A text follows its own band's scheme and, if a text of a smaller band
 could be its partner, that band's as well.
 
+*Keys.*  A task sorts its keys and deals them to parts of the key space as cells of some five bytes a key: the gap
+to the key before and the number of the node.  A part finds the keys that several nodes share; keys are
+shuffled this once.  A key that many nodes of a task have goes out as plain rows instead.
+
 *Verify.*  A second sketch of one parity bit per hash bucket, whose Hamming
 distance also bounds the symmetric difference from below, discards most other
 candidates; the rest are decided on the whole sets.
@@ -36,9 +40,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from restate.llm import textarrays as T
-from restate.llm.common import store, text_key
+from restate.llm.common import release, store, text_key
 from restate.llm.components import connected_components
 
 #: Ratio of a band's sizes; bits of the verifying sketch; rounds of one centre a key.
@@ -112,14 +117,129 @@ def _list(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def _sketch_rows(n: int, percent: int):
+#: Keys that a task sorts at a time (some 70 bytes each), and that one part of the key space holds (about; the more input, the
+#: larger both should be); keys a character of text (about, to choose the parts before they are counted); nodes of a task with
+#: one key that make it heavy there; bits of a key in its part.
+SORT_KEYS, PART_KEYS, KEYS_A_CHAR, HEAVY, PART_BITS = 1 << 19, 1 << 21, 0.15, 8, 40
+
+_ROW = "text_key long, n_shingles long, sig long, sketch array<long>"
+_CELL = "part int, hashes binary, nodes binary, sigs binary, hot_keys array<long>, hot_sigs array<long>"
+
+
+def _planes(a: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of unsigned numbers, byte by byte: the shuffle's compression finds the zeros."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+class _Keys:
+    """The (key, node) pairs of a task, sorted and dealt to parts of the key space as cells of few bytes a pair."""
+
+    def __init__(self, part_bits: int):
+        self.shift = np.uint64(64 - part_bits)
+        self.part_bits, self.keys, self.nodes, self.sigs, self.held = part_bits, [], [], [], 0
+
+    def add(self, sig: int, keys: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.nodes.append(np.full(len(keys), len(self.sigs), np.uint32))
+        self.sigs.append(sig)
+        self.held += len(keys)
+
+    def cells(self) -> Iterator[dict]:
+        if not self.held:
+            return
+        keys, nodes, sigs = np.concatenate(self.keys).view(np.uint64), np.concatenate(self.nodes), np.array(self.sigs, np.int64)
+        self.keys, self.nodes, self.sigs, self.held = [], [], [], 0
+        parts = (keys >> self.shift) if self.part_bits else np.zeros(len(keys), np.uint64)
+        # a key's name: its part, then the next PART_BITS bits; two keys of one name are but compared in vain
+        names = (parts << np.uint64(PART_BITS)) | ((keys << np.uint64(self.part_bits)) >> np.uint64(64 - PART_BITS))
+        order = np.argsort(names, kind="stable")
+        names, nodes = names[order], nodes[order]
+        at = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1])))
+        runs = np.diff(np.append(at, len(names)))
+        heavy = np.repeat(runs >= HEAVY, runs)
+        if heavy.any():
+            # a key that many nodes of the task have goes out as rows, which a shuffle may split, and as a mark in its part
+            yield {"hot_keys": names[heavy].view(np.int64), "hot_sigs": sigs[nodes[heavy]]}
+        marks = names[at][runs >= HEAVY]
+        yield from self._coded(names[~heavy], nodes[~heavy], sigs)
+        for part, some in _by_part(marks):
+            yield {"part": part, "hashes": _planes(np.diff(some, prepend=np.uint64(0)), 5)}
+
+    def _coded(self, names: np.ndarray, nodes: np.ndarray, sigs: np.ndarray) -> Iterator[dict]:
+        at = 0
+        for part, some in _by_part(names):
+            mine = nodes[at:at + len(some)]
+            at += len(some)
+            used, number = np.unique(mine, return_inverse=True)
+            yield {"part": part, "hashes": _planes(np.diff(some, prepend=np.uint64(0)), 5), "nodes": _planes(number, 4), "sigs": sigs[used].tobytes()}
+
+
+def _by_part(names: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, sorted names within it) of sorted names."""
+    parts = names >> np.uint64(PART_BITS)
+    cuts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))).tolist() if len(names) else []
+    for a, b in zip(cuts, [*cuts[1:], len(names)]):
+        yield int(parts[a]), names[a:b] & np.uint64((1 << PART_BITS) - 1)
+
+
+def _shared_in_part(table: pa.Table) -> pa.Table:
+    """(key, sig) of a part's keys that several nodes have, or that are heavy somewhere."""
+    names, sigs, marks, part = [], [], [np.zeros(0, np.uint64)], 0
+    for row in table.to_batches():
+        for part, hashes, nodes, own in zip(*(row.column(c).to_pylist() for c in ("part", "hashes", "nodes", "sigs"))):
+            some = np.cumsum(_from_planes(hashes, 5))
+            if nodes is None:
+                marks.append(some)
+            else:
+                names.append(some)
+                sigs.append(np.frombuffer(own, np.int64)[_from_planes(nodes, 4).astype(np.int64)])
+    names = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    sigs = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
+    # keys with a neighbour or a mark; the few of them are then sorted by node too
+    order = np.argsort(names, kind="stable")
+    names, sigs = names[order], sigs[order]
+    same = names[1:] == names[:-1]
+    keep = np.isin(names, np.unique(np.concatenate(marks)))
+    keep[1:] |= same
+    keep[:-1] |= same
+    names, sigs = names[keep], sigs[keep]
+    order = np.lexsort((sigs, names))
+    names, sigs = names[order], sigs[order]
+    new = np.ones(len(names), bool)
+    new[1:] = (names[1:] != names[:-1]) | (sigs[1:] != sigs[:-1])
+    keys = (names[new] | np.uint64(part << PART_BITS)).view(np.int64)
+    return pa.table({"key": pa.array(keys), "sig": pa.array(sigs[new])})
+
+
+def _sketch_rows(n: int, percent: int, id_type: pa.DataType, part_bits: int):
+    """Rows of two kinds: one for each text, without its keys, and the cells of the task's keys (``part`` or ``hot_keys`` set)."""
+    schema = pa.schema([("id", id_type), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.int64()), ("sketch", pa.list_(pa.int64())),
+                        ("part", pa.int32()), ("hashes", pa.binary()), ("nodes", pa.binary()), ("sigs", pa.binary()),
+                        ("hot_keys", pa.list_(pa.int64())), ("hot_sigs", pa.list_(pa.int64()))])
+
+    def filled(columns: dict, rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set whose keys this task has given needs none again
+        held = _Keys(part_bits)
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for cell in held.cells():
+                yield filled({c: pa.array([v], schema.field(c).type) for c, v in cell.items()}, 1)
+
         for batch in batches:
             ids, text_keys = batch.column(0), batch.column(2)
             for at, rows, data, off in T.byte_chunks(batch.column(1)):
                 h, first = T.words(data, off, T.NOT_SPACE)
-                sizes, sigs, sketches, keys = [], [], [], []
+                sizes, sigs, sketches = [], [], []
                 none = np.zeros(0, np.int64)
                 with np.errstate(over="ignore"):
                     for s in T.shingles(h, first, n):
@@ -129,10 +249,13 @@ def _sketch_rows(n: int, percent: int):
                         new = len(s) and sig not in seen
                         seen.add(sig)
                         sketches.append(bit_sketch(s) if new else none)
-                        keys.append(join_keys(s, percent) if new else none)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, rows), text_keys.slice(at, rows), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), _list(sketches), _list(keys)],
-                    names=["id", "text_key", "n_shingles", "sig", "sketch", "keys"])
+                        if new:
+                            held.add(sig, join_keys(s, percent))
+                yield filled({"id": ids.slice(at, rows), "text_key": text_keys.slice(at, rows), "n_shingles": pa.array(sizes, pa.int64()),
+                              "sig": pa.array(sigs, pa.int64()), "sketch": _list(sketches)}, rows)
+                if held.held >= SORT_KEYS:
+                    yield from given()
+        yield from given()
     return run
 
 
@@ -161,6 +284,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
     for side in "ab":
         pairs = pairs.join(attrs.select(F.col("sig").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"k_{side}")), side)
     pairs = store(pairs.where(_may_link("n_a", "k_a", "n_b", "k_b", percent)).select("a", "b", "n_a", "n_b"), "ngram-pairs")
+    release(pairs.sparkSession)
     need = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     rep = nodes.join(need, "sig").select(F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key"))
     sets = texts.join(rep, (F.col("text_key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id")), "left_semi").select(
@@ -187,18 +311,26 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     keyed = base.select("id", "text", text_key("text").alias("text_key"))
     id_type = base.schema["id"].dataType.simpleString()
-    rows = store(keyed.mapInArrow(_sketch_rows(n, percent), f"id {id_type}, text_key long, n_shingles long, sig long, "
-                                  "sketch array<long>, keys array<long>"), "ngram-rows")
+    chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
+    part_bits = min(22, math.ceil(math.log2(max(1, chars * KEYS_A_CHAR / PART_KEYS))))
+    made = store(keyed.mapInArrow(_sketch_rows(n, percent, to_arrow_type(base.schema["id"].dataType), part_bits), f"id {id_type}, {_ROW}, {_CELL}"), "ngram-rows")
+    rows = made.where(F.col("text_key").isNotNull()).select("id", "text_key", "n_shingles", "sig", "sketch")
     told = rows.where(F.size("sketch") > 0)
     nodes = store(told.select("sig", "n_shingles", "sketch", "id", "text_key").dropDuplicates(["sig"]), "ngram-nodes")
+    spark = docs.sparkSession
 
-    # members of the keys that several nodes share, with the key's least node
-    kv = told.select(F.explode("keys").alias("key"), "sig")
+    # keys meet in the parts of their space, once; members of those that several nodes share, with the key's least node
+    kv = made.where(F.col("part").isNotNull()).select("part", "hashes", "nodes", "sigs").groupBy("part").applyInArrow(_shared_in_part, "key long, sig long")
+    hot = made.where(F.col("hot_keys").isNotNull()).select(F.explode(F.arrays_zip("hot_keys", "hot_sigs")).alias("x"))
+    kv = store(kv.unionByName(hot.select(F.col("x.hot_keys").alias("key"), F.col("x.hot_sigs").alias("sig"))), "ngram-shared")
+    release(spark)
     shared = kv.groupBy(F.col("key").alias("s_key")).agg(F.min("sig").alias("centre"), F.max("sig").alias("last"))
     shared = shared.where(F.col("centre") < F.col("last")).select("s_key", "centre")
     members = store(kv.join(shared, F.col("key") == F.col("s_key")).select("key", "sig", "centre").distinct(), "ngram-members")
+    release(spark)
 
     links = store(_verified(_pairs(members.select(F.col("sig").alias("a"), F.col("centre").alias("b"))), nodes, keyed, n, percent), "ngram-links")
+    release(spark)
     stars = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     attrs = nodes.select(F.col("sig").alias("n_sig"), "n_shingles", "sketch")
     for turn in range(STAR_ROUNDS + 1):
@@ -208,18 +340,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         split = active.groupBy(F.col("key").alias("s_key")).agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
         split = split.where(F.col("r0") < F.col("r1")).select("s_key")
         active = active.join(split, F.col("key") == F.col("s_key"), "left_semi")
-        active = store(active.join(attrs, F.col("sig") == F.col("n_sig")).select("key", "sig", "root", "n_shingles", "sketch"), "ngram-active")
+        # one centre a key makes no more pairs than members: their sketches are compared after copies of a pair are one.  All
+        # pairs of a key are told apart inside the join, so its members bring their sketches
+        last = turn == STAR_ROUNDS
+        active = active.join(attrs if last else attrs.drop("sketch"), F.col("sig") == F.col("n_sig"))
+        active = store(active.select("key", "sig", "root", "n_shingles", *(["sketch"] if last else [])), "ngram-active")
+        release(spark)
         other = active.select(*(F.col(c).alias(f"o_{c}") for c in active.columns))
-        if turn < STAR_ROUNDS:  # another centre for each key
+        if last:  # the rest: every pair across components
+            may = (F.col("sig") < F.col("o_sig")) & _may_link("n_shingles", "sketch", "o_n_shingles", "o_sketch", percent)
+        else:  # another centre for each key
             other = other.groupBy("o_key").agg(F.min_by(F.struct(*other.columns[1:]), F.xxhash64("o_sig", "o_key", F.lit(turn))).alias("o"))
             other = other.select("o_key", "o.*")
-            order = F.col("sig") != F.col("o_sig")
-        else:  # the rest: every pair across components
-            order = F.col("sig") < F.col("o_sig")
-        may = _may_link("n_shingles", "sketch", "o_n_shingles", "o_sketch", percent)
-        wanted = active.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & order & may)
+            may = (F.col("sig") != F.col("o_sig")) & (100 * F.least("n_shingles", "o_n_shingles") >= percent * F.greatest("n_shingles", "o_n_shingles"))
+        wanted = active.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & may)
         wanted = _pairs(wanted.select(F.col("sig").alias("a"), F.col("o_sig").alias("b")))
         found = store(_verified(wanted, nodes, keyed, n, percent), "ngram-links")
+        release(spark)
         if found.take(1):
             stars = connected_components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(
                 found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
