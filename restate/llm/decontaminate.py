@@ -87,7 +87,8 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
     out = None
     for length in lengths_of(base):
         rows = fingerprints(base.where(F.col("length") == length), "w", length, "fp").select(
-            "item", F.explode(F.transform("fp", lambda m, i: F.struct(m.alias("fp"), _window_text("w", i, length).alias("window")))).alias("x"))
+            "item", F.transform("fp", lambda m, i: F.struct(m.alias("fp"), _window_text("w", i, length).alias("window"))).alias("all"))
+        rows = store(rows, "item-windows").select("item", F.explode("all").alias("x"))
         rows = rows.select(F.lit(length).alias("length"), "item", "x.fp", "x.window")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -138,11 +139,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for length in lengths:
         rows = base.join(hits.where(F.col("length") == length), (F.col("key") == F.col("h_key")) & F.col("id").eqNullSafe(F.col("h_id")))
         # of the hit texts only; stored, as Spark would put the splitting of a text into each step over its words
-        rows = store(rows.select("id", "key", "hit", "length", words(F.col("text")).alias("w")), "hit-words")
+        # and dealt anew: long texts may all lie in few files
+        rows = store(rows.select("id", "key", "hit", "length", words(F.col("text")).alias("w")).repartition(F.xxhash64("id", "key")), "hit-words")
         rows = fingerprints(rows, "w", length, "fp")
         places = F.filter(F.transform("fp", lambda m, i: F.when(F.array_contains("hit", m), F.struct(
             i.alias("at"), _window_text("w", i, length).alias("window")))), lambda x: x.isNotNull())
-        rows = rows.select("id", "key", "length", places.alias("places")).select("id", "key", "length", F.explode("places").alias("p"))
+        # stored before it is exploded: Spark would infer that the list is not empty and compute all of it once more to filter by that
+        rows = store(rows.select("id", "key", "length", places.alias("places")), "hit-places").select("id", "key", "length", F.explode("places").alias("p"))
         matched = rows if matched is None else matched.unionByName(rows)
     exact = windows.select(F.col("length").alias("b_length"), F.col("window").alias("b_window"), "items")
     matched = matched.select("id", "key", "length", "p.at", "p.window").join(
