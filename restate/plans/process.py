@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.operators.delta import positions_of, record_counts
-from restate.plans.scale import apply_scale, request_profile
+from restate.plans.scale import apply_scale, fact_rows, request_profile
 from restate.plans.summary import SummaryView, signed
 from restate.session import cut_lineage
 from restate.sources.manifest import Change, Tables, slice_id
@@ -79,6 +79,7 @@ def process(tables: Tables, scope: Scope, batch: str, requests: DataFrame, fact:
     published = False
     if not tables.committed(batch):
         profile = request_profile(requests, list(scope.filter_map))
+        profile["fact_rows"] = fact_rows(fact, profile, scope.cob_col)
         filters = {c: scope.filter_map[c] for c in profile["active"]}
         stored = None
         if profile["has_cross"] and tables.exists(DELTAS):

@@ -183,8 +183,10 @@ def agg_cob_trend(spark, d):
     hh = h.join(top, "cobid", "left_semi")
     a = hh.groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("restatements"))
     out = run_scale(spark, d, "hdr_orders", with_prior=False)
-    r = out.select("restatement_id").join(hh.select("restatement_id", "cobid", "process_type"), "restatement_id") \
-        .groupBy("cobid", "process_type").agg(F.count(F.lit(1)).alias("delta_rows"))
+    # rows are counted per request before they meet it
+    n = out.groupBy("restatement_id").agg(F.count(F.lit(1)).alias("n"))
+    r = n.join(hh.select("restatement_id", "cobid", "process_type"), "restatement_id") \
+        .groupBy("cobid", "process_type").agg(F.sum("n").alias("delta_rows"))
     return a.join(r, ["cobid", "process_type"], "left").na.fill(0, ["delta_rows"])
 
 
@@ -395,9 +397,10 @@ FROM b_out o JOIN hdr_orders h ON o.restatement_id = h.restatement_id GROUP BY 1
 def agg_impact_by_type(spark, d):
     h = S.register(spark, d, ["hdr_orders"])["hdr_orders"].select("restatement_id", "restatement_type")
     o = run_scale(spark, d, "hdr_orders", with_prior=False)
-    return o.join(h, "restatement_id").groupBy("restatement_type").agg(
-        F.count(F.lit(1)).alias("delta_rows"), F.sum("value_usd").cast("double").alias("net_impact"),
-        F.sum(F.abs("value_usd")).cast("double").alias("abs_impact"))
+    # rows are summed per request before they meet it
+    per = o.groupBy("restatement_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value_usd").alias("net"), F.sum(F.abs("value_usd")).alias("size"))
+    return per.join(h, "restatement_id").groupBy("restatement_type").agg(
+        F.sum("n").alias("delta_rows"), F.sum("net").cast("double").alias("net_impact"), F.sum("size").cast("double").alias("abs_impact"))
 
 
 @q("agg_impact_by_entity", scale_sql("hdr_orders", False, """

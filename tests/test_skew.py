@@ -109,3 +109,32 @@ def test_legs_of_other_factors_merge_only_where_products_are_exact(spark):
     cols = ["cobid", "pos", "restatement_id", "usd"]
     got = SC.apply_scale(f, h, {"entity": "entity"}, ["cobid", "pos"], ["usd"], "usd")
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect())) != []
+
+
+def _legs_example(spark):
+    fact = spark.createDataFrame([(1, 1, "a", 10.0), (1, 1, "a", 5.0), (1, 2, "b", 7.0), (2, 1, "a", 4.0), (2, None, "a", 3.0), (1, None, "b", 2.0),
+                                  (1, 3, None, 9.0), (None, 4, "a", 8.0), (2, 5, "b", 6.0)], "cobid int, pos long, entity string, usd double")
+    fact = fact.withColumn("usd", F.col("usd").cast("decimal(18,2)"))
+    head = [(1, 1, 1, "Scale", "1.5", "2024-01-01 00:00:00", "A"), (2, 1, 1, "Flatten", "1", "2024-01-02 00:00:00", "b"),
+            (3, 1, 2, "Roll", "2", "2024-01-03 00:00:00", "a"), (4, 1, 1, "Scale", "1.1", "2023-01-03 00:00:00", None),
+            (5, 2, 1, "Roll", "1", "2024-01-03 00:00:00", "b"), (6, 1, 1, "Scale", "1", "2025-01-03 00:00:00", None)]
+    h = spark.createDataFrame(head, "restatement_id long, cobid int, source_cobid int, restatement_type string, f string, c string, entity string")
+    h = h.select("*", F.col("f").cast("decimal(12,4)").alias("scale_factor"), F.to_timestamp("c").alias("created_date"))
+    return fact, h.drop("f", "c")
+
+
+@pytest.mark.parametrize("rows, task_rows", [(1_000_000, 200_000), (2, 3)])
+def test_legs_of_broadcast_requests_are_not_shuffled(spark, monkeypatch, rows, task_rows):
+    monkeypatch.setattr(SC, "SMALL_FACT", rows)
+    monkeypatch.setattr(SC, "POSITION_ROWS", task_rows)
+    f, h = _legs_example(spark)
+    got = SC.apply_scale(f, h, {"entity": "entity"}, ["cobid", "pos"], ["usd"], "usd")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in moved if "pos#" in x]) == 1 and not any("restatement_id" in x for x in moved)
+    # legs as they are, netted and ranked by the plain window
+    legs = SC.scale_legs(f, h, {"entity": "entity"}, ["cobid", "pos"], ["usd"])
+    net = D.net_positions(legs, ["cobid", "pos"], "restatement_id", ["usd"], "usd", carry_max=("restatement_created_timestamp",))
+    want = D.rank_latest(net, ["cobid", "pos"], "restatement_created_timestamp", "restatement_id", "window")
+    cols = ["cobid", "pos", "restatement_id", "restatement_created_timestamp", "usd"]
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect())) and want.count() > 4
