@@ -11,6 +11,9 @@ Tables of a scope (slices in brackets):
 
 A run that dies anywhere and is run again with the same name leaves the same tables; one that
 has been published does nothing.
+
+Rows that came or left are stored as compressed columns while a run lasts: a
+checkpoint holds them as they are in memory, many times as large.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from restate.operators.delta import positions_of, record_counts
 from restate.plans.scale import apply_scale, fact_rows, request_profile
 from restate.plans.summary import SummaryView, signed
 from restate.session import cut_lineage
+from restate.sources.io import write_image
 from restate.sources.manifest import Change, Tables, slice_id
 
 DELTAS, LOG, HISTORY, TRIGGERS = "deltas", "delta_changes", "status_history", "triggers"
@@ -56,7 +60,7 @@ def _publish(tables: Tables, scope: Scope, batch: str, came: DataFrame, left: Da
     cobs = came.select(scope.cob_col).union(left.select(scope.cob_col)).distinct()
     return tables.commit(batch, {
         DELTAS: Change(kept.unionByName(came), by=(scope.cob_col,), emptied=touched),
-        LOG: Change(log, by=("batch",)),
+        LOG: Change(log, by=("batch",), one_slice=True),
         HISTORY: Change(history.withColumn("batch", F.lit(batch)), by=("batch",)),
         TRIGGERS: Change(cobs.withColumn("batch", F.lit(batch)), by=("batch",)),
     }, step=step)
@@ -87,7 +91,7 @@ def process(tables: Tables, scope: Scope, batch: str, requests: DataFrame, fact:
             stored = _in_force(tables, scope, dates, dates)
         new = apply_scale(enrich(fact), requests, filters, list(scope.position_cols), list(scope.metrics), scope.usd_metric,
                           deltas=enrich(stored) if stored is not None else None, cob_col=scope.cob_col, profile=profile)
-        new = cut_lineage(new.select(*scope.columns))
+        new = write_image(new.select(*scope.columns), "came")
         touched = new.select(scope.cob_col).distinct()
         before = _in_force(tables, scope, new, touched)
         positions, same = positions_of(new, scope.position_cols)
@@ -103,7 +107,7 @@ def load(tables: Tables, scope: Scope, batch: str, deltas: DataFrame, step: Call
     """Take a delta table over as it is: rows on the business dates it holds replace what is in force there."""
     published = False
     if not tables.committed(batch):
-        came = cut_lineage(deltas.select(*scope.columns))
+        came = write_image(deltas.select(*scope.columns), "came")
         touched = came.select(scope.cob_col).distinct()
         left = _in_force(tables, scope, came, touched)
         counts = came.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
@@ -117,10 +121,10 @@ def post(tables: Tables, scope: Scope, batch: str, rows: DataFrame, step: Callab
     """Add given delta rows (an upload); what their requests had in force before leaves."""
     published = False
     if not tables.committed(batch):
-        came = cut_lineage(rows.select(*scope.columns))
+        came = write_image(rows.select(*scope.columns), "came")
         own = came.select(F.col(ADJ).alias("_own")).distinct()
         hit = F.col(ADJ) == F.col("_own")
-        left = cut_lineage(tables.read(DELTAS).join(own, hit, "left_semi")) if tables.exists(DELTAS) else came.limit(0)
+        left = write_image(tables.read(DELTAS).join(own, hit, "left_semi"), "left") if tables.exists(DELTAS) else came.limit(0)
         touched = came.select(scope.cob_col).union(left.select(scope.cob_col)).distinct()
         kept = _in_force(tables, scope, came, touched).join(own, hit, "left_anti")
         counts = came.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
@@ -137,7 +141,7 @@ def remove(tables: Tables, scope: Scope, batch: str, ids: DataFrame, status: str
         wanted = cut_lineage(ids.select(F.col(ADJ).cast("long").alias("_gone")).where(F.col("_gone").isNotNull()).distinct())
         stored = tables.read(DELTAS)
         hit = F.col(ADJ) == F.col("_gone")
-        left = cut_lineage(stored.join(wanted, hit, "left_semi"))
+        left = write_image(stored.join(wanted, hit, "left_semi"), "left")
         touched = left.select(scope.cob_col).distinct()
         kept = _in_force(tables, scope, left, touched).join(wanted, hit, "left_anti")
         counts = left.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))

@@ -46,7 +46,8 @@ def bucket_id(keys: Iterable[str], buckets: int):
 class Change:
     """New rows of one table: ``rows`` replace the slices they fall in, and those of ``emptied`` (a relation of
     the slice columns) end empty if they get none.  With ``append`` they are added beside what a slice holds;
-    ``only_emptied`` leaves out rows outside of ``emptied``."""
+    ``only_emptied`` leaves out rows outside of ``emptied``.  ``one_slice`` says that all rows fall in one: each
+    task writes its own, none are shuffled."""
 
     rows: DataFrame
     by: tuple[str, ...] = ()
@@ -54,6 +55,7 @@ class Change:
     emptied: DataFrame | None = None
     append: bool = False
     only_emptied: bool = False
+    one_slice: bool = False
     drop: set[str] = field(default_factory=set)
 
     def slices(self):
@@ -185,7 +187,8 @@ class Tables:
             if change.only_emptied:
                 rows = rows.join(ids.withColumnRenamed(SLICE, "_wanted"), F.col(SLICE) == F.col("_wanted"), "left_semi")
         # rows of a slice meet in few files; a large slice is split among tasks by its size
-        rows = rows.hint("rebalance", F.col(SLICE))
+        if not change.one_slice:
+            rows = rows.hint("rebalance", F.col(SLICE))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(SLICE).parquet(f"{self.root}/{folder}")
         schema = StructType([f for f in change.rows.schema.fields]).jsonValue()
         for f in schema["fields"]:
