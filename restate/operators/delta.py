@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from restate.operators.match import sized_broadcast
+from restate.session import cut_lineage
 from restate.spec import default_for
 
 
@@ -225,9 +227,11 @@ def group_totals(df: DataFrame, key_cols, totals: dict[str, Column]) -> DataFram
 def share_repeated(df: DataFrame, key_cols, cols) -> DataFrame:
     """Rows of one key, where a key is repeated, take the largest of each of ``cols`` among them.
 
-    Only keys and ``cols`` are shuffled to find the repeated ones, which are few where keys are meant to be unique."""
+    Only keys and ``cols`` are shuffled to find the repeated ones, which are few where keys are meant to be unique:
+    then they are broadcast and the rows stay where they are.  ``df`` is read twice."""
     again = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(f"_m_{c}") for c in cols]).where("_n > 1")
-    again = again.select(*[F.col(k).alias(f"_k_{k}") for k in key_cols], *[f"_m_{c}" for c in cols])
+    again = cut_lineage(again.select(*[F.col(k).alias(f"_k_{k}") for k in key_cols], *[f"_m_{c}" for c in cols]))
+    again, _ = sized_broadcast(again)
     j = df.join(again, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in key_cols]), "left")
     return j.select(*[F.coalesce(f"_m_{c}", c).alias(c) if c in cols else F.col(c) for c in df.columns])
 

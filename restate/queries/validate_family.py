@@ -63,15 +63,16 @@ def direct_errors(spark, d):
     """Staged rows + ``errors`` array (one projection, all rules)."""
     v = S.register(spark, d, VIEWS)
     s = v["stage_direct"]
-    s = V.code_hit(s, v["entity_dim"], "entity_code", "entity_code", "ok_entity")
-    s = V.code_hit(s, v["trade_dim"], "trade_code", "trade_code", "ok_trade")
-    s = V.code_hit(s, v["instrument_dim"], "instrument_code", "instrument_code", "ok_instr")
     s = V.qualified_hit(s, v["book_dim"], "book_code", "book_code",
                         {"entity_code": "entity_code", "department_code": "department_code"}, "ok_book")
     s = V.qualified_hit(s, v["book_dim"], "department_code", "department_code",
                         {"entity_code": "entity_code"}, "ok_dept")
     # staged rows that share their four keys are one upload row: what fits one of them fits all
     s = D.share_repeated(s, RID, ["ok_book", "ok_dept"])
+    # after that: it reads its rows twice, and trades are many
+    s = V.code_hit(s, v["entity_dim"], "entity_code", "entity_code", "ok_entity")
+    s = V.code_hit(s, v["trade_dim"], "trade_code", "trade_code", "ok_trade")
+    s = V.code_hit(s, v["instrument_dim"], "instrument_code", "instrument_code", "ok_instr")
     num = V.numeric("value_usd")
     c = F.col
     errs = V.error_array([
