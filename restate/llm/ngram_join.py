@@ -204,11 +204,18 @@ def _shared_in_part(table: pa.Table) -> pa.Table:
     sigs = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
     # keys with a neighbour or a mark; the few of them are then sorted by node too
     order = np.argsort(names, kind="stable")
-    names, sigs = names[order], sigs[order]
+    names = names[order]
+    sigs = sigs[order]
+    del order
+    keep = np.zeros(len(names), bool)
     same = names[1:] == names[:-1]
-    keep = np.isin(names, np.unique(np.concatenate(marks)))
     keep[1:] |= same
     keep[:-1] |= same
+    # a marked key without a neighbour is found by its place
+    marks = np.unique(np.concatenate(marks))
+    at = np.searchsorted(names, marks)
+    there = at < len(names)
+    keep[at[there][names[at[there]] == marks[there]]] = True
     names, sigs = names[keep], sigs[keep]
     order = np.lexsort((sigs, names))
     names, sigs = names[order], sigs[order]
@@ -292,7 +299,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
     for side in "ab":
         pairs = pairs.join(sets.select(F.col("sig").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     both = F.size(F.array_intersect("s_a", "s_b"))
-    return pairs.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
+    # few rows of many tasks: dealt anew, they are stored in few files
+    return pairs.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").repartition("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
