@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from restate.llm import textarrays as T
-from restate.llm.common import release, store, text_key
+from restate.llm.common import BROADCAST_ROWS, release, store, text_key
 from restate.llm.components import connected_components
 
 #: Ratio of a band's sizes; bits of the verifying sketch; rounds of one centre a key.
@@ -293,7 +293,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
     pairs = store(pairs.where(_may_link("n_a", "k_a", "n_b", "k_b", percent)).select("a", "b", "n_a", "n_b"), "ngram-pairs")
     release(pairs.sparkSession)
     need = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    rep = nodes.join(need, "sig").select(F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key"))
+    rep = store(nodes.join(need, "sig").select(F.col("id").alias("rep_id"), F.col("text_key").alias("rep_key")), "ngram-wanted")
+    if rep.count() <= BROADCAST_ROWS:  # few rows are named: the texts are not shuffled to find them
+        rep = F.broadcast(rep)
     sets = texts.join(rep, (F.col("text_key") == F.col("rep_key")) & F.col("id").eqNullSafe(F.col("rep_id")), "left_semi").select(
         "text").mapInArrow(_set_rows(n), "sig long, shingles array<long>")
     for side in "ab":

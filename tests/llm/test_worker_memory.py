@@ -74,3 +74,24 @@ def test_keys_shared_or_marked_in_a_part():
     want = {(k | 3 << N.PART_BITS, s) for k, v in held.items() if len(v) > 1 or k in marked for s in v}
     assert set(zip(got.column("key").to_pylist(), got.column("sig").to_pylist())) == want
     assert got.num_rows == len(want)
+
+
+def test_texts_of_candidates_are_found_without_a_shuffle_of_texts(llm, monkeypatch):
+    """Also where Spark would broadcast nothing by itself."""
+    plans, verified = [], N._verified
+
+    def kept(*args):
+        out = verified(*args)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(N, "_verified", kept)
+    llm.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        words = [f"w{i}" for i in range(60)]
+        docs = llm.createDataFrame([(i, " ".join([*words, f"x{i}"])) for i in range(6)], "doc_id long, text string")
+        assert {r["component_id"] for r in N.similar_groups(docs).collect()} == {0}
+    finally:
+        llm.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    semi = [line for p in plans for line in p.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
