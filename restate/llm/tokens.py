@@ -3,7 +3,7 @@
 The word vocabulary lower-cases, drops white space and encodes each run of letters,
 number or run of other characters by itself.  Runs repeat far more than texts do:
 each one is encoded by the library once, and the ids of a text are gathered from a
-table.  Runs are cut and named (by a 64-bit hash) for a megabyte of text at a
+table.  Runs are cut and named (by a 64-bit hash) for a chunk of text at a
 time in numpy, without a Python loop over them.
 """
 
@@ -135,7 +135,7 @@ def encoder(tokenizer_path: str) -> RunEncoder:
     return RunEncoder(tokenizer_path)
 
 
-def text_runs(texts: list[str | None], chars: int = 1 << 20):
+def text_runs(texts: list[str | None], chars: int = T.CHUNK_BYTES):
     """Slices (first, texts) of at most ``chars`` characters, or one text; null texts are empty."""
     run, at, size = [], 0, 0
     for i, t in enumerate(texts):

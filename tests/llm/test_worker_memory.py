@@ -4,7 +4,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from restate.llm import common, ngram_join as N, textarrays as T
+from restate.llm import common, ngram_join as N, textarrays as T, tokens
 
 
 def test_batches_of_long_texts_are_bounded(llm):
@@ -95,3 +95,11 @@ def test_texts_of_candidates_are_found_without_a_shuffle_of_texts(llm, monkeypat
         llm.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     semi = [line for p in plans for line in p.splitlines() if "LeftSemi" in line]
     assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_texts_are_encoded_in_chunks_of_bounded_size():
+    texts = ["word " * 40] * 9000 + [None, "y" * 900_000, "z"]
+    runs = list(tokens.text_runs(texts))
+    assert [t for _, run in runs for t in run] == [t or "" for t in texts]
+    assert [at for at, _ in runs] == [sum(len(run) for _, run in runs[:i]) for i in range(len(runs))]
+    assert all(len(run) == 1 or sum(map(len, run)) <= 1 << 18 for _, run in runs)
