@@ -20,7 +20,9 @@ shuffled this once.  A key that many nodes of a task have goes out as plain rows
 
 *Verify.*  A second sketch of one parity bit per hash bucket, whose Hamming
 distance also bounds the symmetric difference from below, discards most other
-candidates; the rest are decided on the whole sets.
+candidates; the rest are decided on the whole sets.  Large sets have more buckets, for
+few buckets differ in half of their bits whatever the sets, which tells nothing once linked sets may
+differ by that much.  Folded in half, a sketch is that of half as many buckets.
 
 *Groups of copies.*  Equal sets are one node from the start.  Among the nodes
 that share a key only the pairs with one centre are tested, for two choices of the centre; nodes that are in one
@@ -43,10 +45,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from restate.llm import textarrays as T
-from restate.llm.common import BROADCAST_ROWS, release, store, text_key
+from restate.llm.common import BROADCAST_ROWS, discard, release, store, text_key
 from restate.llm.components import connected_components
 
-#: Ratio of a band's sizes; bits of the verifying sketch; rounds of one centre a key.
+#: Ratio of a band's sizes; least bits of the verifying sketch; rounds of one centre a key.
 BAND_RATIO = 1.5
 SKETCH_BITS = 1024
 STAR_ROUNDS = 1
@@ -105,8 +107,13 @@ def signature(s: np.ndarray) -> int:
     return int(T.mix((h.sum(dtype=np.uint64, keepdims=True) ^ T.mix(np.bitwise_xor.reduce(s, keepdims=True) + np.uint64(len(s))))).view(np.int64)[0])
 
 
-def bit_sketch(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of a set of ``size``: a power of two, so that the longer of two sketches can be folded to the other's length."""
+    return max(SKETCH_BITS, 1 << (size.bit_length() - 1))
+
+
+def bit_sketch(s: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -255,7 +262,7 @@ def _sketch_rows(n: int, percent: int, id_type: pa.DataType, part_bits: int):
                         sigs.append(sig)
                         new = len(s) and sig not in seen
                         seen.add(sig)
-                        sketches.append(bit_sketch(s) if new else none)
+                        sketches.append(bit_sketch(s, sketch_bits(len(s))) if new else none)
                         if new:
                             held.add(sig, join_keys(s, percent))
                 yield filled({"id": ids.slice(at, rows), "text_key": text_keys.slice(at, rows), "n_shingles": pa.array(sizes, pa.int64()),
@@ -278,9 +285,23 @@ def _set_rows(n: int):
     return run
 
 
+def _apart(k_a: str, k_b: str) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    words = SKETCH_BITS // 64
+    short = F.least(F.size(k_a), F.size(k_b))
+
+    def folded(k: str) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), short - 1), lambda i: F.aggregate(
+            F.sequence(i, F.size(k) - 1, short), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(k, j))))
+        return F.when(F.size(k) > short, sums).otherwise(F.col(k))
+    wide = F.aggregate(F.zip_with(folded(k_a), folded(k_b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    least = sum((F.bit_count(F.get(k_a, i).bitwiseXOR(F.get(k_b, i))) for i in range(words)), F.lit(0))
+    return F.when(F.greatest(F.size(k_a), F.size(k_b)) > words, wide).otherwise(least)
+
+
 def _may_link(n_a: str, k_a: str, n_b: str, k_b: str, percent: int) -> Column:
     """Sizes and bit sketches of two nodes allow a link."""
-    apart = sum((F.bit_count(F.get(k_a, i).bitwiseXOR(F.get(k_b, i))) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    apart = _apart(k_a, k_b)
     return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
             & (apart * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)))
 
@@ -324,19 +345,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
     part_bits = min(22, math.ceil(math.log2(max(1, chars * KEYS_A_CHAR / PART_KEYS))))
     made = store(keyed.mapInArrow(_sketch_rows(n, percent, to_arrow_type(base.schema["id"].dataType), part_bits), f"id {id_type}, {_ROW}, {_CELL}"), "ngram-rows")
-    rows = made.where(F.col("text_key").isNotNull()).select("id", "text_key", "n_shingles", "sig", "sketch")
-    told = rows.where(F.size("sketch") > 0)
+    told = made.where(F.col("text_key").isNotNull() & (F.size("sketch") > 0))
     nodes = store(told.select("sig", "n_shingles", "sketch", "id", "text_key").dropDuplicates(["sig"]), "ngram-nodes")
+    rows = store(made.where(F.col("text_key").isNotNull()).select("id", "text_key", "n_shingles", "sig"), "ngram-names")
     spark = docs.sparkSession
 
     # keys meet in the parts of their space, once; members of those that several nodes share, with the key's least node
     kv = made.where(F.col("part").isNotNull()).select("part", "hashes", "nodes", "sigs").groupBy("part").applyInArrow(_shared_in_part, "key long, sig long")
     hot = made.where(F.col("hot_keys").isNotNull()).select(F.explode(F.arrays_zip("hot_keys", "hot_sigs")).alias("x"))
     kv = store(kv.unionByName(hot.select(F.col("x.hot_keys").alias("key"), F.col("x.hot_sigs").alias("sig"))), "ngram-shared")
+    discard(made)  # the cells are many times as large as what is left of them
     release(spark)
     shared = kv.groupBy(F.col("key").alias("s_key")).agg(F.min("sig").alias("centre"), F.max("sig").alias("last"))
     shared = shared.where(F.col("centre") < F.col("last")).select("s_key", "centre")
     members = store(kv.join(shared, F.col("key") == F.col("s_key")).select("key", "sig", "centre").distinct(), "ngram-members")
+    discard(kv)
     release(spark)
 
     links = store(_verified(_pairs(members.select(F.col("sig").alias("a"), F.col("centre").alias("b"))), nodes, keyed, n, percent), "ngram-links")
@@ -366,12 +389,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         wanted = active.join(other, (F.col("key") == F.col("o_key")) & (F.col("root") != F.col("o_root")) & may)
         wanted = _pairs(wanted.select(F.col("sig").alias("a"), F.col("o_sig").alias("b")))
         found = store(_verified(wanted, nodes, keyed, n, percent), "ngram-links")
+        discard(active)
         release(spark)
         if found.take(1):
             stars = connected_components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(
                 found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    discard(members, nodes)
 
-    named = rows.select("id", "text_key", "n_shingles", "sig").join(stars, F.col("sig") == F.col("node"), "left").select(
+    named = rows.join(stars, F.col("sig") == F.col("node"), "left").select(
         "id", "text_key", "n_shingles", F.coalesce("root", "sig").alias("root"))
     least = named.where(F.col("root").isNotNull()).groupBy(F.col("root").alias("l_root")).agg(F.min("id").alias("least_id"))
     return named.join(least, F.col("root") == F.col("l_root"), "left").select(

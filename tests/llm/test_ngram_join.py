@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from restate.llm import ngram_join as N
 from restate.llm import textarrays as T
 from restate.llm.components import connected_components
 from restate.llm.common import store
+from restate.session import checkpoint_dir
 
 SPACES = " \t\n\v\f\r"
 
@@ -121,3 +123,36 @@ def test_components(llm):
     got = {r.node: r.root for r in connected_components(llm.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in want.items() if k != v}
     assert connected_components(llm.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_large_sets_are_told_apart_by_their_sketches(llm):
+    """Large sets that share a few shingles are no candidates; those that link are, also where their sketches differ in length."""
+    rng, rows = np.random.default_rng(6), []
+    for size in (600, 1000, 2040, 2060, 3000, 4090, 6000, 9000):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        for linked, own in ((True, size // 10), (True, size // 12), (False, size - size // 10)):
+            b = np.unique(np.concatenate((a[own:], rng.integers(0, 2**63, own - (size // 20 if linked else 0), dtype=np.uint64))))
+            both = len(np.intersect1d(a, b))
+            assert (100 * both >= 80 * (len(a) + len(b) - both)) == linked
+            for x, y in ((a, b), (b, a)):
+                sides = [v for s in (x, y) for v in (len(s), N.bit_sketch(s, N.sketch_bits(len(s))).tolist())]
+                rows.append((linked, len({len(sides[1]), len(sides[3])}), *sides))
+    assert {r[1] for r in rows} == {1, 2}
+    df = llm.createDataFrame(rows, "linked boolean, lengths int, n_a long, k_a array<long>, n_b long, k_b array<long>")
+    assert df.where(N._may_link("n_a", "k_a", "n_b", "k_b", 80) != df.linked).count() == 0
+    # a low threshold lets sets link whose sketches differ in length by more than one fold
+    a = np.unique(rng.integers(0, 2**63, 9000, dtype=np.uint64))
+    b = a[:2000]
+    far = llm.createDataFrame([(len(a), N.bit_sketch(a, N.sketch_bits(len(a))).tolist(), len(b), N.bit_sketch(b, N.sketch_bits(len(b))).tolist())], "n_a long, k_a array<long>, n_b long, k_b array<long>")
+    assert far.where(N._may_link("n_a", "k_a", "n_b", "k_b", 20)).count() == 1
+    assert far.select(N._apart("k_a", "k_b").alias("x")).first().x == sum(
+        int(x).bit_count() for x in (N.bit_sketch(a, N.sketch_bits(len(b))) ^ N.bit_sketch(b, N.sketch_bits(len(b)))).view(np.uint64))
+
+
+def test_nothing_but_names_is_left_on_disk(llm):
+    """Cells, members and sketches of a join are deleted when it has what it needs of them."""
+    kept = Path(checkpoint_dir(llm))
+    before = set(kept.iterdir())
+    check(llm, [(i, " ".join(f"w{j}" for j in range(i // 3, i // 3 + 60))) for i in range(30)])
+    left = {p.name.rsplit("-", 1)[0] for p in set(kept.iterdir()) - before}
+    assert "ngram-names" in left and not left & {"ngram-rows", "ngram-shared", "ngram-members", "ngram-nodes", "ngram-active"}
