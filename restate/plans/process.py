@@ -12,24 +12,24 @@ Tables of a scope (slices in brackets):
 A run that dies anywhere and is run again with the same name leaves the same tables; one that
 has been published does nothing.
 
-Rows that came or left are stored as compressed columns while a run lasts: a
-checkpoint holds them as they are in memory, many times as large.
+Rows that come or leave are stored once, ahead of the commit and with the sign and batch that the log needs: the
+delta table and the log name the same files of what came.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.operators.delta import positions_of, record_counts
 from restate.plans.scale import apply_scale, fact_rows, request_profile
-from restate.plans.summary import SummaryView, signed
+from restate.plans.summary import SIGN, SummaryView, signed
 from restate.session import cut_lineage
-from restate.sources.io import write_image
-from restate.sources.manifest import Change, Tables, slice_id
+from restate.sources.manifest import Change, Staged, Tables, slice_id
 
 DELTAS, LOG, HISTORY, TRIGGERS = "deltas", "delta_changes", "status_history", "triggers"
 ADJ = "restatement_id"
@@ -54,24 +54,38 @@ class Scope:
         return SummaryView(tables, "summary", self.summary_cols, self.metrics, (self.cob_col,))
 
 
-def _publish(tables: Tables, scope: Scope, batch: str, came: DataFrame, left: DataFrame, kept: DataFrame, touched: DataFrame,
+def _came(tables: Tables, scope: Scope, batch: str, rows: DataFrame) -> Staged:
+    """Rows that come, as slices of the delta table; the log reads their sign and batch from the same files."""
+    logged = signed(rows.select(*scope.columns), 1).withColumn("batch", F.lit(batch))
+    return tables.stage(DELTAS, batch, "came", Change(logged, by=(scope.cob_col,)))
+
+
+def _left(tables: Tables, scope: Scope, batch: str, rows: DataFrame) -> Staged:
+    """Rows that leave, as the log's slice of the batch."""
+    logged = signed(rows.select(*scope.columns), -1).withColumn("batch", F.lit(batch))
+    return tables.stage(LOG, batch, "left", Change(logged, by=("batch",), one_slice=True))
+
+
+def _publish(tables: Tables, scope: Scope, batch: str, came: Staged | None, left: Staged | None, kept: DataFrame, touched: set[str],
              history: DataFrame, step) -> bool:
-    log = signed(came, 1).unionByName(signed(left, -1)).withColumn("batch", F.lit(batch))
-    cobs = came.select(scope.cob_col).union(left.select(scope.cob_col)).distinct()
+    moved = [part for part in (came, left) if part]
+    cobs = reduce(DataFrame.union, [part.rows.select(scope.cob_col) for part in moved]).distinct()
     return tables.commit(batch, {
-        DELTAS: Change(kept.unionByName(came), by=(scope.cob_col,), emptied=touched),
-        LOG: Change(log, by=("batch",), one_slice=True),
+        DELTAS: Change(kept.select(*scope.columns), by=(scope.cob_col,), drop=touched, beside=(came,) if came else ()),
+        LOG: Change(moved[0].rows.select(*scope.columns, SIGN, "batch").limit(0), by=("batch",), one_slice=True, beside=tuple(moved)),
         HISTORY: Change(history.withColumn("batch", F.lit(batch)), by=("batch",)),
         TRIGGERS: Change(cobs.withColumn("batch", F.lit(batch)), by=("batch",)),
     }, step=step)
 
 
-def _in_force(tables: Tables, scope: Scope, like: DataFrame, touched: DataFrame) -> DataFrame:
+def _slices(scope: Scope, rows: DataFrame) -> set[str]:
+    """Slices of the delta table that ``rows`` fall in: as many as business dates."""
+    return {r[0] for r in rows.select(scope.cob_col).distinct().select(slice_id((scope.cob_col,))).collect()}
+
+
+def _in_force(tables: Tables, like: DataFrame, touched: set[str]) -> DataFrame:
     """Rows of the delta table on the touched business dates: those slices only are read."""
-    if not tables.exists(DELTAS):
-        return like.limit(0)
-    slices = [r[0] for r in touched.select(slice_id((scope.cob_col,))).distinct().collect()]
-    return tables.read(DELTAS, slices)
+    return tables.read(DELTAS, touched) if tables.exists(DELTAS) else like.limit(0)
 
 
 def process(tables: Tables, scope: Scope, batch: str, requests: DataFrame, fact: DataFrame,
@@ -88,17 +102,18 @@ def process(tables: Tables, scope: Scope, batch: str, requests: DataFrame, fact:
         stored = None
         if profile["has_cross"] and tables.exists(DELTAS):
             dates = fact.sparkSession.createDataFrame([(c,) for c in profile["cobs"]], f"{scope.cob_col} int")
-            stored = _in_force(tables, scope, dates, dates)
+            stored = _in_force(tables, dates, _slices(scope, dates))
         new = apply_scale(enrich(fact), requests, filters, list(scope.position_cols), list(scope.metrics), scope.usd_metric,
                           deltas=enrich(stored) if stored is not None else None, cob_col=scope.cob_col, profile=profile)
-        new = write_image(new.select(*scope.columns), "came")
-        touched = new.select(scope.cob_col).distinct()
-        before = _in_force(tables, scope, new, touched)
+        came = _came(tables, scope, batch, new)
+        new, touched = came.rows.select(*scope.columns), set(came.folders)
+        before = _in_force(tables, new, touched)
         positions, same = positions_of(new, scope.position_cols)
-        left, kept = before.join(positions, same, "left_semi"), before.join(positions, same, "left_anti")
+        left = _left(tables, scope, batch, before.join(positions, same, "left_semi")) if tables.exists(DELTAS) else None
+        kept = before.join(positions, same, "left_anti")
         written = record_counts(requests.select(ADJ, scope.cob_col), new, ADJ)
         history = written.select(F.col(ADJ).cast("long").alias(ADJ), F.lit("Processed").alias("new_status"), "record_count")
-        published = _publish(tables, scope, batch, new, left, kept, touched, history, step)
+        published = _publish(tables, scope, batch, came, left, kept, touched, history, step)
     scope.summary(tables).refresh(LOG, step)
     return published
 
@@ -107,12 +122,12 @@ def load(tables: Tables, scope: Scope, batch: str, deltas: DataFrame, step: Call
     """Take a delta table over as it is: rows on the business dates it holds replace what is in force there."""
     published = False
     if not tables.committed(batch):
-        came = write_image(deltas.select(*scope.columns), "came")
-        touched = came.select(scope.cob_col).distinct()
-        left = _in_force(tables, scope, came, touched)
-        counts = came.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
+        came = _came(tables, scope, batch, deltas)
+        new, touched = came.rows.select(*scope.columns), set(came.folders)
+        left = _left(tables, scope, batch, _in_force(tables, new, touched)) if tables.exists(DELTAS) else None
+        counts = new.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
         history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit("Loaded").alias("new_status"), "record_count")
-        published = _publish(tables, scope, batch, came, left, left.limit(0), touched, history, step)
+        published = _publish(tables, scope, batch, came, left, new.limit(0), touched, history, step)
     scope.summary(tables).refresh(LOG, step)
     return published
 
@@ -121,13 +136,15 @@ def post(tables: Tables, scope: Scope, batch: str, rows: DataFrame, step: Callab
     """Add given delta rows (an upload); what their requests had in force before leaves."""
     published = False
     if not tables.committed(batch):
-        came = write_image(rows.select(*scope.columns), "came")
-        own = came.select(F.col(ADJ).alias("_own")).distinct()
+        came = _came(tables, scope, batch, rows)
+        new, touched, left = came.rows.select(*scope.columns), set(came.folders), None
+        counts = cut_lineage(new.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count")))
+        own = counts.select(F.col(ADJ).alias("_own"))
         hit = F.col(ADJ) == F.col("_own")
-        left = write_image(tables.read(DELTAS).join(own, hit, "left_semi"), "left") if tables.exists(DELTAS) else came.limit(0)
-        touched = came.select(scope.cob_col).union(left.select(scope.cob_col)).distinct()
-        kept = _in_force(tables, scope, came, touched).join(own, hit, "left_anti")
-        counts = came.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
+        if tables.exists(DELTAS):
+            left = _left(tables, scope, batch, tables.read(DELTAS).join(own, hit, "left_semi"))
+            touched |= _slices(scope, left.rows)
+        kept = _in_force(tables, new, touched).join(own, hit, "left_anti")
         history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit("Processed").alias("new_status"), "record_count")
         published = _publish(tables, scope, batch, came, left, kept, touched, history, step)
     scope.summary(tables).refresh(LOG, step)
@@ -139,14 +156,12 @@ def remove(tables: Tables, scope: Scope, batch: str, ids: DataFrame, status: str
     published = False
     if not tables.committed(batch) and tables.exists(DELTAS):
         wanted = cut_lineage(ids.select(F.col(ADJ).cast("long").alias("_gone")).where(F.col("_gone").isNotNull()).distinct())
-        stored = tables.read(DELTAS)
         hit = F.col(ADJ) == F.col("_gone")
-        left = write_image(stored.join(wanted, hit, "left_semi"), "left")
-        touched = left.select(scope.cob_col).distinct()
-        kept = _in_force(tables, scope, left, touched).join(wanted, hit, "left_anti")
-        counts = left.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
+        left = _left(tables, scope, batch, tables.read(DELTAS).join(wanted, hit, "left_semi"))
+        touched = _slices(scope, left.rows)
+        kept = _in_force(tables, left.rows, touched).join(wanted, hit, "left_anti")
+        counts = left.rows.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
         history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit(status).alias("new_status"), "record_count")
-        published = _publish(tables, scope, batch, left.limit(0), left, kept, touched, history, step)
+        published = _publish(tables, scope, batch, None, left, kept, touched, history, step)
     scope.summary(tables).refresh(LOG, step)
     return published
-

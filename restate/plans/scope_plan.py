@@ -88,11 +88,12 @@ class ScopePlan:
         head = [ADJ, "restatement_created_timestamp"]
         fields = {**u["keep"], **u["text"], **{m: u["measure_type"] for m in self.measures()}}
         typed = extract(payload, payload_col, fields, keep=head)
-        ids = [*head, *u["keep"], *u["text"]]
-        long = unpivot_measures(typed, ids, self.measures(), "measure", self.settings["usd_metric"])
+        # codes are looked up once a row of the upload, not for each of its measures
         for c in u["codes"]:
             dim = self._read(c, {"_code": c["code"], "_key": c["key"]})
-            long = resolve_max(long, dim, c["column"], "_code", "_key", c["out"])
+            typed = resolve_max(typed, dim, c["column"], "_code", "_key", c["out"])
+        ids = [*head, *u["keep"], *u["text"], *[c["out"] for c in u["codes"]]]
+        long = unpivot_measures(typed, ids, self.measures(), "measure", self.settings["usd_metric"])
         return long.withColumns({m: F.col(m).cast(VALUE_TYPE) for m in self.settings["metrics"]})
 
     def upload(self, tables: Tables, batch: str, payload: DataFrame, payload_col: str = "payload", **kw) -> bool:

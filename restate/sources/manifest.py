@@ -42,12 +42,22 @@ def bucket_id(keys: Iterable[str], buckets: int):
     return F.lpad(F.conv(F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("string"), 10, 16), 8, "0").alias(SLICE)
 
 
+@dataclass
+class Staged:
+    """Rows that are stored ahead of the commit which names them: what was written, read back, and the folder of each slice."""
+
+    rows: DataFrame
+    folders: dict[str, str]
+
+
 @dataclass
 class Change:
     """New rows of one table: ``rows`` replace the slices they fall in, and those of ``emptied`` (a relation of
     the slice columns) end empty if they get none.  With ``append`` they are added beside what a slice holds;
     ``only_emptied`` leaves out rows outside of ``emptied``.  ``one_slice`` says that all rows fall in one: each
-    task writes its own, none are shuffled."""
+    task writes its own, none are shuffled.  ``beside`` are staged rows that come to the table as they lie: their
+    folders are named, nothing is written again.  Several tables may name one folder, each reads its own columns
+    of it; with ``one_slice`` all of its rows fall in one slice here too."""
 
     rows: DataFrame
     by: tuple[str, ...] = ()
@@ -57,12 +67,22 @@ class Change:
     only_emptied: bool = False
     one_slice: bool = False
     drop: set[str] = field(default_factory=set)
+    beside: tuple[Staged, ...] = ()
 
     def slices(self):
         if not self.by:
             return F.lit("all").alias(SLICE)
         return bucket_id(self.by, self.buckets) if self.buckets else slice_id(self.by).alias(SLICE)
 
+    def parts(self) -> list[tuple[str, str]]:
+        """(slice, folder) of the staged rows."""
+        out = []
+        for part in self.beside:
+            # one row of them tells the slice of all
+            own = part.rows.select(self.slices()).first()[0] if self.one_slice and part.folders else None
+            out += [(own or s, folder) for s, folder in sorted(part.folders.items())]
+        return out
+
 
 class _Files:
     """Few calls on whatever file system the path lies in."""
@@ -144,6 +164,15 @@ class Tables:
         return self._load(table, folders)
 
     # -- write ---------------------------------------------------------------
+    def stage(self, name: str, batch: str, part: str, change: Change) -> Staged:
+        """Store the rows of ``change`` in folders of ``name`` for the next commit, which ``batch`` has to be."""
+        folder, schema, _ = self._stage(name, batch, self.state()["commit"] + 1, change, f"-{part}")
+        folders = self._written(folder)
+        return Staged(self._load({"schema": schema}, sorted(folders.values())), folders)
+
+    def _written(self, folder: str) -> dict[str, str]:
+        return {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._files.names(f"{self.root}/{folder}") if n.startswith(f"{SLICE}=")}
+
     def commit(self, batch: str, changes: dict[str, Change], notes: dict | None = None, step: Callable[[str], None] = lambda name: None) -> bool:
         """Publish ``changes`` (table -> Change) of ``batch`` in one step; False if that batch is published already.
 
@@ -162,14 +191,19 @@ class Tables:
                 raise RuntimeError(f"{name}: {folder} is incomplete")
         for name, (folder, schema, emptied) in staged.items():
             table = state["tables"].setdefault(name, {"schema": schema, "slices": {}})
-            if [(f["name"], f["type"]) for f in table["schema"]["fields"]] != [(f["name"], f["type"]) for f in schema["fields"]]:
+            if _types(table["schema"]) != _types(schema):
                 raise ValueError(f"{name}: columns differ from the table's")
-            written = {n.split("=", 1)[1]: f"{folder}/{n}" for n in self._files.names(f"{self.root}/{folder}") if n.startswith(f"{SLICE}=")}
+            for part in changes[name].beside:
+                if not set(_types(table["schema"])) <= set(_types(json.loads(part.rows.schema.json()))):
+                    raise ValueError(f"{name}: columns of staged rows differ from the table's")
             for s in emptied:
                 table["slices"].pop(s, None)
-            for s, path in written.items():
+            written: dict[str, list] = {}
+            for s, path in [*self._written(folder).items(), *changes[name].parts()]:
+                written.setdefault(s, []).append([path, number])
+            for s, paths in written.items():
                 before = table["slices"].get(s, []) if changes[name].append else []
-                table["slices"][s] = [*before, [path, number]]
+                table["slices"][s] = [*before, *paths]
         state["commit"], state["notes"] = number, state["notes"] | (notes or {})
         step("publish")
         self._files.make(f"{self.root}/commits")
@@ -177,8 +211,8 @@ class Tables:
         step("published")
         return True
 
-    def _stage(self, name: str, batch: str, number: int, change: Change) -> tuple[str, dict, set[str]]:
-        folder = f"data/{name}/{number:012d}-{_plain(batch)}"
+    def _stage(self, name: str, batch: str, number: int, change: Change, part: str = "") -> tuple[str, dict, set[str]]:
+        folder = f"data/{name}/{number:012d}-{_plain(batch)}{part}"
         rows, emptied = change.rows.withColumn(SLICE, change.slices()), set(change.drop)
         if change.emptied is not None:
             ids = change.emptied.select(change.slices()).distinct()
@@ -223,6 +257,10 @@ class Tables:
         return gone
 
 
+def _types(schema: dict) -> list[tuple[str, str]]:
+    return [(f["name"], f["type"]) for f in schema["fields"]]
+
+
 def _plain(batch: str) -> str:
     """A batch's name as part of a file name: letters, digits and dots stay, others become their code."""
     return reduce(lambda a, c: a + (c if c.isascii() and (c.isalnum() or c == ".") else f"_{ord(c):x}_"), batch, "")

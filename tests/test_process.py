@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from restate.plans.process import DELTAS, HISTORY, LOG, TRIGGERS, Scope, process, remove
+from restate.plans.process import DELTAS, HISTORY, LOG, TRIGGERS, Scope, load, process, remove
 from restate.plans.summary import SummaryView, signed
 from restate.sources import io as IO
 from restate.sources.manifest import Tables
@@ -126,3 +126,28 @@ def test_only_touched_slices_are_written_and_impossible_changes_fail(spark):
         v.apply("c", signed(frame(spark, [(4, "x", "1.00", 1)] * 2), -1))
     with pytest.raises(TypeError):
         v.apply("d", signed(spark.createDataFrame([(1, "x", 0.5, 1)], "cobid int, g string, d double, n long"), 1))
+
+
+def test_rows_that_come_or_leave_are_stored_once(spark):
+    t = new_tables(spark)
+    run(spark, t, "first", FIRST)
+    run(spark, t, "second", SECOND)
+    tables = t.state()["tables"]
+    named = {n: {f for parts in tables[n]["slices"].values() for f, _ in parts} for n in (DELTAS, LOG)}
+    # the log reads what came from the files of the delta table, and its own files hold what left only
+    came, left = ({f for f in named[LOG] if f.startswith(f"data/{name}/")} for name in (DELTAS, LOG))
+    assert came and left and came | left == named[LOG]
+    signs = {n: {r["_sign"] for r in spark.read.parquet(*[f"{t.root}/{f}" for f in fs]).select("_sign").collect()} for n, fs in (("came", came), ("left", left))}
+    assert signs == {"came": {1}, "left": {-1}}
+    assert not {"_sign", "batch"} & set(t.read(DELTAS).columns)
+    t.vacuum(1)
+    assert contents(t)["summary"] == summed(t) and t.read(LOG).count() > t.read(DELTAS).count()
+
+
+def test_other_types_than_the_tables_are_refused(spark):
+    t = new_tables(spark)
+    run(spark, t, "first", FIRST)
+    state, wide = t.state(), t.read(DELTAS).withColumn("amount", F.col("amount").cast("double"))
+    with pytest.raises(ValueError, match="columns"):
+        load(t, SCOPE, "wide", wide)
+    assert t.state() == state

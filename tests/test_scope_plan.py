@@ -73,3 +73,9 @@ def test_fields_are_read_by_type(spark):
     df = spark.createDataFrame([(1, '{"a": 1.5, "b": "x", "c": "2"}'), (2, "no json"), (3, None), (4, '{"a": "1e2", "c": null}')], "id int, p string")
     got = {r.id: (r.a, r.b, r.c) for r in extract(df, "p", {"a": "decimal(10,2)", "b": "string", "c": "int"}, keep=["id"]).collect()}
     assert got == {1: (Decimal("1.50"), "x", 2), 2: (None, None, None), 3: (None, None, None), 4: (Decimal("100.00"), None, None)}
+
+
+def test_codes_are_looked_up_before_rows_become_one_a_measure(spark, tmp_path):
+    plan = upload_plan(spark, tmp_path)
+    text = plan.upload_rows(payload(spark, [(1, {"cobid": 5, "book": "B 1", "M1": "1"})]))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Expand") < text.index("Join")  # the tree's root comes first
