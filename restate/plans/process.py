@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restate.operators.delta import positions_of, record_counts
+from restate.operators.match import DIM_BROADCAST_ROWS, sized_broadcast
 from restate.plans.scale import apply_scale, fact_rows, request_profile
 from restate.plans.summary import SIGN, SummaryView, signed
 from restate.session import cut_lineage
@@ -88,6 +89,17 @@ def _in_force(tables: Tables, like: DataFrame, touched: set[str]) -> DataFrame:
     return tables.read(DELTAS, touched) if tables.exists(DELTAS) else like.limit(0)
 
 
+def _ids(ids: DataFrame) -> DataFrame:
+    """The distinct request ids of ``ids``, stored; broadcast behind a size check, so that no delta row is shuffled to meet them."""
+    own = cut_lineage(ids.select(F.col(ADJ).cast("long").alias("_own")).where(F.col("_own").isNotNull()).distinct())
+    return sized_broadcast(own, DIM_BROADCAST_ROWS)[0]
+
+
+def _of(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of the requests ``ids`` (left_semi), or all but those (left_anti)."""
+    return rows.join(ids, F.col(ADJ) == F.col("_own"), how)
+
+
 def process(tables: Tables, scope: Scope, batch: str, requests: DataFrame, fact: DataFrame,
             enrich: Callable[[DataFrame], DataFrame] = lambda df: df, step: Callable[[str], None] = lambda name: None) -> bool:
     """Process ``requests`` over ``fact`` as ``batch``; False if that batch was published before.
@@ -139,12 +151,12 @@ def post(tables: Tables, scope: Scope, batch: str, rows: DataFrame, step: Callab
         came = _came(tables, scope, batch, rows)
         new, touched, left = came.rows.select(*scope.columns), set(came.folders), None
         counts = cut_lineage(new.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count")))
-        own = counts.select(F.col(ADJ).alias("_own"))
-        hit = F.col(ADJ) == F.col("_own")
+        kept = new.limit(0)
         if tables.exists(DELTAS):
-            left = _left(tables, scope, batch, tables.read(DELTAS).join(own, hit, "left_semi"))
+            own = _ids(counts)
+            left = _left(tables, scope, batch, _of(tables.read(DELTAS), own, "left_semi"))
             touched |= _slices(scope, left.rows)
-        kept = _in_force(tables, new, touched).join(own, hit, "left_anti")
+            kept = _of(_in_force(tables, new, touched), own, "left_anti")
         history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit("Processed").alias("new_status"), "record_count")
         published = _publish(tables, scope, batch, came, left, kept, touched, history, step)
     scope.summary(tables).refresh(LOG, step)
@@ -155,11 +167,10 @@ def remove(tables: Tables, scope: Scope, batch: str, ids: DataFrame, status: str
     """Take every delta row of the requests ``ids`` out (a failed run's retry, a delete)."""
     published = False
     if not tables.committed(batch) and tables.exists(DELTAS):
-        wanted = cut_lineage(ids.select(F.col(ADJ).cast("long").alias("_gone")).where(F.col("_gone").isNotNull()).distinct())
-        hit = F.col(ADJ) == F.col("_gone")
-        left = _left(tables, scope, batch, tables.read(DELTAS).join(wanted, hit, "left_semi"))
+        wanted = _ids(ids)
+        left = _left(tables, scope, batch, _of(tables.read(DELTAS), wanted, "left_semi"))
         touched = _slices(scope, left.rows)
-        kept = _in_force(tables, left.rows, touched).join(wanted, hit, "left_anti")
+        kept = _of(_in_force(tables, left.rows, touched), wanted, "left_anti")
         counts = left.rows.groupBy(ADJ).agg(F.count(F.lit(1)).alias("record_count"))
         history = counts.select(F.col(ADJ).cast("long").alias(ADJ), F.lit(status).alias("new_status"), "record_count")
         published = _publish(tables, scope, batch, None, left, kept, touched, history, step)

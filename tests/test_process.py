@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from restate.plans import process as P
 from restate.plans.process import DELTAS, HISTORY, LOG, TRIGGERS, Scope, load, process, remove
 from restate.plans.summary import SummaryView, signed
 from restate.sources import io as IO
@@ -151,3 +152,12 @@ def test_other_types_than_the_tables_are_refused(spark):
     with pytest.raises(ValueError, match="columns"):
         load(t, SCOPE, "wide", wide)
     assert t.state() == state
+
+
+def test_rows_meet_the_ids_of_a_clean_up_without_a_shuffle(spark):
+    t = new_tables(spark)
+    run(spark, t, "first", FIRST)
+    ids = P._ids(spark.range(300_000).select(F.col("id").alias("restatement_id")).union(spark.createDataFrame([(None,), (1,)], "restatement_id long")))
+    for how in ("left_semi", "left_anti"):
+        plan = P._of(t.read(DELTAS), ids, how)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
